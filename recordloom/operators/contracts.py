@@ -197,29 +197,39 @@ def assert_contract(df: DataFrame, json_column: str, contract: dict, source: str
     return df
 
 
+def _children(nodes: Column) -> Column:
+    """The values one level below a list of ``path, parent, key, v`` nodes."""
+    text = lambda c: c.cast("string")
+    node = lambda path, parent, key, v: F.struct(
+        path.alias("path"), text(parent).alias("parent"), text(key).alias("key"), v.alias("v")
+    )
+
+    def below(n: Column) -> Column:
+        fields = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
+        items = F.try_variant_get(n["v"], "$", "array<variant>")
+        return F.coalesce(
+            F.transform(fields, lambda e: node(F.concat(n["path"], F.lit("."), e["key"]), n["path"], e["key"], e["value"])),
+            F.transform(items, lambda x: node(F.concat(n["path"], F.lit("[]")), n["path"], F.lit(None), x)),
+            F.filter(F.array(n), lambda _: F.lit(False)),
+        )
+
+    return F.flatten(F.transform(nodes, below))
+
+
 def observed_paths(df: DataFrame, json_column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``path, parent, key, type, n``: how often each type occurs at each path.
 
-    One level of nesting per step; only counts per (path, type) leave the executors.
+    One pass: every value of a row is listed inside its task, and only counts per (path,
+    type) are shuffled.
     """
-    level = df.select(F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("key"), F.try_parse_json(col(json_column)).alias("v"))
-    found: DataFrame | None = None
-    for _ in range(max_depth):
-        typed = level.filter(F.col("v").isNotNull()).withColumn("type", variant_type(F.col("v")))
-        counts = typed.groupBy("path", "parent", "key", "type").agg(F.count("*").alias("n"))
-        found = counts if found is None else found.unionByName(counts)
-        if not typed.filter(F.col("type").isin("object", "list")).limit(1).count():
-            break
-        objects = typed.filter("type = 'object'").select(
-            F.col("path").alias("parent"), F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "v")
-        )
-        lists = typed.filter("type = 'list'").select(
-            F.col("path").alias("parent"), F.lit(None).cast("string").alias("key"), F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v")
-        )
-        level = objects.select(F.concat_ws(".", "parent", "key").alias("path"), "parent", "key", "v").unionByName(
-            lists.select(F.concat("parent", F.lit("[]")).alias("path"), "parent", "key", "v")
-        )
-    return found
+    none = F.lit(None).cast("string")
+    root = F.struct(F.lit("$").alias("path"), none.alias("parent"), none.alias("key"), F.try_parse_json(col(json_column)).alias("v"))
+    levels = df.select(F.array(root).alias("l0"))
+    for depth in range(max_depth - 1):
+        levels = levels.withColumn(f"l{depth + 1}", _children(F.col(f"l{depth}")))
+    nodes = levels.select(F.inline(F.concat(*[F.col(f"l{d}") for d in range(max_depth)])))
+    typed = nodes.filter(F.col("v").isNotNull()).withColumn("type", variant_type(F.col("v")))
+    return typed.groupBy("path", "parent", "key", "type").agg(F.count("*").alias("n"))
 
 
 def generate(df: DataFrame, json_column: str) -> dict:
