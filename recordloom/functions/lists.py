@@ -18,12 +18,12 @@ def count(c: Column, dtype: T.DataType) -> Column:
 
 def first(c: Column, fallback: object = None) -> Column:
     found = F.get(c, F.lit(0))
-    return found if fallback is None else F.when(F.size(c) > 0, found).otherwise(F.lit(fallback))
+    return found if fallback is None else F.when(F.array_size(c) > 0, found).otherwise(F.lit(fallback))
 
 
 def last(c: Column, fallback: object = None) -> Column:
     found = F.try_element_at(c, F.lit(-1))
-    return found if fallback is None else F.when(F.size(c) > 0, found).otherwise(F.lit(fallback))
+    return found if fallback is None else F.when(F.array_size(c) > 0, found).otherwise(F.lit(fallback))
 
 
 def item(c: Column, index: int) -> Column:
@@ -33,7 +33,7 @@ def item(c: Column, index: int) -> Column:
 
 def slice_list(c: Column, start: int | None = None, stop: int | None = None) -> Column:
     """``[start:stop]`` with negative positions counted from the end."""
-    size = F.size(c)
+    size = F.array_size(c)
     low = _position(0 if start is None else start, size)
     high = size if stop is None else _position(stop, size)
     return F.slice(c, low + 1, F.greatest(high - low, F.lit(0)))
@@ -106,15 +106,15 @@ def chunk(c: Column, size: int) -> Column:
     """Batches of ``size`` elements; the last may be shorter."""
     if size <= 0:
         raise RecordError("chunk needs a size of at least 1")
-    starts = F.sequence(F.lit(0), F.size(c) - 1, F.lit(size))
+    starts = F.sequence(F.lit(0), F.array_size(c) - 1, F.lit(size))
     batches = F.transform(starts, lambda i: F.slice(c, i + 1, F.lit(size)))
-    return F.when(F.size(c) > 0, batches).otherwise(F.when(c.isNotNull(), F.filter(F.array(c), lambda _: F.lit(False))))
+    return F.when(F.array_size(c) > 0, batches).otherwise(F.when(c.isNotNull(), F.filter(F.array(c), lambda _: F.lit(False))))
 
 
 def zip_lists(left: Column, right: Column) -> Column:
     """Pairs by position, as long as the shorter list."""
     pairs = F.zip_with(left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    return F.slice(pairs, F.lit(1), F.least(F.size(left), F.size(right)))
+    return F.slice(pairs, F.lit(1), F.least(F.array_size(left), F.array_size(right)))
 
 
 def difference(left: Column, right: Column) -> Column:
@@ -130,7 +130,7 @@ def total(c: Column) -> Column:
 
 def average(c: Column) -> Column:
     kept = F.filter(c, lambda x: x.isNotNull())
-    return F.try_divide(total(kept), F.size(kept))
+    return F.try_divide(total(kept), F.array_size(kept))
 
 
 def minimum(c: Column) -> Column:
@@ -144,10 +144,10 @@ def maximum(c: Column) -> Column:
 def median(c: Column) -> Column:
     """Exact middle value; the mean of the two middle values for an even count."""
     kept = F.sort_array(F.filter(c, lambda x: x.isNotNull()))
-    half = F.call_function("div", F.size(kept), F.lit(2)).cast("int")
+    half = F.call_function("div", F.array_size(kept), F.lit(2)).cast("int")
     high = F.get(kept, half)
     low = F.get(kept, half - 1)
-    return F.when(F.size(kept) % 2 == 1, high.cast("double")).otherwise((low + high) / 2)
+    return F.when(F.array_size(kept) % 2 == 1, high.cast("double")).otherwise((low + high) / 2)
 
 
 def any_of(c: Column, dtype: T.ArrayType) -> Column:

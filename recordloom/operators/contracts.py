@@ -7,7 +7,7 @@ projection over the JSON column plus an explode of the problems found.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -101,9 +101,24 @@ def _if(broken: Column, problem: Column) -> Column:
     return F.when(broken, problem).otherwise(_none())
 
 
+def _child(v: Column, name: str) -> Column:
+    """The value under a key: null only when the key is absent, for a JSON null is a variant."""
+    mark = '"' if "'" in name else "'"
+    if "'" in name and '"' in name:
+        return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
+    return F.try_variant_get(v, f"$[{mark}{name}{mark}]", "variant")
+
+
 def _violations(v: Column, contract: dict, path: Column) -> Column:
-    """Problems of the variant ``v``, which is present (a JSON null is a variant too)."""
-    kind = variant_type(v)
+    """Problems of the variant ``v``, which is present. Its type is worked out once."""
+    return F.flatten(F.transform(F.array(variant_type(v)), lambda kind: _of_kind(v, kind, contract, path)))
+
+
+def _checker(contract: dict, path: Column) -> Callable[[Column], Column]:
+    return lambda v: _violations(v, contract, path)
+
+
+def _of_kind(v: Column, kind: Column, contract: dict, path: Column) -> Column:
     shown = F.to_json(v)
     parts: list[Column] = []
     wanted = contract.get("type")
@@ -117,7 +132,8 @@ def _violations(v: Column, contract: dict, path: Column) -> Column:
         if rule in contract:
             parts.append(_if(fits & (~numeric | beyond(contract[rule])), _problem(path, rule, contract[rule], shown)))
     if "enum" in contract:
-        parts.append(_if(fits & ~_listed(shown, real, numeric, contract["enum"]), _problem(path, "enum", json.dumps(contract["enum"]), shown)))
+        allowed = _listed(shown, real, numeric, contract["enum"])
+        parts.append(_if(fits & ~allowed, _problem(path, "enum", json.dumps(contract["enum"]), shown)))
     words = F.try_variant_get(v, "$", "string")
     is_text = kind == "string"
     for rule, beyond in (
@@ -128,32 +144,26 @@ def _violations(v: Column, contract: dict, path: Column) -> Column:
         if rule in contract:
             parts.append(_if(is_text & beyond(contract[rule]), _problem(path, rule, contract[rule], shown)))
 
-    if contract.get("required") or contract.get("properties"):
-        is_object = fits & (kind == "object")
-        fields = F.try_variant_get(v, "$", "map<string,variant>")
-        for name in contract.get("required", ()):
-            absent = ~F.coalesce(F.map_contains_key(fields, F.lit(name)), F.lit(False))
-            parts.append(_if(is_object & absent, _problem(path, "required", name, F.lit(None).cast("string"))))
-        for name, child in (contract.get("properties") or {}).items():
-            inner = F.try_element_at(fields, F.lit(name))
-            nested = _violations(inner, child, F.concat(path, F.lit(f".{name}")))
-            parts.append(_if(is_object & F.map_contains_key(fields, F.lit(name)), nested))
+    is_object = fits & (kind == "object")
+    children = contract.get("properties") or {}
+    for name in contract.get("required", ()):
+        broken = is_object & _child(v, name).isNull()
+        parts.append(_if(broken, _problem(path, "required", name, F.lit(None).cast("string"))))
+    for name, child in children.items():
+        inner = F.filter(F.array(_child(v, name)), lambda x: x.isNotNull())
+        nested = F.transform(inner, _checker(child, F.concat(path, F.lit(f".{name}"))))
+        parts.append(_if(is_object, F.flatten(nested)))
 
     elements = F.try_variant_get(v, "$", "array<variant>")
     is_list = fits & (kind == "list")
-    for rule, beyond in (("minItems", lambda b: F.size(elements) < b), ("maxItems", lambda b: F.size(elements) > b)):
+    size = F.array_size(elements)
+    for rule, beyond in (("minItems", lambda b: size < b), ("maxItems", lambda b: size > b)):
         if rule in contract:
-            parts.append(_if(is_list & beyond(contract[rule]), _problem(path, rule, contract[rule], F.size(elements).cast("string"))))
+            parts.append(_if(is_list & beyond(contract[rule]), _problem(path, rule, contract[rule], size.cast("string"))))
     if isinstance(contract.get("items"), dict) and contract["items"]:
-        each = F.flatten(
-            F.transform(
-                elements,
-                lambda e, i: _violations(
-                    e, contract["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-                ),
-            )
-        )
-        parts.append(_if(is_list, each))
+        place = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+        each = F.transform(elements, lambda e, i: _violations(e, contract["items"], place(i)))
+        parts.append(_if(is_list, F.flatten(each)))
     return F.concat(*parts) if parts else _none()
 
 

@@ -197,7 +197,7 @@ def latency_flatness(
     half = window // 2
     newer = F.sort_array(F.collect_list(F.when(F.col("rank") <= window - half, col(latency).cast("double"))))
     older = F.sort_array(F.collect_list(F.when(F.col("rank") > window - half, col(latency).cast("double"))))
-    p95 = lambda a: F.get(a, F.least(F.size(a) - 1, F.floor(F.size(a) * 0.95).cast("int")))
+    p95 = lambda a: F.get(a, F.least(F.array_size(a) - 1, F.floor(F.array_size(a) * 0.95).cast("int")))
     grouped = last.groupBy(col(host)).agg(F.count("*").alias("samples"), older.alias("o"), newer.alias("w"))
     flat = (F.col("samples") >= window) & (p95(F.col("w")) <= p95(F.col("o")) * tolerance)
     return grouped.select(

@@ -111,7 +111,7 @@ def summary(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def sentiment(c: Column) -> Column:
     """``struct<sentiment, margin>`` by distinct words found in two lists."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    hits = lambda lexicon: F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in lexicon])))
+    hits = lambda lexicon: F.array_size(F.array_intersect(words, F.array(*[F.lit(w) for w in lexicon])))
     good, bad = hits(POSITIVE_WORDS), hits(NEGATIVE_WORDS)
     label = F.when(good > bad, "positive").when(bad > good, "negative").otherwise("neutral")
     return F.struct(label.alias("sentiment"), F.abs(good - bad).cast("long").alias("margin"))
@@ -149,7 +149,7 @@ def completion_rate(df: DataFrame, by: str, done: Column) -> DataFrame:
 
 def parallel_arrays(df: DataFrame, arrays: Sequence[str], required: str, keep: Sequence[str] = ()) -> DataFrame:
     """Lists side by side as rows, as long as the shortest; rows whose ``required`` is null go."""
-    shortest = F.least(*[F.size(col(a)) for a in arrays]) if len(arrays) > 1 else F.size(col(arrays[0]))
+    shortest = F.least(*[F.array_size(col(a)) for a in arrays]) if len(arrays) > 1 else F.array_size(col(arrays[0]))
     zipped = F.slice(F.arrays_zip(*[col(a) for a in arrays]), F.lit(1), F.greatest(shortest, F.lit(0)))
     rows = df.select(*[col(k) for k in keep], F.explode(zipped).alias("z"))
     return rows.select(*[col(k) for k in keep], *[F.col("z")[a].alias(a) for a in arrays]).filter(col(required).isNotNull())

@@ -188,7 +188,7 @@ def compare(
     status = (
         F.when(F.col("in_a").isNull(), "added")
         .when(F.col("in_b").isNull(), "removed")
-        .when(F.size(changes) > 0, "changed")
+        .when(F.array_size(changes) > 0, "changed")
         .otherwise("unchanged")
     )
     return both.select(

@@ -82,7 +82,7 @@ def _cell(c: Column, dtype: T.DataType) -> Column:
         written = text.json_encode(c)
     else:
         written = text.join(c, dtype)
-    return F.when(F.size(c) > 0, written)
+    return F.when(F.array_size(c) > 0, written)
 
 
 def _expand_maps(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,20 +73,30 @@ def infer_schema(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+def bind(c: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` applied to ``c``, which is worked out once per row however often it is used."""
+    return F.get(F.transform(F.array(c), build), F.lit(0))
+
+
 def variant_type(v: Column) -> Column:
     """The type name of one JSON value."""
-    shape = F.schema_of_variant(v)
-    digits = F.regexp_extract(shape, r"^DECIMAL\((\d+),0\)$", 1).try_cast("int")
-    return (
-        F.when(v.isNull() | (shape == "VOID"), "null")
-        .when(shape == "BOOLEAN", "boolean")
-        # Whole numbers beyond 64 bits arrive as wide decimals; 1.0 as a narrow one.
-        .when((shape == "BIGINT") | (digits >= 19), "integer")
-        .when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "number")
-        .when(shape.startswith("ARRAY"), "list")
-        .when(shape.startswith("OBJECT"), "object")
-        .otherwise("string")
-    )
+
+    def named(shape: Column) -> Column:
+        word = F.regexp_substr(shape, F.lit("^[A-Z]+"))
+        return (
+            F.when(shape == "STRING", "string")
+            .when(shape == "BIGINT", "integer")
+            .when(word == "OBJECT", "object")
+            .when(word == "ARRAY", "list")
+            .when(shape == "BOOLEAN", "boolean")
+            .when(shape.isNull() | (shape == "VOID"), "null")
+            # Whole numbers beyond 64 bits arrive as wide decimals; 1.0 as a narrow one.
+            .when(F.rlike(shape, F.lit(r"^DECIMAL\((19|[23]\d),0\)$")), "integer")
+            .when(word.isin("DECIMAL", "DOUBLE", "FLOAT"), "number")
+            .otherwise("string")
+        )
+
+    return bind(F.schema_of_variant(v), named)
 
 
 def json_fields(df: DataFrame, json_column: str) -> DataFrame:
@@ -120,8 +132,8 @@ def infer_json_schema(df: DataFrame, json_column: str) -> DataFrame:
 def widen(kinds: Column) -> Column:
     """The one type that admits every type in the set."""
     return (
-        F.when(F.size(kinds) == 0, "null")
-        .when(F.size(kinds) == 1, F.get(kinds, F.lit(0)))
+        F.when(F.array_size(kinds) == 0, "null")
+        .when(F.array_size(kinds) == 1, F.get(kinds, F.lit(0)))
         .when(F.sort_array(kinds) == F.array(F.lit("integer"), F.lit("number")), "number")
         .otherwise("string")
     )
