@@ -19,9 +19,11 @@ DIRECTIVES = {
 }
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-_TIME = r"[T ]\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d{1,6})?)?"
-_ZONE = r"(Z|z|[+-]\d{2}:?\d{2}(:?\d{2})?)"
-_ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}({_TIME}{_ZONE}?)?$"
+_LOCAL = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d{1,6})?)?)?$"
+_ZONED = r"^(\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}(?::\d{1,2}(?:[.,]\d{1,6})?)?)(Z|z|[+-]\d{2}:?\d{2}(?::?\d{2})?)$"
+_SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+_NAMED = r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"
+_DIGITS = r"^\d{8}$"
 _MILLIS_ABOVE = 1e11
 
 
@@ -41,24 +43,34 @@ def spark_pattern(strftime: str) -> str:
     return re.sub(r"%(.)|[A-Za-z']+", one, strftime)
 
 
-def _utc(c: Column) -> Column:
-    """ISO text to UTC, its offset taken off."""
-    zone = F.regexp_extract(c, rf"{_TIME}{_ZONE}$", 3)
-    bare = F.replace(F.regexp_replace(c, rf"({_TIME}){_ZONE}$", "$1"), F.lit(","), F.lit("."))
-    digits = F.rpad(F.regexp_replace(zone, r"[^0-9]", ""), 6, "0")
-    seconds = (
-        F.substring(digits, 1, 2).try_cast("int") * 3600
-        + F.substring(digits, 3, 2).try_cast("int") * 60
-        + F.substring(digits, 5, 2).try_cast("int")
-    )
+def _local(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit(".")).try_cast("timestamp_ntz")
+
+
+def _zoned(c: Column) -> Column:
+    """ISO text with an offset, in UTC."""
+    zone = F.regexp_extract(c, _ZONED, 2)
+    digits = F.rpad(F.translate(zone, "+-:Zz", ""), 6, "0")  # Z reads as no offset
+    part = lambda start: F.substring(digits, start, 2).try_cast("int")
+    seconds = part(1) * 3600 + part(3) * 60 + part(5)
     offset = F.when(F.startswith(zone, F.lit("-")), -seconds).otherwise(seconds)
-    return bare.try_cast("timestamp_ntz") - F.make_dt_interval(secs=F.coalesce(offset, F.lit(0)))
+    return _local(F.regexp_extract(c, _ZONED, 1)) - F.make_dt_interval(secs=offset)
 
 
-def _joined(c: Column, pattern: str, order: tuple[int, int, int]) -> Column:
-    year, month, day = (F.regexp_extract(c, pattern, group) for group in order)
-    whole = F.concat_ws("-", year, month, day).try_cast("timestamp_ntz")
-    return F.when(F.rlike(c, F.lit(pattern)), whole)
+def _with_month_name(c: Column) -> Column:
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(c, -8, 3)))
+    return F.concat_ws("-", F.right(c, F.lit(4)), month.cast("string"), F.substring_index(c, "-", 1)).try_cast("timestamp_ntz")
+
+
+def _read(c: Column) -> Column:
+    """The layouts tried without a format; each text fits at most one of these shapes."""
+    return (
+        F.when(F.rlike(c, F.lit(_LOCAL)), _local(c))
+        .when(F.rlike(c, F.lit(_SLASHED)), F.coalesce(*[F.regexp_replace(c, _SLASHED, to).try_cast("timestamp_ntz") for to in ("$3-$2-$1", "$3-$1-$2")]))
+        .when(F.rlike(c, F.lit(_ZONED)), _zoned(c))
+        .when(F.rlike(c, F.lit(_NAMED)), _with_month_name(c))
+        .when(F.rlike(c, F.lit(_DIGITS)), F.concat_ws("-", F.left(c, F.lit(4)), F.substring(c, 5, 2), F.substring(c, 7, 2)).try_cast("timestamp_ntz"))
+    )
 
 
 def to_date(c: Column, dtype: T.DataType, format: str | None = None, strict: bool = False) -> Column:
@@ -78,17 +90,7 @@ def to_date(c: Column, dtype: T.DataType, format: str | None = None, strict: boo
     if format is not None:
         found = F.try_to_timestamp(value, F.lit(spark_pattern(format))).cast("timestamp_ntz")
     else:
-        slashed = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-        named = r"(?i)^(\d{1,2})-([a-z]{3})-(\d{4})$"
-        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(value, named, 2)))
-        by_name = F.concat_ws("-", F.regexp_extract(value, named, 3), month.cast("string"), F.regexp_extract(value, named, 1))
-        found = F.coalesce(
-            F.when(F.rlike(value, F.lit(_ISO)), _utc(value)),
-            _joined(value, slashed, (3, 2, 1)),
-            _joined(value, slashed, (3, 1, 2)),
-            F.when(F.rlike(value, F.lit(named)) & (month > 0), by_name.try_cast("timestamp_ntz")),
-            _joined(value, r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)),
-        )
+        found = _read(value)
     if strict:
         problem = F.raise_error(F.concat(F.lit("cannot read as a date: "), c)).cast("timestamp_ntz")
         return F.when(c.isNotNull() & found.isNull(), problem).otherwise(found)
@@ -109,13 +111,7 @@ def date_add(c: Column, days: float = 0, hours: float = 0, minutes: float = 0) -
 
 def seconds_between(left: Column, right: Column) -> Column:
     """Exact decimal seconds from ``right`` to ``left``."""
-    gap = left - right
-    return (
-        F.extract(F.lit("DAY"), gap).cast("decimal(20,6)") * 86400
-        + F.extract(F.lit("HOUR"), gap) * 3600
-        + F.extract(F.lit("MINUTE"), gap) * 60
-        + F.extract(F.lit("SECOND"), gap)
-    )
+    return (left - right).cast("interval second").cast("decimal(20,6)")
 
 
 def date_diff(left: Column, right: Column, unit: str = "days") -> Column:

@@ -11,6 +11,12 @@ from pyspark.sql import types as T
 
 from recordloom.errors import RecordError
 
+# The characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 _QUOTE = re.compile(r"([\\.\[\]{}()*+?^$|#-])")
 
 
@@ -29,9 +35,7 @@ def upper(c: Column) -> Column:
 
 def trim(c: Column, chars: str | None = None) -> Column:
     """Strip all white space, tabs and line ends included; or the given characters."""
-    if chars is not None:
-        return F.btrim(c, F.lit(chars))
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE if chars is None else chars))
 
 
 def split(c: Column, sep: str = ",", limit: int = -1) -> Column:
@@ -124,20 +128,24 @@ def slug(c: Column, lower_case: bool = True) -> Column:
 
 def number_text(c: Column) -> Column:
     """A double as the shortest plain text: exponents only from 1e16 and below 1e-4."""
-    raw = c.cast("string")
+    raw, size = c.cast("string"), F.abs(c)
     # Java writes an exponent from 1e7 and below 1e-3; spell those ranges out.
-    plain = F.regexp_replace(F.regexp_replace(raw.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
-    mantissa = F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$", "")
+    large = F.rtrim(c.try_cast("decimal(26,10)").cast("string"), F.lit("0"))
+    large = F.when(F.endswith(large, F.lit(".")), F.concat(large, F.lit("0"))).otherwise(large)
+    small = F.rtrim(c.try_cast("decimal(38,24)").cast("string"), F.lit("0"))
     power = F.substring_index(raw, "E", -1).try_cast("int")
-    digits = F.lpad(F.abs(power).cast("string"), 2, "0")
-    digits = F.when(F.length(F.abs(power).cast("string")) > 2, F.abs(power).cast("string")).otherwise(digits)
-    exponent = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), digits)
-    size = F.abs(c)
+    digits = F.abs(power).cast("string")
+    exponent = F.concat(
+        F.regexp_replace(F.substring_index(raw, "E", 1), r"\.0$", ""),
+        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+        F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits),
+    )
     return (
-        F.when(F.isnan(c), F.lit("nan"))
+        F.when(((size >= 1e-3) & (size < 1e7)) | (c == 0), raw)
+        .when((size >= 1e7) & (size < 1e16), large)
+        .when((size >= 1e-4) & (size < 1e-3), small)
+        .when(F.isnan(c), F.lit("nan"))
         .when(size == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when(~F.contains(raw, F.lit("E")), raw)
-        .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(exponent)
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,19 +84,26 @@ def totals(df: DataFrame, name: str) -> DataFrame:
 def median(df: DataFrame, name: str) -> DataFrame:
     """One row, ``median``: exact, without holding the values in one task.
 
-    Values are reduced to counts, laid out in order over many chunks, and the middle one or
-    two are found by running count.
+    Values are reduced to counts and laid out in order over many chunks. The chunk sizes, one
+    row per chunk, tell where the middle is, and only that chunk is looked into.
     """
     counts = df.filter(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(F.count("*").alias("n"))
-    rows = ordering.running_sum(ordering.sequence_rows(counts, [], ["v"], unique=True), [], "upto", F.col("n"))
-    total = F.sum("n")
-    size = rows.agg(total.alias("size")).first()["size"] or 0
-    low, high = (size + 1) // 2, size // 2 + 1
-    hit = lambda place: F.max(
-        F.when((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place), F.col("v"))
-    )
-    ends = rows.agg(hit(low).alias("low"), hit(high).alias("high"))
-    return ends.select(((F.col("low") + F.col("high")) / 2).alias("median"))
+    rows = ordering.sequence_rows(counts, [], ["v"], unique=True)
+    sizes = rows.groupBy(ordering.CHUNK).agg(F.sum("n").alias("n")).orderBy(ordering.CHUNK).collect()
+    total = sum(r["n"] for r in sizes)
+    if total == 0:
+        return rows.agg(F.lit(None).cast("double").alias("median"))
+    middles, before, ends = ((total + 1) // 2, total // 2 + 1), 0, []
+    for r in sizes:
+        ends += [(r[ordering.CHUNK], m - before) for m in middles if before < m <= before + r["n"]]
+        before += r["n"]
+    within = W.partitionBy(ordering.CHUNK).orderBy(ordering.PLACE)
+    near = rows.filter(F.col(ordering.CHUNK).isin(*{c for c, _ in ends})).withColumn("upto", F.sum("n").over(within))
+    hits = [
+        F.max(F.when((F.col(ordering.CHUNK) == c) & (F.col("upto") >= m) & (F.col("upto") - F.col("n") < m), F.col("v")))
+        for c, m in ends
+    ]
+    return near.agg(((hits[0] + hits[1]) / 2).alias("median"))
 
 
 def any_all(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot join keys even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM does not compile methods beyond 8000 bytes of code; Spark's generated code for
+    # many long expressions is split into small methods once a stage passes this limit.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
