@@ -16,6 +16,7 @@ DIFF_FIELDS = (
     "status", "exit_code", "steps_run", "steps_failed", "steps_skipped", "cache_hits", "retries", "duration_ms",
 )
 CANDIDATES = 5
+KEEP_AT_ONCE = 100_000
 
 
 def recent(
@@ -68,12 +69,16 @@ def retention_by_count(
     """Runs to drop: all but the newest ``keep``, per scope; pinned ones are exempt and not counted.
 
     The ``keep`` newest are found with a per-task limit first, then the rest is what is older
-    than the last of them. No scope is ever sorted whole.
+    than the last of them; a very large ``keep`` numbers the rows instead. No scope is ever
+    sorted whole in one task.
     """
     free = runs if pinned is None else runs.filter(~F.coalesce(col(pinned).cast("boolean"), F.lit(False)))
     if keep <= 0:
         return free
     place = F.struct(col(time), col(tie))
+    if not scope and keep > KEEP_AT_ONCE:
+        ranked = ordering.number_rows(free, [time, tie], "__n", descending=True)
+        return ranked.filter(F.col("__n") > keep).drop("__n")
     if not scope:
         newest = free.orderBy(col(time).desc(), col(tie).desc()).limit(keep).agg(F.min(place).alias("__from"))
         edge = newest.first()["__from"]

@@ -22,6 +22,7 @@ CHUNK, PLACE, ARRIVAL = "__chunk", "__place", "__arrival"
 _MARKS = (CHUNK, PLACE, ARRIVAL)
 _PLACE_MASK = (1 << 33) - 1
 HALO_ROWS = 100_000
+GROUP_LIMIT = 1000
 
 
 def _directed(names: Sequence[str], descending: bool | Sequence[str]) -> list[Column]:
@@ -207,9 +208,15 @@ def keep_first(df: DataFrame, by: Sequence[str], order_by: Sequence[str], last:
 def top_k(
     df: DataFrame, by: Sequence[str], order_by: Sequence[str], k: int, descending: bool | Sequence[str] = True
 ) -> DataFrame:
-    """The first ``k`` rows per key in order. Spark cuts each task to ``k`` per key first."""
+    """The first ``k`` rows per key in order, with their ``rank``.
+
+    Up to 1000 Spark cuts each task to ``k`` rows per key before the shuffle; beyond that the
+    rows of a key are numbered over many tasks instead.
+    """
     if k < 1:
         raise RecordError("top_k needs k of at least 1")
+    if k > GROUP_LIMIT:
+        return number_within(df, by, order_by, "rank", descending=descending).filter(F.col("rank") <= k)
     ranked = W.partitionBy(*[col(b) for b in by]).orderBy(*_directed(order_by, descending))
     cut = df.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
     return cut.withColumn("rank", F.col("rank").cast("long"))

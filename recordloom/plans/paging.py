@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators import extracts
+from recordloom.operators import aggregate, extracts
 from recordloom.plans import Tables, query
 
 PAGE_ROWS = 100
@@ -14,15 +14,17 @@ PAGE_ROWS = 100
 def landed_pages(t: Tables) -> DataFrame:
     """Orders as paged extracts, one source per status: a page is a JSON object of 100 orders.
 
-    Page bounds come from the order key, so pages differ in length. The cursor of a page names
-    the next one; a source's last page has none.
+    The cursor of a page names the next one; a source's last page has none. Pages come from
+    bounded parts, so a source of any size is spread over many tasks.
     """
-    number = F.floor(F.col("o_orderkey") / PAGE_ROWS)
-    item = F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))
-    pages = t.orders.groupBy(F.col("o_orderstatus").alias("source"), number.alias("page_no")).agg(
-        F.sort_array(F.collect_list(item)).alias("items")
+    rows = t.orders.select("o_orderstatus", F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))
+    parts = aggregate.group_records(rows, "o_orderstatus", ["id"], rows_per_part=PAGE_ROWS, unique=True)
+    pages = parts.select(
+        F.col("o_orderstatus").alias("source"),
+        F.col("part").alias("page_no"),
+        F.transform("items", lambda x: F.struct(x["id"].alias("id"), x["customer"].alias("customer"))).alias("items"),
     )
-    top = F.broadcast(pages.groupBy("source").agg(F.max("page_no").alias("top")))
+    top = t.orders.groupBy(F.col("o_orderstatus").alias("source")).agg(F.floor((F.count("*") - 1) / PAGE_ROWS).alias("top"))
     following = F.when(F.col("page_no") < F.col("top"), (F.col("page_no") + 1).cast("string"))
     body = F.struct("items", F.struct(following.alias("next")).alias("meta"))
     link = F.concat(
@@ -43,9 +45,8 @@ def _id(item: str = "item") -> Column:
 
 
 @query("""
-SELECT o_orderstatus AS source, 'items' AS how, CAST(o_orderkey // 100 AS BIGINT) AS page_no,
-       row_number() OVER (PARTITION BY o_orderstatus, o_orderkey // 100 ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS id
-FROM orders
+SELECT o_orderstatus AS source, 'items' AS how, CAST((n - 1) // 100 AS BIGINT) AS page_no, (n - 1) % 100 AS pos, o_orderkey AS id
+FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders)
 """)
 def page_merge(t: Tables) -> DataFrame:
     merged = extracts.merge_pages(landed_pages(t))
@@ -59,7 +60,8 @@ def page_merge_into(t: Tables) -> DataFrame:
 
 
 _PAGES = """
-WITH p AS (SELECT o_orderstatus AS source, CAST(o_orderkey // 100 AS BIGINT) AS page_no, count(*) AS items FROM orders GROUP BY 1, 2),
+WITH o AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders),
+     p AS (SELECT o_orderstatus AS source, CAST((n - 1) // 100 AS BIGINT) AS page_no, count(*) AS items FROM o GROUP BY 1, 2),
      q AS (SELECT *, max(page_no) OVER (PARTITION BY source) AS top FROM p)
 """
 
@@ -70,7 +72,7 @@ SELECT 'cursor' AS strategy, source, page_no, items, page_no < top AS has_next,
        CASE WHEN page_no < top THEN CAST(page_no + 1 AS VARCHAR) END AS next_token FROM q
 UNION ALL SELECT 'link_header', source, page_no, items, page_no < top, CASE WHEN page_no < top THEN NULL ELSE 'no next link' END,
        CASE WHEN page_no < top THEN 'https://api.test/orders?page=' || (page_no + 1) END FROM q
-UNION ALL SELECT 'offset', source, page_no, items, items >= 34, CASE WHEN items < 34 THEN 'short page' END, NULL FROM q
+UNION ALL SELECT 'offset', source, page_no, items, items >= 100, CASE WHEN items < 100 THEN 'short page' END, NULL FROM q
 UNION ALL SELECT 'page', source, page_no, items, true, NULL, NULL FROM q
 """)
 def page_signals(t: Tables) -> DataFrame:
@@ -79,7 +81,7 @@ def page_signals(t: Tables) -> DataFrame:
     made = [
         extracts.page_signals(pages, "cursor", cursor_path="meta.next").withColumn("strategy", F.lit("cursor")),
         extracts.page_signals(pages, "link_header").withColumn("strategy", F.lit("link_header")),
-        extracts.page_signals(pages, "offset", size=34).withColumn("strategy", F.lit("offset")),
+        extracts.page_signals(pages, "offset", size=PAGE_ROWS).withColumn("strategy", F.lit("offset")),
         extracts.page_signals(pages, "page").withColumn("strategy", F.lit("page")),
     ]
     out = made[0].select(*kept)

@@ -8,42 +8,38 @@ from pyspark.sql import functions as F
 from recordloom.operators import contracts, reshape, schema
 from recordloom.plans import Tables, query
 
-_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+def nested_lines(t: Tables) -> DataFrame:
+    """Each line as a nested object: a part, a list of charges, a list of flags.
 
-
-def nested_orders(t: Tables) -> DataFrame:
-    """Orders as objects: a customer, a list of line objects and a list of flags.
-
-    Lines per order are few by the nature of the table.
+    The lists are made from the row's own columns, so none of them can grow.
     """
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.sort_array(F.collect_list(F.struct(*_LINE_ORDER))).alias("all")
-    )
-    lines = lines.select(
-        "id",
-        F.transform("all", lambda x: F.struct(x["l_partkey"].alias("part"), x["l_quantity"].cast("long").alias("qty"))).alias("lines"),
-        F.transform("all", lambda x: F.nullif(x["l_returnflag"], F.lit("N"))).alias("flags"),
-    )
-    orders = t.orders.select(
-        F.col("o_orderkey").alias("id"),
+    charge = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.round(F.col(c) * 100).cast("long").alias("amount"))
+    code = F.expr("nullif(l_returnflag, 'N')")
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("id"),
         F.struct(
-            F.col("o_custkey").alias("id"),
-            F.struct(F.expr("nullif(o_orderstatus, 'P')").alias("code"), F.col("o_orderpriority").alias("label")).alias("status"),
-        ).alias("customer"),
+            F.col("l_partkey").alias("id"),
+            F.struct(code.alias("code"), F.col("l_linestatus").alias("label")).alias("status"),
+        ).alias("part"),
+        F.filter(F.array(charge("tax", "l_tax"), charge("discount", "l_discount")), lambda x: x["amount"] > 0).alias("charges"),
+        F.filter(F.array(code, F.col("l_linestatus")), lambda x: F.col("l_linenumber") > 1).alias("flags"),
     )
-    return orders.join(lines, "id", "left")
 
 
-@query("""
-WITH l AS (SELECT l_orderkey, list({'part': l_partkey, 'qty': CAST(l_quantity AS BIGINT)} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS lines,
-                  string_agg(CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS flags
-           FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey AS id, o_custkey AS customer_id, nullif(o_orderstatus, 'P') AS customer_status_code,
-       o_orderpriority AS customer_status_label, CAST(to_json(lines) AS VARCHAR) AS lines, flags
-FROM orders LEFT JOIN l ON o_orderkey = l_orderkey
+_LINES = """
+WITH n AS (SELECT l_orderkey AS id, l_partkey AS part_id, nullif(l_returnflag, 'N') AS part_status_code, l_linestatus AS part_status_label,
+  list_filter([{'kind': 'tax', 'amount': CAST(round(l_tax * 100) AS BIGINT)}, {'kind': 'discount', 'amount': CAST(round(l_discount * 100) AS BIGINT)}], lambda x: x.amount > 0) AS charges,
+  CASE WHEN l_linenumber > 1 THEN [nullif(l_returnflag, 'N'), l_linestatus] ELSE [] END AS flags FROM lineitem)
+"""
+
+
+@query(_LINES + """
+SELECT id, part_id, part_status_code, part_status_label, CASE WHEN len(charges) > 0 THEN CAST(to_json(charges) AS VARCHAR) END AS charges,
+       CASE WHEN len(flags) > 0 THEN coalesce(part_status_code, '') || ',' || part_status_label END AS flags
+FROM n
 """)
 def flatten_nested(t: Tables) -> DataFrame:
-    return reshape.flatten(nested_orders(t))
+    return reshape.flatten(nested_lines(t))
 
 
 @query("""
@@ -59,43 +55,37 @@ def flatten_clash_suffix(t: Tables) -> DataFrame:
     return reshape.flatten(rows)
 
 
-@query("""
-SELECT o_orderkey AS id, to_json({'code': nullif(o_orderstatus, 'P'), 'label': o_orderpriority})::VARCHAR AS status FROM orders
-""")
+@query(_LINES + "SELECT id, part_id, to_json({'code': part_status_code, 'label': part_status_label})::VARCHAR AS status FROM n")
 def flatten_depth(t: Tables) -> DataFrame:
     """Beyond the depth limit an object stays an object; here it is written as JSON to compare."""
-    flat = reshape.flatten(nested_orders(t).select("id", "customer"), max_depth=2)
-    return flat.select("id", F.to_json("customer_status", {"ignoreNullFields": "false"}).alias("status"))
+    flat = reshape.flatten(nested_lines(t).select("id", "part"), max_depth=2)
+    return flat.select("id", "part_id", F.to_json("part_status", {"ignoreNullFields": "false"}).alias("status"))
 
 
-@query("""
-SELECT o_orderkey AS id, o_custkey AS customer_id, l_partkey AS lines_part, CAST(l_quantity AS BIGINT) AS lines_qty
-FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
+@query(_LINES + """
+SELECT id, part_id, c.kind AS charges_kind, c.amount AS charges_amount
+FROM (SELECT id, part_id, unnest(CASE WHEN len(charges) > 0 THEN charges ELSE [NULL] END) AS c FROM n)
 """)
 def explode_objects(t: Tables) -> DataFrame:
-    return reshape.explode(nested_orders(t).select("id", F.struct(F.col("customer.id").alias("id")).alias("customer"), "lines"), "lines")
+    rows = nested_lines(t).select("id", F.struct("part.id").alias("part"), "charges")
+    return reshape.explode(rows, "charges")
 
 
-@query("""
-SELECT o_orderkey AS id, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS flags, CAST(NULL AS VARCHAR) AS absent
-FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
+@query(_LINES + """
+SELECT id, part_id, unnest(CASE WHEN len(flags) > 0 THEN flags ELSE [NULL] END) AS flags, CAST(NULL AS VARCHAR) AS absent FROM n
 """)
 def explode_keep_empty(t: Tables) -> DataFrame:
-    rows = nested_orders(t).select("id", F.coalesce("flags", F.array().cast("array<string>")).alias("flags"))
+    rows = nested_lines(t).select("id", F.col("part.id").alias("part_id"), "flags")
     both = reshape.explode_rows(reshape.explode_rows(rows, "flags"), "absent")
     return both.withColumn("absent", F.col("absent").cast("string"))
 
 
-@query("""
-SELECT o_custkey, o_orderkey AS id, o_totalprice AS total FROM orders
-""")
+@query("SELECT o_orderkey AS id, o_totalprice AS total FROM orders UNION ALL SELECT o_custkey, o_totalprice / 2 FROM orders")
 def records_envelope(t: Tables) -> DataFrame:
-    """Documents that wrap their records in a list, opened again."""
-    wrapped = t.orders.groupBy("o_custkey", "o_orderdate").agg(
-        F.collect_list(F.struct("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total"))).alias("items"),
-        F.count("*").alias("total"),
-    )
-    return reshape.records(wrapped)
+    """Documents that wrap two records each in a list, opened again."""
+    item = lambda key, total: F.struct(F.col(key).alias("id"), total.alias("total"))
+    items = F.array(item("o_orderkey", F.col("o_totalprice")), item("o_custkey", F.col("o_totalprice") / 2))
+    return reshape.records(t.orders.select(items.alias("items"), F.lit(2).alias("total")))
 
 
 @query("""
@@ -158,12 +148,9 @@ def fill_nulls(t: Tables) -> DataFrame:
     return reshape.fill_nulls(rows, {"status": "open", "note": "none", "rank": 0})
 
 
-@query("""
-SELECT o_orderkey AS id, o_custkey AS customer_id, nullif(o_orderstatus, 'P') AS customer_status_code, o_orderpriority AS customer_status_label
-FROM orders
-""")
+@query(_LINES + "SELECT id, part_id, part_status_code, part_status_label FROM n")
 def unflatten_roundtrip(t: Tables) -> DataFrame:
-    flat = reshape.flatten(nested_orders(t).select("id", "customer"))
+    flat = reshape.flatten(nested_lines(t).select("id", "part"))
     return reshape.flatten(reshape.unflatten(flat))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators import publish, quality
 from recordloom.plans import Tables, query
-from recordloom.plans.shapes import nested_orders
+from recordloom.plans.shapes import nested_lines
 from recordloom.session import shared_folder
 from recordloom.sources import files, tables
 
@@ -37,13 +37,12 @@ def csv_leading_zero(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS id, o_custkey AS customer_id, nullif(o_orderstatus, 'P') AS customer_status_code, o_orderpriority AS customer_status_label
-FROM orders
+SELECT l_orderkey AS id, l_partkey AS part_id, nullif(l_returnflag, 'N') AS part_status_code, l_linestatus AS part_status_label FROM lineitem
 """)
 def json_round_trip(t: Tables) -> DataFrame:
     """Nested records written as lines of JSON, read back, flattened, written as Parquet, read back."""
-    lines = files.save(nested_orders(t).select("id", "customer"), _scratch(t, "orders") + ".ndjson")
-    flat = files.save(files.read(t.spark, lines), _scratch(t, "orders") + ".parquet")
+    lines = files.save(nested_lines(t).select("id", "part"), _scratch(t, "lines") + ".ndjson")
+    flat = files.save(files.read(t.spark, lines), _scratch(t, "lines") + ".parquet")
     return files.read(t.spark, flat)
 
 

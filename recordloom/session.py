@@ -59,16 +59,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: what follows depends on committed files, so a lost executor costs a
-    re-read and never a different answer. Untyped nulls are stored as text.
+    re-read and never a different answer. Untyped nulls are stored as text. The files stay
+    until ``drop_staged``, because frames that read them are lazy.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     untyped = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
     if untyped:
         df = df.withColumns({name: F.col(f"`{name}`").cast("string") for name in untyped})
+    _STAGED.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Remove what this process staged, once no frame that reads it is needed; how many."""
+    from recordloom.operators.publish import Files
+
+    files, dropped = Files(spark), 0
+    while _STAGED:
+        files.remove(_STAGED.pop())
+        dropped += 1
+    return dropped
