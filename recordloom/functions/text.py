@@ -183,6 +183,16 @@ def template(pattern: str, columns: dict[str, tuple[Column, T.DataType]]) -> Col
     return F.concat(*parts) if parts else F.lit("")
 
 
+def interpolate(pattern: str, columns: dict[str, tuple[Column, T.DataType]]) -> Column:
+    """``{{field}}`` places filled from columns; single braces are plain text."""
+    parts = [F.lit("")]
+    for index, piece in enumerate(re.split(r"\{\{\s*([^{}]+?)\s*\}\}", pattern)):
+        if index % 2 and piece not in columns:
+            raise RecordError(f"nothing is named {piece!r}; available: {', '.join(columns)}")
+        parts.append(stringify(*columns[piece]) if index % 2 else F.lit(piece))
+    return F.concat(*parts)
+
+
 def format_text(pattern: str, *values: tuple[Column, T.DataType]) -> Column:
     """``{}`` places filled in order; spare places stay, spare values are dropped."""
     pieces = pattern.split("{}")
@@ -206,6 +216,6 @@ def json_parse(c: Column, strict: bool = True) -> Column:
     return F.parse_json(c) if strict else F.try_parse_json(c)
 
 
-def json_encode(c: Column) -> Column:
-    """Compact JSON with nulls kept."""
-    return F.to_json(c, {"ignoreNullFields": "false"})
+def json_encode(c: Column, pretty: bool = False) -> Column:
+    """JSON with nulls kept, compact unless ``pretty``."""
+    return F.to_json(c, {"ignoreNullFields": "false", "pretty": str(pretty).lower()})

@@ -116,6 +116,34 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()
     return df.dropDuplicates(list(keys))
 
 
+def _stacked(
+    left: DataFrame, right: DataFrame, key: str, names: Sequence[Sequence[str]], order_by: Sequence[str]
+) -> DataFrame:
+    """``key, a, b``: one row per key of either frame with a struct per side, null if absent.
+
+    The frames are stacked and grouped, so each is shuffled once, repeated keys are reduced
+    before the shuffle, null is a key like any other, and no join meets a hot key. A repeated
+    key keeps its last row in ``order_by``, or any one of them.
+    """
+    frames = []
+    for frame, cells in ((left, names[0]), (right, names[1])):
+        require_columns(frame.columns, [key, *cells, *order_by])
+        place = F.struct(*[col(o) for o in order_by]) if order_by else F.lit(0)
+        frames.append(frame.select(col(key).alias("key"), place.alias("at"), F.struct(*[col(n) for n in cells]).alias("row")))
+    a, b = frames
+    none = lambda other: F.lit(None).cast(other.schema["row"].dataType)
+    both = a.select("key", "at", F.col("row").alias("a"), none(b).alias("b")).unionByName(
+        b.select("key", "at", none(a).alias("a"), F.col("row").alias("b"))
+    )
+
+    def chosen(side: str) -> Column:
+        if order_by:
+            return F.max_by(side, F.when(F.col(side).isNotNull(), F.col("at")))
+        return F.first(side, ignorenulls=True)
+
+    return both.groupBy("key").agg(chosen("a").alias("a"), chosen("b").alias("b"))
+
+
 def reconcile(
     left: DataFrame,
     right: DataFrame,
@@ -126,28 +154,34 @@ def reconcile(
 ) -> DataFrame:
     """``key, left_value, right_value, origin`` with one row per key seen on either side.
 
-    Origin is left_only, right_only, mismatch or matched. Each side is reduced to one row
-    per key first (run ``check_unique`` to refuse repeats), so the join has no hot key and
-    reuses the partitioning of that reduction.
+    Origin is left_only, right_only, mismatch or matched. Keys should be unique on each side
+    (``check_unique`` refuses repeats); a repeated key keeps its last row in ``order_by``, or
+    any. The sides are stacked and grouped: one shuffle of rows already reduced per key.
     """
     right_value = right_value or left_value
     sides = []
-    for frame, value, mark in ((left, left_value, "l"), (right, right_value, "r")):
-        require_columns(frame.columns, [key, value])
-        slim = one_per_key(frame.select(*[col(n) for n in dict.fromkeys([key, value, *order_by])]), [key], order_by)
-        sides.append(slim.select(col(key).alias(f"{mark}_key"), col(value).alias(f"{mark}_value"), F.lit(True).alias(f"in_{mark}")))
-    both = sides[0].join(sides[1], sides[0].l_key.eqNullSafe(sides[1].r_key), "full_outer")
+    for frame, value, side, other in ((left, left_value, "a", "b"), (right, right_value, "b", "a")):
+        require_columns(frame.columns, [key, value, *order_by])
+        place = F.struct(*[col(o) for o in order_by]) if order_by else F.lit(0)
+        sides.append(
+            frame.select(
+                col(key).alias("key"), col(value).alias(side), F.lit(True).alias(f"in_{side}"), place.alias("at"),
+                F.lit(None).cast("boolean").alias(f"in_{other}"),
+            )
+        )
+    stacked = sides[0].unionByName(sides[1], allowMissingColumns=True)
+    kept = lambda side: F.max_by(side, F.when(F.col(f"in_{side}"), F.col("at"))) if order_by else F.first(side, ignorenulls=True)
+    both = stacked.groupBy("key").agg(
+        kept("a").alias("a"), kept("b").alias("b"), F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b")
+    )
     origin = (
-        F.when(F.col("in_r").isNull(), "left_only")
-        .when(F.col("in_l").isNull(), "right_only")
-        .when(F.col("l_value").eqNullSafe(F.col("r_value")), "matched")
+        F.when(F.col("in_b").isNull(), "left_only")
+        .when(F.col("in_a").isNull(), "right_only")
+        .when(F.col("a").eqNullSafe(F.col("b")), "matched")
         .otherwise("mismatch")
     )
     return both.select(
-        F.coalesce("l_key", "r_key").alias(key),
-        F.col("l_value").alias("left_value"),
-        F.col("r_value").alias("right_value"),
-        origin.alias("origin"),
+        F.col("key").alias(key), F.col("a").alias("left_value"), F.col("b").alias("right_value"), origin.alias("origin")
     )
 
 
@@ -159,41 +193,23 @@ def compare(
     ``diffs`` is a list of ``field, before, after`` as text. Repeated keys keep one row, the
     last in ``order_by``.
     """
-    names = list(fields) or [n for n in dict.fromkeys([*left.columns, *right.columns]) if n != key]
-    sides = []
-    for frame, mark in ((left, "a"), (right, "b")):
-        present = [n for n in names if n in frame.columns]
-        slim = frame.select(*[col(n) for n in dict.fromkeys([key, *present, *order_by])])
-        slim = one_per_key(slim, [key], order_by)
-        cells = [(col(n) if n in present else F.lit(None).cast("string")).alias(f"{mark}.{n}") for n in names]
-        sides.append(slim.select(col(key).alias(f"{mark}_key"), F.lit(True).alias(f"in_{mark}"), *cells))
-    both = sides[0].join(sides[1], sides[0].a_key.eqNullSafe(sides[1].b_key), "full_outer")
-    changes = F.filter(
-        F.array(
-            *[
-                F.when(
-                    ~col(f"a.{n}").eqNullSafe(col(f"b.{n}")),
-                    F.struct(
-                        F.lit(n).alias("field"),
-                        col(f"a.{n}").cast("string").alias("before"),
-                        col(f"b.{n}").cast("string").alias("after"),
-                    ),
-                )
-                for n in names
-            ]
-        ),
-        lambda d: d.isNotNull(),
+    names = list(fields) or [n for n in dict.fromkeys([*left.columns, *right.columns]) if n != key and n not in order_by]
+    held = [[n for n in names if n in frame.columns] for frame in (left, right)]
+    both = _stacked(left, right, key, held, order_by)
+    cell = lambda side, n: F.col(side)[n] if n in held[side == "b"] else F.lit(None).cast("string")
+    change = lambda n: F.when(
+        ~cell("a", n).eqNullSafe(cell("b", n)),
+        F.struct(F.lit(n).alias("field"), cell("a", n).cast("string").alias("before"), cell("b", n).cast("string").alias("after")),
     )
-    common = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    changes = F.filter(F.array(*[change(n) for n in names]), lambda d: d.isNotNull())
+    common = F.col("a").isNotNull() & F.col("b").isNotNull()
     status = (
-        F.when(F.col("in_a").isNull(), "added")
-        .when(F.col("in_b").isNull(), "removed")
+        F.when(F.col("a").isNull(), "added")
+        .when(F.col("b").isNull(), "removed")
         .when(F.array_size(changes) > 0, "changed")
         .otherwise("unchanged")
     )
-    return both.select(
-        F.coalesce("a_key", "b_key").alias(key), status.alias("status"), F.when(common, changes).alias("diffs")
-    )
+    return both.select(F.col("key").alias(key), status.alias("status"), F.when(common, changes).alias("diffs"))
 
 
 def concat(first: DataFrame, *rest: DataFrame) -> DataFrame:

@@ -125,6 +125,20 @@ def explode(df: DataFrame, name: str) -> DataFrame:
     return flatten(explode_rows(df, name))
 
 
+def to_table(df: DataFrame) -> DataFrame:
+    """The records inside a frame, flattened."""
+    return flatten(records(df))
+
+
+def extract_column(
+    df: DataFrame, field: str, pattern: str, group: int = 1, into: str | None = None
+) -> DataFrame:
+    """A group of the first match in a field, put into a new column or over the field itself."""
+    require_columns(df.columns, [field])
+    source = text.stringify(col(field), df.schema[field].dataType)
+    return df.withColumn(into or field, text.extract(source, pattern, group))
+
+
 def normalize(df: DataFrame, sep: str = "_") -> DataFrame:
     return flatten(df, sep=sep)
 
@@ -145,18 +159,23 @@ def align(frames: Sequence[DataFrame], columns: str = "union") -> DataFrame:
     return out.select(*[col(n) for n in names])
 
 
-def json_columns(df: DataFrame, json_column: str, columns: str = "union") -> DataFrame:
+def json_columns(df: DataFrame, json_column: str, columns: str = "union", order_by: Sequence[str] = ()) -> DataFrame:
     """``field, present`` of the keys a column of JSON objects would keep under a policy.
 
-    Presence of a key is not the same as a non-null value, so keys are counted as keys.
+    Presence of a key is not the same as a non-null value, so keys are counted as keys. The
+    policy ``first`` keeps the keys of the first object in ``order_by``.
     """
-    parsed = df.select(F.json_object_keys(col(json_column)).alias("keys"))
-    counts = parsed.select(F.explode("keys").alias("field")).groupBy("field").agg(F.count("*").alias("present"))
-    if columns == "union":
-        return counts
+    if columns not in ("union", "intersection", "first"):
+        raise RecordError(f"unknown column policy {columns!r}; use union, intersection or first")
+    keys = F.json_object_keys(col(json_column))
+    counts = df.select(F.explode(keys).alias("field")).groupBy("field").agg(F.count("*").alias("present"))
     if columns == "intersection":
         return counts.filter(F.col("present") == df.count())
-    raise RecordError(f"unknown column policy {columns!r}; use union or intersection")
+    if columns == "first":
+        require_columns(df.columns, order_by)
+        first = df.agg(F.min_by(col(json_column), F.struct(*[col(o) for o in order_by])).alias("j"))
+        return counts.join(first.select(F.explode(F.json_object_keys("j")).alias("field")), "field", "left_semi")
+    return counts
 
 
 def unflatten(df: DataFrame, sep: str = "_") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.functions import arith, cast, dates, lists, logic, text
-from recordloom.operators import schema
+from recordloom.operators import reshape, schema
 from recordloom.plans import Tables, query
 
 _STRING, _LONG, _DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
@@ -239,6 +239,15 @@ def text_extract_template_slug(t: Tables) -> DataFrame:
     )
 
 
+@query(r"""
+SELECT page_id, nullif(regexp_extract(url, '/([a-z]{2})/', 1), '') AS lang, 'page ' || page_id || ' {at} ' || url AS line FROM pages
+""")
+def extract_interpolate(t: Tables) -> DataFrame:
+    rows = reshape.extract_column(t.pages.select("page_id", "url"), "url", "/([a-z]{2})/", into="lang")
+    columns = {n: schema.field(rows, n) for n in ("page_id", "url")}
+    return rows.withColumn("line", text.interpolate("page {{page_id}} {at} {{ url }}", columns)).drop("url")
+
+
 @query(r"""
 SELECT page_id, url_encode(url) AS encoded, regexp_extract(url, '^https?://([^/]+)', 1) AS host,
        nullif(regexp_extract(url, '[?&]page=(\d+)', 1), '') AS page, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs
