@@ -7,6 +7,7 @@ projection over the JSON column plus an explode of the problems found.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
@@ -207,39 +208,56 @@ def assert_contract(df: DataFrame, json_column: str, contract: dict, source: str
     return df
 
 
-def _children(nodes: Column) -> Column:
-    """The values one level below a list of ``path, parent, key, v`` nodes."""
-    text = lambda c: c.cast("string")
-    node = lambda path, parent, key, v: F.struct(
-        path.alias("path"), text(parent).alias("parent"), text(key).alias("key"), v.alias("v")
+def _node(path: Column, parent: Column, key: Column, v: Column) -> Column:
+    """A value with its place and type; the type is worked out once and read twice."""
+    return F.struct(
+        path.alias("path"), parent.cast("string").alias("parent"), key.cast("string").alias("key"),
+        variant_type(v).alias("type"), v.alias("v"),
     )
 
+
+def _children(nodes: Column) -> Column:
+    """The nodes one level below a list of nodes."""
+
     def below(n: Column) -> Column:
         fields = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
         items = F.try_variant_get(n["v"], "$", "array<variant>")
-        return F.coalesce(
-            F.transform(fields, lambda e: node(F.concat(n["path"], F.lit("."), e["key"]), n["path"], e["key"], e["value"])),
-            F.transform(items, lambda x: node(F.concat(n["path"], F.lit("[]")), n["path"], F.lit(None), x)),
-            F.filter(F.array(n), lambda _: F.lit(False)),
-        )
+        return F.when(
+            n["type"] == "object",
+            F.transform(fields, lambda e: _node(F.concat(n["path"], F.lit("."), e["key"]), n["path"], e["key"], e["value"])),
+        ).otherwise(F.transform(items, lambda x: _node(F.concat(n["path"], F.lit("[]")), n["path"], F.lit(None), x)))
+
+    nested = F.filter(nodes, lambda n: n["type"].isin("object", "list"))
+    return F.flatten(F.transform(nested, below))
+
 
-    return F.flatten(F.transform(nodes, below))
+def _depth(parsed: DataFrame) -> int:
+    """Levels of nesting in a column of variants, from the one schema that admits them all."""
+    merged = parsed.agg(F.schema_of_variant_agg("v").alias("s")).first()["s"] or ""
+    merged = re.sub(r"`[^`]*`", "", merged)  # names may hold any sign
+    depth = deepest = 1
+    for mark in re.findall(r"[<>]", merged):
+        depth += 1 if mark == "<" else -1
+        deepest = max(deepest, depth)
+    if depth != 1 or re.search(r"\bVARIANT\b", merged):  # mixed types hide what is below them
+        return MAX_DEPTH
+    return min(deepest, MAX_DEPTH)
 
 
-def observed_paths(df: DataFrame, json_column: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def observed_paths(df: DataFrame, json_column: str, max_depth: int | None = None) -> DataFrame:
     """``path, parent, key, type, n``: how often each type occurs at each path.
 
-    One pass: every value of a row is listed inside its task, and only counts per (path,
-    type) are shuffled.
+    Without ``max_depth`` a first pass finds how deep the values go. Then every value of a row
+    is listed inside its task, and only counts per (path, type) are shuffled.
     """
-    none = F.lit(None).cast("string")
-    root = F.struct(F.lit("$").alias("path"), none.alias("parent"), none.alias("key"), F.try_parse_json(col(json_column)).alias("v"))
-    levels = df.select(F.array(root).alias("l0"))
+    parsed = df.select(F.try_parse_json(col(json_column)).alias("v")).filter(F.col("v").isNotNull())
+    max_depth = max_depth or _depth(parsed)
+    levels = parsed.select(F.array(_node(F.lit("$"), F.lit(None), F.lit(None), F.col("v"))).alias("l0"))
     for depth in range(max_depth - 1):
         levels = levels.withColumn(f"l{depth + 1}", _children(F.col(f"l{depth}")))
-    nodes = levels.select(F.inline(F.concat(*[F.col(f"l{d}") for d in range(max_depth)])))
-    typed = nodes.filter(F.col("v").isNotNull()).withColumn("type", variant_type(F.col("v")))
-    return typed.groupBy("path", "parent", "key", "type").agg(F.count("*").alias("n"))
+    plain = lambda nodes: F.transform(nodes, lambda n: F.struct(n["path"], n["parent"], n["key"], n["type"]))
+    found = levels.select(F.inline(F.concat(*[plain(F.col(f"l{d}")) for d in range(max_depth)])))
+    return found.groupBy("path", "parent", "key", "type").agg(F.count("*").alias("n"))
 
 
 def generate(df: DataFrame, json_column: str) -> dict:

@@ -65,12 +65,13 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return condition
 
 
-def _edge_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that begin or end a chunk: the only ones that can span chunks, two per chunk."""
-    key = F.struct(*[col(k) for k in keys])
-    ends = rows.groupBy(CHUNK).agg(F.min_by(key, PLACE).alias("a"), F.max_by(key, PLACE).alias("b"))
-    edges = ends.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    return edges.select(*[F.col("k")[k].alias(f"__k_{k}") for k in keys])
+def _spanning_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that may span chunks: those some chunk begins with, at most one per chunk.
+
+    A key that goes on from an earlier chunk is always the first of the next, so reading the
+    rows at place 0 is enough; Parquet skips everything else.
+    """
+    return rows.filter(F.col(PLACE) == 0).select(*[col(k).alias(f"__k_{k}") for k in keys])
 
 
 def carry(
@@ -83,8 +84,8 @@ def carry(
     """
     marks = [CHUNK]
     if keys:
-        edges = _edge_keys(rows, keys)
-        rows = rows.join(F.broadcast(edges), _same(rows, edges, keys), "left_semi")
+        spanning = _spanning_keys(rows, keys)
+        rows = rows.join(F.broadcast(spanning), _same(rows, spanning, keys), "left_semi")
     partial = rows.groupBy(*[col(k) for k in keys], *marks).agg(
         *[how(value).alias(f"__c_{name}") for name, (how, value) in parts.items()]
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators import aggregate, extracts
 from recordloom.plans import Tables, query
+from recordloom.session import stage
 
 PAGE_ROWS = 100
 
@@ -15,7 +16,8 @@ def landed_pages(t: Tables) -> DataFrame:
     """Orders as paged extracts, one source per status: a page is a JSON object of 100 orders.
 
     The cursor of a page names the next one; a source's last page has none. Pages come from
-    bounded parts, so a source of any size is spread over many tasks.
+    bounded parts, so a source of any size is spread over many tasks. They are landed as a
+    table, as an extract would be.
     """
     rows = t.orders.select("o_orderstatus", F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))
     parts = aggregate.group_records(rows, "o_orderstatus", ["id"], rows_per_part=PAGE_ROWS, unique=True)
@@ -31,13 +33,14 @@ def landed_pages(t: Tables) -> DataFrame:
         F.lit('<https://api.test/orders?page=0>; rel="first"'),
         F.coalesce(F.concat(F.lit(', <https://api.test/orders?page='), following, F.lit('>; rel="next"')), F.lit("")),
     )
-    return pages.join(top, "source").select(
+    landed = pages.join(top, "source").select(
         "source",
         "page_no",
         F.concat(F.lit("https://api.test/orders?page="), F.col("page_no").cast("string")).alias("url"),
         F.create_map(F.lit("link"), link).alias("headers"),
         F.to_json(body, {"ignoreNullFields": "false"}).alias("body"),
     )
+    return stage(landed, "pages")
 
 
 def _id(item: str = "item") -> Column:
