@@ -22,7 +22,7 @@ def filter_rows(
     """
     c, dtype = field(df, column)
     if equals is not None:
-        df = df.filter(c == F.lit(equals))
+        df = df.filter(c == F.lit(equals) if _same_kind(dtype, equals) else F.lit(False))
     if contains is not None:
         if isinstance(dtype, T.StringType):
             df = df.filter(F.contains(c, F.lit(str(contains))))
@@ -36,9 +36,18 @@ def filter_rows(
     return df
 
 
+def _same_kind(dtype: T.DataType, value: object) -> bool:
+    """Whether a value could equal one of a column: text, numbers and booleans stay apart."""
+    for kind, python in ((T.StringType, str), (T.BooleanType, bool)):
+        if isinstance(dtype, kind) or isinstance(value, python):
+            return isinstance(dtype, kind) and isinstance(value, python)
+    return True
+
+
 def predicate(c: Column, dtype: T.DataType, operator: str, value: object) -> Column:
     """A condition by operator name: eq ne gt gte lt lte regex in nin."""
-    text = F.coalesce(c.cast("string"), F.lit("None"))
+    text = F.initcap(c.cast("string")) if isinstance(dtype, T.BooleanType) else c.cast("string")
+    text = F.coalesce(text, F.lit("None"))
     if operator in ("gt", "gte", "lt", "lte"):
         left, right = cast.number(c, dtype), F.lit(float(value))
         held = {"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[operator]

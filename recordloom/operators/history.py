@@ -80,11 +80,12 @@ def retention_by_count(
         ranked = ordering.number_rows(free, [time, tie], "__n", descending=True)
         return ranked.filter(F.col("__n") > keep).drop("__n")
     if not scope:
-        newest = free.orderBy(col(time).desc(), col(tie).desc()).limit(keep).agg(F.min(place).alias("__from"))
-        edge = newest.first()["__from"]
-        if edge is None:
-            return free
-        at, at_tie = F.lit(edge[0]), F.lit(edge[1])
+        newest = free.orderBy(col(time).desc(), col(tie).desc()).limit(keep).agg(F.min(place).alias("edge"))
+        # The edge travels as text, so that no time zone of the driver touches it.
+        edge = newest.select(*[F.col("edge")[n].cast("string").alias(n) for n in (time, tie)]).first()
+        if edge[time] is None:
+            return free.limit(0)
+        at, at_tie = (F.lit(edge[n]).cast(runs.schema[n].dataType) for n in (time, tie))
         return free.filter((col(time) < at) | ((col(time) == at) & (col(tie) < at_tie)))
     newest = ordering.top_k(free.select(*[col(s) for s in scope], col(time), col(tie)), scope, [time, tie], keep)
     edges = newest.groupBy(*[col(s).alias(f"__s_{s}") for s in scope]).agg(F.min(place).alias("__from"))

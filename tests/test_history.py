@@ -47,6 +47,7 @@ def test_prune(runs):
     assert sorted(ids(history.retention_by_count(runs, 5, pinned=None))) == ["id1", "id2", "id3"]
     assert len(ids(history.retention_by_count(runs, 0))) == 6
     assert ids(history.retention_by_count(runs, 50)) == []
+    assert ids(history.retention_by_count(runs.limit(0), 5)) == []
     assert sorted(ids(history.retention_by_count(runs, 1, scope=["workflow"]))) == ["id1", "id2", "id3", "id5"]
 
 

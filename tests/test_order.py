@@ -117,3 +117,27 @@ def test_sample_positions(frame, data):
     ids = [r[0] for r in sorted(data, key=lambda r: (r[2], r[0]))]
     got = sorted(r.id for r in ordering.sample(frame, 11, ["v", "id"], unique=True).collect())
     assert got == sorted(ids[round(i * (SIZE - 1) / 10)] for i in range(11))
+
+
+def test_large_limits_number_rows_instead(spark, data, monkeypatch):
+    frame = spark.createDataFrame(data, "id long, k int, v int, ok boolean")
+    few = ordering.top_k(frame, ["k"], ["id"], 3).select("id", "rank").collect()
+    kept = history.retention_by_count(frame, 100, time="v", tie="id", pinned=None).select("id").collect()
+    monkeypatch.setattr(ordering, "GROUP_LIMIT", 2)
+    monkeypatch.setattr(history, "KEEP_AT_ONCE", 50)
+    assert sorted(ordering.top_k(frame, ["k"], ["id"], 3).select("id", "rank").collect()) == sorted(few)
+    assert sorted(history.retention_by_count(frame, 100, time="v", tie="id", pinned=None).select("id").collect()) == sorted(kept)
+    assert len(kept) == SIZE - 100
+
+
+def test_median_of_a_hot_value(frame, data):
+    import statistics
+
+    assert aggregate.median(frame, "v").first()[0] == statistics.median(r[2] for r in data)
+
+
+def test_staged_files_can_be_dropped(spark):
+    from recordloom import session
+
+    session.stage(spark.range(3))
+    assert session.drop_staged(spark) > 0 and session.drop_staged(spark) == 0

@@ -184,6 +184,10 @@ def test_filters(orders, spark, rows):
     assert ids(filters.filter_rows(orders, "total", minimum=10, maximum=100)) == [1]
     assert ids(filters.filter_rows(orders, "city", contains="ondon")) == [1, 3]
     assert ids(filters.filter_rows(orders, "city", minimum=1)) == []
+    assert ids(filters.filter_rows(orders, "city", equals=5)) == [] and ids(filters.filter_rows(orders, "id", equals="1")) == []
+    assert ids(filters.filter_rows(orders, "id", equals=1)) == [1]
+    flags = spark.sql("select 1 id, true b union all select 2, false")
+    assert ids(filters.filter_by(flags, "b", "eq", True)) == [1] and ids(filters.filter_rows(flags, "b", equals=False)) == [2]
     lists = spark.sql("select 1 id, array('a') t union all select 2, null")
     assert ids(filters.filter_rows(lists, "t", contains="a")) == [1]
     assert ids(filters.filter_by(orders, "customer.name", "regex", "^A")) == [1]
