@@ -32,4 +32,4 @@ def require_columns(available: Iterable[str], wanted: Iterable[str], side: str =
     for column in wanted:
         if column not in names:
             where = f" on the {side} side" if side else ""
-            raise RecordError(f"no column named {column!r}{where}; {suggest(column, names)}")
+            raise RecordError(f"column {column!r} does not exist{where}; {suggest(column, names)}")

@@ -117,4 +117,4 @@ def to_type(c: Column, dtype: T.DataType, wanted: str) -> Column:
         return F.when(c.isNotNull(), boolean(c, dtype))
     if wanted == "string":
         return F.when(c.isNotNull(), text.stringify(c, dtype))
-    raise RecordError(f"unknown type {wanted!r}; use one of: integer, number, boolean, string")
+    raise RecordError(f"{wanted!r} is no target type; choose from integer, number, boolean, string")

@@ -85,7 +85,7 @@ def to_date(c: Column, dtype: T.DataType, format: str | None = None, strict: boo
         seconds = F.when(c > _MILLIS_ABOVE, c / 1000).otherwise(c.cast("double"))
         return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     if not isinstance(dtype, T.StringType):
-        raise RecordError(f"cannot read {dtype.simpleString()} as a date")
+        raise RecordError(f"a {dtype.simpleString()} is no date")
     value = text.trim(c)
     if format is not None:
         found = F.try_to_timestamp(value, F.lit(spark_pattern(format))).cast("timestamp_ntz")
@@ -117,7 +117,7 @@ def seconds_between(left: Column, right: Column) -> Column:
 def date_diff(left: Column, right: Column, unit: str = "days") -> Column:
     """Gap in a unit, with its fraction."""
     if unit not in UNIT_SECONDS:
-        raise RecordError(f"unknown unit {unit!r}; use one of: {', '.join(UNIT_SECONDS)}")
+        raise RecordError(f"{unit!r} is no unit of time here; choose from {', '.join(UNIT_SECONDS)}")
     return seconds_between(left, right).cast("double") / UNIT_SECONDS[unit]
 
 

@@ -105,7 +105,7 @@ def project(c: Column, dtype: T.DataType) -> Column:
 def chunk(c: Column, size: int) -> Column:
     """Batches of ``size`` elements; the last may be shorter."""
     if size <= 0:
-        raise RecordError("chunk needs a size of at least 1")
+        raise RecordError("a batch holds at least one element")
     starts = F.sequence(F.lit(0), F.array_size(c) - 1, F.lit(size))
     batches = F.transform(starts, lambda i: F.slice(c, i + 1, F.lit(size)))
     return F.when(F.array_size(c) > 0, batches).otherwise(F.when(c.isNotNull(), F.filter(F.array(c), lambda _: F.lit(False))))

@@ -73,7 +73,7 @@ def extract(c: Column, pattern: str, group: int = 0, keep_empty: bool = False) -
     it becomes null here, or stays empty with ``keep_empty`` for patterns such as ``a(b*)``.
     """
     if group > re.compile(pattern).groups:
-        raise RecordError(f"the pattern has no capture group {group}")
+        raise RecordError(f"group {group} is not in the pattern {pattern!r}")
     if group == 0:
         return F.regexp_substr(c, F.lit(pattern))
     found = F.regexp_extract(c, pattern, group)
@@ -178,7 +178,7 @@ def template(pattern: str, columns: dict[str, tuple[Column, T.DataType]]) -> Col
             parts.append(F.lit(text))
         if name is not None:
             if name not in columns:
-                raise RecordError(f"the template has no field {name!r}; available: {', '.join(columns)}")
+                raise RecordError(f"nothing fills {{{name}}}; fields: {', '.join(columns)}")
             parts.append(stringify(*columns[name]))
     return F.concat(*parts) if parts else F.lit("")
 

@@ -20,7 +20,7 @@ GROUP_ROWS = 10_000
 def _aggregate(df: DataFrame, name: str, how: str, order_by: Sequence[str]) -> Column:
     c, dtype = col(name), df.schema[name].dataType
     if how in ("sum", "avg") and not isinstance(dtype, T.NumericType):
-        raise RecordError(f"{how} of {name!r} found {dtype.simpleString()} where it needed a number; cast it first")
+        raise RecordError(f"{how} works on numbers, and {name!r} is {dtype.simpleString()}")
     if how == "count":
         return F.count(c)
     if how == "sum":
@@ -34,7 +34,7 @@ def _aggregate(df: DataFrame, name: str, how: str, order_by: Sequence[str]) -> C
             raise RecordError(f"{how} needs order_by: rows of a frame have no order of their own")
         place = F.when(c.isNotNull(), F.struct(*[col(o) for o in order_by]))
         return F.min_by(c, place) if how == "first" else F.max_by(c, place)
-    raise RecordError(f"unknown aggregate {how!r}; use one of: {', '.join(HOW)}")
+    raise RecordError(f"{how!r} is no aggregate here; choose from {', '.join(HOW)}")
 
 
 def group_agg(
@@ -71,7 +71,7 @@ def aggregate_path(df: DataFrame, operation: str, path: str | None = None, group
         c, dtype = field(df, path)
         value = F.coalesce(getattr(F, operation)(cast.number(c, dtype)), F.lit(0.0))
     else:
-        raise RecordError(f"unknown operation {operation!r}; use count, sum, avg, min or max")
+        raise RecordError(f"{operation!r} is no operation here; choose from count, sum, avg, min, max")
     return df.groupBy(key.alias("group")).agg(value.alias("value"), F.count("*").alias("count"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -32,58 +33,65 @@ ACCEPTS = {
 }
 
 
-def resolve(contract: dict, source: str | Path | None = None) -> dict:
-    """The contract with local ``$ref`` targets put in place."""
-    path = Path(source).resolve() if source else None
-    document = contract if path is None else _load(path)
-    return _resolved(contract, document, path, path.parent if path else None, 0)
+@dataclass(frozen=True)
+class _Place:
+    """Where a piece of a contract was read: its whole document, its file, the folder it may not leave."""
+
+    document: dict
+    file: Path | None
+    folder: Path | None
+
+    def at(self, target: str) -> tuple[dict, _Place]:
+        """The piece a local ``$ref`` points to, and where that lies."""
+        if not isinstance(target, str) or re.match("https?:", target):
+            raise RecordError(f"only local $ref texts are followed, not {target!r}")
+        name, _, pointer = target.partition("#")
+        place = self._open(name) if name else self
+        piece: object = place.document
+        for step in filter(None, pointer.split("/")):
+            piece = piece.get(step) if isinstance(piece, dict) else None
+        if not isinstance(piece, dict):
+            raise RecordError(f"$ref {target!r} points to no contract")
+        return piece, place
+
+    def _open(self, name: str) -> _Place:
+        if self.file is None or self.folder is None:
+            raise RecordError(f"$ref {name!r} names a file, but this contract was not read from one")
+        found = (self.file.parent / name).resolve()
+        if self.folder not in found.parents:
+            raise RecordError(f"$ref {name!r} lies outside {self.folder}")
+        return _Place(_load(found), found, self.folder)
 
 
 def _load(path: Path) -> dict:
     try:
         loaded = json.loads(path.read_text(encoding="utf-8"))
-    except (OSError, json.JSONDecodeError) as error:
-        raise RecordError(f"invalid local contract file {path}") from error
+    except (OSError, ValueError) as error:
+        raise RecordError(f"no contract can be read from {path}: {error}") from error
     if not isinstance(loaded, dict):
-        raise RecordError("a contract must be an object")
+        raise RecordError(f"{path} holds no contract: it is not an object")
     return loaded
 
 
-def _resolved(node: dict, document: dict, path: Path | None, root: Path | None, depth: int) -> dict:
-    if depth > MAX_DEPTH:
-        raise RecordError(f"the contract nests or refers to itself beyond {MAX_DEPTH} levels")
-    reference = node.get("$ref")
-    if reference is not None:
-        if not isinstance(reference, str):
-            raise RecordError("$ref must be a string")
-        if reference.startswith(("http:", "https:")):
-            raise RecordError("remote contract references are refused")
-        target, _, pointer = reference.partition("#")
-        if target:
-            if path is None or root is None:
-                raise RecordError("a $ref to a file needs the contract's own file")
-            path = (path.parent / target).resolve()
-            if not path.is_relative_to(root):
-                raise RecordError("the contract reference leaves its folder")
-            document = _load(path)
-        found: object = document
-        for step in [s for s in pointer.split("/") if s]:
-            if not isinstance(found, dict) or step not in found:
-                raise RecordError(f"unknown contract reference {reference!r}")
-            found = found[step]
-        if not isinstance(found, dict):
-            raise RecordError("a referenced contract must be an object")
-        return _resolved(found, document, path, root, depth + 1)
-    out = dict(node)
-    if isinstance(node.get("properties"), dict):
-        out["properties"] = {
-            name: _resolved(child, document, path, root, depth + 1)
-            for name, child in node["properties"].items()
-            if isinstance(child, dict)
-        }
-    if isinstance(node.get("items"), dict):
-        out["items"] = _resolved(node["items"], document, path, root, depth + 1)
-    return out
+def resolve(contract: dict, source: str | Path | None = None) -> dict:
+    """The contract with local ``$ref`` targets put in place."""
+    file = Path(source).resolve() if source else None
+    start = _Place(contract if file is None else _load(file), file, file and file.parent)
+
+    def expand(piece: dict, place: _Place, depth: int) -> dict:
+        if depth > MAX_DEPTH:
+            raise RecordError(f"the contract nests, or refers to itself, beyond {MAX_DEPTH} levels")
+        if "$ref" in piece:
+            return expand(*place.at(piece["$ref"]), depth + 1)
+        out = dict(piece)
+        children = piece.get("properties")
+        if isinstance(children, dict):
+            out["properties"] = {n: expand(c, place, depth + 1) for n, c in children.items() if isinstance(c, dict)}
+        if isinstance(piece.get("items"), dict):
+            out["items"] = expand(piece["items"], place, depth + 1)
+        return out
+
+    return expand(contract, start, 0)
 
 
 def _problem(path: Column, rule: str, expected: object, found: Column) -> Column:

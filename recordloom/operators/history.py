@@ -38,8 +38,8 @@ def find(runs: DataFrame, identifier: str) -> DataFrame:
     if len(ids) == 1:
         return matches
     if ids:
-        raise RecordError(f"{identifier!r} matches several runs: {', '.join(map(str, ids[:CANDIDATES]))}")
-    raise RecordError(f"no run matching {identifier!r}")
+        raise RecordError(f"{identifier!r} could be any of {', '.join(map(str, ids[:CANDIDATES]))}")
+    raise RecordError(f"{identifier!r} is neither an id nor a name, nor the start of one")
 
 
 def search(
@@ -170,11 +170,13 @@ def run_report(runs: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def outage_intervals(
-    requests: DataFrame, host: str, time: str, ok: str, tie: str, threshold: int = 5
+    requests: DataFrame, host: str, time: str, ok: str, tie: str, threshold: int = 5,
+    reset_after: float | None = None,
 ) -> DataFrame:
     """``host, failures, first_failure, opened_at, closed_at`` of each run of failures.
 
     An outage opens at the ``threshold``-th failure in a row and closes at the next success.
+    ``reset_after`` seconds add ``probe_at``, when a host still out may be tried again.
     Every row is tied to the last success before it by a running maximum that is carried
     across chunks, so one busy host is worked on by many tasks.
     """
@@ -189,7 +191,11 @@ def outage_intervals(
         F.max(F.when(~good & (F.col("__n") - F.col("__since") == threshold), col(time))).alias("opened_at"),
         F.max(F.when(good, col(time))).alias("closed_at"),
     )
-    return streaks.filter(F.col("failures") >= threshold).drop("__since")
+    found = streaks.filter(F.col("failures") >= threshold).drop("__since")
+    if reset_after is None:
+        return found
+    probe = F.col("opened_at") + F.make_dt_interval(secs=F.lit(reset_after).cast("decimal(18,6)"))
+    return found.withColumn("probe_at", F.when(F.col("closed_at").isNull() | (F.col("closed_at") > probe), probe))
 
 
 def latency_flatness(

@@ -214,7 +214,7 @@ def redact(df: DataFrame, secrets: Sequence[str]) -> DataFrame:
     """Known secret values masked in every text of the frame, nested ones too."""
     short = [s for s in secrets if s and len(s) < MIN_SECRET]
     if short:
-        raise RecordError(f"a secret of {len(short[0])} characters would match inside ordinary text")
+        raise RecordError(f"secrets need {MIN_SECRET} characters or more; one has {len(short[0])}")
     ordered = sorted({s for s in secrets if s}, key=lambda s: (-len(s), s))
 
     def scrub(c: Column, dtype: T.DataType) -> Column:

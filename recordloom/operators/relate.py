@@ -53,7 +53,7 @@ def join_records(
     """
     keys = _listed(on)
     if how not in HOW:
-        raise RecordError(f"unknown join type {how!r}; use one of: {', '.join(HOW)}")
+        raise RecordError(f"how={how!r} is no kind of join here; choose from {', '.join(HOW)}")
     require_columns(left.columns, keys, "left")
     require_columns(right.columns, keys, "right")
     a, b = _prefixed(left, "a"), _prefixed(right, "b")

@@ -143,7 +143,7 @@ def cast_schema(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     unknown = sorted(set(schema.values()) - {"integer", "number", "boolean", "string"})
     if unknown:
-        raise RecordError(f"unknown type {unknown[0]!r}; use one of: integer, number, boolean, string")
+        raise RecordError(f"{unknown[0]!r} is no target type; choose from integer, number, boolean, string")
     changed = {n: cast.to_type(col(n), types[n], wanted) for n, wanted in schema.items() if n in types}
     return df.withColumns(changed) if changed else df
 

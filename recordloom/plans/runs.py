@@ -155,14 +155,15 @@ def run_report(t: Tables) -> DataFrame:
 @query("""
 WITH n AS (SELECT user_id, ts, event_id, value > 20 AS ok, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
      s AS (SELECT *, coalesce(max(CASE WHEN ok THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM n)
-SELECT user_id, count(*) FILTER (NOT ok) AS failures, min(ts) FILTER (NOT ok) AS first_failure,
-       max(ts) FILTER (NOT ok AND n - since = 5) AS opened_at, max(ts) FILTER (ok) AS closed_at
-FROM s GROUP BY user_id, since HAVING count(*) FILTER (NOT ok) >= 5
+SELECT *, CASE WHEN closed_at IS NULL OR closed_at > opened_at + INTERVAL 30 SECOND THEN opened_at + INTERVAL 30 SECOND END AS probe_at FROM (
+  SELECT user_id, count(*) FILTER (NOT ok) AS failures, min(ts) FILTER (NOT ok) AS first_failure,
+         max(ts) FILTER (NOT ok AND n - since = 5) AS opened_at, max(ts) FILTER (ok) AS closed_at
+  FROM s GROUP BY user_id, since HAVING count(*) FILTER (NOT ok) >= 5)
 """)
 def outage_intervals(t: Tables) -> DataFrame:
     """Users as hosts; a request fails when its value is at most 20."""
     requests = t.events.select("user_id", "ts", "event_id", (F.col("value") > 20).alias("ok"))
-    return history.outage_intervals(requests, "user_id", "ts", "ok", "event_id")
+    return history.outage_intervals(requests, "user_id", "ts", "ok", "event_id", reset_after=30)
 
 
 @query("""

@@ -36,7 +36,7 @@ def operator(name: str | None = None, version: int = 1) -> Callable[[Callable],
         key = name or call.__name__
         known = _OPERATORS.get(key)
         if known is not None and known.call is not call:
-            raise RecordError(f"two functions are both registered as {key!r}")
+            raise RecordError(f"the name {key!r} is taken by another function")
         doc = (inspect.getdoc(call) or "").split("\n")[0]
         _OPERATORS[key] = Operator(key, version, call, doc, tuple(inspect.signature(call).parameters))
         return call
@@ -49,7 +49,7 @@ def overload(name: str, first: type[T.DataType]) -> Callable[[Callable], Callabl
 
     def register(call: Callable) -> Callable:
         if (name, first) in _OVERLOADS:
-            raise RecordError(f"duplicate overload for {name}/{first.__name__}")
+            raise RecordError(f"{name} already has a form for {first.__name__}")
         _OVERLOADS[name, first] = call
         return call
 

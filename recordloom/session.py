@@ -43,6 +43,9 @@ def build(app: str = "recordloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDER: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
@@ -54,9 +57,9 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="recordloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _LOCAL_FOLDER:
+        _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="recordloom-"))
+    return _LOCAL_FOLDER[0]
 
 
 _STAGED: list[str] = []

@@ -33,11 +33,11 @@ def format_of(path: str, format: str | None = None) -> str:
     known = sorted(set(BY_EXTENSION.values()))
     if format and format != "auto":
         if format not in known:
-            raise RecordError(f"unknown format {format!r}; known formats: {', '.join(known)}")
+            raise RecordError(f"{format!r} is not among the formats: {', '.join(known)}")
         return format
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     if suffix not in BY_EXTENSION:
-        raise RecordError(f"cannot tell what format {path} is; known formats: {', '.join(known)}")
+        raise RecordError(f"the name {path} does not tell its format; formats: {', '.join(known)}")
     return BY_EXTENSION[suffix]
 
 
@@ -48,6 +48,10 @@ def read(spark: SparkSession, path: str | Sequence[str], format: str | None = No
     return reader[format_of(first, format)](spark, path, **options)
 
 
+def _delimiter(path: str) -> str:
+    return "\t" if PurePosixPath(path.rstrip("/")).suffix.lower() == ".tsv" else ","
+
+
 def _paths(path: str | Sequence[str]) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
@@ -63,14 +67,14 @@ def read_csv(
     lets Spark split files that are known to hold none.
     """
     paths = _paths(path)
-    sep = sep or ("\t" if PurePosixPath(paths[0].rstrip("/")).suffix.lower() == ".tsv" else ",")
+    sep = sep or _delimiter(paths[0])
     # Doubled quotes inside a quoted cell are the common escape.
     reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(paths)
     raw = reader.option("inferSchema", False).csv(paths)
     if not raw.columns:
-        raise RecordError(f"{paths[0]} has no header row to read as a table")
+        raise RecordError(f"{paths[0]} is empty: a table needs at least its header")
     present = raw.select(*[F.when(~col(n).isin(*MISSING), col(n)).alias(n) for n in raw.columns])
     return present.select(*[_typed(n, kind) for n, kind in _csv_types(present).items()])
 
@@ -136,7 +140,7 @@ def glob_read(spark: SparkSession, pattern: str, concat: bool = True) -> DataFra
     files = Files(spark)
     matches = files.list(pattern)
     if not matches:
-        raise RecordError(f"the pattern {pattern!r} matched no files")
+        raise RecordError(f"nothing lies at {pattern!r}")
     by_format: dict[str, list[str]] = {}
     for path in matches:
         by_format.setdefault(format_of(path), []).append(path)
@@ -192,7 +196,7 @@ def save_csv(
     df: DataFrame, path: str, sep: str = "_", explode: str | Sequence[str] | None = None,
     columns: str | Sequence[str] = "union", mode: str = "overwrite",
 ) -> str:
-    """Flattened records with a header. ``sep`` joins nested names; the delimiter is a comma."""
+    """Flattened records with a header. ``sep`` joins nested names; cells are cut by commas, or tabs in ``.tsv``."""
     flat = reshape.flatten(reshape.records(df), sep=sep, explode=explode)
     if not isinstance(columns, str):
         flat = reshape.select(flat, list(columns))
@@ -201,7 +205,7 @@ def save_csv(
         (text.json_encode(col(f.name)).alias(f.name) if isinstance(f.dataType, nested) else col(f.name))
         for f in flat.schema.fields
     ]
-    flat.select(*cells).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    flat.select(*cells).write.mode(mode).option("header", True).option("sep", _delimiter(path)).option("escape", '"').csv(path)
     return path
 
 

@@ -68,9 +68,9 @@ def table_write(
     """Write records to a catalog table and return it; an empty batch writes nothing."""
     spark = df.sparkSession
     if mode not in MODES:
-        raise RecordError(f"unknown write mode {mode!r}; use one of: {', '.join(MODES)}")
+        raise RecordError(f"mode={mode!r} is not one of {', '.join(MODES)}")
     if mode == "upsert" and not key:
-        raise RecordError("upsert needs to know which column identifies a row")
+        raise RecordError("an upsert without a key cannot tell old rows from new")
     if df.isEmpty():
         return spark.table(table) if spark.catalog.tableExists(table) else df
     batch = storable(df)
@@ -127,7 +127,7 @@ def table_update_where(spark: SparkSession, table: str, condition: Column, value
 def table_schema(spark: SparkSession, table: str | None = None) -> DataFrame:
     """``table, column, type`` of one table, or of every table of the current database."""
     if table is not None and not spark.catalog.tableExists(table):
-        raise RecordError(f"no table named {table!r}")
+        raise RecordError(f"the catalog has no table {table!r}")
     names = [table] if table else sorted(t.name for t in spark.catalog.listTables())
     rows = [(n, c.name, c.dataType) for n in names for c in spark.catalog.listColumns(n)]
     return spark.createDataFrame(rows, "table string, column string, type string")

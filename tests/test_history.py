@@ -28,9 +28,9 @@ def test_recent(runs):
 def test_find(runs):
     assert ids(history.find(runs, "id3")) == ["id3"] and ids(history.find(runs, "Run-4")) == ["id4"]
     assert ids(history.find(runs.filter("id = 'id5'"), "run")) == ["id5"]
-    with pytest.raises(RecordError, match="several"):
+    with pytest.raises(RecordError, match="could be any"):
         history.find(runs, "id")
-    with pytest.raises(RecordError, match="no run"):
+    with pytest.raises(RecordError, match="neither"):
         history.find(runs, "zzz")
 
 

@@ -119,7 +119,7 @@ def test_join(spark, orders, rows):
     assert [r[0] for r in rows(relate.join_records(left, reps, "id", "outer"))] == [1, 2, 3, 9]
     for how in ("inner", "left", "right", "outer"):
         assert rows(relate.join_records(left, reps, "id", how, salt=3)) == rows(relate.join_records(left, reps, "id", how))
-    with pytest.raises(RecordError, match="unknown join type"):
+    with pytest.raises(RecordError, match="no kind of join"):
         relate.join_records(left, reps, "id", "cross")
     with pytest.raises(RecordError, match="right side"):
         relate.join_records(left.withColumn("q", F.lit(1)), reps, "q")
@@ -153,7 +153,7 @@ def test_compare(spark, rows):
 def test_group(orders, rows):
     assert rows(aggregate.group_agg(orders, "city")) == [("Baltimore", 1), ("London", 2)]
     assert rows(aggregate.group_agg(orders, "city", {"total": "sum"})) == [("Baltimore", 240), ("London", 27)]
-    with pytest.raises(RecordError, match="needed a number"):
+    with pytest.raises(RecordError, match="works on numbers"):
         aggregate.group_agg(orders, "id", {"city": "sum"})
     with pytest.raises(RecordError, match="order_by"):
         aggregate.group_agg(orders, "id", {"city": "first"})

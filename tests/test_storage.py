@@ -32,11 +32,13 @@ def test_tsv_and_errors(spark, tmp_path):
     path = tmp_path / "a.tsv"
     path.write_text("a\tb\n1\t2,5\n")
     assert files.read(spark, str(path)).first().asDict() == {"a": 1, "b": "2,5"}
+    files.save(spark.sql("select 1 a, 'x,y' b"), str(tmp_path / "b.tsv"))
+    assert files.read(spark, str(tmp_path / "b.tsv")).first().asDict() == {"a": 1, "b": "x,y"}
     (tmp_path / "empty.csv").write_text("")
-    with pytest.raises(RecordError, match="no header"):
+    with pytest.raises(RecordError, match="is empty"):
         files.read(spark, str(tmp_path / "empty.csv"))
     for path in ("x.txt", "x"):
-        with pytest.raises(RecordError, match="known formats"):
+        with pytest.raises(RecordError, match="formats"):
             files.format_of(path)
     assert files.format_of("x.txt", "csv") == "csv"
 
@@ -80,7 +82,7 @@ def test_glob(spark, tmp_path, rows):
     assert rows(files.glob_read(spark, f"{tmp_path}/*.csv").select("id", "s", "n")) == [(1, "x", None), (2, None, 5), (3, "z", None)]
     parts = files.glob_read(spark, f"{tmp_path}/*.csv", concat=False)
     assert parts.select("part").distinct().count() == 3
-    with pytest.raises(RecordError, match="matched no files"):
+    with pytest.raises(RecordError, match="nothing lies"):
         files.glob_read(spark, f"{tmp_path}/*.json")
     found = files.file_inventory(spark, str(tmp_path), "*.csv").select("name", "suffix", "bytes")
     assert rows(found) == [("a.csv", ".csv", 9), ("b.csv", ".csv", 9), ("c.csv", ".csv", 9)]
@@ -255,7 +257,7 @@ def test_registry(spark):
     assert registry.apply(name, spark.range(2), "id", times=5).collect()[1].id == 5
     with pytest.raises(RecordError, match="no parameter"):
         registry.apply(name, spark.range(2), "id", tims=5)
-    with pytest.raises(RecordError, match="both registered"):
+    with pytest.raises(RecordError, match="taken by another"):
         registry.operator(name)(lambda df: df)
     with pytest.raises(RecordError, match="no operator"):
         registry.describe("nothing.here")
@@ -269,7 +271,7 @@ def test_overloads():
     assert registry.resolve(name, T.StringType())(None) == "text"
     with pytest.raises(RecordError):
         registry.resolve(name, T.BooleanType())
-    with pytest.raises(RecordError, match="duplicate"):
+    with pytest.raises(RecordError, match="already has"):
         registry.overload(name, T.StringType)(lambda c: c)
 
 
@@ -278,3 +280,17 @@ def test_script(spark, rows):
         return frame.assign(twice=frame["id"] * 2)
 
     assert rows(registry.run_script(spark.range(3), script, "id long, twice long")) == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_shared_folder():
+    from types import SimpleNamespace
+
+    from recordloom.session import shared_folder
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("yarn"))
