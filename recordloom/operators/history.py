@@ -182,8 +182,9 @@ def outage_intervals(
     """
     rows = ordering.sequence_rows(requests.select(host, time, tie, ok), [host], [time, tie], unique=True)
     numbered = ordering.running_sum(rows, [host], "__n", F.lit(1))
+    spanning = ordering.running_sum(ordering.spanning_rows(rows, [host]), [host], "__n", F.lit(1))
     good = F.coalesce(col(ok), F.lit(False))
-    since = ordering.running_max(numbered, [host], "__since", F.when(good, F.col("__n")), inclusive=False)
+    since = ordering.running_max(numbered, [host], "__since", F.when(good, F.col("__n")), inclusive=False, source=spanning)
     since = since.withColumn("__since", F.coalesce("__since", F.lit(0)))
     streaks = since.groupBy(col(host), F.col("__since")).agg(
         F.count_if(~good).alias("failures"),

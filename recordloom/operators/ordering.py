@@ -74,6 +74,14 @@ def _spanning_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.filter(F.col(PLACE) == 0).select(*[col(k).alias(f"__k_{k}") for k in keys])
 
 
+def spanning_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of keys that may span chunks; all rows when there is no key."""
+    if not keys:
+        return rows
+    spanning = _spanning_keys(rows, keys)
+    return rows.join(F.broadcast(spanning), _same(rows, spanning, keys), "left_semi")
+
+
 def carry(
     rows: DataFrame, keys: Sequence[str], parts: dict[str, tuple[Callable[[Column], Column], Column]]
 ) -> DataFrame:
@@ -82,11 +90,7 @@ def carry(
     ``parts`` maps a name to an aggregate that can be applied to its own results (sum, max,
     min) and the value it reads. At most two rows per chunk, so it is safe to broadcast.
     """
-    marks = [CHUNK]
-    if keys:
-        spanning = _spanning_keys(rows, keys)
-        rows = rows.join(F.broadcast(spanning), _same(rows, spanning, keys), "left_semi")
-    partial = rows.groupBy(*[col(k) for k in keys], *marks).agg(
+    partial = spanning_rows(rows, keys).groupBy(*[col(k) for k in keys], CHUNK).agg(
         *[how(value).alias(f"__c_{name}") for name, (how, value) in parts.items()]
     )
     before = W.partitionBy(*[col(k) for k in keys]).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
@@ -98,10 +102,14 @@ def carry(
 
 
 def with_carry(
-    rows: DataFrame, keys: Sequence[str], parts: dict[str, tuple[Callable[[Column], Column], Column]]
+    rows: DataFrame, keys: Sequence[str], parts: dict[str, tuple[Callable[[Column], Column], Column]],
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """``rows`` with columns ``__c_name`` of ``carry``; null where nothing came before."""
-    before = carry(rows, keys, parts)
+    """``rows`` with columns ``__c_name`` of ``carry``; null where nothing came before.
+
+    ``source`` may give the spanning rows with the same columns, when those are cheaper to make.
+    """
+    before = carry(rows if source is None else source, keys, parts)
     joined = rows.join(F.broadcast(before), _same(rows, before, [*keys, CHUNK]), "left")
     return joined.drop(*[f"__k_{k}" for k in [*keys, CHUNK]])
 
@@ -114,11 +122,12 @@ def running(
     value: Column,
     combine: Callable[[Column, Column], Column],
     inclusive: bool = True,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """A running aggregate over sequenced rows: inside the chunk, then what was carried in."""
     frame = W.partitionBy(*[col(k) for k in keys], F.col(CHUNK)).orderBy(PLACE)
     frame = frame.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    carried = with_carry(rows, keys, {column: (how, value)})
+    carried = with_carry(rows, keys, {column: (how, value)}, source)
     inside, before = how(value).over(frame), F.col(f"__c_{column}")
     return carried.withColumn(column, combine(inside, before)).drop(f"__c_{column}")
 
@@ -128,8 +137,10 @@ def running_sum(rows: DataFrame, keys: Sequence[str], column: str, value: Column
     return running(rows, keys, column, F.sum, value, both, inclusive)
 
 
-def running_max(rows: DataFrame, keys: Sequence[str], column: str, value: Column, inclusive: bool = True) -> DataFrame:
-    return running(rows, keys, column, F.max, value, F.greatest, inclusive)
+def running_max(
+    rows: DataFrame, keys: Sequence[str], column: str, value: Column, inclusive: bool = True, source: DataFrame | None = None
+) -> DataFrame:
+    return running(rows, keys, column, F.max, value, F.greatest, inclusive, source)
 
 
 def plain(df: DataFrame) -> DataFrame:
