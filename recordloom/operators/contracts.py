@@ -217,10 +217,8 @@ def assert_contract(df: DataFrame, json_column: str, contract: dict, source: str
 
 
 def _node(path: Column, parent: Column, key: Column, v: Column) -> Column:
-    """A value with its place and type; the type is worked out once and read twice."""
     return F.struct(
-        path.alias("path"), parent.cast("string").alias("parent"), key.cast("string").alias("key"),
-        variant_type(v).alias("type"), v.alias("v"),
+        path.alias("path"), parent.cast("string").alias("parent"), key.cast("string").alias("key"), v.alias("v")
     )
 
 
@@ -230,13 +228,13 @@ def _children(nodes: Column) -> Column:
     def below(n: Column) -> Column:
         fields = F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>"))
         items = F.try_variant_get(n["v"], "$", "array<variant>")
-        return F.when(
-            n["type"] == "object",
+        return F.coalesce(
             F.transform(fields, lambda e: _node(F.concat(n["path"], F.lit("."), e["key"]), n["path"], e["key"], e["value"])),
-        ).otherwise(F.transform(items, lambda x: _node(F.concat(n["path"], F.lit("[]")), n["path"], F.lit(None), x)))
+            F.transform(items, lambda x: _node(F.concat(n["path"], F.lit("[]")), n["path"], F.lit(None), x)),
+            F.filter(F.array(n), lambda _: F.lit(False)),
+        )
 
-    nested = F.filter(nodes, lambda n: n["type"].isin("object", "list"))
-    return F.flatten(F.transform(nested, below))
+    return F.flatten(F.transform(nodes, below))
 
 
 def _depth(parsed: DataFrame) -> int:
@@ -263,8 +261,8 @@ def observed_paths(df: DataFrame, json_column: str, max_depth: int | None = None
     levels = parsed.select(F.array(_node(F.lit("$"), F.lit(None), F.lit(None), F.col("v"))).alias("l0"))
     for depth in range(max_depth - 1):
         levels = levels.withColumn(f"l{depth + 1}", _children(F.col(f"l{depth}")))
-    plain = lambda nodes: F.transform(nodes, lambda n: F.struct(n["path"], n["parent"], n["key"], n["type"]))
-    found = levels.select(F.inline(F.concat(*[plain(F.col(f"l{d}")) for d in range(max_depth)])))
+    nodes = levels.select(F.inline(F.concat(*[F.col(f"l{d}") for d in range(max_depth)])))
+    found = nodes.select("path", "parent", "key", variant_type(F.col("v")).alias("type"))
     return found.groupBy("path", "parent", "key", "type").agg(F.count("*").alias("n"))
 
 
