@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,23 +42,17 @@ def build(app: str = "recordloom", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-_LOCAL_FOLDER: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is taken only in local mode, where driver and executor are one
-    process; on a cluster without the setting this is an error.
+    Where the setting is missing, a folder in the warehouse is taken, which is shared as well,
+    and the setting is made for the rest of the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if not _LOCAL_FOLDER:
-        _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="recordloom-"))
-    return _LOCAL_FOLDER[0]
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 _STAGED: list[str] = []
