@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.session import stage
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -110,11 +112,12 @@ def scan_documents(
 
     The first frame has one row per input row: ``keep`` columns (default ``doc_id``), ``blob`` and
     ``found``, the spans of the given rules by start, then rule order. Append the second frame to
-    the ledger before the next run. A null text is the empty blob; repeated rows are paths to one
+    the ledger before the next run; it is written once, so the join back reads short rows and can
+    split a blob that many paths share. A null text is the empty blob; repeated rows are paths to one
     blob; empty inputs give empty frames; columns not named are not read.
     """
     keep = ["doc_id"] if keep is None else keep
-    new = scan(unseen(docs, ledger, text, rules), rules)
+    new = stage(scan(unseen(docs, ledger, text, rules), rules), "ledger")
     seen = new if ledger is None else ledger.select(*new.columns).unionByName(new)
     kinds = F.array(*[F.lit(rule.kind) for rule in rules])
     if ledger is not None:
