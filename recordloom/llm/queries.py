@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import licences, secret_ledger, sharding
+from recordloom.llm import byte_bpe, language, licences, secret_ledger, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,13 +22,25 @@ def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(_table(spark, folder, "documents"))
 
 
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = language.train(docs.filter(~language.held_out()))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     findings, _ = secret_ledger.scan_documents(_table(spark, folder, "documents"))
     return secret_ledger.summary(findings)
 
 
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_licences, op5_secrets)
+    f.__name__: f for f in (op1_sharding, op2_licences, op3_language, op5_secrets, op7_byte_bpe)
 }
 
 ORACLE_SQL: dict[str, str] = {}
