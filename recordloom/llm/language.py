@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.blocks import kept_schema, sliced
+
 #: Trigrams are counted in so many buckets; a model has one row of them per language.
 BUCKETS = 1 << 16
 #: About so many rows of a language, those with the least hash of the key, fit its trigrams.
@@ -177,7 +179,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
         for batch in batches:
             texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
             done: list[tuple[np.ndarray, np.ndarray]] = []
-            for part in _blocks(texts):
+            for part in sliced(texts, BLOCK_CHARS):
                 done.append(model.mixtures(part))
             words = np.concatenate([w for w, _ in done]) if done else np.zeros(0, dtype=np.int64)
             shares = np.concatenate([s for _, s in done]) if done else np.zeros((0, len(model.languages)))
@@ -191,20 +193,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
                 [*batch.columns[: len(keep)], *made], names=[*keep, "lang_pred", "score", "mixture", "n_letter_words"]
             )
 
-    kinds = dict(docs.dtypes)
-    kept = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return docs.select(*keep, text).mapInArrow(run, f"{kept}, lang_pred string, score double, mixture map<string,double>, n_letter_words bigint")
-
-
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
-    at = 0
-    while at < len(texts):
-        size, stop = 0, at
-        while stop < len(texts) and (size < BLOCK_CHARS or stop == at):
-            size += len(texts[stop])
-            stop += 1
-        yield texts[at:stop]
-        at = stop
+    return docs.select(*keep, text).mapInArrow(run, f"{kept_schema(docs, keep)}, lang_pred string, score double, mixture map<string,double>, n_letter_words bigint")
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import byte_bpe, language, licences, secret_ledger, sharding
+from recordloom.llm import (
+    byte_bpe, decision_list, language, licences, near_duplicates, secret_ledger, sentence_spans, sharding, templates, warc,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,18 +31,42 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op4_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     findings, _ = secret_ledger.scan_documents(_table(spark, folder, "documents"))
     return secret_ledger.summary(findings)
 
 
+def op6_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_spans.repeated(_table(spark, folder, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, folder, "documents"), width=2, percent=80)
+
+
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derivatives(warc.responses(_table(spark, folder, "pages")))
+
+
+def op10_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    found = decision_list.judged_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return found.select("doc_id", *decision_list.BASE, "base_failed", "rule", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_licences, op3_language, op5_secrets, op7_byte_bpe)
+    f.__name__: f for f in (
+        op1_sharding, op2_licences, op3_language, op4_templates, op5_secrets, op6_sentence_spans, op7_byte_bpe, op8_near_duplicates,
+        op9_warc, op10_decision_list,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}

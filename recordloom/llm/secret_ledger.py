@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.blocks import without
 from recordloom.session import stage
 
 
@@ -147,18 +148,5 @@ def summary(findings: DataFrame) -> DataFrame:
 
 
 def redact(text: Column, found: Column, mask: str = "[secret]") -> Column:
-    """The text with every found span masked; overlapping spans are masked together.
-
-    Walks the spans from left to right and joins what lies between them.
-    """
-
-    def step(seen: Column, x: Column) -> Column:
-        fresh = x["start"] >= seen["at"]
-        gap = F.when(fresh, F.concat(F.substring(text, (seen["at"] + 1).cast("int"), (x["start"] - seen["at"]).cast("int")), F.lit(mask)))
-        return F.struct(
-            F.greatest(seen["at"], x["stop"]).alias("at"), F.concat(seen["out"], F.array(F.coalesce(gap, F.lit("")))).alias("out")
-        )
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda seen: F.concat(F.array_join(seen["out"], ""), F.substring(text, (seen["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, start, step, rest))
+    """The text with every found span masked; overlapping spans are masked together."""
+    return without(text, found, mask)
