@@ -172,12 +172,14 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
     """
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log))
+    columns = [*keep] if text in keep else [*keep, text]
+    read = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
+            texts = [x or "" for x in batch.column(read).to_pylist()]
             done: list[tuple[np.ndarray, np.ndarray]] = []
             for part in sliced(texts, BLOCK_CHARS):
                 done.append(model.mixtures(part))
@@ -193,7 +195,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
                 [*batch.columns[: len(keep)], *made], names=[*keep, "lang_pred", "score", "mixture", "n_letter_words"]
             )
 
-    return docs.select(*keep, text).mapInArrow(run, f"{kept_schema(docs, keep)}, lang_pred string, score double, mixture map<string,double>, n_letter_words bigint")
+    return docs.select(*columns).mapInArrow(run, f"{kept_schema(docs, keep)}, lang_pred string, score double, mixture map<string,double>, n_letter_words bigint")
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -110,25 +110,36 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("copyright-notice", ("copyright",)),
 )
 
-#: A sentence of a licence has one of these; the others are not looked up.
-CUES = r"licen[sc]e|copyright|rights reserved|permission|redistribut|warrant|\bliable\b|\bas is\b|public domain|\bmpl\b"
-#: White space behind the end of a sentence, and line ends before what begins a sentence.
-BREAKS = r"(?<=[.!?:;])[ \t]+|[ \t]*\n[ \t]*\n\s*|(?<=[.!?:;])[ \t]*\n\s*|\n(?=[ \t#*/-]*(?:Copyright|All rights|Licensed|Released|Permission|Redistribut|The MIT|MIT License|This (?:work|program|project)|Unless|You may|SPDX))"
+#: A normalised sentence of a licence has one of these; the others are not looked up. Texts without
+#: any of their letters are not even cut.
+CUES = r"licen[sc]e|copyright|rights reserved|permission|redistribut|warrant|\bliable\b|\bas is\b|public domain|\bmpl\b|\bcc0\b"
+LETTERS = r"licen[sc]e|copyright|rights|permission|redistribut|warrant|liable|as[^a-z0-9]+is|public|mpl|cc0"
+#: Breaks between sentences, marked one after the other: empty lines, white space behind the end of a
+#: sentence, and line ends before what begins a sentence.
+MARK = "\x01"
+BREAKS = (
+    (r"\n[ \t\r\n]*\n", MARK),
+    (r"([.!?:;])[ \t\r\n]+", r"\1" + MARK),
+    (r"\n([ \t#*/-]*(?:Copyright|All rights|Licensed|Released|Permission|Redistribut|The MIT|MIT License|This work|This program|This project|Unless|You may|SPDX))", MARK + r"\1"),
+)
+OWNED = r"^copyright (c |(19|20)[0-9][0-9] ).+$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normalised(sentence: Column) -> Column:
     """ASCII lower case, runs of other characters as one space, copyright lines as one form."""
     plain = F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), r"[^a-z0-9]+", " "))
-    line = r"^copyright (c )?((19|20)[0-9]{2}( (19|20)[0-9]{2})* )?.+$"
-    owned = F.regexp_like(plain, F.lit(r"^copyright (c |(19|20)[0-9]{2} )")) & F.regexp_like(plain, F.lit(line))
-    return F.when(owned, F.lit("copyright <holder>")).otherwise(plain)
+    return F.when(F.regexp_like(plain, F.lit(OWNED)), F.lit("copyright <holder>")).otherwise(plain)
 
 
 def sentences(text: Column) -> Column:
     """The normalised sentences that hold a cue, in order."""
-    cued = F.filter(F.split(text, BREAKS, -1), lambda s: F.regexp_like(F.translate(s, UPPER, LOWER), F.lit(CUES)))
-    return F.transform(cued, normalised)
+    marked = text
+    for pattern, by in BREAKS:
+        marked = F.regexp_replace(marked, pattern, by.replace("\\1", "$1"))
+    cued = F.filter(F.transform(F.split(marked, MARK, -1), normalised), lambda s: F.regexp_like(s, F.lit(CUES)))
+    some = F.regexp_like(F.translate(text, UPPER, LOWER), F.lit(LETTERS))
+    return F.when(some, cued).otherwise(F.array().cast("array<string>"))
 
 
 def _known() -> Column:

@@ -69,4 +69,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    """The same cuts, look-ups and rules; one step per rule."""
+    marked = "coalesce(text, '')"
+    for pattern, by in licences.BREAKS:
+        put = " || ".join(_text(x) if x != licences.MARK else "chr(1)" for x in by.partition(licences.MARK) if x)
+        marked = f"regexp_replace({marked}, {_text(pattern)}, {put}, 'g')"
+    low = lambda x: f"translate({x}, '{licences.UPPER}', '{licences.LOWER}')"
+    plain = f"trim(regexp_replace({low('s')}, '[^a-z0-9]+', ' ', 'g'))"
+    known = ", ".join(f"{_text(w)}: {_text(name)}" for name, wordings in licences.SENTENCES.items() for w in wordings)
+    steps, last = [], "r0"
+    for i, (name, sequence) in enumerate(licences.RULES, 1):
+        part = _text("|" + "||".join(sequence) + "|")
+        found = f"CASE WHEN contains(rest, {part}) AND NOT list_contains(found, {_text(name)}) THEN list_append(found, {_text(name)}) ELSE found END"
+        steps.append(f"r{i} AS (SELECT doc_id, cues, ids, {found} AS found, replace(rest, {part}, '|-|') AS rest FROM {last})")
+        last = f"r{i}"
+    return f"""
+WITH cut AS (
+  SELECT doc_id, CASE WHEN regexp_matches({low("coalesce(text, '')")}, {_text(licences.LETTERS)})
+    THEN list_transform(string_split({marked}, chr(1)), lambda s: {plain}) ELSE [] END AS said
+  FROM documents),
+cued AS (
+  SELECT doc_id, list_transform(list_filter(said, lambda s: regexp_matches(s, {_text(licences.CUES)})),
+    lambda s: CASE WHEN regexp_matches(s, {_text(licences.OWNED)}) THEN 'copyright <holder>' ELSE s END) AS said FROM cut),
+known AS (SELECT doc_id, len(said) AS cues, list_filter(list_transform(said, lambda s: MAP {{{known}}}[s]), lambda x: x IS NOT NULL) AS ids FROM cued),
+r0 AS (SELECT doc_id, cues, ids, []::VARCHAR[] AS found, '|' || array_to_string(ids, '||') || '|' AS rest FROM known),
+{", ".join(steps)}
+SELECT doc_id, array_to_string(found, ',') AS licences, array_to_string(ids, ',') AS sentence_ids,
+  len(list_filter(string_split_regex(rest, '[|]+'), lambda x: x <> '' AND x <> '-'))::BIGINT AS n_unmatched, (cues - len(ids))::BIGINT AS n_unknown
+FROM {last}"""
+
+
+def _secret_sql() -> str:
+    """Places from the lengths of matches and of what lies between them."""
+    parts = []
+    for rank, rule in enumerate(secret_ledger.RULES):
+        pattern = _text(rule.pattern.replace("((?i)password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"))
+        parts.append(f"""
+SELECT row, {rank} AS rank, {_text(rule.kind)} AS kind, unnest(list_transform(range(1, len(hit) + 1), lambda i: {{
+    'start': list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0),
+    'size': length(hit[i]), 'held': length(held[i])}})) AS place
+FROM (SELECT row, regexp_extract_all(text, {pattern}, 0) AS hit, regexp_extract_all(text, {pattern}, {rule.group}) AS held,
+  string_split_regex(text, {pattern}) AS gap FROM docs WHERE regexp_matches(text, {pattern}))""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_ledger.BASE)
+    least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in secret_ledger.RULES)
+    one = "kind || ':' || place.start::BIGINT || ':' || (place.start + place.size)::BIGINT"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+good AS (SELECT * FROM spans WHERE place.held >= CASE kind {least} END),
+per_row AS (
+  SELECT row, {counts}, string_agg({one}, ',' ORDER BY place.start, rank) FILTER (rank < {len(secret_ledger.BASE)}) AS base,
+    string_agg({one}, ',' ORDER BY place.start, rank) AS spans FROM good GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secret_ledger.BASE)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per_row USING (row)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_licences": _licence_sql(), "op5_secrets": _secret_sql()}
