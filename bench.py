@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from recordloom import plans  # noqa: E402
-from recordloom.session import build  # noqa: E402
+from recordloom.session import build, drop_staged  # noqa: E402
 
 HEADLINE = (
     "reconcile_totals", "join_inner", "join_salted", "join_outer_suffix", "group_sum_avg_min_max", "group_first_last",
@@ -27,7 +27,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     settings = {
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": os.path.join(os.getcwd(), "spark-warehouse", "_shared"), "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false",
     }
     spark = build("bench", f"local[{cpus}]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,6 +40,7 @@ def main() -> None:
         start = time.perf_counter()
         run(name)
         times[name] = round(time.perf_counter() - start, 3)
+        drop_staged(spark)
     total = round(sum(times.values()), 3)
     spark.stop()
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": folder.rsplit("sf", 1)[-1]}))

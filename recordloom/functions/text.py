@@ -66,14 +66,38 @@ def matches(c: Column, pattern: str) -> Column:
     return F.rlike(c, F.lit(pattern))
 
 
-def extract(c: Column, pattern: str, group: int = 0, keep_empty: bool = False) -> Column:
-    """First match or one of its groups; null when nothing, or not that group, matched.
-
-    Spark reads an absent optional group and one that matched empty text alike, as empty:
-    it becomes null here, or stays empty with ``keep_empty`` for patterns such as ``a(b*)``.
+def _groups(pattern: str) -> tuple[str, list[str | None]]:
+    """The pattern in Java's spelling, and the name (or None) of each of its groups, in order."""
+    pattern = pattern.replace("(?P<", "(?<")
+    names: list[str | None] = []
+    at, in_class = 0, False
+    while at < len(pattern):
+        sign = pattern[at]
+        if sign == "\\":
+            quoted = pattern.find("\\E", at) if pattern[at + 1 : at + 2] == "Q" else -1
+            at = quoted + 2 if quoted >= 0 else at + 2
+            continue
+        if sign in "[]":
+            in_class = sign == "["
+        elif sign == "(" and not in_class:
+            named = re.match(r"\(\?<([A-Za-z][A-Za-z0-9]*)>", pattern[at:])
+            if named or pattern[at + 1 : at + 2] != "?":
+                names.append(named[1] if named else None)
+        at += 1
+    return pattern, names
+
+
+def extract(c: Column, pattern: str, group: int | str = 0, keep_empty: bool = False) -> Column:
+    """First match or one of its groups, by number or name; null when nothing, or not that group, matched.
+
+    Names are written ``(?<name>…)`` or ``(?P<name>…)``. Spark reads an absent optional group and
+    one that matched empty text alike, as empty: it becomes null here, or stays empty with
+    ``keep_empty`` for patterns such as ``a(b*)``.
     """
-    if group > re.compile(pattern).groups:
+    pattern, names = _groups(pattern)
+    if group not in names if isinstance(group, str) else group > len(names):
         raise RecordError(f"group {group} is not in the pattern {pattern!r}")
+    group = names.index(group) + 1 if isinstance(group, str) else group
     if group == 0:
         return F.regexp_substr(c, F.lit(pattern))
     found = F.regexp_extract(c, pattern, group)
@@ -84,10 +108,10 @@ def extract(c: Column, pattern: str, group: int = 0, keep_empty: bool = False) -
 
 def extract_all(c: Column, pattern: str) -> Column:
     """Every match: its text, its only group, or an array of its groups."""
-    groups = re.compile(pattern).groups
-    if groups <= 1:
-        return F.regexp_extract_all(c, F.lit(pattern), F.lit(groups))
-    each = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)]
+    pattern, names = _groups(pattern)
+    if len(names) <= 1:
+        return F.regexp_extract_all(c, F.lit(pattern), F.lit(len(names)))
+    each = [F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(1, len(names) + 1)]
     return F.transform(each[0], lambda _, i: F.array(*[F.get(column, i) for column in each]))
 
 

@@ -12,13 +12,16 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordloom.errors import GateFailed, RecordError
 from recordloom.operators.schema import col, variant_type
+from recordloom.session import stage
 
-MAX_DEPTH = 16
+#: Levels that one pass over the rows lists; deeper values go on in a further pass.
+LEVELS = 16
+#: Bound of a generated contract, which is put together on the driver.
 MAX_PATHS = 10_000
 _VIOLATION = "array<struct<path:string,rule:string,expected:string,found:string>>"
 # Contract type names and the value types that satisfy each.
@@ -74,24 +77,28 @@ def _load(path: Path) -> dict:
 
 
 def resolve(contract: dict, source: str | Path | None = None) -> dict:
-    """The contract with local ``$ref`` targets put in place."""
+    """The contract with local ``$ref`` targets put in place, however deep it nests.
+
+    A target that is met again on the way down from itself has no end and is refused.
+    """
     file = Path(source).resolve() if source else None
     start = _Place(contract if file is None else _load(file), file, file and file.parent)
 
-    def expand(piece: dict, place: _Place, depth: int) -> dict:
-        if depth > MAX_DEPTH:
-            raise RecordError(f"the contract nests, or refers to itself, beyond {MAX_DEPTH} levels")
+    def expand(piece: dict, place: _Place, trail: tuple[int, ...]) -> dict:
         if "$ref" in piece:
-            return expand(*place.at(piece["$ref"]), depth + 1)
+            target, there = place.at(piece["$ref"])
+            if id(target) in trail:
+                raise RecordError(f"the contract refers to itself by $ref {piece['$ref']!r}")
+            return expand(target, there, (*trail, id(target)))
         out = dict(piece)
         children = piece.get("properties")
         if isinstance(children, dict):
-            out["properties"] = {n: expand(c, place, depth + 1) for n, c in children.items() if isinstance(c, dict)}
+            out["properties"] = {n: expand(c, place, trail) for n, c in children.items() if isinstance(c, dict)}
         if isinstance(piece.get("items"), dict):
-            out["items"] = expand(piece["items"], place, depth + 1)
+            out["items"] = expand(piece["items"], place, trail)
         return out
 
-    return expand(contract, start, 0)
+    return expand(contract, start, ())
 
 
 def _problem(path: Column, rule: str, expected: object, found: Column) -> Column:
@@ -110,31 +117,37 @@ def _if(broken: Column, problem: Column) -> Column:
     return F.when(broken, problem).otherwise(_none())
 
 
-def _child(v: Column, name: str) -> Column:
-    """The value under a key: null only when the key is absent, for a JSON null is a variant."""
-    mark = '"' if "'" in name else "'"
+def _step(name: str) -> str | None:
+    """A key as a step of a path; None for a name that holds both kinds of quotes."""
     if "'" in name and '"' in name:
-        return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
-    return F.try_variant_get(v, f"$[{mark}{name}{mark}]", "variant")
-
+        return None
+    mark = '"' if "'" in name else "'"
+    return f"[{mark}{name}{mark}]"
 
-def _violations(v: Column, contract: dict, path: Column) -> Column:
-    """Problems of the variant ``v``, which is present. Its type is worked out once."""
-    return F.flatten(F.transform(F.array(variant_type(v)), lambda kind: _of_kind(v, kind, contract, path)))
 
+def _violations(root: Column, contract: dict, path: Column) -> Column:
+    """Problems of a variant that is present."""
+    parts = _checks(root, "$", contract, path)
+    return F.concat(*parts) if parts else _none()
 
-def _checker(contract: dict, path: Column) -> Callable[[Column], Column]:
-    return lambda v: _violations(v, contract, path)
 
+def _checks(root: Column, steps: str, contract: dict, path: Column) -> list[Column]:
+    """Problems of the value at ``steps`` below ``root``, one array per rule.
 
-def _of_kind(v: Column, kind: Column, contract: dict, path: Column) -> Column:
-    shown = F.to_json(v)
+    Values inside objects are read by their whole path, so a deep contract is a long list of flat
+    expressions; only lists nest. An absent value has no problems: a path through anything but
+    objects finds none.
+    """
+    v = root if steps == "$" else F.try_variant_get(root, steps, "variant")
+    present = F.lit(True) if steps == "$" else v.isNotNull()
+    kind, shown = variant_type(v), F.to_json(v)
     parts: list[Column] = []
     wanted = contract.get("type")
-    fits = F.lit(True)
+    fits = present
     if wanted is not None:
-        fits = kind.isin(*ACCEPTS.get(wanted, ("",)))
-        parts.append(_if(~fits, _problem(path, "type", wanted, F.when(kind == "list", "array").otherwise(kind))))
+        fits = present & kind.isin(*ACCEPTS.get(wanted, ("",)))
+        found = F.when(kind == "list", "array").otherwise(kind)
+        parts.append(_if(present & ~kind.isin(*ACCEPTS.get(wanted, ("",))), _problem(path, "type", wanted, found)))
     real = F.try_variant_get(v, "$", "double")
     numeric = kind.isin("integer", "number")
     for rule, beyond in (("minimum", lambda b: real < b), ("maximum", lambda b: real > b)):
@@ -144,7 +157,7 @@ def _of_kind(v: Column, kind: Column, contract: dict, path: Column) -> Column:
         allowed = _listed(shown, real, numeric, contract["enum"])
         parts.append(_if(fits & ~allowed, _problem(path, "enum", json.dumps(contract["enum"]), shown)))
     words = F.try_variant_get(v, "$", "string")
-    is_text = kind == "string"
+    is_text = present & (kind == "string")
     for rule, beyond in (
         ("minLength", lambda b: F.length(words) < b),
         ("maxLength", lambda b: F.length(words) > b),
@@ -153,16 +166,8 @@ def _of_kind(v: Column, kind: Column, contract: dict, path: Column) -> Column:
         if rule in contract:
             parts.append(_if(is_text & beyond(contract[rule]), _problem(path, rule, contract[rule], shown)))
 
-    is_object = fits & (kind == "object")
-    children = contract.get("properties") or {}
-    for name in contract.get("required", ()):
-        broken = is_object & _child(v, name).isNull()
-        parts.append(_if(broken, _problem(path, "required", name, F.lit(None).cast("string"))))
-    for name, child in children.items():
-        inner = F.filter(F.array(_child(v, name)), lambda x: x.isNotNull())
-        nested = F.transform(inner, _checker(child, F.concat(path, F.lit(f".{name}"))))
-        parts.append(_if(is_object, F.flatten(nested)))
-
+    if wanted in (None, "object"):
+        parts += _inside_object(root, steps, v, fits & (kind == "object"), contract, path)
     elements = F.try_variant_get(v, "$", "array<variant>")
     is_list = fits & (kind == "list")
     size = F.array_size(elements)
@@ -173,7 +178,27 @@ def _of_kind(v: Column, kind: Column, contract: dict, path: Column) -> Column:
         place = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
         each = F.transform(elements, lambda e, i: _violations(e, contract["items"], place(i)))
         parts.append(_if(is_list, F.flatten(each)))
-    return F.concat(*parts) if parts else _none()
+    return parts
+
+
+def _inside_object(root: Column, steps: str, v: Column, is_object: Column, contract: dict, path: Column) -> list[Column]:
+    parts = []
+    member = lambda name: F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
+    for name in contract.get("required", ()):
+        held = member(name) if _step(name) is None else F.try_variant_get(root, steps + _step(name), "variant")
+        parts.append(_if(is_object & held.isNull(), _problem(path, "required", name, F.lit(None).cast("string"))))
+    for name, child in (contract.get("properties") or {}).items():
+        below = F.concat(path, F.lit(f".{name}"))
+        if _step(name) is not None:
+            parts += _checks(root, steps + _step(name), child, below)
+        else:
+            inner = F.filter(F.array(member(name)), lambda x: x.isNotNull())
+            parts.append(_if(is_object, F.flatten(F.transform(inner, _checker(child, below)))))
+    return parts
+
+
+def _checker(contract: dict, path: Column) -> Callable[[Column], Column]:
+    return lambda v: _violations(v, contract, path)
 
 
 def _listed(shown: Column, real: Column, numeric: Column, allowed: Sequence[object]) -> Column:
@@ -237,43 +262,45 @@ def _children(nodes: Column) -> Column:
     return F.flatten(F.transform(nodes, below))
 
 
-def _depth(parsed: DataFrame) -> int:
-    """Levels of nesting in a column of variants, from the one schema that admits them all."""
-    merged = parsed.agg(F.schema_of_variant_agg("v").alias("s")).first()["s"] or ""
-    merged = re.sub(r"`[^`]*`", "", merged)  # names may hold any sign
-    depth = deepest = 1
-    for mark in re.findall(r"[<>]", merged):
-        depth += 1 if mark == "<" else -1
-        deepest = max(deepest, depth)
-    if depth != 1 or re.search(r"\bVARIANT\b", merged):  # mixed types hide what is below them
-        return MAX_DEPTH
-    return min(deepest, MAX_DEPTH)
-
-
 def observed_paths(df: DataFrame, json_column: str, max_depth: int | None = None) -> DataFrame:
-    """``path, parent, key, type, n``: how often each type occurs at each path.
+    """``path, parent, key, type, n``: how often each type occurs at each path, at every depth.
 
-    Without ``max_depth`` a first pass finds how deep the values go. Then every value of a row
-    is listed inside its task, and only counts per (path, type) are shuffled.
+    A pass lists ``LEVELS`` levels of a row inside its task, and only counts per (path, type) are
+    shuffled. What lies deeper is written aside and listed by the next pass, so the frame takes as
+    many jobs as the deepest value needs. ``max_depth`` stops at a level on purpose.
     """
-    parsed = df.select(F.try_parse_json(col(json_column)).alias("v")).filter(F.col("v").isNotNull())
-    max_depth = max_depth or _depth(parsed)
-    levels = parsed.select(F.array(_node(F.lit("$"), F.lit(None), F.lit(None), F.col("v"))).alias("l0"))
-    for depth in range(max_depth - 1):
-        levels = levels.withColumn(f"l{depth + 1}", _children(F.col(f"l{depth}")))
-    nodes = levels.select(F.inline(F.concat(*[F.col(f"l{d}") for d in range(max_depth)])))
-    found = nodes.select("path", "parent", "key", variant_type(F.col("v")).alias("type"))
-    return found.groupBy("path", "parent", "key", "type").agg(F.count("*").alias("n"))
-
-
-def generate(df: DataFrame, json_column: str) -> dict:
+    nodes = df.select(F.try_parse_json(col(json_column)).alias("v")).filter(F.col("v").isNotNull()).select(
+        _node(F.lit("$"), F.lit(None), F.lit(None), F.col("v")).alias("node")
+    )
+    found, left = None, max_depth
+    while True:
+        size = min(LEVELS, left or LEVELS)
+        levels = nodes.select(F.array("node").alias("l0"))
+        for depth in range(size):
+            levels = levels.withColumn(f"l{depth + 1}", _children(F.col(f"l{depth}")))
+        seen = Observation()
+        listed = levels.observe(seen, F.coalesce(F.sum(F.size(f"l{size}")), F.lit(0)).alias("below"))
+        listed = listed.select(F.inline(F.concat(*[F.col(f"l{d}") for d in range(size)])))
+        typed = listed.select("path", "parent", "key", variant_type(F.col("v")).alias("type"))
+        counts = stage(typed.groupBy("path", "parent", "key", "type").agg(F.count("*").alias("n")), "paths")
+        found = counts if found is None else found.unionByName(counts)
+        left = None if left is None else left - size
+        if left == 0 or not seen.get["below"]:
+            return found.groupBy("path", "parent", "key", "type").agg(F.sum("n").alias("n"))
+        texts = levels.select(F.inline(f"l{size}")).withColumn("v", F.to_json("v"))
+        deeper = stage(texts, "deeper")
+        nodes = deeper.select(_node(F.col("path"), F.col("parent"), F.col("key"), F.parse_json("v")).alias("node"))
+
+
+def generate(df: DataFrame, json_column: str, max_paths: int = MAX_PATHS) -> dict:
     """A candidate contract for the values of a JSON column.
 
-    Required are the keys every object at that place has; mixed types are left open.
+    Required are the keys every object at that place has; mixed types are left open. The contract
+    is a driver-side object: more than ``max_paths`` paths are refused, never cut.
     """
-    rows = observed_paths(df, json_column).limit(MAX_PATHS + 1).collect()
-    if len(rows) > MAX_PATHS:
-        raise RecordError(f"more than {MAX_PATHS} distinct paths; the objects are maps with open keys")
+    rows = observed_paths(df, json_column).limit(max_paths + 1).collect()
+    if len(rows) > max_paths:
+        raise RecordError(f"more than {max_paths} distinct paths; the objects are maps with open keys")
     kinds: dict[str, dict[str, int]] = {}
     children: dict[str, dict[str | None, str]] = {}
     for r in rows:

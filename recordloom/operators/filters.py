@@ -63,8 +63,35 @@ def predicate(c: Column, dtype: T.DataType, operator: str, value: object) -> Col
     raise RecordError(f"unknown operator {operator!r}; use eq ne gt gte lt lte regex in nin")
 
 
+def _at_the_scan(c: Column, dtype: T.DataType, operator: str, value: object) -> Column | None:
+    """The same condition in the column's own type, which a scan can use; None where it is not the same.
+
+    It is null where the general one is false, so it serves to include only.
+    """
+    orders = {"gt": lambda b: c > b, "gte": lambda b: c >= b, "lt": lambda b: c < b, "lte": lambda b: c <= b}
+    if operator in orders and isinstance(dtype, T.NumericType):
+        bound = float(value)
+        whole = isinstance(dtype, T.IntegralType) and bound.is_integer() and abs(bound) < 2**53
+        if whole or isinstance(dtype, T.DoubleType):
+            return orders[operator](F.lit(int(bound) if whole else bound).cast(dtype if abs(bound) < 2**31 else "bigint"))
+    words = [str(value)] if operator == "eq" else value if operator == "in" and not isinstance(value, str) else None
+    if operator == "in" and isinstance(value, str):
+        words = [w.strip() for w in value.split(",")]
+    if isinstance(dtype, T.StringType) and words and "None" not in map(str, words):
+        return c.isin(*map(str, words))
+    if isinstance(dtype, T.IntegralType) and words and all(str(w) == str(int(w)) for w in words if str(w).lstrip("-").isdigit()):
+        numbers = [int(w) for w in words if str(w).lstrip("-").isdigit()]
+        if len(numbers) == len(words) and all(abs(n) < 2**31 for n in numbers):
+            return c.isin(*numbers)
+    return None
+
+
 def filter_by(df: DataFrame, path: str, operator: str, value: object, mode: str = "include") -> DataFrame:
     """Rows that meet the condition, or with ``mode='exclude'`` those that do not."""
     c, dtype = field(df, path)
+    if mode == "include":
+        typed = _at_the_scan(c, dtype, operator, value)
+        if typed is not None:
+            return df.filter(typed)
     held = predicate(c, dtype, operator, value)
     return df.filter(held if mode == "include" else ~held)

@@ -16,7 +16,6 @@ DIFF_FIELDS = (
     "status", "exit_code", "steps_run", "steps_failed", "steps_skipped", "cache_hits", "retries", "duration_ms",
 )
 CANDIDATES = 5
-KEEP_AT_ONCE = 100_000
 
 
 def recent(
@@ -68,30 +67,16 @@ def retention_by_count(
 ) -> DataFrame:
     """Runs to drop: all but the newest ``keep``, per scope; pinned ones are exempt and not counted.
 
-    The ``keep`` newest are found with a per-task limit first, then the rest is what is older
-    than the last of them; a very large ``keep`` numbers the rows instead. No scope is ever
-    sorted whole in one task.
+    Exactly ``keep`` runs stay, also among ties, which go by arrival; a null time is the oldest. The
+    runs are laid out by scope and time over many tasks and numbered there, so neither a large
+    ``keep`` nor a scope that holds most of the runs meets in one.
     """
     free = runs if pinned is None else runs.filter(~F.coalesce(col(pinned).cast("boolean"), F.lit(False)))
     if keep <= 0:
         return free
-    place = F.struct(col(time), col(tie))
-    if not scope and keep > KEEP_AT_ONCE:
-        ranked = ordering.number_rows(free, [time, tie], "__n", descending=True)
-        return ranked.filter(F.col("__n") > keep).drop("__n")
-    if not scope:
-        newest = free.orderBy(col(time).desc(), col(tie).desc()).limit(keep).agg(F.min(place).alias("edge"))
-        # The edge travels as text, so that no time zone of the driver touches it.
-        edge = newest.select(*[F.col("edge")[n].cast("string").alias(n) for n in (time, tie)]).first()
-        if edge[time] is None:
-            return free.limit(0)
-        at, at_tie = (F.lit(edge[n]).cast(runs.schema[n].dataType) for n in (time, tie))
-        return free.filter((col(time) < at) | ((col(time) == at) & (col(tie) < at_tie)))
-    newest = ordering.top_k(free.select(*[col(s) for s in scope], col(time), col(tie)), scope, [time, tie], keep)
-    edges = newest.groupBy(*[col(s).alias(f"__s_{s}") for s in scope]).agg(F.min(place).alias("__from"))
-    same = [free[f"`{s}`"].eqNullSafe(edges[f"`__s_{s}`"]) for s in scope]
-    joined = free.join(edges, same, "inner").filter(place < F.col("__from"))
-    return joined.select(*[col(c) for c in runs.columns])
+    down = [time, tie]
+    ranked = ordering.number_within(free, scope, down, "__n", down) if scope else ordering.number_rows(free, down, "__n", descending=down)
+    return ranked.filter(F.col("__n") > keep).select(*[col(c) for c in runs.columns])
 
 
 def retention_by_size(

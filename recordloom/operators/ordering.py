@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from recordloom.errors import RecordError, require_columns
@@ -22,7 +23,8 @@ CHUNK, PLACE, ARRIVAL = "__chunk", "__place", "__arrival"
 _MARKS = (CHUNK, PLACE, ARRIVAL)
 _PLACE_MASK = (1 << 33) - 1
 HALO_ROWS = 100_000
-GROUP_LIMIT = 1000
+#: Parts a key is dealt over before its first rows meet.
+TOP_PARTS = 64
 
 
 def _directed(names: Sequence[str], descending: bool | Sequence[str]) -> list[Column]:
@@ -30,6 +32,30 @@ def _directed(names: Sequence[str], descending: bool | Sequence[str]) -> list[Co
     return [col(n).desc() if n in down else col(n).asc() for n in names]
 
 
+#: Bytes of one chunk, by the size estimate of the plan.
+CHUNK_BYTES = 256 << 20
+
+
+def _chunks(df: DataFrame) -> int:
+    """Chunks for a frame: the session's shuffle partitions, or more where the inputs' sizes ask for them.
+
+    The sizes of the plan's leaves are added up; a leaf of unknown size counts for nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(size for size in sizes if size < 1 << 55)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // CHUNK_BYTES))
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """A broadcast hint for a table of a few rows per chunk, if no column of it can be wide.
+
+    With texts or nested values among the keys the choice is left to Spark's size estimates.
+    """
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
+    return F.broadcast(df) if all(isinstance(f.dataType, fixed) for f in df.schema.fields) else df
+
+
 def sequence_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -50,7 +76,7 @@ def sequence_rows(
     if not unique:
         layout.append(F.col(ARRIVAL).asc())
     placed = (
-        df.repartitionByRange(*layout)
+        df.repartitionByRange(_chunks(df), *layout)
         .sortWithinPartitions(*layout)
         .withColumn(CHUNK, F.spark_partition_id())
         .withColumn(PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE_MASK)))
@@ -79,7 +105,7 @@ def spanning_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not keys:
         return rows
     spanning = _spanning_keys(rows, keys)
-    return rows.join(F.broadcast(spanning), _same(rows, spanning, keys), "left_semi")
+    return rows.join(_bounded(spanning), _same(rows, spanning, keys), "left_semi")
 
 
 def carry(
@@ -110,7 +136,7 @@ def with_carry(
     ``source`` may give the spanning rows with the same columns, when those are cheaper to make.
     """
     before = carry(rows if source is None else source, keys, parts)
-    joined = rows.join(F.broadcast(before), _same(rows, before, [*keys, CHUNK]), "left")
+    joined = rows.join(_bounded(before), _same(rows, before, [*keys, CHUNK]), "left")
     return joined.drop(*[f"__k_{k}" for k in [*keys, CHUNK]])
 
 
@@ -167,7 +193,7 @@ def _numbered(rows: DataFrame, column: str, start: int) -> DataFrame:
     before = W.orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(CHUNK, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
     return (
-        rows.join(F.broadcast(offsets), CHUNK)
+        rows.join(_bounded(offsets), CHUNK)
         .withColumn(column, F.col("__offset") + F.col(PLACE) + F.lit(start))
         .drop("__offset")
     )
@@ -220,18 +246,20 @@ def keep_first(df: DataFrame, by: Sequence[str], order_by: Sequence[str], last:
 def top_k(
     df: DataFrame, by: Sequence[str], order_by: Sequence[str], k: int, descending: bool | Sequence[str] = True
 ) -> DataFrame:
-    """The first ``k`` rows per key in order, with their ``rank``.
+    """The first ``k`` rows per key in order, with their ``rank``; ties by arrival.
 
-    Up to 1000 Spark cuts each task to ``k`` rows per key before the shuffle; beyond that the
-    rows of a key are numbered over many tasks instead.
+    A key is dealt over ``TOP_PARTS`` parts. Each task cuts a part to ``k`` rows before the shuffle,
+    each part is cut again, and at most ``k`` rows of each part meet in the end.
     """
     if k < 1:
         raise RecordError("top_k needs k of at least 1")
-    if k > GROUP_LIMIT:
-        return number_within(df, by, order_by, "rank", descending=descending).filter(F.col("rank") <= k)
-    ranked = W.partitionBy(*[col(b) for b in by]).orderBy(*_directed(order_by, descending))
-    cut = df.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-    return cut.withColumn("rank", F.col("rank").cast("long"))
+    keys, order = [col(b) for b in by], [*_directed(order_by, descending), F.col(ARRIVAL).asc()]
+    rows = df.withColumn(ARRIVAL, F.monotonically_increasing_id())
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(ARRIVAL), F.lit(TOP_PARTS)))
+    rank = lambda window: F.row_number().over(window.orderBy(*order))
+    cut = rows.withColumn("rank", rank(W.partitionBy(*keys, "__part"))).filter(F.col("rank") <= k)
+    cut = cut.withColumn("rank", rank(W.partitionBy(*keys))).filter(F.col("rank") <= k)
+    return cut.drop(ARRIVAL, "__part").withColumn("rank", F.col("rank").cast("long"))
 
 
 def trailing(

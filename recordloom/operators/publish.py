@@ -1,4 +1,4 @@
-"""All-or-nothing publication, recovery, content digests and reuse of stored results."""
+"""All-or-nothing publication by generations, content digests and reuse of stored results."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.errors import GateFailed
+from recordloom.errors import GateFailed, RecordError
 from recordloom.operators.schema import col
 
 _HEX = 15
@@ -34,26 +34,56 @@ def _canonical(c: Column, dtype: T.DataType) -> Column:
     return c
 
 
+def _cells(df: DataFrame) -> tuple[str, Column]:
+    """The names and types of a frame, and one text per row: cells in name order, null apart from empty."""
+    nested = (T.MapType, T.StructType, T.ArrayType, T.VariantType)
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    cells = []
+    for f in fields:
+        if isinstance(f.dataType, nested):
+            held = F.to_json(F.struct(_canonical(col(f.name), f.dataType).alias("v")), {"ignoreNullFields": "false"})
+            cells.append(F.when(col(f.name).isNull(), "n").otherwise(F.concat(F.lit("v"), held)))
+        else:
+            cells.append(F.coalesce(F.concat(F.lit("v"), col(f.name).cast("string")), F.lit("n")))
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields), F.concat_ws("\x1f", *cells)
+
+
+def _sums(df: DataFrame) -> tuple[str, list[Column]]:
+    """Count and two exact sums over halves of each row's MD5: they need no order and merge freely."""
+    tags, text = _cells(df)
+    hashed = F.md5(text)
+    halves = [F.conv(F.substring(hashed, at, _HEX), 16, 10).cast("decimal(38,0)") for at in (1, 1 + _HEX)]
+    sums = [F.coalesce(F.sum(half), F.lit(0)).cast("string").alias(f"sum{i}") for i, half in enumerate(halves)]
+    return tags, [F.count(F.lit(1)).alias("rows"), *sums]
+
+
+def _digest(tags: str, found: dict) -> str:
+    return hashlib.md5(f"{tags}|{found['rows']}|{found['sum0']}|{found['sum1']}".encode()).hexdigest()
+
+
 def table_digest(df: DataFrame) -> DataFrame:
     """``rows, digest``: the same for the same rows in any order, any partitioning, any column order.
 
-    Each row is hashed with its column names and types; the hashes are summed exactly.
+    Each row is hashed as text; the hashes are summed exactly and sealed with names and types.
     """
-    fields = sorted(df.schema.fields, key=lambda f: f.name)
-    tags = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
-    row = F.struct(*[_canonical(col(f.name), f.dataType).alias(f.name) for f in fields])
-    text = F.concat(F.lit(tags), F.lit("|"), F.to_json(row, {"ignoreNullFields": "false"}))
-    number = F.conv(F.substring(F.sha2(text, 256), 1, _HEX), 16, 10).cast("decimal(38,0)")
-    total = F.coalesce(F.sum(number).cast("string"), F.lit("0"))
-    return df.agg(F.count("*").alias("rows"), total.alias("__sum")).select(
-        "rows", F.sha2(F.concat(F.lit(tags + "|"), F.col("rows").cast("string"), F.lit("|"), F.col("__sum")), 256).alias("digest")
-    )
+    tags, parts = _sums(df)
+    sealed = F.md5(F.concat_ws("|", F.lit(tags), F.col("rows").cast("string"), "sum0", "sum1"))
+    return df.agg(*parts).select("rows", sealed.alias("digest"))
 
 
 def digest_of(df: DataFrame) -> str:
     return table_digest(df).first()["digest"]
 
 
+def write_digested(df: DataFrame, path: str) -> dict:
+    """Write a frame as Parquet; its ``path, rows, digest``, observed while it was written."""
+    tags, parts = _sums(df)
+    seen = Observation()
+    df.observe(seen, *parts).write.mode("errorifexists").parquet(path)
+    found = seen.get
+    return {"path": path, "rows": found["rows"], "digest": _digest(tags, found)}
+
+
 # -- files ------------------------------------------------------------------------
 
 
@@ -62,6 +92,7 @@ class Files:
 
     def __init__(self, spark: SparkSession) -> None:
         self._jvm = spark._jvm
+        self._gateway = spark.sparkContext._gateway
         self._conf = spark._jsc.hadoopConfiguration()
 
     def _at(self, path: str):
@@ -72,26 +103,23 @@ class Files:
         fs, p = self._at(path)
         return fs.exists(p)
 
-    def move(self, source: str, target: str) -> bool:
-        fs, p = self._at(source)
-        to = self._jvm.org.apache.hadoop.fs.Path(target)
-        fs.mkdirs(to.getParent())
-        return fs.rename(p, to)
-
     def remove(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
 
     def write_text(self, path: str, text: str) -> None:
-        """Write beside the target, then move into place."""
+        """Write aside, then take the place of ``path`` in one step: a reader meets the old text or the new."""
         scratch = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
         fs, p = self._at(scratch)
         stream = fs.create(p, True)
         stream.write(bytearray(text.encode("utf-8")))
         stream.close()
-        if fs.exists(self._jvm.org.apache.hadoop.fs.Path(path)):
-            self.remove(path)
-        self.move(scratch, path)
+        fs_class = self._jvm.org.apache.hadoop.fs
+        over = fs_class.Options.Rename.OVERWRITE
+        ways = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        ways[0] = over
+        context = fs_class.FileContext.getFileContext(p.toUri(), self._conf)
+        context.rename(fs.makeQualified(p), fs.makeQualified(fs_class.Path(path)), ways)
 
     def read_text(self, path: str) -> str:
         fs, p = self._at(path)
@@ -101,14 +129,6 @@ class Files:
         finally:
             stream.close()
 
-    def first_line(self, path: str) -> str:
-        fs, p = self._at(path)
-        reader = self._jvm.java.io.BufferedReader(self._jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
-        try:
-            return reader.readLine() or ""
-        finally:
-            reader.close()
-
     def list(self, pattern: str) -> list[str]:
         fs, p = self._at(pattern)
         found = fs.globStatus(p)
@@ -118,142 +138,122 @@ class Files:
 # -- publication ------------------------------------------------------------------
 
 Gate = Callable[[DataFrame], DataFrame]
+POINTER, SEAL = "current.txt", "sealed.json"
 
 
-@dataclass
-class Published:
-    generation: str
-    published: list[str] = field(default_factory=list)
-    interrupted: list[str] = field(default_factory=list)
-    manifest: str | None = None
+@dataclass(frozen=True)
+class Generation:
+    """A published set of outputs: where each lies, its rows and its digest."""
 
+    name: str
+    outputs: dict[str, dict]
 
-def _manifest(folder: str, workflow: str) -> str:
-    return f"{folder.rstrip('/')}/{workflow}.json"
 
+@dataclass(frozen=True)
+class Standing:
+    """What a publication folder holds.
 
-def _generation(files: Files, path: str) -> str | None:
-    return json.loads(files.read_text(path))["generation"] if files.exists(path) else None
+    ``current`` is what the pointer names and ``sound`` whether that is sealed and, if asked,
+    unchanged; ``ready`` are sealed generations the pointer never reached or has left, ``torn``
+    those whose writing was cut off.
+    """
 
+    current: str | None
+    sound: bool
+    ready: tuple[str, ...]
+    torn: tuple[str, ...]
 
-def _replace(files: Files, staged: str, target: str, generation: str) -> bool:
-    """Put the staged folder in place of the target; the old one is kept until that is done."""
-    old = f"{target}.replaced-{generation}"
-    if files.exists(target) and not files.move(target, old):
-        return False
-    if not files.move(staged, target):
-        if files.exists(old):
-            files.move(old, target)
-        return False
-    if files.exists(old):
-        files.remove(old)
-    return True
 
+def _home(folder: str, generation: str) -> str:
+    return f"{folder.rstrip('/')}/generations/{generation}"
 
-def stage_outputs(
-    outputs: dict[str, tuple[DataFrame, str]], gates: dict[str, Gate], workflow: str, run_id: str, folder: str
-) -> tuple[str, dict[str, dict[str, str]]]:
-    """Write every output beside its target, check the written data, record the intent."""
-    spark = next(iter(outputs.values()))[0].sparkSession
-    files = Files(spark)
-    generation = f"{run_id}-{uuid.uuid4().hex[:8]}"
-    ports: dict[str, dict[str, str]] = {}
-    failed: list[str] = []
-    for name in sorted(outputs):
-        frame, target = outputs[name]
-        target = target.rstrip("/")
-        staged = f"{target}.staged-{generation}"
-        frame.write.mode("errorifexists").parquet(staged)
-        written = spark.read.parquet(staged)
-        ports[name] = {"staged": staged, "target": target, "digest": digest_of(written)}
-        if name in gates:
-            failed += [f"{name}.{r['check']} (found {r['found']})" for r in gates[name](written).collect() if not r["ok"]]
-    if failed:
-        for port in ports.values():
-            files.remove(port["staged"])
-        raise GateFailed("nothing was published: " + "; ".join(failed))
-    manifest = _manifest(folder, workflow)
-    intent = {
-        "workflow": workflow, "run_id": run_id, "generation": generation,
-        "previous": _generation(files, manifest), "ports": ports,
-    }
-    files.write_text(f"{folder.rstrip('/')}/{workflow}.{generation}.pending.json", json.dumps(intent, indent=2, sort_keys=True))
-    return generation, ports
-
-
-def publish_validated(
-    outputs: dict[str, tuple[DataFrame, str]], gates: dict[str, Gate], workflow: str, run_id: str, folder: str
-) -> Published:
-    """Publish every output, or nothing when any gate fails on the data as written.
-
-    ``outputs`` maps a name to (frame, target folder); ``gates`` maps a name to a function
-    that gives ``check, ok, found`` rows, such as ``quality.gate``. Targets are replaced one
-    by one in name order; the manifest lists those that moved and is the commit point.
+
+def _sealed(files: Files, folder: str, generation: str) -> Generation | None:
+    note = f"{_home(folder, generation)}/{SEAL}"
+    return Generation(generation, json.loads(files.read_text(note))) if files.exists(note) else None
+
+
+def _pointed(files: Files, folder: str) -> str | None:
+    pointer = f"{folder.rstrip('/')}/{POINTER}"
+    return files.read_text(pointer).strip() if files.exists(pointer) else None
+
+
+def prepare(outputs: dict[str, DataFrame], gates: dict[str, Gate], folder: str, run_id: str) -> Generation:
+    """Write a generation into its own folder, check what was written, and seal it.
+
+    A gate gives ``check, ok, found`` rows, such as ``quality.gate``. If one fails, the folder
+    goes and ``GateFailed`` tells which. Nobody reads a generation before the pointer names it.
     """
-    spark = next(iter(outputs.values()))[0].sparkSession
+    spark = next(iter(outputs.values())).sparkSession
+    files, name = Files(spark), f"{run_id}-{uuid.uuid4().hex[:8]}"
+    home = _home(folder, name)
+    written = {o: write_digested(frame, f"{home}/{o}") for o, frame in outputs.items()}
+    broken = [
+        f"{o}.{r['check']} (found {r['found']})"
+        for o in sorted(gates) if o in written
+        for r in gates[o](spark.read.parquet(written[o]["path"])).collect() if not r["ok"]
+    ]
+    if broken:
+        files.remove(home)
+        raise GateFailed("nothing was published: " + "; ".join(broken))
+    files.write_text(f"{home}/{SEAL}", json.dumps(written, indent=2, sort_keys=True))
+    return Generation(name, written)
+
+
+def switch(spark: SparkSession, folder: str, generation: str) -> Generation:
+    """Let the pointer name a sealed generation: one small file is replaced, no data moves."""
     files = Files(spark)
-    generation, ports = stage_outputs(outputs, gates, workflow, run_id, folder)
-    result = Published(generation)
-    for name, port in sorted(ports.items()):
-        moved = _replace(files, port["staged"], port["target"], generation)
-        (result.published if moved else result.interrupted).append(name)
-    if result.published:
-        result.manifest = _write_manifest(files, folder, workflow, run_id, generation, ports, result.published)
-    files.remove(f"{folder.rstrip('/')}/{workflow}.{generation}.pending.json")
-    return result
-
-
-def _write_manifest(files: Files, folder, workflow, run_id, generation, ports, names) -> str:
-    path = _manifest(folder, workflow)
-    done = {n: {"target": ports[n]["target"], "digest": ports[n]["digest"]} for n in sorted(names)}
-    body = {"workflow": workflow, "run_id": run_id, "generation": generation, "files": done}
-    files.write_text(path, json.dumps(body, indent=2, sort_keys=True))
-    return path
-
-
-@dataclass
-class Recovery:
-    found: bool
-    completed: list[str] = field(default_factory=list)
-    already_committed: list[str] = field(default_factory=list)
-    tampered: list[str] = field(default_factory=list)
-    ambiguous: bool = False
-    generation: str | None = None
-
-    @property
-    def ok(self) -> bool:
-        return self.found and not self.tampered and not self.ambiguous
-
-
-def recover_publication(spark: SparkSession, workflow: str, folder: str) -> Recovery:
-    """Finish or report the oldest publication of ``workflow`` that was cut off.
-
-    Outputs still staged are moved; those already moved are checked by content digest. When
-    another generation has been published since, nothing is touched.
-    """
+    sealed = _sealed(files, folder, generation)
+    if sealed is None:
+        raise RecordError(f"{generation!r} is no sealed generation of {folder}")
+    files.write_text(f"{folder.rstrip('/')}/{POINTER}", generation)
+    return sealed
+
+
+def publish_validated(outputs: dict[str, DataFrame], gates: dict[str, Gate], folder: str, run_id: str) -> Generation:
+    """Publish every output, or nothing when any gate fails on the data as written."""
+    spark = next(iter(outputs.values())).sparkSession
+    return switch(spark, folder, prepare(outputs, gates, folder, run_id).name)
+
+
+def published(spark: SparkSession, folder: str, output: str) -> DataFrame:
+    """An output of the generation the pointer names. A frame once read stays with its generation."""
     files = Files(spark)
-    pending = files.list(f"{folder.rstrip('/')}/{workflow}.*.pending.json")
-    if not pending:
-        return Recovery(found=False)
-    intent = json.loads(files.read_text(pending[0]))
-    generation, ports = intent["generation"], intent["ports"]
-    current = _generation(files, _manifest(folder, workflow))
-    if current not in (intent["previous"], generation):
-        return Recovery(found=True, ambiguous=True, generation=generation)
-    out = Recovery(found=True, generation=generation)
-    for name, port in sorted(ports.items()):
-        if files.exists(port["staged"]):
-            if _replace(files, port["staged"], port["target"], generation):
-                out.completed.append(name)
-        elif files.exists(port["target"]) and digest_of(spark.read.parquet(port["target"])) == port["digest"]:
-            out.already_committed.append(name)
-        else:
-            out.tampered.append(name)
-    settled = out.completed + out.already_committed
-    if settled:
-        _write_manifest(files, folder, workflow, intent["run_id"], generation, ports, settled)
-    files.remove(pending[0])
-    return out
+    name = _pointed(files, folder)
+    sealed = _sealed(files, folder, name) if name else None
+    if sealed is None or output not in sealed.outputs:
+        raise RecordError(f"{folder} publishes no output {output!r}")
+    return spark.read.parquet(sealed.outputs[output]["path"])
+
+
+def standing(spark: SparkSession, folder: str, verify: bool = False) -> Standing:
+    """What is published, what is ready and what was cut off; ``verify`` reads the current data once."""
+    files = Files(spark)
+    current = _pointed(files, folder)
+    names = [path.rsplit("/", 1)[-1] for path in files.list(f"{folder.rstrip('/')}/generations/*")]
+    sealed = {n: _sealed(files, folder, n) for n in names}
+    held = sealed.get(current)
+    sound = held is not None and all(files.exists(o["path"]) for o in held.outputs.values())
+    if sound and verify:
+        sound = all(digest_of(spark.read.parquet(o["path"])) == o["digest"] for o in held.outputs.values())
+    return Standing(
+        current, sound, tuple(n for n in names if sealed[n] and n != current), tuple(n for n in names if not sealed[n])
+    )
+
+
+def recover_publication(spark: SparkSession, folder: str, verify: bool = False) -> Standing:
+    """Remove what was cut off before it was sealed; what the pointer names is not touched.
+
+    A crash before the pointer moved leaves the old generation published and the new one torn or
+    ready; ``switch`` publishes a ready one, here nothing is published that was not before.
+    """
+    found = standing(spark, folder, verify)
+    for name in found.torn:
+        Files(spark).remove(_home(folder, name))
+    return found
+
+
+# -- stored results ---------------------------------------------------------------
 
 
 def materialize_or_reuse(
@@ -261,7 +261,8 @@ def materialize_or_reuse(
 ) -> tuple[DataFrame, bool]:
     """The stored result for (name, version, input digests), or a new one; with whether it was reused.
 
-    A stored result counts only if its data still has the digest that was recorded.
+    A stored result counts only if its files are those that were written: their names are unique to
+    a write, so the listing tells without reading the data.
     """
     files = Files(spark)
     identity = json.dumps({"name": name, "version": version, "inputs": inputs}, sort_keys=True)
@@ -270,12 +271,14 @@ def materialize_or_reuse(
     note = f"{base}.json"
     if files.exists(note):
         kept = json.loads(files.read_text(note))
-        if files.exists(kept["path"]):
-            stored = spark.read.parquet(kept["path"])
-            if digest_of(stored) == kept["digest"]:
-                return stored, True
+        if files.exists(kept["path"]) and _listing(files, kept["path"]) == kept["files"]:
+            return spark.read.parquet(kept["path"]), True
     path = f"{base}-{uuid.uuid4().hex[:8]}"
-    build().write.parquet(path)
-    stored = spark.read.parquet(path)
-    files.write_text(note, json.dumps({"path": path, "digest": digest_of(stored), "identity": identity}))
-    return stored, False
+    record = write_digested(build(), path)
+    files.write_text(note, json.dumps({**record, "files": _listing(files, path), "identity": identity}))
+    return spark.read.parquet(path), False
+
+
+def _listing(files: Files, path: str) -> str:
+    names = [f.rsplit("/", 1)[-1] for f in files.list(f"{path}/*")]
+    return hashlib.md5("\n".join(names).encode()).hexdigest()

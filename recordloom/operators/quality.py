@@ -179,16 +179,17 @@ def profile(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame, approximate: bool = False) -> DataFrame:
     """``column, count, nulls, distinct, min, max, mean``; the last three for numbers only.
 
-    Exact distinct counts deduplicate on the map side, then shuffle one row per value;
-    ``approximate`` uses a sketch and needs no shuffle of values.
+    Counts, bounds and means are one pass. For exact distinct counts the values of all columns
+    are stacked as (column, text) pairs, of which each task sends every pair once; a row is never
+    copied whole. ``approximate`` uses a sketch in the first pass instead.
     """
     names = df.columns
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     parts: list[Column] = [F.count("*").alias("rows")]
     for i, n in enumerate(names):
         c = col(n)
-        value = F.to_json(c) if isinstance(df.schema[n].dataType, (T.MapType, T.VariantType)) else c
-        parts += [F.count(c).alias(f"c{i}"), distinct(value).alias(f"d{i}")]
+        parts.append(F.count(c).alias(f"c{i}"))
+        if approximate:
+            parts.append(F.approx_count_distinct(_value_text(c, df.schema[n].dataType)).alias(f"d{i}"))
         if isinstance(df.schema[n].dataType, T.NumericType):
             parts += [
                 F.min(c).cast("double").alias(f"l{i}"),
@@ -199,15 +200,33 @@ def describe(df: DataFrame, approximate: bool = False) -> DataFrame:
     none = F.lit(None).cast("double")
     lines = [
         F.struct(
+            F.lit(i).alias("place"),
             F.lit(n).alias("column"),
             F.col(f"c{i}").alias("count"),
             (F.col("rows") - F.col(f"c{i}")).alias("nulls"),
-            F.col(f"d{i}").alias("distinct"),
+            (F.col(f"d{i}") if approximate else F.lit(0).cast("long")).alias("distinct"),
             *[(F.col(f"{mark}{i}") if numeric[i] else none).alias(name) for mark, name in (("l", "min"), ("h", "max"), ("m", "mean"))],
         )
         for i, n in enumerate(names)
     ]
-    return df.agg(*parts).select(F.inline(F.array(*lines)))
+    found = df.agg(*parts).select(F.inline(F.array(*lines)))
+    kept = ["column", "count", "nulls", "distinct", "min", "max", "mean"]
+    if approximate:
+        return found.select(*kept)
+    pairs = [F.struct(F.lit(i).alias("place"), _value_text(col(n), df.schema[n].dataType).alias("text")) for i, n in enumerate(names)]
+    stacked = df.select(F.inline(F.array(*pairs))).filter("text is not null").groupBy("place", "text").agg(F.lit(1).alias("one"))
+    distinct = stacked.groupBy("place").agg(F.count("*").alias("held"))
+    joined = found.join(distinct, "place", "left").withColumn("distinct", F.coalesce("held", F.lit(0).cast("long")))
+    return joined.select(*kept)
+
+
+def _value_text(c: Column, dtype: T.DataType) -> Column:
+    """Text that is the same for equal values: both zeros are one."""
+    if isinstance(dtype, (T.MapType, T.VariantType, T.StructType, T.ArrayType)):
+        return F.when(c.isNotNull(), F.to_json(F.struct(c.alias("v"))))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.when(c == 0, "0.0").otherwise(c.cast("string"))
+    return c.cast("string")
 
 
 def redact(df: DataFrame, secrets: Sequence[str]) -> DataFrame:

@@ -131,8 +131,8 @@ def word_frequency(df: DataFrame, text: str, top: int | None = None) -> DataFram
 def shares(df: DataFrame, by: str) -> DataFrame:
     """``by, count, share``: each value's part of all rows, in percent to one place."""
     counts = df.groupBy(col(by)).agg(F.count("*").alias("count"))
-    total = df.count()
-    return counts.withColumn("share", F.round(F.col("count") / F.lit(max(total, 1)) * 100, 1))
+    total = counts.agg(F.sum("count").alias("__total"))
+    return counts.join(F.broadcast(total)).withColumn("share", F.round(F.col("count") / F.col("__total") * 100, 1)).drop("__total")
 
 
 def completion_rate(df: DataFrame, by: str, done: Column) -> DataFrame:

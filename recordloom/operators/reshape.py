@@ -18,13 +18,14 @@ from recordloom.operators.schema import col
 # The keys a list of records is commonly wrapped in, in order of preference.
 ENVELOPES = ("data", "items", "results", "records", "rows")
 MAX_DEPTH = 12
+#: Bound of the schema that ``expand_maps`` makes on the driver; more keys are refused, never cut.
 MAX_MAP_KEYS = 10_000
 
 
 def records(df: DataFrame, search: bool = False) -> DataFrame:
-    """The rows inside a frame of documents.
+    """The rows inside a frame of documents; call it where rows are known to be whole documents.
 
-    The first envelope name that holds a list wins; with ``search`` any other list of
+    Ordinary rows may hold a list of that name too, and would lose their other columns. The first envelope name that holds a list wins; with ``search`` any other list of
     objects is taken next. A frame without either is its own rows. List elements that are
     not objects become a column named ``value``.
     """
@@ -49,7 +50,7 @@ def flatten(
     """Nested objects to ``a_b`` columns, depth first.
 
     Lists of scalars become comma-joined text, other lists JSON text, empty lists null.
-    Objects deeper than ``max_depth`` stay. A name already taken gets ``_2``, ``_3``.
+    Objects deeper than ``max_depth`` stay. A name already taken, in whatever case, gets ``_2``, ``_3``.
     ``expand_maps`` gives each key of a top-level map its own column (one pass to find them).
     """
     for name in [explode] if isinstance(explode, str) else list(explode or []):
@@ -70,7 +71,8 @@ def _walk(
             _walk(f"{name}{sep}{f.name}", c[f.name], f.dataType, sep, max_depth, depth + 1, out)
         return
     place, index = name, 2
-    while place in out:
+    taken = {n.lower() for n in out}  # tables and files tell names apart without case
+    while place.lower() in taken:
         place, index = f"{name}_{index}", index + 1
     out[place] = _cell(c, dtype)
 
@@ -125,9 +127,9 @@ def explode(df: DataFrame, name: str) -> DataFrame:
     return flatten(explode_rows(df, name))
 
 
-def to_table(df: DataFrame) -> DataFrame:
-    """The records inside a frame, flattened."""
-    return flatten(records(df))
+def to_table(df: DataFrame, documents: bool = False) -> DataFrame:
+    """The rows, flattened; with ``documents`` the records inside them."""
+    return flatten(records(df) if documents else df)
 
 
 def extract_column(

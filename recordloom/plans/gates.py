@@ -13,9 +13,18 @@ SECRETS = ("example.com", "exam", "http://", "track(0)")
 
 
 @query("""
-SELECT * FROM (VALUES ('o_clerk', 'missing', 'string', NULL), ('o_orderstatus', 'type', 'number', 'string'),
-  ('o_custkey', 'extra', NULL, 'integer'), ('o_orderdate', 'extra', NULL, 'datetime'))
-  v("column", problem, expected, found) WHERE (SELECT count(o_orderstatus) FROM orders) > 0
+WITH kinds AS (
+  SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name,
+         unnest([any_value(typeof(o_orderkey)), any_value(typeof(o_custkey)), any_value(typeof(o_orderstatus)),
+                 any_value(typeof(o_totalprice)), any_value(typeof(o_orderdate)), any_value(typeof(o_orderpriority))]) AS kind
+  FROM orders),
+held AS (SELECT name, CASE WHEN kind IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN kind = 'DOUBLE' THEN 'number'
+                           WHEN kind = 'VARCHAR' THEN 'string' ELSE 'datetime' END AS kind FROM kinds),
+wanted(name, kind) AS (VALUES ('o_orderkey', 'integer'), ('o_totalprice', 'number'), ('o_orderpriority', 'string'), ('o_clerk', 'string'), ('o_orderstatus', 'number'))
+SELECT coalesce(w.name, h.name) AS "column",
+       CASE WHEN h.name IS NULL THEN 'missing' WHEN w.name IS NULL THEN 'extra' ELSE 'type' END AS problem, w.kind AS expected, h.kind AS found
+FROM wanted w FULL JOIN held h ON w.name = h.name
+WHERE w.kind IS DISTINCT FROM h.kind
 """)
 def check_schema(t: Tables) -> DataFrame:
     wanted = {
@@ -128,6 +137,22 @@ def contract_generate(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "path string, type string, required string")
 
 
+DEEP = 40
+
+
+@query(
+    f"WITH RECURSIVE levels(i) AS (SELECT 0 UNION ALL SELECT i + 1 FROM levels WHERE i < {DEEP - 1})"
+    """
+SELECT '$' || repeat('.a', i) AS path, 'object' AS type, (SELECT count(*) FROM region) AS n FROM levels
+UNION ALL SELECT '$' || repeat('.a', max(i)) || '.leaf', 'integer', (SELECT count(*) FROM region) FROM levels
+"""
+)
+def observed_paths_deep(t: Tables) -> DataFrame:
+    """Documents of forty levels around a region's key: every level is found."""
+    body = F.concat(F.lit('{"a":' * (DEEP - 1) + '{"leaf":'), F.col("r_regionkey").cast("string"), F.lit("}" * DEEP))
+    return contracts.observed_paths(t.region.select(body.alias("body")), "body").select("path", "type", "n")
+
+
 @query("""
 SELECT page_id, replace(replace(replace(replace(url, 'example.com', '[redacted]'), 'track(0)', '[redacted]'), 'http://', '[redacted]'), 'exam', '[redacted]') AS url,
        replace(replace(replace(replace(html, 'example.com', '[redacted]'), 'track(0)', '[redacted]'), 'http://', '[redacted]'), 'exam', '[redacted]') AS html

@@ -111,7 +111,26 @@ def extract_completeness(t: Tables) -> DataFrame:
     return extracts.extract_completeness(signals)
 
 
-@query("SELECT CASE WHEN count(*) > 0 THEN 'complete' END AS verdict FROM orders")
+@query(_PAGES + """
+SELECT source, count(*) AS pages, CAST(sum(items) AS BIGINT) AS items, source = 'O' AND max(top) > 1 AS repeated, false AS truncated,
+       CASE WHEN source = 'O' AND max(top) > 1 THEN 'unknown' ELSE 'complete' END AS verdict
+FROM q GROUP BY source
+""")
+def extract_completeness_token(t: Tables) -> DataFrame:
+    """The token travels in a header, so all pages of a source share a url; source O sends one token twice."""
+    pages = landed_pages(t)
+    following = F.get_json_object("body", "$.meta.next")
+    sent = F.when((F.col("source") == "O") & following.isNotNull(), F.lit("again")).otherwise(following)
+    body = F.to_json(F.struct(F.from_json(F.get_json_object("body", "$.items"), "array<struct<id:bigint>>").alias("items"), sent.alias("next")))
+    shared = pages.withColumn("body", body).withColumn("url", F.lit("https://api.test/orders"))
+    signals = extracts.page_signals(shared, "token", cursor_path="next")
+    return extracts.extract_completeness(signals, token_in_header=True)
+
+
+@query(_PAGES + """
+, s AS (SELECT source, max(page_no) = max(top) AND count(*) = count(DISTINCT page_no) AS whole FROM q GROUP BY source)
+SELECT CASE WHEN bool_and(whole) THEN 'complete' ELSE 'partial' END AS verdict FROM s
+""")
 def extract_verdict(t: Tables) -> DataFrame:
     signals = extracts.page_signals(landed_pages(t), "cursor", cursor_path="meta.next")
     return extracts.overall_completeness(extracts.extract_completeness(signals))

@@ -90,6 +90,29 @@ def retention_by_scope(t: Tables) -> DataFrame:
     return history.retention_by_count(runs(t), 50, scope=["workflow"]).select("id", "workflow")
 
 
+@query(_RUNS + """
+, r AS (SELECT workflow, date_trunc('day', started_at) AS day, count(*) AS n FROM runs WHERE NOT pinned GROUP BY ALL),
+  c AS (SELECT *, sum(n) OVER (PARTITION BY workflow ORDER BY day DESC) AS upto FROM r)
+SELECT workflow, day, CAST(n - greatest(0, least(n, 50 - (upto - n))) AS BIGINT) AS dropped FROM c WHERE n > greatest(0, least(n, 50 - (upto - n)))
+""")
+def retention_ties(t: Tables) -> DataFrame:
+    """Runs known to the day only: exactly fifty of a workflow stay, however many tie."""
+    coarse = runs(t).withColumn("day", F.date_trunc("day", "started_at")).withColumn("one", F.lit(1))
+    gone = history.retention_by_count(coarse, 50, time="day", tie="one", scope=["workflow"])
+    return gone.groupBy("workflow", "day").agg(F.count("*").alias("dropped"))
+
+
+@query(_RUNS + """
+, r AS (SELECT id, CASE WHEN hash_key % 3 > 0 THEN started_at END AS at FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS hash_key FROM runs WHERE NOT pinned))
+SELECT id FROM (SELECT id, row_number() OVER (ORDER BY at DESC NULLS LAST, id DESC) AS n FROM r) WHERE n > 700
+""")
+def retention_null_times(t: Tables) -> DataFrame:
+    """A third of the runs have no time: they count as the oldest."""
+    number = F.substring("id", 2, 20).cast("bigint")
+    holed = runs(t).withColumn("started_at", F.when(number % 3 > 0, F.col("started_at")))
+    return history.retention_by_count(holed, 700).select("id")
+
+
 @query("""
 WITH e AS (SELECT event_id AS key, CAST(floor(value * 1000) AS BIGINT) AS bytes, ts AS accessed, event_type = 'error' AND ts <= TIMESTAMP '2024-01-20' AS gone FROM events),
      s AS (SELECT key, sum(bytes) OVER (ORDER BY accessed DESC, key DESC) AS total FROM e WHERE NOT gone)

@@ -7,15 +7,16 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom import registry
 from recordloom.operators import publish, quality
 from recordloom.plans import Tables, query
 from recordloom.plans.shapes import nested_lines
-from recordloom.session import shared_folder
+from recordloom.session import scratch, stage
 from recordloom.sources import files, tables
 
 
 def _scratch(t: Tables, name: str) -> str:
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(t.spark, name)
 
 
 @query("""
@@ -33,7 +34,7 @@ def csv_leading_zero(t: Tables) -> DataFrame:
         F.expr("nullif(c_nationkey, 3)").alias("gaps"),
         "c_acctbal",
     )
-    return files.read_csv(t.spark, files.save_csv(rows, _scratch(t, "customers") + ".csv"))
+    return files.read_csv(t.spark, files.save_csv(rows, _scratch(t, "customers") + "/all.csv"))
 
 
 @query("""
@@ -41,8 +42,8 @@ SELECT l_orderkey AS id, l_partkey AS part_id, nullif(l_returnflag, 'N') AS part
 """)
 def json_round_trip(t: Tables) -> DataFrame:
     """Nested records written as lines of JSON, read back, flattened, written as Parquet, read back."""
-    lines = files.save(nested_lines(t).select("id", "part"), _scratch(t, "lines") + ".ndjson")
-    flat = files.save(files.read(t.spark, lines), _scratch(t, "lines") + ".parquet")
+    lines = files.save(nested_lines(t).select("id", "part"), _scratch(t, "lines") + "/all.ndjson")
+    flat = files.save(files.read(t.spark, lines), _scratch(t, "lines") + "/all.parquet")
     return files.read(t.spark, flat)
 
 
@@ -58,20 +59,53 @@ def glob_read_stacked(t: Tables) -> DataFrame:
     return files.glob_read(t.spark, f"{base}/*.parquet").select("id", "name", "segment", "balance")
 
 
-@query()
-def file_inventory(t: Tables) -> DataFrame:
-    return files.file_inventory(t.spark, t.folder, "*.parquet").select("name", "suffix", "bytes")
+@query("""
+SELECT 'a' AS part, c_custkey AS id, c_name AS name, CAST(NULL AS VARCHAR) AS phone, c_mktsegment AS segment FROM customer
+UNION ALL SELECT 'b', s_suppkey, s_name, 'p' || s_nationkey, NULL FROM supplier
+""")
+def csv_list_headers(t: Tables) -> DataFrame:
+    """Two folders of CSV with other columns in another order, read as one frame by name."""
+    base = _scratch(t, "lists")
+    files.save_csv(t.customer.selectExpr("'a' part", "c_custkey id", "c_name name", "c_mktsegment segment"), f"{base}/a.csv")
+    files.save_csv(t.supplier.selectExpr("concat('p', s_nationkey) phone", "s_name name", "s_suppkey id", "'b' part"), f"{base}/b.csv")
+    return files.read(t.spark, [f"{base}/a.csv", f"{base}/b.csv"]).select("part", "id", "name", "phone", "segment")
+
+
+@query("""
+SELECT o_orderkey AS id, o_custkey AS customer, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber) AS items
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
+""")
+def save_keeps_records(t: Tables) -> DataFrame:
+    """Orders that hold a list called items are saved as they are, not as their items."""
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    orders = t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.col("l.l_partkey").alias("items")
+    )
+    return files.read(t.spark, files.save(orders, _scratch(t, "orders") + "/all.parquet"))
 
 
 @query("""
-WITH b AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT o_orderstatus AS status, o_orderkey AS id, o_totalprice > 100000 AS large FROM orders
+""")
+def json_table_convert(t: Tables) -> DataFrame:
+    """Documents with records inside, saved as JSON, converted to Parquet as a table of the records."""
+    base = _scratch(t, "documents")
+    records = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") > 100000).alias("large"))
+    documents = t.orders.groupBy((F.col("o_orderkey") % 64).alias("batch")).agg(F.collect_list(records).alias("records"))
+    files.save_json(documents, f"{base}/a.ndjson")
+    table = files.to_table(t.spark, f"{base}/a.ndjson")
+    return files.read(t.spark, files.save(table, f"{base}/b.parquet")).select("status", "id", "large")
+
+
+@query("""
+WITH b AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY 1)
 SELECT c_custkey, CASE WHEN b.o_custkey IS NULL THEN c_name END AS c_name, last_order
 FROM customer LEFT JOIN b ON c_custkey = b.o_custkey
 """)
 def table_upsert(t: Tables) -> DataFrame:
-    """Customers replaced by their last open order; columns the batch lacks become null."""
+    """Customers replaced by their last order; columns the batch lacks become null."""
     target = t.customer.select("c_custkey", "c_name")
-    batch = t.orders.filter("o_orderstatus = 'O'").select(
+    batch = t.orders.select(
         F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("last_order"), "o_orderdate"
     )
     merged = tables.upserted(target, batch, "c_custkey", ["o_orderdate", "last_order"])
@@ -105,19 +139,88 @@ def sql_with_parameters(t: Tables) -> DataFrame:
     return tables.sql(t.spark, text, 100000.0, "F", o=t.orders)
 
 
-@query()
+_MODES = """
+WITH first AS (SELECT c_custkey AS id, c_name AS name, CAST(NULL AS VARCHAR) AS tag FROM customer WHERE c_custkey % 2 = 0),
+second AS (SELECT c_custkey AS id, c_name AS name, 'odd' AS tag FROM customer WHERE c_custkey % 2 = 1),
+third AS (SELECT c_custkey AS id, CAST(NULL AS VARCHAR) AS name, 'third' AS tag FROM customer WHERE c_custkey % 3 = 0),
+merged AS (SELECT * FROM (SELECT * FROM first UNION ALL SELECT * FROM second) WHERE id NOT IN (SELECT id FROM third) UNION ALL SELECT * FROM third)
+"""
+
+
+@query(_MODES + """
+SELECT 'rows' AS what, count(*) AS n FROM merged WHERE id % 5 <> 0
+UNION ALL SELECT 'deleted', count(*) FROM merged WHERE id % 5 = 0
+UNION ALL SELECT 'updated', count(*) FROM merged WHERE id % 5 <> 0 AND tag = 'third'
+UNION ALL SELECT coalesce(tag, 'none'), count(*) FROM (SELECT CASE WHEN tag = 'third' THEN 'seen' ELSE tag END AS tag FROM merged WHERE id % 5 <> 0) GROUP BY 1
+""")
+def table_write_modes(t: Tables) -> DataFrame:
+    """A catalog table replaced, replaced from itself, appended with a new column, upserted, deleted from and updated."""
+    name = f"written_{uuid.uuid4().hex[:8]}"
+    rows = t.customer.selectExpr("c_custkey id", "c_name name")
+    tables.table_write(rows.filter("id % 2 = 0").withColumn("gone", F.lit(1)), name)
+    tables.table_write(t.spark.table(name).drop("gone"), name)
+    tables.table_write(rows.filter("id % 2 = 1").withColumn("tag", F.lit("odd")), name, "append")
+    tables.table_write(rows.filter("id % 3 = 0").select("id", F.lit("third").alias("tag")), name, "upsert", "id")
+    deleted = tables.table_delete_where(t.spark, name, F.col("id") % 5 == 0)
+    updated = tables.table_update_where(t.spark, name, F.col("tag") == "third", {"tag": F.lit("seen")})
+    held = stage(t.spark.table(name), "written")
+    t.spark.sql(f"DROP TABLE {name}")
+    tags = held.groupBy(F.coalesce("tag", F.lit("none")).alias("what")).agg(F.count("*").alias("n"))
+    counts = t.spark.createDataFrame([("deleted", deleted), ("updated", updated)], "what string, n long")
+    return tags.unionByName(counts).unionByName(held.agg(F.lit("rows").alias("what"), F.count("*").alias("n")))
+
+
+@query("SELECT l_orderkey AS id, l_quantity * 2 AS twice FROM lineitem")
+def script_over_batches(t: Tables) -> DataFrame:
+    """A user's Python function over Arrow batches of the lines."""
+    def double(frame):
+        return frame.assign(twice=frame["l_quantity"] * 2).rename(columns={"l_orderkey": "id"})[["id", "twice"]]
+
+    return registry.run_script(t.lineitem.select("l_orderkey", "l_quantity"), double, "id long, twice double")
+
+
+_DIGEST = """
+WITH cells AS (SELECT md5(concat_ws(chr(31), 'v' || CAST(l_extendedprice * 100 AS BIGINT), coalesce('v' || l_linenumber, 'n'), 'v' || l_linestatus, 'v' || l_orderkey, 'v' || l_partkey,
+    coalesce('v' || nullif(l_returnflag, 'N'), 'n'), 'v' || l_suppkey)) AS h FROM lineitem),
+sums AS (SELECT count(*) AS rows, sum(('0x' || substr(h, 1, 15))::BIGINT) AS a, sum(('0x' || substr(h, 16, 15))::BIGINT) AS b FROM cells)
+SELECT rows, md5('cents:bigint,l_linenumber:bigint,l_linestatus:string,l_orderkey:bigint,l_partkey:bigint,l_returnflag:string,l_suppkey:bigint'
+  || '|' || rows || '|' || a || '|' || b) AS digest FROM sums
+"""
+
+
+@query(_DIGEST)
 def table_digest(t: Tables) -> DataFrame:
-    return publish.table_digest(t.lineitem)
+    return publish.table_digest(t.lineitem.select(
+        "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint"), "l_linestatus",
+        F.expr("nullif(l_returnflag, 'N')").alias("l_returnflag"), F.expr("cast(round(l_extendedprice * 100) as bigint)").alias("cents"),
+    ))
 
 
 @query("SELECT l_returnflag, count(*) AS rows FROM lineitem GROUP BY l_returnflag")
 def publish_validated(t: Tables) -> DataFrame:
-    """Line totals published behind a gate, then read from where they were published."""
+    """Line totals published behind a gate, then read from where the pointer leads."""
     base = _scratch(t, "published")
     flags = t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("rows"))
     gate = lambda df: quality.gate(df, rows=(1, 100), no_nulls=["l_returnflag"])
-    publish.publish_validated({"flags": (flags, f"{base}/flags")}, {"flags": gate}, "totals", "run1", base)
-    return t.spark.read.parquet(f"{base}/flags")
+    publish.publish_validated({"flags": flags}, {"flags": gate}, base, "run1")
+    return publish.published(t.spark, base, "flags")
+
+
+@query("""
+SELECT 'published' AS what, count(*) AS n FROM (SELECT DISTINCT l_returnflag FROM lineitem)
+UNION ALL SELECT 'ready', 1 UNION ALL SELECT 'sound', 1 UNION ALL SELECT 'torn', 0
+""")
+def recover_publication(t: Tables) -> DataFrame:
+    """A publication stops before its pointer moves: the one before stays, the new one waits."""
+    base = _scratch(t, "recovered")
+    flags = t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("rows"))
+    publish.publish_validated({"flags": flags}, {}, base, "run1")
+    publish.prepare({"flags": flags.limit(1)}, {}, base, "run2")
+    publish.recover_publication(t.spark, base)
+    found = publish.standing(t.spark, base, verify=True)
+    counts = [("ready", len(found.ready)), ("torn", len(found.torn)), ("sound", int(found.sound))]
+    rows = publish.published(t.spark, base, "flags").agg(F.lit("published").alias("what"), F.count("*").alias("n"))
+    return rows.unionByName(t.spark.createDataFrame(counts, "what string, n long"))
 
 
 @query("SELECT o_orderstatus, count(*) AS orders FROM orders GROUP BY o_orderstatus")

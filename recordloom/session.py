@@ -58,6 +58,13 @@ def shared_folder(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``drop_staged`` removes with what is written there."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -66,11 +73,10 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     until ``drop_staged``, because frames that read them are lazy.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     untyped = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
     if untyped:
         df = df.withColumns({name: F.col(f"`{name}`").cast("string") for name in untyped})
-    _STAGED.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,12 @@ _REAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|Inf|infinity|Infi
 
 
 def format_of(path: str, format: str | None = None) -> str:
-    known = sorted(set(BY_EXTENSION.values()))
-    if format and format != "auto":
-        if format not in known:
-            raise RecordError(f"{format!r} is not among the formats: {', '.join(known)}")
-        return format
-    suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
-    if suffix not in BY_EXTENSION:
-        raise RecordError(f"the name {path} does not tell its format; formats: {', '.join(known)}")
-    return BY_EXTENSION[suffix]
+    """The format that is asked for, or else the one that the extension stands for."""
+    asked = None if format == "auto" else format
+    told = asked or BY_EXTENSION.get(PurePosixPath(path.rstrip("/")).suffix.lower())
+    if told in BY_EXTENSION.values():
+        return told
+    raise RecordError(f"neither {asked or 'an extension'} tells how to read {path}; formats: {', '.join(sorted({*BY_EXTENSION.values()}))}")
 
 
 def read(spark: SparkSession, path: str | Sequence[str], format: str | None = None, **options) -> DataFrame:
@@ -58,13 +56,13 @@ def _paths(path: str | Sequence[str]) -> list[str]:
 
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], sep: str | None = None, schema: T.StructType | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV with a header; types inferred, but a column with any ``00123`` stays text.
 
-    Inference is one aggregate pass over the text; give ``schema`` to do without it. Line
-    ends inside quoted cells are kept, which ties a file to one task; ``multi_line=False``
-    lets Spark split files that are known to hold none.
+    Files are split over tasks; ``multi_line=True`` keeps line ends inside quoted cells, which
+    ties a file to one task. Files whose headers differ are matched by name. Without ``schema``
+    building the frame takes one pass for the headers and one to infer the types.
     """
     paths = _paths(path)
     sep = sep or _delimiter(paths[0])
@@ -72,13 +70,32 @@ def read_csv(
     reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(paths)
-    raw = reader.option("inferSchema", False).csv(paths)
-    if not raw.columns:
+    groups = _by_header(spark, paths)
+    if not groups:
         raise RecordError(f"{paths[0]} is empty: a table needs at least its header")
+    parts = [reader.option("inferSchema", False).csv(group) for group in (groups if len(groups) > 1 else [paths])]
+    raw = parts[0]
+    for part in parts[1:]:
+        raw = raw.unionByName(part, allowMissingColumns=True)
     present = raw.select(*[F.when(~col(n).isin(*MISSING), col(n)).alias(n) for n in raw.columns])
     return present.select(*[_typed(n, kind) for n, kind in _csv_types(present).items()])
 
 
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The files below some paths, grouped by their first line, which the tasks read."""
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    kinds = first.groupBy("header").agg(F.min("file").alias("first"), F.count("*").alias("n")).orderBy("first").collect()
+    if len(kinds) < 2:
+        return [paths] if kinds else []
+    # Only where headers differ does the driver need the names of the files.
+    named = first.select("header", "file").collect()
+    return [sorted(unquote(r.file) if r.file.startswith("file:") else r.file for r in named if r.header == kind.header) for kind in kinds]
+
+
 def _csv_types(df: DataFrame) -> dict[str, str]:
     tests = []
     for i, n in enumerate(df.columns):
@@ -123,6 +140,11 @@ def read_json_table(spark: SparkSession, path: str | Sequence[str], sep: str = "
     return reshape.flatten(reshape.records(read_json(spark, path), search=True), sep=sep)
 
 
+def to_table(spark: SparkSession, path: str | Sequence[str], format: str | None = None, sep: str = "_") -> DataFrame:
+    """The records inside documents of any format, flattened."""
+    return reshape.flatten(reshape.records(read(spark, path, format), search=True), sep=sep)
+
+
 def read_ndjson(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """One object per non-blank line."""
     return (spark.read.schema(schema) if schema is not None else spark.read).json(_paths(path))
@@ -146,9 +168,7 @@ def glob_read(spark: SparkSession, pattern: str, concat: bool = True) -> DataFra
         by_format.setdefault(format_of(path), []).append(path)
     frames = []
     for format, paths in sorted(by_format.items()):
-        if format == "csv":
-            frames += [read_csv(spark, group) for group in _same_header(spark, paths)]
-        elif format == "parquet":
+        if format == "parquet":
             frames.append(read_parquet(spark, paths, merge=True))
         else:
             frames.append(read(spark, paths, format))
@@ -157,15 +177,6 @@ def glob_read(spark: SparkSession, pattern: str, concat: bool = True) -> DataFra
     return reshape.align(frames, "union")
 
 
-def _same_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """CSV files grouped by their first line, each group to be read as one frame."""
-    files = Files(spark)
-    groups: dict[str, list[str]] = {}
-    for path in paths:
-        groups.setdefault(files.first_line(path), []).append(path)
-    return list(groups.values())
-
-
 def file_inventory(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """``path, name, suffix, bytes, modified`` of the files below a folder, contents unread."""
     listed = (
@@ -196,8 +207,10 @@ def save_csv(
     df: DataFrame, path: str, sep: str = "_", explode: str | Sequence[str] | None = None,
     columns: str | Sequence[str] = "union", mode: str = "overwrite",
 ) -> str:
-    """Flattened records with a header. ``sep`` joins nested names; cells are cut by commas, or tabs in ``.tsv``."""
-    flat = reshape.flatten(reshape.records(df), sep=sep, explode=explode)
+    """The rows given, flattened, with a header. ``sep`` joins nested names; cells are cut by commas, or tabs in ``.tsv``."""
+    if columns != "union" and isinstance(columns, str):
+        raise RecordError(f"columns={columns!r}: a frame has one set of columns; name them in a list, or align frames before saving")
+    flat = reshape.flatten(df, sep=sep, explode=explode)
     if not isinstance(columns, str):
         flat = reshape.select(flat, list(columns))
     nested = (T.StructType, T.MapType, T.ArrayType, T.VariantType)
@@ -219,9 +232,11 @@ save_ndjson = save_json
 
 
 def save_parquet(df: DataFrame, path: str, flatten: bool = True, mode: str = "overwrite") -> str:
-    (reshape.flatten(reshape.records(df)) if flatten else df).write.mode(mode).parquet(path)
+    (reshape.flatten(df) if flatten else df).write.mode(mode).parquet(path)
     return path
 
 
 def convert(spark: SparkSession, source: str, target: str) -> str:
-    return save(read(spark, source), target)
+    """From one format to another; JSON documents give the records inside them."""
+    documents = format_of(source) == "json"
+    return save(read_json_table(spark, source) if documents else read(spark, source), target)

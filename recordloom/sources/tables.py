@@ -5,9 +5,10 @@ The frame functions (``appended``, ``upserted``, …) are lazy and can be used o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +16,6 @@ from recordloom.errors import RecordError, require_columns
 from recordloom.functions import text
 from recordloom.operators.relate import one_per_key
 from recordloom.operators.schema import col
-from recordloom.session import stage
 
 MODES = ("replace", "append", "upsert")
 _NESTED = (T.StructType, T.MapType, T.ArrayType, T.VariantType)
@@ -87,8 +87,7 @@ def table_write(
         row = [(col(f.name) if f.name in batch.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields]
         batch.select(*row).write.mode("append").insertInto(table)
         return spark.table(table)
-    batch.write.mode("overwrite").saveAsTable(table)
-    return spark.table(table)
+    return _overwrite(batch, table)
 
 
 def _widen(spark: SparkSession, table: str, batch: DataFrame) -> None:
@@ -100,28 +99,45 @@ def _widen(spark: SparkSession, table: str, batch: DataFrame) -> None:
 
 
 def _overwrite(df: DataFrame, table: str) -> DataFrame:
-    """Replace a table by a frame that may read it: written aside first, then put in place."""
-    spark = df.sparkSession
-    stage(df, "table").write.mode("overwrite").saveAsTable(table)
+    """Replace a table by a frame that may read it.
+
+    The new table is written whole under a name of its own, then the names change; the old table
+    is dropped last. A crash in between leaves both under names that tell what they are.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex[:8]
+    fresh, old = f"{table}__new_{mark}", f"{table}__old_{mark}"
+    df.write.saveAsTable(fresh)
+    replaced = spark.catalog.tableExists(table)
+    if replaced:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    if replaced:
+        spark.sql(f"DROP TABLE {old}")
     return spark.table(table)
 
 
+def _rewritten(df: DataFrame, changed: DataFrame, condition: Column, table: str) -> int:
+    """Write ``changed`` over the table; how many of its rows met the condition, counted on the way."""
+    if df.filter(condition).isEmpty():
+        return 0
+    seen = Observation()
+    hit = F.count_if(F.coalesce(F.col("__hit"), F.lit(False))).alias("n")
+    _overwrite(changed.observe(seen, hit).filter(F.col("__keep")).drop("__hit", "__keep"), table)
+    return seen.get["n"]
+
+
 def table_delete_where(spark: SparkSession, table: str, condition: Column) -> int:
     """Delete rows; returns how many."""
     target = spark.table(table)
-    changed = target.filter(condition).count()
-    if changed:
-        _overwrite(deleted(target, condition), table)
-    return changed
+    marked = target.withColumns({"__hit": condition, "__keep": ~F.coalesce(condition, F.lit(False))})
+    return _rewritten(target, marked, condition, table)
 
 
 def table_update_where(spark: SparkSession, table: str, condition: Column, values: dict[str, Column]) -> int:
     """Update rows; returns how many."""
     target = spark.table(table)
-    changed = target.filter(condition).count()
-    if changed:
-        _overwrite(updated(target, condition, values), table)
-    return changed
+    marked = updated(target.withColumns({"__hit": condition, "__keep": F.lit(True)}), F.col("__hit"), values)
+    return _rewritten(target, marked, condition, table)
 
 
 def table_schema(spark: SparkSession, table: str | None = None) -> DataFrame:
@@ -134,7 +150,22 @@ def table_schema(spark: SparkSession, table: str | None = None) -> DataFrame:
 
 
 def sql(spark: SparkSession, query: str, *params: object, **frames: DataFrame) -> DataFrame:
-    """SQL over named frames and catalog tables; ``?`` parameters are bound, never pasted in."""
+    """SQL over named frames and catalog tables; ``?`` parameters are bound, never pasted in.
+
+    The names hold for this query only; the caller's own views of those names come back.
+    """
+    own = {name: spark.table(name) for name in frames if _is_view(spark, name)}
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
-    return spark.sql(query, args=list(params)) if params else spark.sql(query)
+    try:
+        return spark.sql(query, args=list(params)) if params else spark.sql(query)
+    finally:
+        for name in frames:
+            if name in own:
+                own[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def _is_view(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary

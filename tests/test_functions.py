@@ -190,3 +190,14 @@ def test_objects(value):
     kinds = [T.StructType([T.StructField(n, T.IntegerType()) for n in names]) for names in ("ab", "b")]
     assert value(lists.merge_structs(left, kinds[0], right, kinds[1])).asDict() == {"a": 1, "b": 9}
     assert value(lists.omit_struct(left, kinds[0], "a", "zz")).asDict() == {"b": 2}
+
+
+def test_named_groups(spark):
+    c = F.lit("id=42;name=x")
+    for pattern in (r"id=(?<id>\d+);name=(\w)", r"id=(?P<id>\d+);name=(\w)"):
+        row = spark.range(1).select(text.extract(c, pattern, "id"), text.extract(c, pattern, 2), text.extract_all(c, pattern)).first()
+        assert tuple(row) == ("42", "x", [["42", "x"]])
+    one = spark.range(1).select(text.extract_all(c, r"(?<=[=(])(?:\w)[)(]?\(?(?<n>\d)?")).first()[0]
+    assert one[0] == "2"
+    with pytest.raises(RecordError):
+        text.extract(c, r"(?<id>\d+)", "name")

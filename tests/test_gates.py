@@ -142,7 +142,7 @@ def test_references(tmp_path, spark):
     with pytest.raises(RecordError, match="outside"):
         contracts.resolve({"$ref": "../x.json"}, own)
     loop = {"$ref": "#/a", "a": {"properties": {"x": {"$ref": "#/a"}}}}
-    with pytest.raises(RecordError, match="levels"):
+    with pytest.raises(RecordError, match="itself"):
         contracts.resolve(loop)
 
 
@@ -168,3 +168,44 @@ def test_generate(spark):
         },
     }
     assert contracts.contract_violations(df, "j", made).count() == 0
+
+
+def _deep(levels, leaf=1):
+    value = leaf
+    for _ in range(levels):
+        value = {"a": value}
+    return json.dumps(value)
+
+
+def test_paths_of_any_depth(spark):
+    frame = spark.createDataFrame([(_deep(40),), (_deep(2),), ('{"a": [[[1, {"b": null}]]]}',)], "body string")
+    found = {(r.path, r.type): r.n for r in contracts.observed_paths(frame, "body").collect()}
+    assert found["$" + ".a" * 40, "integer"] == 1 and found["$" + ".a" * 17, "object"] == 1 and found["$", "object"] == 3
+    assert found["$.a[][][].b", "null"] == 1 and found["$.a.a", "integer"] == 1
+    assert len({p for p, _ in found if set(p) <= set("$.a")}) == 41
+    cut = contracts.observed_paths(frame, "body", max_depth=3)
+    assert {r.path for r in cut.collect()} == {"$", "$.a", "$.a.a", "$.a[]"}
+
+
+def test_generated_contract_reaches_the_leaf(spark):
+    frame = spark.createDataFrame([(_deep(24),)], "body string")
+    made = contracts.generate(frame, "body")
+    node = made
+    for _ in range(24):
+        node = node["properties"]["a"]
+    assert node == {"type": "integer"}
+    assert contracts.contract_violations(frame, "body", made).count() == 0
+    other = spark.createDataFrame([(_deep(24, "text"),)], "body string")
+    assert [r.rule for r in contracts.contract_violations(other, "body", made).collect()] == ["type"]
+
+
+def test_references_that_end_and_that_do_not(spark):
+    leaf = {"type": "integer"}
+    nested = leaf
+    for _ in range(40):
+        nested = {"properties": {"a": nested}}
+    assert contracts.resolve({"$ref": "#/d/x", "d": {"x": nested}}) == nested
+    twice = {"properties": {"p": {"$ref": "#/d/n"}, "q": {"$ref": "#/d/n"}}, "d": {"n": leaf}}
+    assert contracts.resolve(twice)["properties"] == {"p": leaf, "q": leaf}
+    with pytest.raises(RecordError, match="itself"):
+        contracts.resolve({"$ref": "#/d/n", "d": {"n": {"properties": {"again": {"$ref": "#/d/n"}}}}})

@@ -119,15 +119,27 @@ def test_sample_positions(frame, data):
     assert got == sorted(ids[round(i * (SIZE - 1) / 10)] for i in range(11))
 
 
-def test_large_limits_number_rows_instead(spark, data, monkeypatch):
+def test_limits_of_any_size_follow_one_rule(spark, data):
     frame = spark.createDataFrame(data, "id long, k int, v int, ok boolean")
-    few = ordering.top_k(frame, ["k"], ["id"], 3).select("id", "rank").collect()
-    kept = history.retention_by_count(frame, 100, time="v", tie="id", pinned=None).select("id").collect()
-    monkeypatch.setattr(ordering, "GROUP_LIMIT", 2)
-    monkeypatch.setattr(history, "KEEP_AT_ONCE", 50)
-    assert sorted(ordering.top_k(frame, ["k"], ["id"], 3).select("id", "rank").collect()) == sorted(few)
-    assert sorted(history.retention_by_count(frame, 100, time="v", tie="id", pinned=None).select("id").collect()) == sorted(kept)
-    assert len(kept) == SIZE - 100
+    for k in (1, 3, 50, SIZE + 1):
+        got = ordering.top_k(frame, ["k"], ["v"], k).select("k", "v", "rank").collect()
+        wanted = []
+        for key in {r[1] for r in data}:
+            values = sorted((r[2] for r in data if r[1] == key), reverse=True)[:k]
+            wanted += [(key, v, i) for i, v in enumerate(values, 1)]
+        assert sorted(map(tuple, got), key=repr) == sorted(wanted, key=repr)
+    for keep in (1, 2, 100, SIZE - 1, SIZE + 1):
+        gone = history.retention_by_count(frame.withColumn("t", F.lit(1)), keep, time="t", tie="ok", pinned=None)
+        assert gone.count() == max(0, SIZE - keep)
+
+
+def test_retention_takes_null_times_for_the_oldest(spark):
+    rows = [(i, None if i % 3 == 0 else i, "w") for i in range(9)]
+    frame = spark.createDataFrame(rows, "id int, started_at int, workflow string")
+    for scope in ((), ("workflow",)):
+        gone = history.retention_by_count(frame, 4, pinned=None, scope=scope)
+        assert sorted(r.id for r in gone.collect()) == [0, 1, 2, 3, 6]
+        assert sorted(r.id for r in history.retention_by_count(frame, 7, pinned=None, scope=scope).collect()) == [0, 3]
 
 
 def test_median_of_a_hot_value(frame, data):

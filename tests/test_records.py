@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom.errors import RecordError
-from recordloom.operators import aggregate, filters, ordering, relate, reshape, schema
+from recordloom.operators import aggregate, filters, ordering, quality, relate, reshape, schema
 
 
 @pytest.fixture(scope="module")
@@ -228,3 +228,29 @@ def test_lookup(orders, spark, rows):
 def test_sample(orders):
     take = lambda n: sorted(r.id for r in ordering.sample(orders, n, ["id"]).collect())
     assert take(2) == [1, 3] and take(1) == [1] and take(0) == [] and take(9) == [1, 2, 3]
+
+
+def test_names_that_differ_in_case_only(spark, tmp_path):
+    df = reshape.flatten(spark.sql("select named_struct('B', 1) a, 2 a_b"))
+    assert df.columns == ["a_B", "a_b_2"]
+    df.write.parquet(f"{tmp_path}/x")
+    assert tuple(spark.read.parquet(f"{tmp_path}/x").first()) == (1, 2)
+
+
+def test_describe_makes_no_copies_of_rows(spark):
+    df = spark.createDataFrame([(1, "a", 0.0), (1, None, -0.0), (2, "b", 1.5)], "i int, s string, f double")
+    found = quality.describe(df)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.column: (r["count"], r.nulls, r.distinct) for r in found.collect()} == {"i": (3, 0, 2), "s": (2, 1, 2), "f": (3, 0, 2)}
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("id", "cast(id as string) s", "id / 2 f").write.parquet(f"{tmp_path}/x")
+    df = spark.read.parquet(f"{tmp_path}/x")
+    cases = [("id", "gte", 90, 10), ("id", "lt", "5", 5), ("s", "eq", 7, 1), ("s", "in", "1, 2,x", 2), ("f", "gt", 49, 1), ("id", "eq", "12", 1), ("id", "in", [3, "4"], 2)]
+    for path, operator, value, n in cases:
+        got = filters.filter_by(df, path, operator, value)
+        assert got.count() == n
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: []" not in plan, (path, operator, plan)
+    assert filters.filter_by(df, "id", "gte", 90, mode="exclude").count() == 90

@@ -23,7 +23,7 @@ from recordloom.streaming import gates
 def test_csv_types(spark, tmp_path):
     path = tmp_path / "a.csv"
     path.write_text('code,n,f,b,s,gap,none\n00123,1,1.5,True,"x, ""y""\nz",5,\n7,2,2,False,NA,,\n')
-    df = files.read(spark, str(path))
+    df = files.read(spark, str(path), multi_line=True)
     assert dict(df.dtypes) == {"code": "string", "n": "bigint", "f": "double", "b": "boolean", "s": "string", "gap": "bigint", "none": "string"}
     assert [tuple(r) for r in df.orderBy("n").collect()] == [("00123", 1, 1.5, True, 'x, "y"\nz', 5, None), ("7", 2, 2.0, False, None, None, None)]
 
@@ -68,11 +68,30 @@ def test_round_trips(spark, tmp_path):
     assert files.read(spark, empty).count() == 0 and files.read(spark, empty).columns == df.columns
 
 
-def test_save_csv_flattens(spark, tmp_path):
-    df = spark.sql("select array(struct(1 id, struct('a' name) customer, array('x','y') tags)) items, 5 total")
+def _text(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def test_save_keeps_the_rows_given(spark, tmp_path, rows):
+    df = spark.sql("select 7 id, array(struct(1 n, struct('a' name) customer)) items union all select 8, array(struct(2, struct('b')))").orderBy("id").coalesce(1)
     files.save(df, str(tmp_path / "a.csv"))
-    text = "".join(p.read_text() for p in (tmp_path / "a.csv").glob("part-*"))
-    assert text == 'id,customer_name,tags\n1,a,"x,y"\n'
+    assert _text(tmp_path / "a.csv") == 'id,items\n7,"[{""n"":1,""customer"":{""name"":""a""}}]"\n8,"[{""n"":2,""customer"":{""name"":""b""}}]"\n'
+    files.save(df, str(tmp_path / "a.parquet"))
+    assert rows(files.read(spark, str(tmp_path / "a.parquet")).select("id")) == [(7,), (8,)]
+    with pytest.raises(RecordError, match="columns="):
+        files.save(df, str(tmp_path / "b.csv"), columns="unoin")
+    files.save(df, str(tmp_path / "c.csv"), columns=["id"])
+    assert _text(tmp_path / "c.csv") == "id\n7\n8\n"
+
+
+def test_csv_lists_and_folders(spark, tmp_path, rows):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "b.csv").write_text("b,a\ny,2\n")
+    both = files.read(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")])
+    assert rows(both.select("a", "b")) == [(1, "x"), (2, "y")]
+    files.save(spark.range(4).repartition(3), str(tmp_path / "f1.csv"))
+    files.save(spark.range(4, 6).selectExpr("'t' s", "id"), str(tmp_path / "f2.csv"))
+    assert rows(files.glob_read(spark, f"{tmp_path}/f*.csv").select("id", "s")) == sorted([(i, None) for i in range(4)] + [(i, "t") for i in (4, 5)], key=repr)
 
 
 def test_glob(spark, tmp_path, rows):
@@ -116,6 +135,14 @@ def test_table_modes(spark, table, rows):
         tables.table_write(batch, table, "merge")
 
 
+def test_replace_from_itself(spark, table, rows):
+    tables.table_write(spark.sql("select 1 id, 'a' s union all select 2, 'b'"), table)
+    tables.table_write(spark.table(table).filter("id = 2"), table)
+    assert rows(spark.table(table)) == [(2, "b")]
+    left = [t.name for t in spark.catalog.listTables() if t.name.startswith(table)]
+    assert left == [table]
+
+
 def test_upsert_into_nothing(spark, table, rows):
     assert rows(tables.table_write(spark.sql("select 1 id, 'a' s union all select null, 'n' union all select null, 'm'"), table, "upsert", "id")) == [
         (1, "a"), (None, "m"), (None, "n"),
@@ -136,6 +163,15 @@ def test_sql(spark, rows):
     assert rows(tables.sql(spark, "select count(*) from d where cast(id as string) = ?", "1 or 1=1", d=df)) == [(0,)]
 
 
+def test_sql_leaves_views_alone(spark, rows):
+    spark.range(3).createOrReplaceTempView("d")
+    one = tables.sql(spark, "select count(*) from d", d=spark.range(1))
+    assert rows(one) == [(1,)] and spark.table("d").count() == 3
+    spark.catalog.dropTempView("d")
+    tables.sql(spark, "select 1 from unseen", unseen=spark.range(1))
+    assert not spark.catalog.tableExists("unseen")
+
+
 # -- digests and publication ------------------------------------------------------
 
 
@@ -149,54 +185,80 @@ def test_digest(spark):
     assert one not in {publish.digest_of(c) for c in changed}
 
 
-@pytest.fixture
-def outputs(spark, tmp_path):
-    def build(n):
-        a = spark.range(n).withColumnRenamed("id", "value")
-        return {"a": (a, f"{tmp_path}/out/a"), "b": (a.selectExpr("value * 2 value"), f"{tmp_path}/out/b")}
-
-    return build
+def test_digest_while_writing(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, 0.5), (2, "", -1.0)], "id long, s string, f double")
+    record = publish.write_digested(df, f"{tmp_path}/d")
+    assert record["rows"] == 2 and record["digest"] == publish.digest_of(df) == publish.digest_of(spark.read.parquet(f"{tmp_path}/d"))
+    assert publish.write_digested(df.limit(0), f"{tmp_path}/e")["digest"] == publish.digest_of(df.limit(0))
 
 
 GATES = {"a": lambda df: quality.gate(df, rows=(3, None))}
 
 
-def test_publish_then_refuse(spark, tmp_path, outputs):
-    folder = f"{tmp_path}/notes"
-    done = publish.publish_validated(outputs(3), GATES, "w", "r1", folder)
-    assert done.published == ["a", "b"] and not done.interrupted
-    manifest = json.loads((tmp_path / "notes" / "w.json").read_text())
-    assert manifest["generation"] == done.generation and sorted(manifest["files"]) == ["a", "b"]
+def _outputs(spark, n):
+    values = spark.range(n).withColumnRenamed("id", "value")
+    return {"a": values, "b": values.selectExpr("value * 2 value")}
+
+
+def _sizes(spark, folder):
+    return [publish.published(spark, folder, name).count() for name in ("a", "b")]
+
+
+def test_publish_then_refuse(spark, tmp_path):
+    folder = str(tmp_path / "p")
+    with pytest.raises(RecordError, match="publishes no output"):
+        publish.published(spark, folder, "a")
+    done = publish.publish_validated(_outputs(spark, 3), GATES, folder, "r1")
+    assert sorted(done.outputs) == ["a", "b"] and _sizes(spark, folder) == [3, 3]
+    held = publish.published(spark, folder, "a")
     with pytest.raises(GateFailed, match="nothing was published"):
-        publish.publish_validated(outputs(2), GATES, "w", "r2", folder)
-    assert spark.read.parquet(f"{tmp_path}/out/a").count() == 3
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b"]
-    again = publish.publish_validated(outputs(5), GATES, "w", "r3", folder)
-    assert again.published == ["a", "b"] and spark.read.parquet(f"{tmp_path}/out/b").count() == 5
-    assert publish.recover_publication(spark, "w", folder).found is False
-
-
-def test_recover(spark, tmp_path, outputs):
-    folder = f"{tmp_path}/notes"
-    publish.publish_validated(outputs(3), GATES, "w", "r1", folder)
-    generation, ports = publish.stage_outputs(outputs(4), GATES, "w", "r2", folder)
-    store = publish.Files(spark)
-    publish._replace(store, ports["a"]["staged"], ports["a"]["target"], generation)  # cut off after the first move
-    found = publish.recover_publication(spark, "w", folder)
-    assert found.ok and found.already_committed == ["a"] and found.completed == ["b"]
-    assert spark.read.parquet(f"{tmp_path}/out/b").count() == 4
-    assert json.loads((tmp_path / "notes" / "w.json").read_text())["generation"] == generation
-
-    generation, ports = publish.stage_outputs(outputs(6), GATES, "w", "r3", folder)
-    publish._replace(store, ports["a"]["staged"], ports["a"]["target"], generation)
-    spark.range(1).write.mode("overwrite").parquet(ports["a"]["target"])
-    found = publish.recover_publication(spark, "w", folder)
-    assert found.tampered == ["a"] and found.completed == ["b"] and not found.ok
-
-    publish.stage_outputs(outputs(7), GATES, "w", "r4", folder)
-    publish.publish_validated(outputs(8), GATES, "w", "r5", folder)
-    found = publish.recover_publication(spark, "w", folder)
-    assert found.ambiguous and spark.read.parquet(f"{tmp_path}/out/a").count() == 8
+        publish.publish_validated(_outputs(spark, 2), GATES, folder, "r2")
+    assert _sizes(spark, folder) == [3, 3] and publish.standing(spark, folder).torn == ()
+    publish.publish_validated(_outputs(spark, 5), GATES, folder, "r3")
+    assert _sizes(spark, folder) == [5, 5] and held.count() == 3  # a reader keeps its generation
+
+
+@pytest.mark.parametrize("crash", ["in the data", "before the seal", "before the pointer", "never"])
+def test_crash_at_every_step(spark, tmp_path, crash, monkeypatch):
+    """Whatever step fails, readers meet one whole generation, and recovery removes only torn ones."""
+    folder = str(tmp_path / "p")
+    first = publish.publish_validated(_outputs(spark, 3), GATES, folder, "r1")
+
+    def fail(*_):
+        raise OSError("cut off")
+
+    with monkeypatch.context() as patch:
+        if crash == "in the data":
+            patch.setattr(publish, "write_digested", lambda df, path: df.write.parquet(path) if path.endswith("/a") else fail())
+        elif crash == "before the seal":
+            patch.setattr(publish.Files, "write_text", fail)
+        elif crash == "before the pointer":
+            patch.setattr(publish, "switch", fail)
+        if crash == "never":
+            publish.publish_validated(_outputs(spark, 4), GATES, folder, "r2")
+        else:
+            with pytest.raises(OSError):
+                publish.publish_validated(_outputs(spark, 4), GATES, folder, "r2")
+    found = publish.recover_publication(spark, folder, verify=True)
+    after = publish.standing(spark, folder)
+    assert found.sound and after.torn == ()
+    if crash == "never":
+        assert _sizes(spark, folder) == [4, 4] and after.ready == (first.name,)
+        return
+    assert found.current == first.name and _sizes(spark, folder) == [3, 3]
+    assert (len(found.torn), len(found.ready)) == ((0, 1) if crash == "before the pointer" else (1, 0))
+    if found.ready:
+        publish.switch(spark, folder, found.ready[0])
+        assert _sizes(spark, folder) == [4, 4]
+
+
+def test_changed_data_is_not_sound(spark, tmp_path):
+    folder = str(tmp_path / "p")
+    done = publish.publish_validated(_outputs(spark, 3), {}, folder, "r1")
+    spark.range(1).withColumnRenamed("id", "value").write.mode("overwrite").parquet(done.outputs["a"]["path"])
+    assert publish.standing(spark, folder).sound and not publish.standing(spark, folder, verify=True).sound
+    with pytest.raises(RecordError, match="no sealed generation"):
+        publish.switch(spark, folder, "r9")
 
 
 def test_reuse(spark, tmp_path):
@@ -210,10 +272,10 @@ def test_reuse(spark, tmp_path):
     assert [run(1, "a"), run(1, "a"), run(2, "a"), run(2, "b"), run(1, "a")] == [False, True, False, False, True]
     assert len(built) == 3
     note = next(p for p in (tmp_path / "m").glob("*.json"))
-    spark.range(1).write.mode("overwrite").parquet(json.loads(note.read_text())["path"])
     kept = json.loads(note.read_text())
+    spark.range(1).write.mode("overwrite").parquet(kept["path"])
     version, digest = json.loads(kept["identity"])["version"], json.loads(kept["identity"])["inputs"]["x"]
-    assert run(version, digest) is False  # the stored data no longer has its digest
+    assert run(version, digest) is False  # other files lie there now
 
 
 # -- streams ----------------------------------------------------------------------
@@ -283,14 +345,15 @@ def test_script(spark, rows):
 
 
 def test_shared_folder():
-    from types import SimpleNamespace
-
     from recordloom.session import shared_folder
 
-    def session(master, folder=None):
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+    class Conf(dict):
+        set = dict.__setitem__
+
+    def folder(**conf):
+        from types import SimpleNamespace
+
+        return shared_folder(SimpleNamespace(conf=Conf({k.replace("_", "."): v for k, v in conf.items()})))
 
-    assert shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
-    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(session("yarn"))
+    assert folder(spark_checkpoint_dir="hdfs://x/y/") == "hdfs://x/y"
+    assert folder(spark_sql_warehouse_dir="hdfs://w/") == "hdfs://w/_shared"
