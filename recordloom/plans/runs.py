@@ -97,14 +97,14 @@ SELECT workflow, day, CAST(n - greatest(0, least(n, 50 - (upto - n))) AS BIGINT)
 """)
 def retention_ties(t: Tables) -> DataFrame:
     """Runs known to the day only: exactly fifty of a workflow stay, however many tie."""
-    coarse = runs(t).withColumn("day", F.date_trunc("day", "started_at")).withColumn("one", F.lit(1))
+    coarse = runs(t).withColumn("day", F.date_trunc("day", "started_at").cast("timestamp_ntz")).withColumn("one", F.lit(1))
     gone = history.retention_by_count(coarse, 50, time="day", tie="one", scope=["workflow"])
     return gone.groupBy("workflow", "day").agg(F.count("*").alias("dropped"))
 
 
 @query(_RUNS + """
-, r AS (SELECT id, CASE WHEN hash_key % 3 > 0 THEN started_at END AS at FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS hash_key FROM runs WHERE NOT pinned))
-SELECT id FROM (SELECT id, row_number() OVER (ORDER BY at DESC NULLS LAST, id DESC) AS n FROM r) WHERE n > 700
+, r AS (SELECT id, CASE WHEN hash_key % 3 > 0 THEN started_at END AS moment FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS hash_key FROM runs WHERE NOT pinned))
+SELECT id FROM (SELECT id, row_number() OVER (ORDER BY moment DESC NULLS LAST, id DESC) AS n FROM r) WHERE n > 700
 """)
 def retention_null_times(t: Tables) -> DataFrame:
     """A third of the runs have no time: they count as the oldest."""

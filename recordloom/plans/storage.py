@@ -72,7 +72,7 @@ def csv_list_headers(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS id, o_custkey AS customer, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber) AS items
+SELECT o_orderkey AS id, o_custkey AS customer, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS items
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
 """)
 def save_keeps_records(t: Tables) -> DataFrame:
