@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordloom.errors import GateFailed, RecordError
+from recordloom.operators.publish import observed_or
 from recordloom.operators.schema import col, variant_type
 from recordloom.session import stage
 
@@ -285,7 +286,7 @@ def observed_paths(df: DataFrame, json_column: str, max_depth: int | None = None
         counts = stage(typed.groupBy("path", "parent", "key", "type").agg(F.count("*").alias("n")), "paths")
         found = counts if found is None else found.unionByName(counts)
         left = None if left is None else left - size
-        if left == 0 or not seen.get["below"]:
+        if left == 0 or not observed_or(seen, {"below": 0})["below"]:
             return found.groupBy("path", "parent", "key", "type").agg(F.sum("n").alias("n"))
         texts = levels.select(F.inline(f"l{size}")).withColumn("v", F.to_json("v"))
         deeper = stage(texts, "deeper")

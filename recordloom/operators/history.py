@@ -99,11 +99,27 @@ def retention_by_size(
     return kept.unionByName(gone)
 
 
+def canonical_path(path: Column) -> Column:
+    """A path without empty and ``.`` steps, with ``..`` taken back; the scheme, host or root stay."""
+    head = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*/?|/?)", 1)
+    steps = F.filter(F.split(F.substring(path, F.length(head) + 1, F.length(path)), "/"), lambda x: ~x.isin("", "."))
+
+    def walk(seen: Column, step: Column) -> Column:
+        back = (step == "..") & (F.size(seen) > 0) & ~F.coalesce(F.try_element_at(seen, F.lit(-1)) == "..", F.lit(False))
+        held = F.when((step == "..") & (F.size(seen) == 0) & F.endswith(head, F.lit("/")), seen).otherwise(F.concat(seen, F.array(step)))
+        return F.when(back, F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(held)
+
+    return F.concat(head, F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"))
+
+
 def producers_of(
     ports: DataFrame, runs: DataFrame, path: str, digest: str | None = None, time: str = "started_at"
 ) -> DataFrame:
-    """Runs recorded as having written ``path``, newest first; ``changed`` against a digest."""
-    written = ports.filter((col("direction") == "out") & (col("path") == path))
+    """Runs recorded as having written ``path``, newest first; ``changed`` against a digest.
+
+    Paths are compared in canonical form, so ``out/./a`` and ``out/a`` are one.
+    """
+    written = ports.filter((col("direction") == "out") & (canonical_path(col("path")) == canonical_path(F.lit(path))))
     named = runs.select(F.col("id").alias("run_id"), F.col("name").alias("run_name"), col(time))
     changed = F.lit(None).cast("boolean") if digest is None else ~col("digest").eqNullSafe(F.lit(digest))
     return (

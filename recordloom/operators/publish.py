@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,12 +76,20 @@ def digest_of(df: DataFrame) -> str:
     return table_digest(df).first()["digest"]
 
 
+def observed_or(seen: Observation, nothing: dict) -> dict:
+    """What was observed; ``nothing`` if the frame was known to be empty, for then no task observes."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return nothing
+
+
 def write_digested(df: DataFrame, path: str) -> dict:
     """Write a frame as Parquet; its ``path, rows, digest``, observed while it was written."""
     tags, parts = _sums(df)
     seen = Observation()
     df.observe(seen, *parts).write.mode("errorifexists").parquet(path)
-    found = seen.get
+    found = observed_or(seen, {"rows": 0, "sum0": "0", "sum1": "0"})
     return {"path": path, "rows": found["rows"], "digest": _digest(tags, found)}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import cast
 from recordloom.operators import ordering
-from recordloom.operators.relate import lookup, one_per_key
+from recordloom.operators.relate import lookup
 from recordloom.operators.schema import col, field
 
 # The words a text is scored by.
@@ -174,11 +174,3 @@ def profile_join(
     """Owners with aggregates over their records; owners without any get the defaults."""
     per_owner = records.groupBy(col(record_key).alias(owner_key)).agg(*[a.alias(n) for n, a in aggregates.items()])
     return lookup(owners, per_owner, owner_key, defaults)
-
-
-def top_per_group(df: DataFrame, by: Sequence[str], order_by: Sequence[str], k: int) -> DataFrame:
-    return ordering.top_k(df, by, order_by, k)
-
-
-def latest(df: DataFrame, by: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    return one_per_key(df, by, order_by, last=True)

@@ -187,6 +187,12 @@ def test_paths_of_any_depth(spark):
     assert {r.path for r in cut.collect()} == {"$", "$.a", "$.a.a", "$.a[]"}
 
 
+def test_paths_of_nothing(spark):
+    for rows in ([], [("no json",)], [(None,)]):
+        frame = spark.createDataFrame(rows, "body string")
+        assert contracts.observed_paths(frame, "body").count() == 0 and contracts.generate(frame, "body") == {}
+
+
 def test_generated_contract_reaches_the_leaf(spark):
     frame = spark.createDataFrame([(_deep(24),)], "body string")
     made = contracts.generate(frame, "body")

@@ -127,3 +127,16 @@ def test_recipes(spark, rows):
     assert rows(recipes.provider_normalise(texts, "p", layout)) == [("p", 1, 0.0), ("p", 2, 0.0), ("p", 3, 0.0)]
     assert rows(recipes.summary(spark.sql("select '5' a union all select 'x'"), ["a"])) == [("a", 2, 0.0, 5.0, 2.5)]
     assert rows(recipes.completion_rate(texts.withColumn("k", F.lit("a")), "k", F.col("id") < 3)) == [("a", 3, 2, 1, 66.7)]
+
+
+def test_paths_are_compared_in_canonical_form(value, spark):
+    cases = {
+        "out/a.csv": "out/a.csv", "out/./a.csv": "out/a.csv", "out//b/../a.csv": "out/a.csv", "/x/../../y/": "/y", "../a/./b": "../a/b",
+        "s3a://in//out/../a": "s3a://in/a", "../../a": "../../a", "a/..": "", "": "",
+    }
+    frame = spark.createDataFrame(list(cases.items()), "given string, wanted string")
+    got = {r.given: r.got for r in frame.select("given", history.canonical_path(F.col("given")).alias("got")).collect()}
+    assert got == cases
+    ports = spark.createDataFrame([("r1", "out/./a.csv", "d", "out"), ("r1", "out/b.csv", "d", "out")], "run_id string, path string, digest string, direction string")
+    runs = spark.createDataFrame([("r1", "n", 1)], "id string, name string, started_at int")
+    assert history.producers_of(ports, runs, "out//a.csv").count() == 1
