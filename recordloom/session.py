@@ -45,14 +45,10 @@ def build(app: str = "recordloom", master: str | None = None, **conf: str) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Where the setting is missing, a folder in the warehouse is taken, which is shared as well,
-    and the setting is made for the rest of the session.
+    Where the setting is missing, a folder in the warehouse is taken, which is shared as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
 _STAGED: list[str] = []
