@@ -16,17 +16,18 @@ from recordloom.llm import byte_bpe, language, near_duplicates, secret_ledger, t
 from recordloom.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if one language has at least this proportion of it.
-MAIN_LANGUAGE = 0.5
 #: Words of a shingle and hundredths of similarity that make near-duplicates.
 SHINGLE, PERCENT = 5, 80
 
 
-def main_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a main language; null texts and texts without letters have none and go."""
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: null texts and texts without letters are in none and go.
+
+    Texts in several languages stay, whatever their proportions.
+    """
     model = language.train(docs.filter(~language.held_out()))
     found = language.identify(docs.select(*COLUMNS), model, keep=COLUMNS)
-    return found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MAIN_LANGUAGE)).select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language", main_language),
+    ("language", in_a_language),
     ("near_duplicates", one_of_each_group),
     ("decontamination", without_benchmark),
     ("secrets", without_secrets),

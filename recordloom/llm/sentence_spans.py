@@ -114,9 +114,10 @@ def merged(spans: Column) -> Column:
 
 def removed_from(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without what ``repeated`` found; rows with a null key are left as they are."""
+    taken = {c.lower() for c in docs.columns}
+    mark = next(m for m in ("__", *(f"__{i}_" for i in range(len(taken) + 1))) if not any(c.startswith(m) for c in taken))
     own = F.when(F.col(text).isNotNull(), (F.crc32(text) - F.lit(2**31)).cast("int"))
-    keyed = docs.withColumn("__version", own).join(
-        found.select(F.col(key).alias("__key"), F.col("version").alias("__found"), F.col("removed").alias("__removed")),
-        (F.col(key) == F.col("__key")) & (F.col("__version") == F.col("__found")), "left",
-    )
-    return keyed.withColumn(text, without(F.col(text), F.col("__removed"))).select(*docs.columns)
+    cut = found.select(F.col(key).alias(f"{mark}key"), F.col("version").alias(f"{mark}found"), F.col("removed").alias(f"{mark}removed"))
+    same = (F.col(key) == F.col(f"{mark}key")) & (F.col(f"{mark}version") == F.col(f"{mark}found"))
+    keyed = docs.withColumn(f"{mark}version", own).join(cut, same, "left")
+    return keyed.withColumn(text, without(F.col(text), F.col(f"{mark}removed"))).select(*docs.columns)
