@@ -3,9 +3,9 @@
 Texts with one set of shingles form a class, and classes meet in the buckets of banded signatures.
 A candidate pair compares its signatures batch by batch and is dropped as soon as the posterior
 chance that its similarity reaches the threshold falls below the miss probability; what is left is
-verified on the full shingle sets. In each bucket the members first meet its least one; where that
-leaves a bucket in several components, members of different components meet in tiles. Pairs
-inside a component are never made.
+verified on the full shingle sets. In each bucket the members first meet its least one. Where that
+leaves a bucket in several components, members of different components meet in tiles, which
+give only the links that join components. Pairs inside a component are never made.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.blocks import Hashes, map_texts, rolling, sliced
+from recordloom.llm.blocks import Hashes, bit_filter, map_texts, passing, rolling, sliced
 from recordloom.session import stage
 
 #: Bands, rows of a band, and hashes of a comparison batch. At similarity 0.8 a pair shares no bucket once in 2e7.
@@ -29,6 +29,8 @@ HASHES = BANDS * ROWS
 MISS = 1e-6
 #: Members of a tile's side.
 TILE = 256
+#: Links in a file of a written round.
+LINKS_PER_FILE = 500_000
 BLOCK_CHARS = 3_000_000
 
 
@@ -111,8 +113,8 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return bounds
 
 
-def _surviving(a: np.ndarray, b: np.ndarray, bounds: list[int]) -> np.ndarray:
-    """Indices of the pairs of rows whose signatures stay possible through all batches."""
+def _surviving(a: np.ndarray, b: np.ndarray, bounds: list[int], names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows (their ``names``, or places) whose signatures stay possible through all batches, and their equal hashes."""
     alive = np.arange(len(a))
     equal = np.zeros(len(a), dtype=np.int64)
     for i, bound in enumerate(bounds):
@@ -121,35 +123,53 @@ def _surviving(a: np.ndarray, b: np.ndarray, bounds: list[int]) -> np.ndarray:
         alive = alive[equal[alive] >= bound]
         if not len(alive):
             break
-    return alive
+    return alive if names is None else names[alive], equal[alive]
 
 
 def _table(signatures) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), dtype="<u2").reshape(-1, HASHES)
 
 
-def _possible(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+def _possible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that their signatures do not rule out."""
     bounds = least_matches(threshold)
-    sided = pairs.join(marks.select(F.col("rep").alias("b"), F.col("signature").alias("of_b")), "b")
-    sided = sided.join(marks.select(F.col("rep").alias("a"), F.col("signature").alias("of_a")), "a")
+    sided = pairs.join(classes.select(F.col("rep").alias("b"), F.col("signature").alias("of_b")), "b")
+    sided = sided.join(classes.select(F.col("rep").alias("a"), F.col("signature").alias("of_a")), "a")
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                kept = _surviving(_table(batch.column(2).to_pylist()), _table(batch.column(3).to_pylist()), bounds)
+                kept, _ = _surviving(_table(batch.column(2).to_pylist()), _table(batch.column(3).to_pylist()), bounds)
                 yield pa.RecordBatch.from_arrays([c.take(pa.array(kept)) for c in batch.columns[:2]], names=["a", "b"])
 
     return sided.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _texts_of(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Key and text of the documents in some pairs, and of few others.
+
+    A filter of fixed size goes to the scan, so the texts of documents in no pair are not shuffled.
+    """
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    shared = source.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64("id").alias("hash")), "hash"))
+
+    def run(batches):
+        for batch in batches:
+            inside = passing(shared.value, batch.column(2).to_numpy(zero_copy_only=False))
+            yield batch.select(["rep", "text"]).filter(pa.array(inside))
+
+    keyed = source.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return keyed.select(F.col("doc_id").alias("rep"), "text", F.xxhash64("doc_id").alias("hash")).mapInArrow(run, "rep bigint, text string")
+
+
+def _linked(pairs: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap by ``percent`` hundredths of their union.
 
     The document of b goes to the pairs, these go to the document of a: a document that
     many pairs share is read by as many tasks as its pairs need.
     """
-    sided = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("of_b")), "b")
+    texts = _texts_of(source, pairs)
+    sided = pairs.select("a", "b").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("of_b")), "b")
     sided = sided.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("of_a")), "a")
 
     def run(batches):
@@ -169,39 +189,41 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return sided.select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other node at most, and none that has others hangs on one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.filter("hangs > 1 or (hangs > 0 and holds > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """Nodes and the least node of their component, from links (a, b); nodes without links are absent.
 
     Large and small stars in turn: every node hands its larger neighbours to its least one, then its
-    smaller ones, until nothing changes. Each round is a written table of at most as many links.
+    smaller ones, until all hang on the least of their component. Each round is a written table of
+    at most as many links.
     """
-
-    def mark(edges: DataFrame):
-        return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    edges = stage(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before, now = None, mark(edges)
-    while before != now:
+    turned = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    files = 1 + links.count() // LINKS_PER_FILE
+    edges = stage(turned.distinct().coalesce(files), "links")
+    while not _is_star_forest(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = stage(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct(), "large")
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("least"))
-        moved = large.join(low, "a")
-        small = moved.filter("b != least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
-            low.select("a", F.col("least").alias("b"))
-        )
-        edges = stage(small.distinct(), "small")
-        before, now = now, mark(edges)
+        moved = large.join(low, "a").filter("b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        edges = stage(moved.unionByName(low.select("a", F.col("least").alias("b"))).distinct().coalesce(files), "stars")
     return edges.select(F.col("a").alias("rep"), F.col("b").alias("component"))
 
 
-def _across(buckets: DataFrame, hubs: DataFrame, found: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
-    """Possible pairs of a bucket's members in different components, its least member aside.
+def _open_buckets(buckets: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, their least member aside.
 
-    The members outside a bucket's largest component meet all others, tile by tile; a pair that
-    shares several buckets is compared in the first.
+    Each comes with its bucket's largest component and with the tiles that the bucket's members,
+    and those outside that component, take.
     """
-    bounds = least_matches(threshold)
     larger = hubs.filter("members > 2").select("bucket", "hub")
     inside = buckets.join(larger, "bucket").filter("rep != hub").join(found, "rep", "left").select(
         "bucket", "band", "rep", F.coalesce("component", "rep").alias("component")
@@ -214,33 +236,70 @@ def _across(buckets: DataFrame, hubs: DataFrame, found: DataFrame, marks: DataFr
         "bucket", F.col("major.component").alias("major"), F.ceil(F.col("all") / TILE).cast("int").alias("n_members"),
         F.ceil((F.col("all") - F.col("major.n")) / TILE).cast("int").alias("n_outer"),
     )
-    split = stage(split, "split")
-    own = inside.join(split, "bucket")
+    return stage(inside.join(split, "bucket"), "open")
+
+
+def _links_across(opened: DataFrame, classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between members of a bucket in different components, enough to join what is linked.
+
+    The members outside a bucket's largest component meet all others, tile by tile; a pair that
+    shares several buckets is compared in the first. Pairs that their signatures leave possible are
+    verified on the spot, and a link between components that the tile has joined already is not
+    looked for, so a tile gives fewer links than it has components.
+    """
+    bounds = least_matches(percent / 100)
     places = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n, salt: F.pmod(F.xxhash64(F.col("rep"), F.lit(salt)), F.col(n)).cast("int")
-    members = own.select("bucket", "band", "rep", "component", F.lit(False).alias("outer"), (F.col("component") != F.col("major")).alias("minor"), place("n_members", "m").alias("tile"), places("n_outer").alias("side"))
-    outer = own.filter("component != major").select("bucket", "band", "rep", "component", F.lit(True).alias("outer"), F.lit(True).alias("minor"), places("n_members").alias("tile"), place("n_outer", "o").alias("side"))
-    tiled = members.unionByName(outer).join(marks, "rep")
+    kept = ["bucket", "band", "rep", "component", (F.col("component") != F.col("major")).alias("minor")]
+    members = opened.select(*kept, F.lit(False).alias("outer"), place("n_members", "m").alias("tile"), places("n_outer").alias("side"))
+    outer = opened.filter("component != major").select(*kept, F.lit(True).alias("outer"), places("n_members").alias("tile"), place("n_outer", "o").alias("side"))
+    texts = _texts_of(source, opened.select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
+    bodies = stage(classes.select("rep", "signature").join(texts, "rep"), "bodies")
+    tiled = members.unionByName(outer).join(bodies, "rep")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         outside = group["outer"].to_numpy(dtype=bool)
-        o, m = group[outside], group[~outside]
+        o, m = group[outside].reset_index(drop=True), group[~outside].reset_index(drop=True)
         mine, theirs = _table(o["signature"]), _table(m["signature"])
-        band, first, second = int(group["band"].iloc[0]), [], []
+        band, links = int(group["band"].iloc[0]), []
         reps, comps, minor = m["rep"].to_numpy(), m["component"].to_numpy(), m["minor"].to_numpy(dtype=bool)
+        joined = {c: c for c in {*o["component"], *comps}}
+        sets: dict[int, set] = {}
+
+        def root(c: int) -> int:
+            while joined[c] != c:
+                c = joined[c]
+            return c
+
+        def body(table: pd.DataFrame, i: int) -> set:
+            key = table["rep"][i]
+            if key not in sets:
+                sets[key] = shingles(table["text"][i], width)
+            return sets[key]
+
         for i in range(len(o)):
-            rep, comp = o["rep"].iloc[i], o["component"].iloc[i]
+            rep, comp = o["rep"][i], o["component"][i]
             # two outer members meet from both sides; the smaller one keeps the pair
             at = np.flatnonzero((comps != comp) & ((reps > rep) | ~minor))
             if not len(at):
                 continue
-            at = at[_surviving(np.broadcast_to(mine[i], (len(at), HASHES)), theirs[at], bounds)]
-            if len(at):
-                shared = (theirs[at].reshape(len(at), BANDS, ROWS) == mine[i].reshape(BANDS, ROWS)).all(axis=2)
-                at = at[shared.argmax(axis=1) == band]
-                first += np.minimum(reps[at], rep).tolist()
-                second += np.maximum(reps[at], rep).tolist()
-        return pd.DataFrame({"a": np.array(first, dtype=np.int64), "b": np.array(second, dtype=np.int64)})
+            at, equal = _surviving(np.broadcast_to(mine[i], (len(at), HASHES)), theirs[at], bounds, at)
+            if not len(at):
+                continue
+            shared = (theirs[at].reshape(len(at), BANDS, ROWS) == mine[i].reshape(BANDS, ROWS)).all(axis=2)
+            first = shared.argmax(axis=1) == band
+            for j in at[first][np.argsort(-equal[first], kind="stable")].tolist():
+                x, y = root(comp), root(comps[j])
+                if x == y:
+                    continue
+                a, b = body(o, i), body(m, j)
+                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                    continue
+                same = len(a & b)
+                if same and 100 * same >= percent * (len(a) + len(b) - same):
+                    joined[max(x, y)] = min(x, y)
+                    links.append((min(rep, reps[j]), max(rep, reps[j])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
     return tiled.groupBy("bucket", "tile", "side").applyInPandas(run, "a bigint, b bigint").distinct()
 
@@ -261,23 +320,19 @@ def near_duplicates(
     rows = stage(map_texts(source, ["doc_id"], "text", "n_shingles bigint, set_key binary, signature binary", _signatures(width)), "signatures")
     linked = rows.filter(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
     classes = stage(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    marks = classes.select("rep", "signature").dropDuplicates(["rep"])
     bands = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * 2 * ROWS + 1, F.lit(2 * ROWS)))))
     buckets = classes.select("rep", bands.alias("band", "bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("members"))
     hubs = stage(hubs.filter("hub != last").select("bucket", "hub", "members"), "hubs")
     stars = buckets.join(hubs, "bucket").filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stage(_possible(stars, marks, threshold), "stars")
-    texts = source.join(stars.select(F.col("b").alias("doc_id")).unionByName(stars.select(F.col("a").alias("doc_id"))).distinct(), "doc_id", "left_semi")
-    texts = texts.select(F.col("doc_id").alias("rep"), "text")
-    star_links = stage(_linked(stars, texts, width, percent), "star-links")
-    found = components(star_links)
-    rest = stage(_across(buckets, hubs, found, marks, threshold), "rest")
-    if not rest.isEmpty():
-        more = source.join(rest.select(F.col("b").alias("doc_id")).unionByName(rest.select(F.col("a").alias("doc_id"))).distinct(), "doc_id", "left_semi")
-        rest_links = stage(_linked(rest, more.select(F.col("doc_id").alias("rep"), "text"), width, percent), "rest-links")
-        if not rest_links.isEmpty():
-            found = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(rest_links))
+    stars = stage(_possible(stars, classes, threshold), "stars")
+    found = components(stage(_linked(stars, source, width, percent), "links"))
+
+    opened = _open_buckets(buckets, hubs, found)
+    if not opened.isEmpty():
+        across = stage(_links_across(opened, classes, source, width, percent), "across")
+        if not across.isEmpty():
+            found = components(found.select(F.col("rep").alias("a"), F.col("component").alias("b")).unionByName(across))
     groups = stage(
         classes.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id")), "groups"
     )

@@ -15,13 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.blocks import Hashes, map_texts, rolling, sliced
+from recordloom.llm.blocks import Hashes, bit_filter, map_texts, passing, rolling, sliced
 from recordloom.session import stage
 
 #: Tokens in a window, literal tokens it needs (all, if it is shorter), share of an item's windows that convicts.
 WINDOW, LITERALS, COVERAGE = 8, 3, 0.5
-#: Bits of the filter that spares most windows the shuffle; its size does not depend on the benchmark.
-FILTER_BITS = 24
 BLOCK_CHARS = 4_000_000
 
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -90,8 +88,7 @@ def _windows(lengths: tuple[int, ...], bits: np.ndarray | None):
             fits &= literal[length:] - literal[:-length] >= min(LITERALS, length)
             at = np.flatnonzero(fits)
             if bits is not None:
-                spot = hashed[at].astype(np.uint64) >> np.uint64(64 - FILTER_BITS)
-                at = at[(bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                at = at[passing(bits, hashed[at])]
             for i in at.tolist():
                 slots = [flat[j] for j in range(i, i + length) if codes[j] >= 0]
                 yield first + int(row[i]), i - int(begin[row[i]]), int(hashed[i]), int(sizes[row[i]]), slots
@@ -136,17 +133,6 @@ def _of_items(texts: list[str]):
     return rows, {k: pa.array(v, kinds[k]) for k, v in made.items()}
 
 
-def _filter(items: DataFrame) -> np.ndarray:
-    """A bit for every hash prefix an item has; OR-ed in Spark, at most 2 MB reach the driver."""
-    spot = F.shiftrightunsigned("window", 64 - FILTER_BITS)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 32).cast("int"))
-    words = items.select(F.shiftright(spot, 5).alias("word"), bit.alias("bit"))
-    held = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    packed = np.zeros(1 << (FILTER_BITS - 5), dtype="<u4")
-    packed[held["word"].to_numpy(dtype=np.int64)] = held["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return packed.view(np.uint8)
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     coverage: float = COVERAGE,
@@ -161,7 +147,7 @@ def contaminated(
     """
     wanted = stage(item_windows(benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("__text")), "item_id", "__text"), "items")
     lengths = tuple(sorted(r[0] for r in wanted.select("length").distinct().collect()))
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "window"))
     hits = map_texts(docs, [key], text, _SCHEMA, lambda texts: _windows(lengths, shared.value)(texts))
     pairs = hits.select(F.col(key), "window", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots")).join(
         wanted.select("item_id", "window", "at", "slots", "n_windows"), "window"
