@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +37,13 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
+#: A space beside other white space, and a space that has none on either side.
+_BESIDE, _LONE = re.compile(r" \s|\s "), re.compile(r"(?<!\s) (?!\s)")
+
+
 def _pieces(text: str) -> list[str]:
-    return [text] if "  " in text else text.split(" ")
+    """The text cut at its lone spaces; runs of white space of any kinds stay whole inside a piece."""
+    return _LONE.split(text) if _BESIDE.search(text) else text.split(" ")
 
 
 class Codec:
@@ -147,9 +153,9 @@ class Codec:
             at = stop
 
     def _block(self, texts: list[str]) -> Iterator[bytes]:
-        """A word of the pattern never reaches over a lone space, only up to it from the right.
+        """A word of the pattern never reaches over a space without white space beside it, only up to it from the right.
 
-        Texts without double spaces can thus be cut there, and each distinct piece is matched once.
+        Texts can thus be cut there, and each distinct piece is matched once.
         """
         known = self.known
         heads: set[str] = set()

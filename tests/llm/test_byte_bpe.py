@@ -35,6 +35,20 @@ def test_like_the_library(texts):
     assert ids(texts) == [LIBRARY.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize(
+    "text", ["a \u00a0 \u00a0 b", "a \u00a0 \u00a0 \u00a0 \u00a0 b", "\u00a0 \u00a0 \u00a0 \u00a0 x", "a\n \nb", "a\t \tb c", "\n \n", " \u3000 a", "a \u00a0", "b  c d \u2009 e"]
+)
+def test_runs_of_mixed_white_space(text):
+    for whole in (text, f"x y {text} z", f"{text} {text}"):
+        assert ids([whole]) == [LIBRARY.encode_ordinary(whole)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab.1 \u00a0\u2009\u3000\n\t\x85\x1c")), max_size=40))
+def test_white_space_like_the_library(text):
+    assert ids([text]) == [LIBRARY.encode_ordinary(text)]
+
+
 def test_any_characters_and_round_trip():
     rng = random.Random(5)
     texts = ["".join(chr(rng.choice([rng.randrange(1, 127), rng.randrange(160, 0x2FFF), rng.randrange(0x1F300, 0x1F700)])) for _ in range(80)) for _ in range(300)]
