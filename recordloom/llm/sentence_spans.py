@@ -61,10 +61,7 @@ def _spans(texts: list[str]):
         cut = sentences(text)
         if len(cut) < RUN:
             continue
-        low = text if text.islower() else text.lower()
-        if len(low) != len(text):
-            low = text
-        hashed = np.array([hash64(" ".join(low[a:b].split())) for a, b, _ in cut], dtype=np.int64)
+        hashed = np.array([hash64(" ".join(text[a:b].lower().split())) for a, b, _ in cut], dtype=np.int64)
         places = np.array(cut)
         words = np.convolve(places[:, 2], np.ones(RUN, dtype=np.int64), "valid")
         at = np.flatnonzero(words >= LEAST_WORDS)

@@ -53,6 +53,12 @@ def test_passage_without_full_stops(documents):
     assert sum(b - a for a, b in row.removed) > len(passage) // 2
 
 
+def test_case_of_a_character_that_grows(documents):
+    docs = documents((1, SHARED + own(1), "en"), (2, "\u0130stanbul is named first. " + own(2) + SHARED, "en"))
+    row = spans.repeated(docs).first()
+    assert row.doc_id == 2 and [docs.collect()[1].text[a:b] for a, b in row.removed] == [SHARED]
+
+
 def test_removal(documents):
     docs = documents((1, own(1) + SHARED, "en"), (2, own(2) + SHARED + own(3), "en"), (3, None, "en"), (None, SHARED, "en"))
     got = {r.doc_id: r.text for r in spans.removed_from(docs, spans.repeated(docs)).collect()}
