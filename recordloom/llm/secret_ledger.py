@@ -41,8 +41,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+# A private key runs from its first line to its last, or where that is missing over header fields and
+# base64 lines (also indented, quoted or with written-out line ends) to the last of these. Bounds keep
+# the depth of Java's matcher small; the syntax is that of RE2, too.
+_LABEL = r"[A-Z ]{0,40}PRIVATE KEY-----"
+_GAP = r"""[ \t\r\n\\"'+>#*|,]*"""
+_TO_END = rf"[^-]*(?:-{{1,4}}[^-]+){{0,40}}-----END {_LABEL}"
+_FIELDS = rf"(?:{_GAP}n?[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:[ \t]*[^ \t\r\n\\]+){{0,8}}"
+_LINES = rf"(?:{_GAP}{'[A-Za-z0-9+/]{4}' * 4}[A-Za-z0-9+/]*={{0,2}}){{1,250}}"
+_SHORT = rf"""(?:{_GAP}[A-Za-z0-9+/]+(?:={{1,2}}|[ \t\r"']*(?:\n|$)))?"""
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN {_LABEL}(?:{_TO_END}|{_FIELDS}{_LINES}{_SHORT})?", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
@@ -120,9 +129,11 @@ def scan_documents(
     keep = ["doc_id"] if keep is None else keep
     new = stage(scan(unseen(docs, ledger, text, rules), rules), "ledger")
     seen = new if ledger is None else ledger.select(*new.columns).unionByName(new)
-    kinds = F.array(*[F.lit(rule.kind) for rule in rules])
     if ledger is not None:
-        hits = F.filter(F.flatten(F.collect_list("found")), lambda x: F.array_contains(kinds, x["kind"]))
+        # What an older version of a rule found does not count.
+        current = F.array_compact(F.array(*[F.when(F.array_contains("rules", rule.key), F.lit(rule.kind)) for rule in rules]))
+        seen = seen.select("blob", F.filter("found", lambda x: F.array_contains(current, x["kind"])).alias("found"))
+        hits = F.flatten(F.collect_list("found"))
         seen = seen.groupBy("blob").agg(F.array_distinct(hits).alias("found"))
     seen = seen.select("blob", "found").filter(F.size("found") > 0)
     paths = docs.select(*[F.col(f"`{c}`") for c in keep], blob_of(F.col(text)).alias("blob"))

@@ -61,6 +61,39 @@ def test_redaction(documents):
     assert got == {1: "é [secret] end", 2: "clean", 3: None}
 
 
+BODY = "\n".join("MIIEpAIBAAKCAQEA" + f"{i:02d}" + "aB3+/x" * 7 + "Zz9q" for i in range(25))
+KEYS = {
+    "-----BEGIN RSA PRIVATE KEY-----\n" + BODY + "\nqR7w==\n-----END RSA PRIVATE KEY-----": "",
+    "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA11BB\n\n" + BODY + "\nqR7w\n-----END RSA PRIVATE KEY-----": "",
+    "-----BEGIN PRIVATE KEY-----\\n" + BODY.replace("\n", "\\n") + "\\nqR7w==\\n-----END PRIVATE KEY-----\\n": "\\n",
+    "-----BEGIN EC PRIVATE KEY----- " + BODY.replace("\n", " ") + " qR7w== -----END EC PRIVATE KEY-----": "",
+    "-----BEGIN PRIVATE KEY-----\r\n" + BODY.replace("\n", "\r\n") + "\r\nqR7w==": "",
+    "-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n  > " + BODY.replace("\n", "\n  > "): "",
+    "-----BEGIN OPENSSH PRIVATE KEY-----\n" + BODY + "\nqR7w\n": "",
+}
+
+
+def test_no_key_material_stays(documents):
+    docs = documents(*[(i, f"before {key} and words - behind.", "en") for i, key in enumerate(KEYS)], (99, "-----BEGIN PRIVATE KEY----- is how a key begins.", "en"))
+    found, _ = ledger.scan_documents(docs, keep=["doc_id", "text"])
+    got = {r.doc_id: r.t for r in found.select("doc_id", ledger.redact(F.col("text"), F.col("found")).alias("t")).collect()}
+    assert got == {**{i: f"before [secret]{rest} and words - behind." for i, rest in enumerate(KEYS.values())}, 99: "[secret] is how a key begins."}
+
+
+def test_very_long_blocks(documents):
+    body = "\n".join(["A" * 64] * 20000)
+    docs = documents((1, "-----BEGIN PRIVATE KEY-----\n" + body + "\n-----END PRIVATE KEY-----", "en"), (2, "-----BEGIN PRIVATE KEY-----\n" + "a-b " * 200000, "en"))
+    found = {r.doc_id: [x.stop - x.start for x in r.found] for r in ledger.scan_documents(docs)[0].collect()}
+    assert found == {1: [len(body) + 54], 2: [27]}
+
+
+def test_spans_of_an_older_rule_version_do_not_count(documents):
+    docs = documents((1, next(iter(KEYS)), "en"))
+    _, old = ledger.scan_documents(docs, rules=(ledger.Rule("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),))
+    found, _ = ledger.scan_documents(docs, old)
+    assert [(x.kind, x.start, x.stop) for x in found.first().found] == [("pem", 0, len(next(iter(KEYS))))]
+
+
 def test_odd_rows(odd, empty, clashing):
     found, new = ledger.scan_documents(odd)
     assert found.count() == 10 and new.count() == 6
