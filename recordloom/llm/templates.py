@@ -3,7 +3,8 @@
 Texts become templates: numbers, names and units turn into typed placeholders, other words are
 lower-cased. Windows of template tokens meet in a hash join; along each alignment of a document
 with an item, the values behind equal slots must map one to one, so a question with other
-numbers or names is still found, and a chance meeting of placeholders is not.
+numbers or names is still found, and a chance meeting of placeholders is not. Beside its template,
+every window is hashed word for word, whatever the case: verbatim windows always count.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.blocks import Hashes, bit_filter, map_texts, passing, rolling, sliced
+from recordloom.llm.blocks import Hashes, bit_filter, hash64, map_texts, passing, rolling, sliced
 from recordloom.session import stage
 
 #: Tokens in a window, literal tokens it needs (all, if it is shorter), share of an item's windows that convicts.
@@ -67,59 +68,78 @@ class _Templates(dict):
         return found
 
 
+class _Plain(dict):
+    """Hash of each token as it is, whatever its case."""
+
+    def __missing__(self, token: str) -> int:
+        found = hash64("=" + token.lower())
+        if len(self) < Hashes.BOUND:
+            self[token] = found
+        return found
+
+
 def _windows(lengths: tuple[int, ...], bits: np.ndarray | None):
-    """Row, position, hash, size, and slot values of all windows of a batch that pass the filter."""
-    known = _Templates()
+    """Row, position, hash, size, slot values and kind of all windows of a batch that pass the filter.
+
+    A window is hashed as a template, if it has the literal tokens for that, and word for word
+    (``plain``, without slot values); ``bound`` tells whether it has both.
+    """
+    known, words = _Templates(), _Plain()
 
     def block(texts: list[str], first: int):
         tokens = [_TOKEN.findall(text) for text in texts]
         sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         flat = [token for own in tokens for token in own]
         codes = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        plain = np.fromiter(map(words.__getitem__, flat), dtype=np.int64, count=len(flat))
         row = np.repeat(np.arange(len(texts)), sizes)
         begin = np.cumsum(sizes) - sizes
         literal = np.append(0, np.cumsum(codes < 0))
         for length in lengths:
-            hashed = rolling(codes, length)
-            if not len(hashed):
+            if len(codes) < length:
                 continue
             last = length - 1
-            fits = row[: len(hashed)] == row[last:]
-            fits &= literal[length:] - literal[:-length] >= min(LITERALS, length)
-            at = np.flatnonzero(fits)
-            if bits is not None:
-                at = at[passing(bits, hashed[at])]
-            for i in at.tolist():
-                slots = [flat[j] for j in range(i, i + length) if codes[j] >= 0]
-                yield first + int(row[i]), i - int(begin[row[i]]), int(hashed[i]), int(sizes[row[i]]), slots
+            whole = row[: len(codes) - last] == row[last:]
+            bound = literal[length:] - literal[:-length] >= min(LITERALS, length)
+            for values, fits, word_for_word in ((codes, whole & bound, False), (plain, whole & bound, True)):
+                hashed = rolling(values, length)
+                at = np.flatnonzero(fits)
+                if bits is not None:
+                    at = at[passing(bits, hashed[at])]
+                for i in at.tolist():
+                    slots = [] if word_for_word else [flat[j] for j in range(i, i + length) if codes[j] >= 0]
+                    yield first + int(row[i]), i - int(begin[row[i]]), int(hashed[i]), int(sizes[row[i]]), slots, word_for_word, bool(bound[i])
 
     def make(texts: list[str]):
-        rows, at, hashed, size, slots, first = [], [], [], [], [], 0
+        rows, at, hashed, size, slots, plain, bound, first = [], [], [], [], [], [], [], 0
         for part in sliced(texts, BLOCK_CHARS):
-            for r, p, h, n, s in block(part, first):
-                rows.append(r), at.append(p), hashed.append(h), size.append(n), slots.append(s)
+            for r, p, h, n, s, w, b in block(part, first):
+                rows.append(r), at.append(p), hashed.append(h), size.append(n), slots.append(s), plain.append(w), bound.append(b)
             first += len(part)
         return rows, {
             "at": pa.array(at, pa.int32()), "window": pa.array(hashed, pa.int64()), "size": pa.array(size, pa.int32()),
-            "slots": pa.array(slots, pa.list_(pa.string())),
+            "slots": pa.array(slots, pa.list_(pa.string())), "plain": pa.array(plain, pa.bool_()), "bound": pa.array(bound, pa.bool_()),
         }
 
     return make
 
 
-_SCHEMA = "at int, window bigint, size int, slots array<string>"
+_SCHEMA = "at int, window bigint, size int, slots array<string>, plain boolean, bound boolean"
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Windows of all items; an item shorter than a window has one of its own length."""
+    """Windows of all items; an item shorter than a window has one of its own length.
+
+    ``n_windows`` counts the places of an item, ``n_bound`` those that have a template.
+    """
     found = map_texts(benchmark, [item], text, _SCHEMA + ", length int", _of_items)
-    found = found.filter(F.col(item).isNotNull()).dropDuplicates([item, "at", "window"])
-    counts = found.groupBy(item).agg(F.count("*").alias("n_windows"))
+    found = found.filter(F.col(item).isNotNull()).dropDuplicates([item, "at", "window", "plain"])
+    counts = found.groupBy(item).agg(F.countDistinct("at").alias("n_windows"), F.count_distinct(F.when(F.col("bound"), F.col("at"))).alias("n_bound"))
     return found.join(counts, item)
 
 
 def _of_items(texts: list[str]):
-    rows, made = [], {k: [] for k in ("at", "window", "size", "slots", "length")}
+    rows, made = [], {k: [] for k in ("at", "window", "size", "slots", "plain", "bound", "length")}
     for i, text in enumerate(texts):
         n = min(len(_TOKEN.findall(text)), WINDOW)
         if not n:
@@ -129,7 +149,10 @@ def _of_items(texts: list[str]):
         for k in found:
             made[k] += found[k].to_pylist()
         made["length"] += [n] * len(own)
-    kinds = {"at": pa.int32(), "window": pa.int64(), "size": pa.int32(), "slots": pa.list_(pa.string()), "length": pa.int32()}
+    kinds = {
+        "at": pa.int32(), "window": pa.int64(), "size": pa.int32(), "slots": pa.list_(pa.string()), "plain": pa.bool_(), "bound": pa.bool_(),
+        "length": pa.int32(),
+    }
     return rows, {k: pa.array(v, kinds[k]) for k, v in made.items()}
 
 
@@ -139,8 +162,10 @@ def contaminated(
 ) -> DataFrame:
     """Pairs of documents and items whose windows meet: one row per pair.
 
-    ``n_windows`` of the item, ``n_covered`` of them met along consistent alignments, their ratio
-    ``coverage`` (at least the parameter), and ``exact``: whether all slots hold the item's own values.
+    ``n_windows`` of the item, ``n_covered`` of them met along consistent alignments or word for
+    word, their ratio ``coverage`` (at least the parameter), and ``exact``: whether all slots hold
+    the item's own values. The share is taken of the windows that have a template and of all
+    windows, which differ where numbers, names and units prevail, and the greater one stands.
     Repeated rows count once; rows of one key are one document, also those of a null key; null
     and empty texts meet nothing; an item without ``LITERALS`` literal words has no window; items
     with a null id are left out; empty tables give no rows; other columns are not read.
@@ -149,17 +174,25 @@ def contaminated(
     lengths = tuple(sorted(r[0] for r in wanted.select("length").distinct().collect()))
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "window"))
     hits = map_texts(docs, [key], text, _SCHEMA, lambda texts: _windows(lengths, shared.value)(texts))
-    pairs = hits.select(F.col(key), "window", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots")).join(
-        wanted.select("item_id", "window", "at", "slots", "n_windows"), "window"
+    pairs = hits.select(F.col(key), "window", "plain", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots")).join(
+        wanted.select("item_id", "window", "plain", "at", "slots", "bound", "n_windows", "n_bound"), ["window", "plain"]
     )
     same = F.transform(F.arrays_zip(F.col("slots").alias("a"), F.col("doc_slots").alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    aligned = pairs.groupBy(key, "item_id", "n_windows", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_set(same))).alias("held"), F.collect_set("at").alias("met")
+    place = F.struct("at", "bound")
+    aligned = pairs.groupBy(key, "item_id", "n_windows", "n_bound", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
+        F.array_distinct(F.flatten(F.collect_set(same))).alias("held"), F.collect_set(place).alias("met"),
+        F.collect_set(F.when(F.col("plain"), place)).alias("verbatim"),
     )
     one_to_one = (F.size("held") == F.size(F.array_distinct("held.a"))) & (F.size("held") == F.size(F.array_distinct("held.b")))
-    found = aligned.filter(one_to_one).groupBy(key, "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("met")))).cast("long").alias("n_covered"),
-        F.bool_and(F.size(F.filter("held", lambda x: x["a"] != x["b"])) == 0).alias("exact"),
+    own = F.size(F.filter("held", lambda x: x["a"] != x["b"])) == 0
+    counted = aligned.withColumn("met", F.when(one_to_one, F.col("met")).otherwise(F.col("verbatim"))).filter(F.size("met") > 0)
+    found = counted.groupBy(key, "item_id", "n_windows", "n_bound").agg(
+        F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"), F.bool_and(~one_to_one | own).alias("exact")
     )
-    found = found.withColumn("coverage", F.col("n_covered") / F.col("n_windows"))
-    return found.filter(F.col("coverage") >= coverage).select(key, "item_id", "n_windows", "n_covered", "coverage", "exact")
+    shares = F.array(*[
+        F.struct((n / of).alias("coverage"), of.alias("n_windows"), n.cast("long").alias("n_covered"))
+        for n, of in ((F.size("met"), F.col("n_windows")), (F.size(F.filter("met", lambda x: x["bound"])), F.when(F.col("n_bound") > 0, F.col("n_bound"))))
+    ])
+    found = found.select(key, "item_id", "exact", F.array_max(F.filter(shares, lambda x: x["coverage"].isNotNull())).alias("share"))
+    found = found.filter(F.col("share.coverage") >= coverage)
+    return found.select(key, "item_id", "share.n_windows", "share.n_covered", "share.coverage", "exact")

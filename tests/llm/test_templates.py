@@ -29,6 +29,20 @@ def test_slots_must_map_one_to_one(documents, found):
     assert found(documents((1, FILL + BROKEN, "en"))) == {}
 
 
+def test_one_edit_does_not_hide_an_item(documents, spark):
+    item = "A box on the left side of the desk has 5 pens in it and the clerk of the shop then buys 5 more for the box, so how many are there in all?"
+    items = spark.createDataFrame([(1, item), (2, ITEM)], "item_id bigint, text string")
+    docs = documents((1, FILL + item.replace("5 more", "6 more"), "en"), (2, FILL + ITEM.replace("does Alice pay in", "does Carol pay in"), "en"))
+    got = {(r.doc_id, r.item_id): r.coverage for r in templates.contaminated(docs, items).collect()}
+    assert set(got) == {(1, 1), (2, 2)} and all(0.5 <= x < 1 for x in got.values())
+
+
+@pytest.mark.parametrize("change", [str.lower, str.upper, str.title, str.swapcase])
+def test_exact_wording_in_any_case(documents, found, change):
+    rows = found(documents((1, FILL + change(ITEM) + " " + FILL, "en")))
+    assert rows[1, 1].coverage == 1.0
+
+
 def test_two_variants_in_one_document(documents, found):
     rows = found(documents((1, ITEM + " " + FILL + OTHER, "en")))
     assert rows[1, 1].coverage == 1.0
