@@ -101,7 +101,7 @@ def _windows(lengths: tuple[int, ...], bits: np.ndarray | None):
             last = length - 1
             whole = row[: len(codes) - last] == row[last:]
             bound = literal[length:] - literal[:-length] >= min(LITERALS, length)
-            for values, fits, word_for_word in ((codes, whole & bound, False), (plain, whole & bound, True)):
+            for values, fits, word_for_word in ((codes, whole & bound, False), (plain, whole, True)):
                 hashed = rolling(values, length)
                 at = np.flatnonzero(fits)
                 if bits is not None:
@@ -167,7 +167,7 @@ def contaminated(
     the item's own values. The share is taken of the windows that have a template and of all
     windows, which differ where numbers, names and units prevail, and the greater one stands.
     Repeated rows count once; rows of one key are one document, also those of a null key; null
-    and empty texts meet nothing; an item without ``LITERALS`` literal words has no window; items
+    and empty texts meet nothing; an item without ``LITERALS`` literal words is found word for word only; items
     with a null id are left out; empty tables give no rows; other columns are not read.
     """
     wanted = stage(item_windows(benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("__text")), "item_id", "__text"), "items")

@@ -43,6 +43,13 @@ def test_exact_wording_in_any_case(documents, found, change):
     assert rows[1, 1].coverage == 1.0
 
 
+@pytest.mark.parametrize("item", ["12 + 30 * 4 = 132", "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy", "3 m 12 s 4 km 18 h 5 m 20 s 6 km", "7", "1 2 3 4 5 6 7 8 9 10 11 12"])
+def test_items_without_literals_are_found_word_for_word(documents, spark, item):
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = documents((1, FILL + item + " " + FILL, "en"), (2, FILL + "13 + 31 * 5 = 168 Kim Lee Max Ned Ola Pat Quin Ros Sue Tom 9 m 8 s 9 km 8 h 9 m 8 s", "en"))
+    assert [(r.doc_id, r.coverage) for r in templates.contaminated(docs, items).collect()] == [(1, 1.0)]
+
+
 def test_two_variants_in_one_document(documents, found):
     rows = found(documents((1, ITEM + " " + FILL + OTHER, "en")))
     assert rows[1, 1].coverage == 1.0
