@@ -78,6 +78,13 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "publicDomain": ("this work is in the public domain", "released into the public domain", "this is free and unencumbered software released into the public domain"),
 }
 
+# Licences by SPDX identifier, in lines such as "SPDX-License-Identifier: MIT".
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+    "LGPL-3.0-only", "AGPL-3.0-only", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC0-1.0",
+)
+SENTENCES |= {f"spdx:{name}": (f"spdx license identifier {name.lower().replace('-', ' ').replace('.', ' ')}",) for name in SPDX}
+
 # Licence rules in order, longest first; a rule names sentences that follow one another
 # among the known ones.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -105,6 +112,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-ND-4.0", ("ccByNd",)),
     ("CC0-1.0", ("cc0",)),
     ("public-domain", ("publicDomain",)),
+    *((name, (f"spdx:{name}",)) for name in SPDX),
     ("all-rights-reserved", ("copyright", "reserved")),
     ("all-rights-reserved", ("reserved",)),
     ("copyright-notice", ("copyright",)),
@@ -114,10 +122,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 #: any of their letters are not even cut.
 CUES = r"licen[sc]e|copyright|rights reserved|permission|redistribut|warrant|\bliable\b|\bas is\b|public domain|\bmpl\b|\bcc0\b"
 LETTERS = r"licen[sc]e|copyright|rights|permission|redistribut|warrant|liable|as[^a-z0-9]+is|public|mpl|cc0"
-#: Breaks between sentences, marked one after the other: empty lines, white space behind the end of a
-#: sentence, and line ends before what begins a sentence.
+#: Breaks between sentences, marked one after the other: SPDX lines, empty lines, white space behind the
+#: end of a sentence, and line ends before what begins a sentence. Before that, the known notices lose
+#: the signs and empty lines that would cut their sentences: an address on a line of its own, "v. 2.0", and
+#: the colons and semicolons of the whole GNU notice.
 MARK = "\x01"
 BREAKS = (
+    (r"SPDX-License-Identifier:[ \t]*([^\r\n*<>]*)", r"SPDX-License-Identifier \1" + MARK),
+    (r"\bat[ \t#*/]*\r?\n[ \t\r\n#*/]*(https?://)", r"at \1"),
+    (r"(\bLicense, [vV])\.", r"\1"),
+    (r"\bFoundation;([ \t\r\n#*/]+either version)", r"Foundation\1"),
+    (r"\bfree software[:;]([ \t\r\n#*/]+you can redistribute[^:;]{0,900}?This program is distributed in the hope)", r"free software\1"),
+    (r"(WITHOUT ANY WARRANTY);", r"\1"),
     (r"\n[ \t\r\n]*\n", MARK),
     (r"([.!?:;])[ \t\r\n]+", r"\1" + MARK),
     (r"\n([ \t#*/-]*(?:Copyright|All rights|Licensed|Released|Permission|Redistribut|The MIT|MIT License|This work|This program|This project|Unless|You may|SPDX))", MARK + r"\1"),

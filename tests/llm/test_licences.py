@@ -54,6 +54,55 @@ def test_texts(documents, text, found, ids, unmatched):
         assert row.n_unknown >= 1
 
 
+def gnu(version, colon, semicolon):
+    return f"""This program is free software{colon} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{semicolon} either version {version} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+NOTICES = [
+    (gnu(3, ":", ","), "GPL-3.0-or-later", "gplFree,gplHope,gplMore"), (gnu(2, ";", ";"), "GPL-2.0-or-later", "gpl2Free,gplHope,gplMore"),
+    (gnu(3, ";", ";"), "GPL-3.0-or-later", "gplFree,gplHope,gplMore"), (MPL, "MPL-2.0", "mplForm,mplCopy"),
+    (APACHE_HEADER, "Apache-2.0", "apacheRef,apacheComply,apacheCopy,apacheAsIs"),
+]
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * "])
+def test_standard_notices(documents, prefix):
+    texts = ["".join(f"{prefix}{line}".rstrip(" ") + "\n" for line in text.splitlines()) for text, _, _ in NOTICES]
+    rows = {r.doc_id: r for r in licences.scan_licences(documents(*[(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    got = [(rows[i].licences, rows[i].sentence_ids, rows[i].n_unmatched, rows[i].n_unknown) for i in range(len(texts))]
+    assert got == [(name, ids, 0, 0) for _, name, ids in NOTICES]
+
+
+def test_spdx_lines(documents):
+    docs = [f"// SPDX-License-Identifier: {name}\nint main;\n/* SPDX-License-Identifier: {name} */ more" for name in licences.SPDX]
+    rows = {r.doc_id: r for r in licences.scan_licences(documents(*[(i, t, "en") for i, t in enumerate([*docs, "SPDX-License-Identifier: MIT OR ISC\n"])])).collect()}
+    assert [rows[i].licences for i in range(len(docs))] == list(licences.SPDX)
+    assert (rows[len(docs)].licences, rows[len(docs)].n_unknown) == ("", 1)
+
+
 def test_every_known_sentence_has_a_cue_and_every_rule_known_sentences(spark):
     wordings = [w for own in licences.SENTENCES.values() for w in own]
     frame = spark.createDataFrame([(w,) for w in wordings], "w string")
