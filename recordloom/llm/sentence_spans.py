@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences, and every run of ``RUN`` consecutive ones is hashed. The hashes meet
-across the corpus; the first place of a repeated span stands, and the sentences of all others go.
+Texts are cut into sentences, and from every one the shortest run of at least ``RUN`` sentences and
+``LEAST_WORDS`` words is hashed. The hashes meet across the corpus; the first place of a repeated
+span stands, and the sentences of all others go.
 """
 
 from __future__ import annotations
@@ -14,61 +15,115 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.blocks import hash64, map_texts, rolling, without
+from recordloom.llm.blocks import Hashes, hash64, map_texts, without
 from recordloom.session import stage
 
-#: Sentences in a span and the words it needs to count.
+#: Least sentences and words of a span; a run of short sentences grows until it has the words.
 RUN, LEAST_WORDS = 3, 12
-#: Longer sentences are cut behind words whose checksum is a multiple of ``CUT_EVERY``, so that the
-#: same passage is cut alike in any surroundings.
-LONG, CUT_EVERY = 12, 6
+#: Sentences of more words than ``LONG`` are cut behind the least of every ``WINDOW`` consecutive
+#: places by the checksum of the ``GRAM`` words that end there, so pieces have at most ``WINDOW``
+#: words and the same passage is cut alike in any surroundings. Within a passage of 51 words cuts
+#: are the same from its 8th word on, a piece begins by its 14th and three have at most 36 words.
+LONG, WINDOW, GRAM = 12, 6, 3
+
+#: An odd factor and its inverse modulo 2^64.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 2**64)
 
 _BREAK = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+")
 
 
-def _long(text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
-    """Pieces of a long sentence: start, stop, words."""
-    pieces, begin, n = [], start, 0
-    for m in _WORD.finditer(text, start, stop):
-        n += 1
-        if zlib.crc32(m[0].lower().encode("utf-8", "replace")) % CUT_EVERY == 0:
-            pieces.append((begin, m.end(), n))
-            begin, n = m.end(), 0
-    if n:
-        pieces.append((begin, stop, n))
-    elif pieces:
-        pieces[-1] = (pieces[-1][0], stop, pieces[-1][2])
-    return pieces
+class _Words(dict):
+    """Hash of each word a batch meets, whatever its case."""
+
+    def __missing__(self, word: str) -> int:
+        found = hash64(word.lower())
+        if len(self) < Hashes.BOUND:
+            self[word] = found
+        return found
+
+
+def _marks(codes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Checksum of the ``GRAM`` words that end at each place, of fewer where the sentence begins later."""
+    marks = codes.astype(np.uint64)
+    for back in range(1, min(GRAM, len(codes))):
+        marks *= np.uint64(_FACTOR)
+        marks[back:] += np.where(sentence[back:] == sentence[:-back], codes[:-back], 0).astype(np.uint64)
+    return marks ^ (marks >> np.uint64(32))
+
+
+def _cuts(codes: np.ndarray, sentence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the words behind which long sentences are cut: the last least one of every window."""
+    last = WINDOW - 1
+    if len(codes) <= last:
+        return np.zeros(0, dtype=np.int64)
+    marks = _marks(codes, sentence)
+    windows = np.flatnonzero((sentence[:-last] == sentence[last:]) & (sizes[:-last] > LONG))
+    least, at = marks[windows], windows
+    for k in range(1, WINDOW):
+        other = marks[windows + k]
+        at = np.where(other <= least, windows + k, at)
+        least = np.minimum(other, least)
+    least = np.unique(at)
+    if not ((marks[least[1:]] == marks[least[:-1]]) & (sentence[least[1:]] == sentence[least[:-1]])).any():
+        return least
+    cuts, seen, alike = [], None, 0  # of equal ones in reach of each other, as in a text of one repeated word, the farthest
+    for cut, *mark in zip(least.tolist(), marks[least].tolist(), sentence[least].tolist(), strict=True):
+        alike, seen = alike + 1 if mark == seen else 0, mark
+        if alike > 1 and cut <= cuts[-2] + WINDOW:
+            cuts[-1] = cut
+        else:
+            cuts.append(cut)
+            alike = min(alike, 1)
+    return np.array(cuts, dtype=np.int64)
+
+
+def _cut(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sentences with a word as rows of start, stop and number of words, and the hashes of all words."""
+    found = [m.span() for m in _WORD.finditer(text)]
+    if not found:
+        return np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    words = np.array(found)
+    codes = np.fromiter((known[text[a:b]] for a, b in found), dtype=np.int64, count=len(found))
+    stops = np.array([*(m.end() for m in _BREAK.finditer(text)), len(text)])
+    sentence = np.searchsorted(stops, words[:, 0], side="right")
+    sizes = np.bincount(sentence, minlength=len(stops))[sentence]
+    final = np.append(sentence[1:] != sentence[:-1], True)
+    ends = np.union1d(_cuts(codes, sentence, sizes), np.flatnonzero(final))
+    stop = np.where(final[ends], stops[sentence[ends]], words[ends, 1])
+    first = np.append(0, ends[:-1] + 1)
+    begins = np.append(True, final[ends[:-1]])
+    start = np.where(begins, np.append(0, stops)[sentence[first]], np.append(0, stop[:-1]))
+    return np.stack([start, stop, np.diff(np.append(-1, ends))], axis=1), codes
 
 
 def sentences(text: str) -> list[tuple[int, int, int]]:
     """Sentences with a word, as start, stop and number of words; together they hold every word."""
-    found, start = [], 0
-    for stop in [*(m.end() for m in _BREAK.finditer(text)), len(text)]:
-        n = len(text[start:stop].split())
-        if n > LONG:
-            found += _long(text, start, stop)
-        elif n:
-            found.append((start, stop, n))
-        start = stop
-    return found
+    return [tuple(row) for row in _cut(text, _Words())[0].tolist()]
+
+
+def _runs(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Order-sensitive hashes of the words from start to stop."""
+    powers = lambda by: np.cumprod(np.append(np.uint64(1), np.full(len(codes), np.uint64(by))))
+    sums = np.append(np.uint64(0), np.cumsum(codes.astype(np.uint64) * powers(_FACTOR)[:-1]))
+    total = (sums[stop] - sums[start]) * powers(_INVERSE)[start]
+    return (total ^ (total >> np.uint64(32))).astype(np.int64)
 
 
 def _spans(texts: list[str]):
-    rows, spans, starts, stops, versions = [], [], [], [], []
+    rows, spans, starts, stops, versions, known = [], [], [], [], [], _Words()
     for i, text in enumerate(texts):
-        cut = sentences(text)
-        if len(cut) < RUN:
+        places, codes = _cut(text, known)
+        if len(places) < RUN:
             continue
-        hashed = np.array([hash64(" ".join(text[a:b].lower().split())) for a, b, _ in cut], dtype=np.int64)
-        places = np.array(cut)
-        words = np.convolve(places[:, 2], np.ones(RUN, dtype=np.int64), "valid")
-        at = np.flatnonzero(words >= LEAST_WORDS)
+        before = np.append(0, np.cumsum(places[:, 2]))
+        ends = np.maximum(np.searchsorted(before, before[:-1] + LEAST_WORDS), np.arange(len(places)) + RUN)
+        at = np.flatnonzero(ends <= len(places))
         rows.append(np.full(len(at), i))
-        spans.append(rolling(hashed, RUN)[at])
+        spans.append(_runs(codes, before[at], before[ends[at]]))
         starts.append(places[at, 0])
-        stops.append(places[at + RUN - 1, 1])
+        stops.append(places[ends[at] - 1, 1])
         versions.append(np.full(len(at), zlib.crc32(text.encode("utf-8", "replace")) - 2**31))
     joined = {n: np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for n, x in (("row", rows), ("span", spans), ("start", starts), ("stop", stops), ("version", versions))}
     return joined["row"].tolist(), {
@@ -84,7 +139,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     ``removed`` (ranges start, stop in code points, merged, by start), ``n_spans`` and ``first_in``
     (keys that hold the first places, sorted). The first place is the least by key, checksum and
     position, so rows alike in key and text share it and keep it. Rows with a null key come
-    first; null and empty texts and texts of fewer than ``RUN`` sentences have no spans.
+    first; null and empty texts and texts of fewer than ``RUN`` sentences or ``LEAST_WORDS`` words have no spans.
     """
     spans = stage(map_texts(docs, [key], text, "span bigint, version int, start int, stop int", _spans), "spans")
     place = F.struct(F.col(key).alias("key"), "version", "start")

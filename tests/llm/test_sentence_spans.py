@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from recordloom.llm import sentence_spans as spans
 
 SHARED = "One shared sentence of some length stands here. Another shared one follows the first of them. And a third one ends the shared passage. "
@@ -53,6 +57,26 @@ def test_passage_without_full_stops(documents):
     assert sum(b - a for a, b in row.removed) > len(passage) // 2
 
 
+def hashes(text):
+    return set(spans._spans([text])[1]["span"].to_pylist())
+
+
+@pytest.mark.parametrize("per_line, end", [(1, "\n"), (2, "\n"), (3, "\n"), (1, "!! "), (3, ". ")])
+def test_passage_of_short_sentences(per_line, end):
+    passage = end.join(" ".join(f"v{i}x{j}" for j in range(per_line)) for i in range(51 // per_line + 1)) + end
+    assert hashes("Some head\n" + passage + "a tail") & hashes("Other words\nof another head\n" + passage + "b")
+
+
+def test_every_passage_of_51_words_has_a_span():
+    rng = random.Random(3)
+    for vocabulary, ends in ((9, [""]), (400, [""]), (5000, [""] * 9 + [".", "!", ",\n"]), (1, [""]), (2, [""]), (5000, [""] * 12 + ["."]), (3, [""] * 3 + ["."])):
+        for _ in range(300):
+            words = lambda n: " ".join(f"w{rng.randrange(vocabulary)}{rng.choice(ends)}" for _ in range(n))  # noqa: E731, B023
+            passage = words(51)
+            one, other = (f"{words(rng.randrange(40))} {passage} {words(rng.randrange(40))}" for _ in range(2))
+            assert hashes(one) & hashes(other), passage
+
+
 def test_case_of_a_character_that_grows(documents):
     docs = documents((1, SHARED + own(1), "en"), (2, "\u0130stanbul is named first. " + own(2) + SHARED, "en"))
     row = spans.repeated(docs).first()
