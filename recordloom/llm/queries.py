@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import (
-    byte_bpe, decision_list, language, licences, near_duplicates, secret_ledger, sentence_spans, sharding, templates, warc,
+    byte_bpe, conversation_repair, decision_list, language, licences, near_duplicates, secret_ledger, sentence_spans, sharding, templates, warc,
 )
 
 
@@ -62,10 +62,14 @@ def op10_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *decision_list.BASE, "base_failed", "rule", "kept")
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repaired(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_licences, op3_language, op4_templates, op5_secrets, op6_sentence_spans, op7_byte_bpe, op8_near_duplicates,
-        op9_warc, op10_decision_list,
+        op9_warc, op10_decision_list, op13_conversation_repair,
     )
 }
 
@@ -131,4 +135,55 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r
 FROM docs LEFT JOIN per_row USING (row)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_licences": _licence_sql(), "op5_secrets": _secret_sql()}
+def _repair_sql() -> str:
+    """The least cost and edits into every state, row by row; the edits' text decides between equal costs."""
+    crc = """xor(4294967295, list_reduce(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda c, ch: list_reduce(range(8), lambda d, i: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, ascii(ch)::BIGINT)),
+      4294967295::BIGINT))"""
+    name = {2: "user", 3: "assistant"}
+    add = lambda of, cost, letter, line: f"{{'c': {of}.c + {cost}, 't': {of}.t || '{letter}', 'r': {of}.r || {line}}}"
+    put = lambda of, to: add(of, 3, "I", f"chr(10) || '{name[to]}:'")
+    more = "CASE WHEN x.late THEN 3 ELSE 0 END"
+    must = "CASE WHEN x.code IN ('_', '=') THEN 1000000000 ELSE 0 END"
+    keep = lambda of, kind: add(of, f"CASE WHEN x.code = '{kind}' THEN {more} ELSE 1000000000 END", "K", "chr(10) || x.role || ':' || x.text")
+    role = lambda of, to: add(of, f"3 + {more} + {must}", "R", f"chr(10) || '{name[to]}:' || x.text")
+    drop = lambda of: add(of, 4, "D", "''")
+    least = lambda *of: f"list_sort([{', '.join(of)}])[1]"
+    filled = f"{{'s': a.s, 'y': a.y, 'u': {least('a.u', put('a.s', 2), put('a.y', 2), put('a.n', 2))}, 'n': a.n}}"
+    twice = f"{{'s': b.s, 'y': b.y, 'u': b.u, 'n': {least('b.n', put('b.u', 3))}}}"
+    moved = f"""{{'s': {drop('e.s')}, 'y': {least(drop('e.y'), keep('e.s', 's'))},
+      'u': {least(drop('e.u'), *[f(of, k) for of in ('e.s', 'e.y', 'e.n') for f, k in ((keep, 'u'), (role, 2))])},
+      'n': {least(drop('e.n'), keep('e.u', 'a'), role('e.u', 3))}}}"""
+    never = "{'c': 1000000000::BIGINT, 't': '', 'r': ''}"
+    start = f"{{'s': {{'c': 0::BIGINT, 't': '', 'r': ''}}, 'y': {never}, 'u': {never}, 'n': {never}}}"
+    apply = lambda value, names, body: f"list_transform([{value}], lambda {names}: {body})[1]"
+    step = apply(apply(filled, "b", twice), "e", moved)
+    return rf"""
+WITH hurt AS (
+  SELECT conv_id, turn, h, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM (SELECT *, {crc} % 20 AS h FROM conversations)),
+rows AS (SELECT conv_id, turn, role, text FROM hurt WHERE h <> 0 UNION ALL SELECT conv_id, turn, role, text FROM hurt WHERE h = 3),
+judged AS (
+  SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM rows),
+coded AS (
+  SELECT *, CASE WHEN said = '' THEN '_' WHEN again THEN '=' WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS code,
+    said <> '' AND NOT again AND right(said, 1) NOT IN ('.', '!', '?') AS late FROM judged),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (code = '_') AS blank,
+    count(*) FILTER (code = '=') AS duplicate, count(*) FILTER (late) AS truncated,
+    list({{'code': code, 'late': late, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, left(text, 100), text, again) AS row
+  FROM coded GROUP BY conv_id),
+folded AS (SELECT *, list_reduce(row, lambda a, x: {step}, {start}) AS z FROM told),
+ended AS (
+  SELECT *, list_sort([z.s, z.n, {put('z.u', 3)}, {apply(put('z.y', 2), 'q', put('q', 3))}])[1] AS best,
+    len(list_filter(range(1, len(row)), lambda i: (left(row[i].role, 1) || left(row[i + 1].role, 1)) NOT IN ('su', 'ua', 'au'))) AS illegal FROM folded),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.t, '') AS audit, sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM every LEFT JOIN ended ON every.conv_id IS NOT DISTINCT FROM ended.conv_id"""
+
+
+ORACLE_SQL: dict[str, str] = {"op13_conversation_repair": _repair_sql(), "op2_licences": _licence_sql(), "op5_secrets": _secret_sql()}
