@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import (
-    byte_bpe, conversation_repair, decision_list, language, licences, near_duplicates, secret_ledger, sentence_spans, sharding, templates, warc,
+    byte_bpe, conversation_repair, decision_list, language, licences, near_duplicates, secret_ledger, sentence_spans, sharding, templates, vector_codes, warc,
 )
 
 
@@ -62,6 +62,10 @@ def op10_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *decision_list.BASE, "base_failed", "rule", "kept")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.encoded(_table(spark, folder, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repaired(_table(spark, folder, "conversations"))
 
@@ -69,7 +73,7 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_licences, op3_language, op4_templates, op5_secrets, op6_sentence_spans, op7_byte_bpe, op8_near_duplicates,
-        op9_warc, op10_decision_list, op13_conversation_repair,
+        op9_warc, op10_decision_list, op11_vector_codes, op13_conversation_repair,
     )
 }
 
@@ -186,4 +190,33 @@ SELECT every.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIG
 FROM every LEFT JOIN ended ON every.conv_id IS NOT DISTINCT FROM ended.conv_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op13_conversation_repair": _repair_sql(), "op2_licences": _licence_sql(), "op5_secrets": _secret_sql()}
+def _vector_sql() -> str:
+    """Every part against every entry, round by round."""
+    size = "len(v) // 4"
+    assigned = lambda book: f"""(
+  SELECT id, i, p, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d FROM (
+    SELECT parts.id, parts.i, parts.p, book.e, list_sum(list_transform(list_zip(parts.p, book.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts JOIN {book} AS book USING (i)) GROUP BY id, i, p)"""
+    rounds = ""
+    for n in range(1, vector_codes.ROUNDS + 1):
+        rounds += f"""
+a{n} AS MATERIALIZED (SELECT i, e, p FROM {assigned(f"book{n - 1}")}),
+m{n} AS (
+  SELECT i, e, list(floor_of ORDER BY k) AS c FROM (
+    SELECT i, e, k, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_of
+    FROM (SELECT i, e, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM a{n}) GROUP BY i, e, k) GROUP BY i, e),
+book{n} AS MATERIALIZED (SELECT i, e, coalesce(m{n}.c, old.c) AS c FROM book{n - 1} AS old LEFT JOIN m{n} USING (i, e)),"""
+    last = f"book{vector_codes.ROUNDS}"
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT id, vec_id, i, v[i * ({size}) + 1:(i + 1) * ({size})] AS p FROM kept, range({vector_codes.PARTS}) AS t(i)),
+book0 AS (SELECT i, e, p AS c FROM (SELECT i, p, row_number() OVER (PARTITION BY i ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < {vector_codes.ENTRIES}),{rounds}
+told AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY i, e)) AS codebooks_sha256 FROM {last}),
+coded AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY i) AS code, sum(d)::BIGINT AS error FROM {assigned(last)} GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (id), told"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": _vector_sql(), "op13_conversation_repair": _repair_sql(), "op2_licences": _licence_sql(), "op5_secrets": _secret_sql()}
