@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import (
-    byte_bpe, conversation_repair, decision_list, language, licences, near_duplicates, secret_ledger, sentence_spans, sharding, templates, vector_codes, warc,
+    byte_bpe, conversation_repair, decision_list, language, licences, near_duplicates, parity_join, secret_ledger, sentence_spans, sharding, templates, vector_codes, warc,
 )
 
 
@@ -66,6 +66,10 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return vector_codes.encoded(_table(spark, folder, "embeddings"))
 
 
+def op12_parity_join(spark: SparkSession, folder: str) -> DataFrame:
+    return parity_join.joined(_table(spark, folder, "documents"), width=3, percent=90)
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repaired(_table(spark, folder, "conversations"))
 
@@ -73,7 +77,7 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_licences, op3_language, op4_templates, op5_secrets, op6_sentence_spans, op7_byte_bpe, op8_near_duplicates,
-        op9_warc, op10_decision_list, op11_vector_codes, op13_conversation_repair,
+        op9_warc, op10_decision_list, op11_vector_codes, op12_parity_join, op13_conversation_repair,
     )
 }
 
