@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.errors import RecordError
-from recordloom.operators import ordering
+from recordloom.operators import ordering, ranking
 from recordloom.operators.schema import col
 
 # The fields a difference of two runs is made of, in order of importance.
@@ -68,15 +68,12 @@ def retention_by_count(
     """Runs to drop: all but the newest ``keep``, per scope; pinned ones are exempt and not counted.
 
     Exactly ``keep`` runs stay, also among ties, which go by arrival; a null time is the oldest. The
-    runs are laid out by scope and time over many tasks and numbered there, so neither a large
-    ``keep`` nor a scope that holds most of the runs meets in one.
+    last run that stays is found by counting (per scope: by its times alone) and the others are filtered
+    against it, so neither a large ``keep`` nor a scope that holds most of the runs moves the rows.
     """
     free = runs if pinned is None else runs.filter(~F.coalesce(col(pinned).cast("boolean"), F.lit(False)))
-    if keep <= 0:
-        return free
     down = [time, tie]
-    ranked = ordering.number_within(free, scope, down, "__n", down) if scope else ordering.number_rows(free, down, "__n", descending=down)
-    return ranked.filter(F.col("__n") > keep).select(*[col(c) for c in runs.columns])
+    return ranking.behind_within(free, scope, down, keep, down) if scope else ranking.behind(free, down, keep, down)
 
 
 def retention_by_size(

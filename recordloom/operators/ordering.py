@@ -212,24 +212,44 @@ def number_within(
     return plain(running_sum(rows, keys, column, F.lit(1)))
 
 
-def drop_rows(df: DataFrame, n: int, order_by: Sequence[str], descending: bool = False) -> DataFrame:
-    """All rows after the first ``n``."""
-    numbered = number_rows(df, order_by, "__n", descending=descending)
-    return numbered.filter(F.col("__n") > n).drop("__n")
+def drop_rows(df: DataFrame, n: int, order_by: Sequence[str], descending: bool = False, unique: bool = False) -> DataFrame:
+    """All rows after the first ``n``, which are found by counting."""
+    from recordloom.operators import ranking
+
+    return ranking.behind(df, order_by, n, descending, unique)
 
 
 def sample(df: DataFrame, n: int, order_by: Sequence[str], unique: bool = False) -> DataFrame:
-    """``n`` rows evenly spaced through the order, both ends included."""
+    """``n`` rows evenly spaced through the order, both ends included; ties by arrival.
+
+    The order columns alone are laid out and numbered. What they hold at the wanted places is joined
+    back to the rows, and only rows that tie with a wanted one are numbered again.
+    """
     if n <= 0:
         return df.limit(0)
-    rows = _numbered(sequence_rows(df, [], order_by, unique=unique), "__n", 0)
-    total = rows.count()
-    if total > n:
-        stride = (total - 1) / (n - 1) if n > 1 else 0
-        wanted = sorted({round(i * stride) for i in range(n)})
-        places = rows.sparkSession.createDataFrame([(i,) for i in wanted], "__n long")
-        rows = rows.join(places, "__n", "left_semi")
-    return plain(rows.drop("__n"))
+    total = df.count()
+    if total <= n:
+        return df
+    stride = (total - 1) / (n - 1) if n > 1 else 0
+    wanted = sorted({round(i * stride) for i in range(n)})
+    names = list(dict.fromkeys(order_by))
+    rows = _numbered(sequence_rows(df.select(*[col(c) for c in names]), [], names, unique=True), "__n", 0)
+    places = rows.sparkSession.createDataFrame([(i,) for i in wanted], "__n long")
+    picked = rows.join(places, "__n", "left_semi").select("__n", *[col(c).alias(f"__k_{c}") for c in names])
+    if unique:
+        return df.join(picked.drop("__n"), _same(df, picked, names), "left_semi")
+    held = picked.select(*[F.col(f"`__k_{c}`") for c in names]).distinct()
+    firsts = rows.join(held, _same(rows, held, names)).groupBy(*[F.col(f"`__k_{c}`") for c in names]).agg(F.min("__n").alias("__first"))
+    marked = [F.col(f"`__k_{c}`").alias(f"__w_{c}") for c in names]
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(f"`__k_{c}`").eqNullSafe(F.col(f"`__w_{c}`"))
+    offsets = picked.select("__n", *marked).join(firsts, same).select(*marked, (F.col("__n") - F.col("__first") + 1).alias("__turn"))
+    tied = number_within(df.join(held, _same(df, held, names), "left_semi"), names, names, "__n")
+    here = F.col("__n") == F.col("__turn")
+    for c in names:
+        here = here & col(c).eqNullSafe(F.col(f"`__w_{c}`"))
+    return tied.join(offsets, here, "left_semi").drop("__n")
 
 
 def keep_first(df: DataFrame, by: Sequence[str], order_by: Sequence[str], last: bool = False) -> DataFrame:
