@@ -3,7 +3,8 @@
 Every shingle of a text flips one bit of a sketch, so the bits in which two sketches differ are never more
 than the shingles in which two sets differ. Sets at the threshold differ in few shingles for their size:
 in a band of sizes at most ``slack``. A sketch is cut into ``slack + agree`` words of 64 bits; two sketches
-that differ in no more bits agree in ``agree`` words at least, and meet in the bucket of these words. Texts
+that differ in no more bits agree in ``agree`` words at least, and meet in the bucket of these words. A set
+only posts as many of the first words as the sets it can be linked with may differ from it in. Texts
 below the first band link only with equal sets. A set meets others of its own band, and the smaller ones of
 the band above, where sets just beyond the border belong.
 
@@ -22,17 +23,16 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.blocks import Hashes, map_texts, rolling, sliced
+from recordloom.llm.blocks import Hashes, bit_filter, map_texts, passing, rolling, sliced
 from recordloom.llm.near_duplicates import _texts_of, components, shingles
 from recordloom.session import stage
 
 #: Growth of the sizes of a band.
-GROWTH = 1.3
+GROWTH = 1.4
 #: Words of a sketch that must agree, by the slack of the band; one beyond these.
 AGREE = {1: 3, 2: 3, 3: 2, 4: 2}
 #: Members of a tile's side at most, and bytes of their sketches.
@@ -85,9 +85,10 @@ def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits((np.bincount(place, minlength=words * 64) & 1).astype(bool)).view(np.uint64)
 
 
-def keys(words: np.ndarray, band: int, agree: int) -> np.ndarray:
-    """The buckets of a sketch: hashes of every choice of words, with their places."""
-    chosen = choices(len(words), agree)
+def keys(words: np.ndarray, band: int, size: int, percent: int) -> np.ndarray:
+    """The buckets of a sketch: hashes of every choice of as many words as a linked set differs in, and some more."""
+    agree = shape(band, percent)[1]
+    chosen = choices(min(len(words), difference(size + size * 100 // percent, percent) + agree), agree)
     mixed = np.full(len(chosen), np.uint64(band + 1))
     for i in range(agree):
         part = words[chosen[:, i]] ^ (chosen[:, i].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -124,8 +125,12 @@ def _sketches(width: int, percent: int):
     return make
 
 
-def _postings(sketches: DataFrame, percent: int) -> DataFrame:
-    """Bucket, band and class of every choice of words."""
+def _postings(sketches: DataFrame, percent: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Bucket, band and class of every choice of words; of few buckets but ``wanted`` ones, if these are given.
+
+    A filter of fixed size goes to the tasks, so what meets nothing is not shuffled again.
+    """
+    bits = None if wanted is None else sketches.sparkSession.sparkContext.broadcast(bit_filter(wanted, "bucket"))
 
     def put(found: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
         many = [len(f) for f, _, _ in found]
@@ -136,17 +141,18 @@ def _postings(sketches: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, size = [], 0
-            for rep, band, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.append((keys(np.frombuffer(words, np.uint64), band, shape(band, percent)[1]), band, rep))
-                size += len(found[-1][0])
-                if size > 200_000:
+            found, many = [], 0
+            for rep, band, size, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = keys(np.frombuffer(words, np.uint64), band, size, percent)
+                found.append((own if bits is None else own[passing(bits.value, own)], band, rep))
+                many += len(found[-1][0])
+                if many > 200_000:
                     yield put(found)
-                    found, size = [], 0
+                    found, many = [], 0
             if found:
                 yield put(found)
 
-    return sketches.select("rep", "band", "words").mapInArrow(run, "bucket bigint, band int, rep bigint")
+    return sketches.select("rep", "band", "size", "words").mapInArrow(run, "bucket bigint, band int, rep bigint")
 
 
 def differing(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -213,7 +219,7 @@ def _open(members: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _across(opened: DataFrame, sketches: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Possible links (a, b) between members of a bucket in different components.
+    """Possible links (bucket, a, b) between members of a bucket in different components.
 
     Members outside the bucket's largest component meet all others, tile by tile. Unless ``every`` is asked for,
     a tile gives no more links than it takes to join what its possible links join.
@@ -227,33 +233,56 @@ def _across(opened: DataFrame, sketches: DataFrame, percent: int, every: bool) -
     members = sided.select(*kept, F.lit(False).alias("outer"), place("rows", "m").alias("row"), places("columns").alias("column"))
     outer = sided.filter("component != major").select(*kept, F.lit(True).alias("outer"), places("rows").alias("row"), place("columns", "o").alias("column"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        outside = group["outer"].to_numpy(dtype=bool)
-        o, m = group[outside], group[~outside]
-        links: list[tuple[int, int]] = []
-        if len(o) and len(m):
-            table = np.frombuffer(b"".join(m["words"]), np.uint64).reshape(len(m), -1)
-            reps, sizes, comps, minor = (m[c].to_numpy() for c in ("rep", "size", "component", "minor"))
-            joined = {c: c for c in {*o["component"], *comps}}
-
-            def root(c: int) -> int:
-                while joined[c] != c:
-                    c = joined[c]
-                return c
-
-            for rep, size, comp, words in zip(o["rep"], o["size"], o["component"], o["words"], strict=True):
-                # two outer members meet from both sides; the smaller one keeps the pair
-                at = np.flatnonzero((comps != comp) & ((reps > rep) | ~minor.astype(bool)))
-                bits = differing(np.frombuffer(words, np.uint64), table[at])
-                near = possible(np.int64(size), sizes[at], bits, percent)
-                for j in at[near][np.argsort(bits[near], kind="stable")].tolist():
-                    x, y = root(comp), root(comps[j])
-                    if every or x != y:
-                        joined[max(x, y)] = min(x, y)
-                        links.append((min(rep, reps[j]), max(rep, reps[j])))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
-
-    return members.unionByName(outer).groupBy("bucket", "band", "row", "column").applyInPandas(run, "a bigint, b bigint").distinct()
+    def links_in(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        """The links of one tile, from its rows (outer, rep, size, words, component, minor)."""
+        o, m = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        if not o or not m:
+            return
+        table = np.frombuffer(b"".join(r[3] for r in m), np.uint64).reshape(len(m), -1)
+        reps, sizes, comps, minor = (np.array([r[i] for r in m]) for i in (1, 2, 4, 5))
+        joined = {r[4]: r[4] for r in rows}
+
+        def root(c: int) -> int:
+            while joined[c] != c:
+                c = joined[c]
+            return c
+
+        for _, rep, size, words, comp, _ in o:
+            # two outer members meet from both sides; the smaller one keeps the pair
+            at = np.flatnonzero((comps != comp) & ((reps > rep) | ~minor))
+            if not len(at):
+                continue
+            bits = differing(np.frombuffer(words, np.uint64), table[at])
+            near = possible(np.int64(size), sizes[at], bits, percent)
+            for j in at[near][np.argsort(bits[near], kind="stable")].tolist():
+                x, y = root(comp), root(int(comps[j]))
+                if every or x != y:
+                    joined[max(x, y)] = min(x, y)
+                    yield min(rep, int(reps[j])), max(rep, int(reps[j]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles follow one another in order; one is held at a time."""
+        tile, held, found = None, [], []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for here, row in zip(zip(*columns[:4], strict=True), zip(*columns[4:], strict=True), strict=True):
+                if here != tile:
+                    found += [(tile[0], *pair) for pair in links_in(held)]
+                    tile, held = here, []
+                    if len(found) > 100_000:
+                        yield put(found)
+                held.append(row)
+        found += [(tile[0], *pair) for pair in links_in(held)]
+        yield put(found)
+
+    def put(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [[]] * 3
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["bucket", "a", "b"])
+
+    tile = ["bucket", "band", "row", "column"]
+    tiled = members.unionByName(outer).repartition(*tile).sortWithinPartitions(*tile)
+    return tiled.select(*tile, "outer", "rep", "size", "words", "component", "minor").mapInArrow(run, "bucket bigint, a bigint, b bigint")
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -276,20 +305,24 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     members = _postings(sketches, percent)
     hubs = members.groupBy("bucket", "band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("members"))
     hubs = stage(hubs.filter("hub != last").select("bucket", "band", "hub", "members"), "parity-hubs")
-    members = stage(members.join(hubs.select("bucket", "band"), ["bucket", "band"], "left_semi"), "parity-members")
+    members = _postings(sketches, percent, hubs).join(hubs.select("bucket", "band"), ["bucket", "band"], "left_semi")
+    members = stage(members, "parity-members")
     stars = members.join(hubs, ["bucket", "band"]).filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "band").distinct()
     tried = stage(_near(stars, sketches, percent), "parity-stars")
     links = stage(_linked(tried, source, width, percent), "parity-links")
     found = components(links)
+    inside = members
     for every in (False, True):
-        opened = _open(members, hubs, found)
+        opened = _open(inside, hubs, found)
         if opened.isEmpty():
             break
-        more = stage(_across(opened, sketches, percent, every).join(tried, ["a", "b"], "left_anti"), "parity-across")
-        fresh = stage(_linked(more, source, width, percent), "parity-links")
-        tried, links = tried.unionByName(more), links.unionByName(fresh)
-        if not fresh.isEmpty():
-            found = components(links)
+        across = stage(_across(opened, sketches, percent, every), "parity-across")
+        more = stage(across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "parity-more")
+        links = stage(_linked(more, source, width, percent), "parity-links").unionByName(links)
+        found = components(links)
+        # where all links of a bucket were true, its possible links join nothing else
+        untrue = across.join(links, ["a", "b"], "left_anti").select("bucket").distinct()
+        tried, inside = tried.unionByName(more), members.join(untrue, "bucket", "left_semi")
     groups = classes.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     shown = rows.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

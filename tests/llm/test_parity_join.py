@@ -106,12 +106,12 @@ def test_linked_sets_share_a_bucket(percent):
             shared = set(parity.bands_of(size, percent)) & set(parity.bands_of(larger, percent))
             assert shared or size == larger == together
             for band in shared:
-                n, agree = parity.shape(band, percent)
+                n = parity.shape(band, percent)[0]
                 x, y = parity.sketch(a, n), parity.sketch(b, n)
                 bits = parity.differing(x, y)
                 assert bits <= size + larger - 2 * together <= parity.difference(size + larger, percent) and parity.possible(np.int64(size), np.int64(larger), bits, percent)
                 if band == max(parity.bands_of(larger, percent)[:1], default=0) or size == larger:
-                    assert set(parity.keys(x, band, agree)) & set(parity.keys(y, band, agree))
+                    assert set(parity.keys(x, band, size, percent)) & set(parity.keys(y, band, larger, percent))
 
 
 def test_hot_groups(documents):
