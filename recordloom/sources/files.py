@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from pathlib import PurePosixPath
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +14,8 @@ from recordloom.functions import text
 from recordloom.operators import reshape
 from recordloom.operators.publish import Files
 from recordloom.operators.schema import col
+from recordloom.sources import csv_records, json_elements
+from recordloom.sources.pieces import lines_of
 
 # Formats by extension, and cell texts read as missing.
 BY_EXTENSION = {
@@ -55,47 +56,30 @@ def _paths(path: str | Sequence[str]) -> list[str]:
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, schema: T.StructType | None = None,
-    multi_line: bool = False,
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, schema: T.StructType | None = None
 ) -> DataFrame:
     """CSV with a header; types inferred, but a column with any ``00123`` stays text.
 
-    Files are split over tasks; ``multi_line=True`` keeps line ends inside quoted cells, which
-    ties a file to one task. Files whose headers differ are matched by name. Without ``schema``
-    building the frame takes one pass for the headers and one to infer the types.
+    Cells in quotes may hold line ends; lines end in LF or CR LF. Files are split over tasks all the same, and
+    files whose headers differ are matched by name. Building the frame takes one pass over the lines and,
+    without ``schema``, one to infer the types.
     """
     paths = _paths(path)
     sep = sep or _delimiter(paths[0])
+    lines = lines_of(spark, paths)
+    layout = csv_records.Layout(lines, sep)
+    if not layout.kinds:
+        raise RecordError(f"{paths[0]} is empty: a table needs at least its header")
+    in_pieces = layout.across or len(layout.kinds) > 1
     # Doubled quotes inside a quoted cell are the common escape.
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
     if schema is not None:
-        return reader.schema(schema).csv(paths)
-    groups = _by_header(spark, paths)
-    if not groups:
-        raise RecordError(f"{paths[0]} is empty: a table needs at least its header")
-    parts = [reader.option("inferSchema", False).csv(group) for group in (groups if len(groups) > 1 else [paths])]
-    raw = parts[0]
-    for part in parts[1:]:
-        raw = raw.unionByName(part, allowMissingColumns=True)
+        return csv_records.parsed(lines, layout, sep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)) if layout.across else reader.schema(schema).csv(paths)
+    raw = csv_records.parsed(lines, layout, sep) if in_pieces else reader.option("inferSchema", False).csv(paths)
     present = raw.select(*[F.when(~col(n).isin(*MISSING), col(n)).alias(n) for n in raw.columns])
     return present.select(*[_typed(n, kind) for n, kind in _csv_types(present).items()])
 
 
-def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
-    """The files below some paths, grouped by their first line, which the tasks read."""
-    lines = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"),
-    )
-    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    kinds = first.groupBy("header").agg(F.min("file").alias("first"), F.count("*").alias("n")).orderBy("first").collect()
-    if len(kinds) < 2:
-        return [paths] if kinds else []
-    # Only where headers differ does the driver need the names of the files.
-    named = first.select("header", "file").collect()
-    return [sorted(unquote(r.file) if r.file.startswith("file:") else r.file for r in named if r.header == kind.header) for kind in kinds]
-
-
 def _csv_types(df: DataFrame) -> dict[str, str]:
     tests = []
     for i, n in enumerate(df.columns):
@@ -130,9 +114,34 @@ def _typed(name: str, kind: str):
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """Whole JSON documents, shape kept: one row per document, or per element of a top list."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema is not None else reader).json(_paths(path))
+    """Whole JSON documents, shape kept: one row per document, or per element of a top list.
+
+    Lists in files larger than ``spark.sql.files.maxPartitionBytes`` are read by many tasks, which takes
+    one pass more; an element that is no object is then a corrupt record by itself.
+    """
+    paths = _paths(path)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    if _largest(spark, paths) > _bytes(spark, "spark.sql.files.maxPartitionBytes"):
+        lines = lines_of(spark, paths, json_elements.END)
+        states = json_elements.piece_states(lines)
+        if states.filter("start = 0 and not opens <=> '['").isEmpty():
+            return _json_texts(reader, json_elements.elements(lines, states))
+    return reader.option("multiLine", True).json(paths)
+
+
+def _largest(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of the largest file; contents stay unread."""
+    return spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0] or 0
+
+
+def _bytes(spark: SparkSession, setting: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+
+
+def _json_texts(reader: DataFrameReader, texts: DataFrame) -> DataFrame:
+    """A column of JSON texts, read as files of them would be."""
+    spark = texts.sparkSession
+    return DataFrame(reader._jreader.json(getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())), spark)
 
 
 def read_json_table(spark: SparkSession, path: str | Sequence[str], sep: str = "_") -> DataFrame:
