@@ -54,24 +54,24 @@ def sliced(texts: list[str], chars: int) -> Iterator[list[str]]:
         at = stop
 
 
-#: Bits of a membership filter. Its size depends on nothing else; the fuller it is, the more it lets through.
+#: Address bits of a membership filter. Its size depends on nothing else; the fuller it is, the more it lets through.
 FILTER_BITS = 24
 
 
-def bit_filter(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bit for the leading bits of every hash; OR-ed in Spark, at most 2 MB of bits reach the driver."""
-    spot = F.shiftrightunsigned(column, 64 - FILTER_BITS)
+def bit_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for the leading bits of every hash; OR-ed in Spark, at most 2^``bits`` bits reach the driver."""
+    spot = F.shiftrightunsigned(column, 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 32).cast("int"))
     words = hashes.select(F.shiftright(spot, 5).alias("word"), bit.alias("bit"))
     held = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    packed = np.zeros(1 << (FILTER_BITS - 5), dtype="<u4")
+    packed = np.zeros(1 << (bits - 5), dtype="<u4")
     packed[held["word"].to_numpy(dtype=np.int64)] = held["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
     return packed.view(np.uint8)
 
 
 def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be among those of the filter; none of them is missed."""
-    spot = hashes.astype(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    spot = hashes.astype(np.uint64) >> np.uint64(64 - (8 * len(bits)).bit_length() + 1)
     return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 

@@ -1,21 +1,23 @@
 """Substring dedup by sliding sentence spans.
 
 Texts are cut into sentences, and from every one the shortest run of at least ``RUN`` sentences and
-``LEAST_WORDS`` words is hashed. The hashes meet across the corpus; the first place of a repeated
-span stands, and the sentences of all others go.
+``LEAST_WORDS`` words is hashed. The hashes alone are counted across the corpus. A filter of the repeated ones
+picks the places that may be repeated, and only these meet: the first place of a
+repeated span stands, and the sentences of all others go.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.blocks import Hashes, hash64, map_texts, without
+from recordloom.llm.blocks import Hashes, bit_filter, hash64, kept_schema, map_texts, passing, without
 from recordloom.session import stage
 
 #: Least sentences and words of a span; a run of short sentences grows until it has the words.
@@ -26,6 +28,9 @@ RUN, LEAST_WORDS = 3, 12
 #: are the same from its 8th word on, a piece begins by its 14th and three have at most 36 words.
 LONG, WINDOW, GRAM = 12, 6, 3
 
+#: Address bits of the filter of repeated spans: 8 MB of bits, whatever their number.
+FILTER_BITS = 26
+
 #: An odd factor and its inverse modulo 2^64.
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 2**64)
@@ -132,6 +137,42 @@ def _spans(texts: list[str]):
     }
 
 
+def _listed(texts: list[str]):
+    """The spans of each text as lists: one row per text."""
+    rows, made = _spans(texts)
+    offsets = pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=len(texts)))), pa.int32())
+    lists = {f"{n}s": pa.ListArray.from_arrays(offsets, made[n]) for n in ("span", "start", "stop")}
+    return None, {"version": pa.array([zlib.crc32(t.encode("utf-8", "replace")) - 2**31 for t in texts], pa.int32()), **lists}
+
+
+def _counted(spans: DataFrame) -> DataFrame:
+    """Every span that occurs more than once; a batch sends each of its hashes once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["span", "n"])
+
+    counts = spans.select("spans").mapInArrow(run, "span bigint, n bigint").groupBy("span").agg(F.sum("n").alias("n"))
+    return stage(counts.filter("n > 1").select("span"), "repeated")
+
+
+def _places(spans: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Key, version, span, start and stop of the places whose span passes a filter of the wanted ones."""
+    bits = spans.sparkSession.sparkContext.broadcast(bit_filter(wanted, "span", FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            kept = pa.array(np.flatnonzero(passing(bits.value, lists.flatten().to_numpy(zero_copy_only=False))))
+            own = [c.take(pa.array(row).take(kept)) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*own, *[c.flatten().take(kept) for c in batch.columns[2:]]], names=[key, "version", "span", "start", "stop"])
+
+    schema = f"{kept_schema(spans, [key])}, version int, span bigint, start int, stop int"
+    return spans.select(key, "version", "spans", "starts", "stops").mapInArrow(run, schema)
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """What later places of repeated spans cover, one row per text that loses something.
 
@@ -141,11 +182,14 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     position, so rows alike in key and text share it and keep it. Rows with a null key come
     first; null and empty texts and texts of fewer than ``RUN`` sentences or ``LEAST_WORDS`` words have no spans.
     """
-    spans = stage(map_texts(docs, [key], text, "span bigint, version int, start int, stop int", _spans), "spans")
+    schema = "version int, spans array<bigint>, starts array<int>, stops array<int>"
+    spans = stage(map_texts(docs, [key], text, schema, _listed), "spans")
+    wanted = _counted(spans)
+    places = stage(_places(spans, key, wanted).join(wanted, "span", "left_semi"), "places")
     place = F.struct(F.col(key).alias("key"), "version", "start")
-    known = spans.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    known = stage(known.filter(F.col("first") != F.col("last")).select("span", "first"), "repeated")
-    later = spans.join(known, "span").filter(~place.eqNullSafe(F.col("first")))
+    known = places.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    known = known.filter(F.col("first") != F.col("last")).select("span", "first")
+    later = places.join(known, "span").filter(~place.eqNullSafe(F.col("first")))
     per_text = later.groupBy(key, "version").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans"), F.array_sort(F.collect_set("first.key")).alias("first_in")
     )

@@ -1,4 +1,6 @@
 import random
+import re
+import zlib
 
 import pytest
 
@@ -11,26 +13,39 @@ def own(i):
     return f"Own words number {i} of a text come {i} first. Then some more {i} of them {i * 7} follow here. Last come these {i * 3} words of it. "
 
 
+def cut_plainly(text):
+    """Sentences with a word, cut at stops and line ends alone: for texts without long sentences."""
+    out, at = [], 0
+    for m in [*re.finditer(r"[.!?]+\s+|\s*\n\s*", text), None]:
+        stop = m.end() if m else len(text)
+        if text[at:stop].split():
+            out.append((at, stop, text[at:stop].lower().split()))
+        at = stop
+    return out
+
+
 def brute(docs):
-    """Ranges by (key, text), with plain loops."""
+    """Ranges by key, with plain loops: from every sentence the shortest run with the sentences and words of a span."""
     first, later = {}, {}
-    for key, text in sorted(docs, key=lambda x: (x[0], spans.zlib.crc32(x[1].encode()))):
-        cut = spans.sentences(text)
-        said = [" ".join(text[a:b].lower().split()) for a, b, _ in cut]
-        for i in range(len(cut) - spans.RUN + 1):
-            if sum(n for _, _, n in cut[i : i + spans.RUN]) >= spans.LEAST_WORDS:
-                where = (key, text, cut[i][0])
-                if first.setdefault(tuple(said[i : i + spans.RUN]), where) != where:
-                    later.setdefault((key, text), set()).add((cut[i][0], cut[i + spans.RUN - 1][1]))
+    for key, text in sorted(docs, key=lambda x: (x[0], zlib.crc32(x[1].encode()))):
+        cut = cut_plainly(text)
+        for i in range(len(cut)):
+            for j in range(i + spans.RUN, len(cut) + 1):
+                words = [w for _, _, said in cut[i:j] for w in said]
+                if len(words) >= spans.LEAST_WORDS:
+                    where = (key, text, cut[i][0])
+                    if first.setdefault(tuple(words), where) != where:
+                        later.setdefault(key, set()).add((cut[i][0], cut[j - 1][1]))
+                    break
     merged = {}
-    for k, ranges in later.items():
+    for key, ranges in later.items():
         out = []
         for a, b in sorted(ranges):
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
             else:
                 out.append((a, b))
-        merged[k[0]] = out
+        merged[key] = out
     return merged
 
 
@@ -42,12 +57,22 @@ def test_sentences_hold_every_word():
 
 
 def test_against_brute_force(documents, rows):
-    docs = [(1, own(1) + SHARED + own(2)), (2, SHARED + own(3)), (3, own(4)), (4, own(5) + SHARED.upper() + own(5)), (5, own(1) + SHARED + own(2)), (6, "x y z " * 200 + SHARED * 2)]
+    docs = [(1, own(1) + SHARED + own(2)), (2, SHARED + own(3)), (3, own(4)), (4, own(5) + SHARED.upper() + own(5)), (5, own(1) + SHARED + own(2)), (6, "x y z.\n" * 20 + SHARED * 2)]
     got = {r.doc_id: [tuple(x) for x in r.removed] for r in spans.repeated(documents(*[(i, t, "en") for i, t in docs])).collect()}
     assert got == brute(docs) and 1 not in got and 3 not in got
     assert got[2][0] == (0, len(SHARED)) and got[5] == [(0, len(docs[4][1]))]
 
 
+def test_grown_runs_against_brute_force(documents):
+    rng = random.Random(12)
+    lines = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(1, 7))) for _ in range(25)]
+    docs = [(i, "".join(rng.choice(lines) + rng.choice(["\n", ". ", "! "]) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    at = rng.randrange(20)
+    docs += [(60 + i, docs[i][1][at:] + "a tail of its own") for i in range(20)]
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in spans.repeated(documents(*[(i, t, "en") for i, t in docs])).collect()}
+    assert got == brute(docs) and len(got) > 20
+
+
 def test_passage_without_full_stops(documents):
     """Long sentences are cut by their own words, so a passage is found wherever it stands."""
     passage = " ".join(f"w{i * i % 97}x{i}" for i in range(60))
