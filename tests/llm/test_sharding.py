@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from recordloom.llm import sharding
 
 
@@ -23,14 +25,48 @@ def test_key_alone_decides(documents):
     assert all(some[i] == more[i] for i in range(50, 100))
 
 
+def replay(key, tree):
+    """The descent in plain Python, with the public xxHash."""
+    import math
+
+    import xxhash
+
+    key = "\x00null" if key is None else str(key)
+
+    def least(children):
+        def draw(name):
+            seed = xxhash.xxh64(name.encode(), seed=42).intdigest()
+            unit = ((xxhash.xxh64(key.encode(), seed=seed).intdigest() >> 11) + 1) / 2**53
+            return -math.log(unit) / children[name], name
+
+        return min((n for n, w in children.items() if w > 0), key=draw)
+
+    def summed(leaves, name):
+        sums = {}
+        for x in leaves:
+            sums[name(x)] = sums.get(name(x), 0) + x.weight
+        return sums
+
+    region = least(summed(tree, lambda x: x.region))
+    rack = least(summed([x for x in tree if x.region == region], lambda x: x.rack))
+    return int(least(summed([x for x in tree if (x.region, x.rack) == (region, rack)], lambda x: str(x.shard))))
+
+
+def test_against_a_replay_of_the_tree(spark):
+    keys = spark.range(2000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"))
+    for tree in (sharding.layout(8), sharding.layout(11), sharding.reweighted(sharding.layout(8), {1: 5.0, 3: 0.0, 4: 0.5})):
+        got = keys.select("id", sharding.shard_of(F.col("id"), tree).alias("s")).collect()
+        assert {r.id: r.s for r in got} == {r.id: replay(r.id, tree) for r in got}
+
+
 def _moves(spark, old, new, n=20000):
-    key = spark.range(n)["id"]
+    key = F.col("id")
     return spark.range(n).select(sharding.shard_of(key, old).alias("a"), sharding.shard_of(key, new).alias("b")).groupBy("a", "b").count().collect()
 
 
 def test_weights_hold(spark):
     tree = sharding.reweighted(sharding.layout(8), {0: 3.0, 5: 0.0})
-    counts = dict(spark.range(50000).groupBy(sharding.shard_of(spark.range(1)["id"], tree).alias("s")).count().collect())
+    counts = dict(spark.range(50000).groupBy(sharding.shard_of(F.col("id"), tree).alias("s")).count().collect())
     assert 5 not in counts and abs(counts[0] / 50000 - 3 / 9) < 0.02 and abs(counts[7] / 50000 - 1 / 9) < 0.02
 
 
