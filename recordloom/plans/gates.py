@@ -120,7 +120,18 @@ def contract_summary(t: Tables) -> DataFrame:
     return contracts.check_contract(event_objects(t), "body", _EVENT_CONTRACT)
 
 
-@query()
+@query("""
+WITH k AS (SELECT event_type AS t, CASE event_type WHEN 'click' THEN 'integer' WHEN 'view' THEN 'null' ELSE 'number' END AS amount,
+    CASE event_type WHEN 'signup' THEN 'string' ELSE 'boolean' END AS mixed FROM events)
+SELECT '$' AS path, 'object' AS type, array_to_string(list_sort(['amount', 'id', 'mixed'] || CASE WHEN bool_and(t = 'error') THEN ['error'] ELSE [] END
+    || CASE WHEN bool_and(t = 'purchase') THEN ['none', 'tags'] ELSE [] END), ',') AS required FROM k HAVING count(*) > 0
+UNION ALL SELECT '$.id', 'integer', '' FROM k HAVING count(*) > 0
+UNION ALL SELECT '$.amount', CASE WHEN count(DISTINCT amount) = 1 THEN min(amount) END, '' FROM k HAVING count(*) > 0
+UNION ALL SELECT '$.mixed', CASE WHEN count(DISTINCT mixed) = 1 THEN min(mixed) END, '' FROM k HAVING count(*) > 0
+UNION ALL SELECT path, type, required FROM (VALUES ('error', '$.error', 'object', 'code'), ('error', '$.error.code', 'integer', ''),
+    ('purchase', '$.none', 'null', ''), ('purchase', '$.tags', 'array', ''), ('purchase', '$.tags[]', 'string', '')) AS v(t, path, type, required)
+  WHERE t IN (SELECT t FROM k)
+""")
 def contract_generate(t: Tables) -> DataFrame:
     """The contract the events would satisfy, one row per place and rule."""
     found = contracts.generate(event_objects(t), "body")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators import aggregate, extracts
+from recordloom.operators import aggregate, chains, extracts
 from recordloom.plans import Tables, query
 from recordloom.session import stage
 
@@ -142,3 +142,48 @@ FROM (SELECT source, min(page_no) AS first, any_value(top) AS top FROM q GROUP B
 """)
 def first_page_fields(t: Tables) -> DataFrame:
     return extracts.first_page_fields(landed_pages(t), "items")
+
+
+def _asked(url: str = "url") -> Column:
+    """The token in a page's address; the first page was asked for without one."""
+    token = F.regexp_extract(url, "page=(.*)", 1)
+    return F.when(token != "0", token)
+
+
+def _shuffled(t: Tables) -> DataFrame:
+    """The landed pages in another order and without their numbers."""
+    signals = extracts.page_signals(landed_pages(t), "cursor", cursor_path="meta.next")
+    return signals.drop("page_no").repartition(7, F.md5("body"))
+
+
+@query("""
+SELECT o_orderstatus AS source, CAST((n - 1) // 100 AS BIGINT) AS page_no, (n - 1) % 100 AS pos, o_orderkey AS id
+FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n FROM orders)
+""")
+def chained_merge(t: Tables) -> DataFrame:
+    """Pages without numbers, ordered by their cursors, merge like numbered ones."""
+    merged = extracts.merge_pages(chains.chain_pages(_shuffled(t), _asked()))
+    return merged.select("source", "page_no", "pos", _id().alias("id"))
+
+
+@query(_PAGES + """
+, s AS (SELECT source, max(top) AS top FROM q GROUP BY 1)
+SELECT source, top + 1 - CAST(source = 'F' AND top >= 3 AS INT) + CAST(source = 'P' AS INT) AS pages,
+  CASE WHEN source = 'O' AND top >= 1 THEN 0 WHEN source = 'F' AND top >= 3 THEN 2 ELSE top + 1 END AS chained,
+  CAST(source = 'P' AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS forks,
+  CASE WHEN source = 'F' AND top >= 3 THEN top - 2 ELSE 0 END AS behind,
+  CASE WHEN source = 'O' AND top >= 1 THEN top + 1 ELSE 0 END AS loops,
+  CASE WHEN source = 'P' OR (source = 'O' AND top >= 1) THEN 'unknown' WHEN source = 'F' AND top >= 3 THEN 'partial' ELSE 'complete' END AS verdict
+FROM s
+""")
+def chained_completeness(t: Tables) -> DataFrame:
+    """Source F lacks its third page, the last page of O leads back to the second one, and P repeats its first."""
+    pages = _shuffled(t)
+    top = F.max(F.coalesce(_asked(), F.lit("0")).cast("int"))
+    tops = pages.groupBy(F.col("source").alias("of")).agg(top.alias("top"))
+    pages = pages.join(tops, F.col("source") == F.col("of")).drop("of")
+    pages = pages.filter(~((F.col("source") == "F") & (F.col("top") >= 3) & _asked().eqNullSafe(F.lit("2"))))
+    back = F.when((F.col("source") == "O") & (F.col("top") >= 1) & F.col("next_token").isNull(), "1").otherwise(F.col("next_token"))
+    pages = pages.withColumn("next_token", back).drop("top")
+    twice = pages.filter((F.col("source") == "P") & _asked().isNull())
+    return chains.chain_completeness(chains.chain_pages(pages.unionByName(twice), _asked()))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom import registry
-from recordloom.operators import publish, quality
+from recordloom.operators import digests, publish, quality
 from recordloom.plans import Tables, query
 from recordloom.plans.shapes import nested_lines
 from recordloom.session import scratch, stage
@@ -71,6 +73,37 @@ def csv_list_headers(t: Tables) -> DataFrame:
     return files.read(t.spark, [f"{base}/a.csv", f"{base}/b.csv"]).select("part", "id", "name", "phone", "segment")
 
 
+@query("""
+SELECT c_custkey AS id, c_name || chr(10) || 'said "' || c_mktsegment || '",' || chr(10) AS note, c_acctbal AS balance FROM customer
+""")
+def csv_line_ends_in_cells(t: Tables) -> DataFrame:
+    """Cells that hold line ends, quotes and commas come back as they were."""
+    note = F.concat("c_name", F.lit('\nsaid "'), "c_mktsegment", F.lit('",\n'))
+    rows = t.customer.select(F.col("c_custkey").alias("id"), note.alias("note"), F.col("c_acctbal").alias("balance"))
+    return files.read(t.spark, files.save_csv(rows, _scratch(t, "notes") + "/all.csv"))
+
+
+@query("""
+SELECT o_orderkey AS id, o_orderstatus || '}],[{"' AS note, o_custkey AS customer_key FROM orders
+""")
+def json_list_document(t: Tables) -> DataFrame:
+    """Orders as JSON lists, one per file, cut into elements by the tasks that read them."""
+    customer = F.struct(F.col("o_custkey").alias("key"))
+    order = F.struct(F.col("o_orderkey").alias("id"), F.concat("o_orderstatus", F.lit('}],[{"')).alias("note"), customer.alias("customer"))
+
+    def listed(batches):
+        """The texts of a task as the lines of one list, which begins with an empty object."""
+        yield pa.RecordBatch.from_pydict({"value": ["[{}"]})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(",", batch.column(0).cast(pa.string()), "")], names=["value"])
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    path = _scratch(t, "list") + "/all.json"
+    t.orders.select(F.to_json(order).alias("value")).mapInArrow(listed, "value string").write.text(path)
+    read = files.read_json(t.spark, path, split=True).filter("id is not null")
+    return read.select("id", "note", F.col("customer.key").alias("customer_key"))
+
+
 @query("""
 SELECT o_orderkey AS id, o_custkey AS customer, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS items
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL
@@ -231,3 +264,18 @@ def materialize_or_reuse(t: Tables) -> DataFrame:
     inputs = {"orders": publish.digest_of(t.orders)}
     publish.materialize_or_reuse(t.spark, folder, "by_status", 1, inputs, build)
     return publish.materialize_or_reuse(t.spark, folder, "by_status", 1, inputs, build)[0]
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 101 = 0 THEN 'left_only' ELSE 'changed' END AS change,
+       CASE WHEN o_orderkey % 101 = 0 THEN 'status,money' ELSE 'money' END AS groups
+FROM orders WHERE o_orderkey % 101 = 0 OR o_orderkey % 97 = 0
+""")
+def digest_tree_changes(t: Tables) -> DataFrame:
+    """Two versions of the orders, compared by the digests of their parts; only parts that differ are read."""
+    base, groups = _scratch(t, "versions"), {"status": ["o_orderstatus"], "money": ["o_totalprice", "o_custkey"]}
+    left = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+    dearer = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    right = left.filter("o_orderkey % 101 <> 0").withColumn("o_totalprice", dearer)
+    paths = [digests.write_parts(df, f"{base}/{n}", ["o_orderkey"], groups, parts=64) for n, df in (("left", left), ("right", right))]
+    return digests.changed_rows(t.spark, *paths, ["o_orderkey"], groups)

@@ -113,15 +113,20 @@ def _typed(name: str, kind: str):
     return col(name) if kind == "string" else col(name).cast(kind).alias(name)
 
 
-def read_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+def read_json(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None, split: bool | None = None
+) -> DataFrame:
     """Whole JSON documents, shape kept: one row per document, or per element of a top list.
 
-    Lists in files larger than ``spark.sql.files.maxPartitionBytes`` are read by many tasks, which takes
-    one pass more; an element that is no object is then a corrupt record by itself.
+    Lists are read by many tasks if ``split``, by default where a file is larger than
+    ``spark.sql.files.maxPartitionBytes``. That takes one pass more; an element that is no object is then a
+    corrupt record by itself.
     """
     paths = _paths(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    if _largest(spark, paths) > _bytes(spark, "spark.sql.files.maxPartitionBytes"):
+    if split is None:
+        split = _largest(spark, paths) > _bytes(spark, "spark.sql.files.maxPartitionBytes")
+    if split:
         lines = lines_of(spark, paths, json_elements.END)
         states = json_elements.piece_states(lines)
         if states.filter("start = 0 and not opens <=> '['").isEmpty():
@@ -227,7 +232,9 @@ def save_csv(
         (text.json_encode(col(f.name)).alias(f.name) if isinstance(f.dataType, nested) else col(f.name))
         for f in flat.schema.fields
     ]
-    flat.select(*cells).write.mode(mode).option("header", True).option("sep", _delimiter(path)).option("escape", '"').csv(path)
+    flat.select(*cells).write.mode(mode).option("header", True).option("sep", _delimiter(path)).option("escape", '"').options(
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return path
 
 
