@@ -63,9 +63,9 @@ def bit_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> np.nd
     spot = F.shiftrightunsigned(column, 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 32).cast("int"))
     words = hashes.select(F.shiftright(spot, 5).alias("word"), bit.alias("bit"))
-    held = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    held = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     packed = np.zeros(1 << (bits - 5), dtype="<u4")
-    packed[held["word"].to_numpy(dtype=np.int64)] = held["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    packed[held["word"].to_numpy()] = held["bits"].to_numpy().astype(np.uint32)
     return packed.view(np.uint8)
 
 

@@ -28,8 +28,8 @@ RUN, LEAST_WORDS = 3, 12
 #: are the same from its 8th word on, a piece begins by its 14th and three have at most 36 words.
 LONG, WINDOW, GRAM = 12, 6, 3
 
-#: Address bits of the filter of repeated spans: 8 MB of bits, whatever their number.
-FILTER_BITS = 26
+#: Address bits of the filter of repeated spans: 4 MB of bits, whatever their number.
+FILTER_BITS = 25
 
 #: An odd factor and its inverse modulo 2^64.
 _FACTOR = 0x9E3779B97F4A7C15
