@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from recordloom.errors import GateFailed, RecordError
 from recordloom.operators.publish import observed_or
-from recordloom.operators.schema import col, variant_type
+from recordloom.operators.schema import col, shape_type, variant_type
 from recordloom.session import stage
 
 #: Levels that one pass over the rows lists; deeper values go on in a further pass.
@@ -126,22 +126,59 @@ def _step(name: str) -> str | None:
     return f"[{mark}{name}{mark}]"
 
 
+class _Read:
+    """The values a contract looks at, each read once per row.
+
+    Values inside objects are read by their whole path: a contract is compiled to one flat table of
+    paths and what is asked of them, and every entry becomes a column. Inside lists there is no row to
+    keep a column in, so there the expressions stand where they are used.
+    """
+
+    def __init__(self, flat: bool = False) -> None:
+        self.flat = flat
+        self.values: dict[str, Column] = {}
+        self.asked: dict[str, Column] = {}
+        self.kinds: dict[str, Column] = {}
+        self._names: dict[tuple[str, str], str] = {}
+
+    def _kept(self, held: dict[str, Column], steps: str, what: str, c: Column) -> Column:
+        if not self.flat:
+            return c
+        name = self._names.setdefault((steps, what), f"__{len(self._names)}")
+        held.setdefault(name, c)
+        return F.col(name)
+
+    def value(self, root: Column, steps: str) -> Column:
+        if steps == "$":
+            return root
+        return self._kept(self.values, steps, "value", F.try_variant_get(root, steps, "variant"))
+
+    def ask(self, steps: str, what: str, c: Column) -> Column:
+        return self._kept(self.asked, steps, what, c)
+
+    def kind(self, steps: str, v: Column) -> Column:
+        if not self.flat:
+            return variant_type(v)
+        return self._kept(self.kinds, steps, "kind", shape_type(self.ask(steps, "shape", F.schema_of_variant(v))))
+
+
 def _violations(root: Column, contract: dict, path: Column) -> Column:
     """Problems of a variant that is present."""
-    parts = _checks(root, "$", contract, path)
+    return _all(_checks(root, "$", contract, path, _Read()))
+
+
+def _all(parts: list[Column]) -> Column:
     return F.concat(*parts) if parts else _none()
 
 
-def _checks(root: Column, steps: str, contract: dict, path: Column) -> list[Column]:
+def _checks(root: Column, steps: str, contract: dict, path: Column, read: _Read) -> list[Column]:
     """Problems of the value at ``steps`` below ``root``, one array per rule.
 
-    Values inside objects are read by their whole path, so a deep contract is a long list of flat
-    expressions; only lists nest. An absent value has no problems: a path through anything but
-    objects finds none.
+    Only lists nest. An absent value has no problems: a path through anything but objects finds none.
     """
-    v = root if steps == "$" else F.try_variant_get(root, steps, "variant")
+    v = read.value(root, steps)
     present = F.lit(True) if steps == "$" else v.isNotNull()
-    kind, shown = variant_type(v), F.to_json(v)
+    kind, shown = read.kind(steps, v), F.to_json(v)
     parts: list[Column] = []
     wanted = contract.get("type")
     fits = present
@@ -149,49 +186,53 @@ def _checks(root: Column, steps: str, contract: dict, path: Column) -> list[Colu
         fits = present & kind.isin(*ACCEPTS.get(wanted, ("",)))
         found = F.when(kind == "list", "array").otherwise(kind)
         parts.append(_if(present & ~kind.isin(*ACCEPTS.get(wanted, ("",))), _problem(path, "type", wanted, found)))
-    real = F.try_variant_get(v, "$", "double")
     numeric = kind.isin("integer", "number")
+    if contract.keys() & {"minimum", "maximum", "enum"}:
+        real = read.ask(steps, "real", F.try_variant_get(v, "$", "double"))
     for rule, beyond in (("minimum", lambda b: real < b), ("maximum", lambda b: real > b)):
         if rule in contract:
             parts.append(_if(fits & (~numeric | beyond(contract[rule])), _problem(path, rule, contract[rule], shown)))
     if "enum" in contract:
-        allowed = _listed(shown, real, numeric, contract["enum"])
+        allowed = _listed(read.ask(steps, "shown", shown), real, numeric, contract["enum"])
         parts.append(_if(fits & ~allowed, _problem(path, "enum", json.dumps(contract["enum"]), shown)))
-    words = F.try_variant_get(v, "$", "string")
-    is_text = present & (kind == "string")
-    for rule, beyond in (
-        ("minLength", lambda b: F.length(words) < b),
-        ("maxLength", lambda b: F.length(words) > b),
-        ("pattern", lambda b: ~F.rlike(words, F.lit(b))),
-    ):
-        if rule in contract:
-            parts.append(_if(is_text & beyond(contract[rule]), _problem(path, rule, contract[rule], shown)))
+    if contract.keys() & {"minLength", "maxLength", "pattern"}:
+        words = read.ask(steps, "words", F.try_variant_get(v, "$", "string"))
+        is_text = present & (kind == "string")
+        for rule, beyond in (
+            ("minLength", lambda b: F.length(words) < b),
+            ("maxLength", lambda b: F.length(words) > b),
+            ("pattern", lambda b: ~F.rlike(words, F.lit(b))),
+        ):
+            if rule in contract:
+                parts.append(_if(is_text & beyond(contract[rule]), _problem(path, rule, contract[rule], shown)))
 
     if wanted in (None, "object"):
-        parts += _inside_object(root, steps, v, fits & (kind == "object"), contract, path)
-    elements = F.try_variant_get(v, "$", "array<variant>")
-    is_list = fits & (kind == "list")
-    size = F.array_size(elements)
-    for rule, beyond in (("minItems", lambda b: size < b), ("maxItems", lambda b: size > b)):
-        if rule in contract:
-            parts.append(_if(is_list & beyond(contract[rule]), _problem(path, rule, contract[rule], size.cast("string"))))
-    if isinstance(contract.get("items"), dict) and contract["items"]:
-        place = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
-        each = F.transform(elements, lambda e, i: _violations(e, contract["items"], place(i)))
-        parts.append(_if(is_list, F.flatten(each)))
+        parts += _inside_object(root, steps, v, fits & (kind == "object"), contract, path, read)
+    inner = contract.get("items") if isinstance(contract.get("items"), dict) else None
+    if inner or contract.keys() & {"minItems", "maxItems"}:
+        elements = read.ask(steps, "elements", F.try_variant_get(v, "$", "array<variant>"))
+        is_list = fits & (kind == "list")
+        size = F.array_size(elements)
+        for rule, beyond in (("minItems", lambda b: size < b), ("maxItems", lambda b: size > b)):
+            if rule in contract:
+                parts.append(_if(is_list & beyond(contract[rule]), _problem(path, rule, contract[rule], size.cast("string"))))
+        if inner:
+            place = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+            each = F.transform(elements, lambda e, i: _violations(e, inner, place(i)))
+            parts.append(_if(is_list, F.flatten(each)))
     return parts
 
 
-def _inside_object(root: Column, steps: str, v: Column, is_object: Column, contract: dict, path: Column) -> list[Column]:
+def _inside_object(root: Column, steps: str, v: Column, is_object: Column, contract: dict, path: Column, read: _Read) -> list[Column]:
     parts = []
     member = lambda name: F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(name))
     for name in contract.get("required", ()):
-        held = member(name) if _step(name) is None else F.try_variant_get(root, steps + _step(name), "variant")
+        held = member(name) if _step(name) is None else read.value(root, steps + _step(name))
         parts.append(_if(is_object & held.isNull(), _problem(path, "required", name, F.lit(None).cast("string"))))
     for name, child in (contract.get("properties") or {}).items():
         below = F.concat(path, F.lit(f".{name}"))
         if _step(name) is not None:
-            parts += _checks(root, steps + _step(name), child, below)
+            parts += _checks(root, steps + _step(name), child, below, read)
         else:
             inner = F.filter(F.array(member(name)), lambda x: x.isNotNull())
             parts.append(_if(is_object, F.flatten(F.transform(inner, _checker(child, below)))))
@@ -223,8 +264,14 @@ def contract_violations(
     v = F.try_parse_json(col(json_column))
     parsed = df.select(*[col(k) for k in keep], col(json_column).alias("__text"), v.alias("__v"))
     unreadable = _problem(F.lit("$"), "json", "valid JSON", F.col("__text"))
-    problems = F.when(F.col("__v").isNull(), unreadable).otherwise(_violations(F.col("__v"), plan, F.lit("$")))
-    return parsed.select(*[col(k) for k in keep], F.inline(problems))
+    read = _Read(flat=True)
+    problems = F.when(F.col("__v").isNull(), unreadable).otherwise(_all(_checks(F.col("__v"), "$", plan, F.lit("$"), read)))
+    for columns in (read.values, read.asked, read.kinds):
+        parsed = parsed.withColumns(columns)
+    # A column first: a projection is compiled in small methods, a long generator is interpreted row by row. The
+    # generator must not read the bare column, or Spark tests its size below, which computes it all again.
+    found = parsed.select(*[col(k) for k in keep], problems.alias("__problems"))
+    return found.select(*[col(k) for k in keep], F.inline(F.coalesce("__problems", _none())))
 
 
 def check_contract(df: DataFrame, json_column: str, contract: dict, source: str | Path | None = None) -> DataFrame:

@@ -78,24 +78,25 @@ def bind(c: Column, build: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), build), F.lit(0))
 
 
-def variant_type(v: Column) -> Column:
-    """The type name of one JSON value."""
+def shape_type(shape: Column) -> Column:
+    """The type name of a value with this variant schema."""
+    return (
+        F.when(shape == "STRING", "string")
+        .when(shape == "BIGINT", "integer")
+        .when(shape.startswith("OBJECT"), "object")
+        .when(shape.startswith("ARRAY"), "list")
+        .when(shape == "BOOLEAN", "boolean")
+        .when(shape.isNull() | (shape == "VOID"), "null")
+        # Whole numbers beyond 64 bits arrive as wide decimals; 1.0 as a narrow one.
+        .when(F.rlike(shape, F.lit(r"^DECIMAL\((19|[23]\d),0\)$")), "integer")
+        .when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "number")
+        .otherwise("string")
+    )
 
-    def named(shape: Column) -> Column:
-        return (
-            F.when(shape == "STRING", "string")
-            .when(shape == "BIGINT", "integer")
-            .when(shape.startswith("OBJECT"), "object")
-            .when(shape.startswith("ARRAY"), "list")
-            .when(shape == "BOOLEAN", "boolean")
-            .when(shape.isNull() | (shape == "VOID"), "null")
-            # Whole numbers beyond 64 bits arrive as wide decimals; 1.0 as a narrow one.
-            .when(F.rlike(shape, F.lit(r"^DECIMAL\((19|[23]\d),0\)$")), "integer")
-            .when(shape.startswith("DECIMAL") | shape.isin("DOUBLE", "FLOAT"), "number")
-            .otherwise("string")
-        )
 
-    return bind(F.schema_of_variant(v), named)
+def variant_type(v: Column) -> Column:
+    """The type name of one JSON value."""
+    return bind(F.schema_of_variant(v), shape_type)
 
 
 def json_fields(df: DataFrame, json_column: str) -> DataFrame:

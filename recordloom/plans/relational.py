@@ -375,3 +375,28 @@ def profile_nulls(t: Tables) -> DataFrame:
     rows = relate.join_records(t.documents.select("doc_id", "lang"), t.labels.select("doc_id", "quality"), "doc_id", "left")
     rows = rows.withColumns({"lang": F.expr("nullif(lang, 'en')"), "gone": F.lit(None).cast("int")})
     return quality.profile(rows)
+
+
+_ORDERED = "(SELECT '{0}' AS kind, c_custkey FROM c ORDER BY held {1}, c_custkey {2} LIMIT 40)"
+
+
+@query(
+    "WITH c AS (SELECT c_custkey, nullif(c_nationkey, 3) AS held FROM customer) "
+    + " UNION ALL ".join(
+        "SELECT * FROM " + _ORDERED.format(kind, held, key)
+        for kind, held, key in (
+            ("records up", "ASC NULLS FIRST", "ASC"), ("records down", "DESC NULLS LAST", "DESC"),
+            ("last up", "ASC NULLS LAST", "ASC"), ("last down", "DESC NULLS LAST", "DESC"),
+        )
+    )
+)
+def sort_by_nulls(t: Tables) -> DataFrame:
+    """The first forty customers by a column with nulls, in both directions and under both rules for nulls."""
+    rows = t.customer.select("c_custkey", F.expr("nullif(c_nationkey, 3)").alias("held"))
+    out = None
+    for nulls in ("records", "last"):
+        for down in (False, True):
+            ordered = relate.sort_by(rows, ["held", "c_custkey"], descending=down, nulls=nulls).limit(40)
+            part = ordered.select(F.lit(f"{nulls} {'down' if down else 'up'}").alias("kind"), "c_custkey")
+            out = part if out is None else out.unionByName(part)
+    return out

@@ -390,3 +390,36 @@ def number_text(t: Tables) -> DataFrame:
         shown(F.col("l_discount")).alias("plain"),
         text.stringify(F.col("l_quantity") > 25, T.BooleanType()).alias("flag"),
     )
+
+
+@query("""
+SELECT o_orderkey, o_shippriority = 0 AS not_truthy, o_orderstatus <> 'P' AS not_kept,
+  CASE WHEN o_orderstatus = 'F' THEN o_clerk ELSE '' END AS and_text, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE o_clerk END AS or_text,
+  CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS listed,
+  o_orderkey || ',' || o_custkey || ',' || o_orderkey AS flat, o_custkey || ',' || o_custkey AS inner_firsts,
+  array_to_string(list_transform(string_split(o_orderpriority, '-'), lambda x: trim(x)), '|') AS parts,
+  regexp_replace(o_clerk, '[^a-zA-Z0-9]+', '-', 'g') AS slugged, upper(o_orderpriority) || '!' AS piped
+FROM (SELECT *, 0 AS o_shippriority, 'Clerk#' || o_custkey || ' x' AS o_clerk FROM orders)
+""")
+def small_forms(t: Tables) -> DataFrame:
+    """Not, and, or, as a list, flat lists, trimmed parts, slugs that keep case, and values handed through functions."""
+    rows = t.orders.withColumn("clerk", F.concat(F.lit("Clerk#"), F.col("o_custkey").cast("string"), F.lit(" x")))
+    status = F.col("o_orderstatus")
+    some = F.when(status == "F", "F").otherwise("")
+    nested = F.array(F.array("o_orderkey", "o_custkey"), F.array("o_orderkey"))
+    pairs = F.create_map(F.lit("a"), F.col("o_custkey"), F.lit("b"), F.col("o_custkey"))
+    longs = T.ArrayType(_LONG)
+    piped = lambda c, *steps: c if not steps else piped(steps[0](c), *steps[1:])
+    return rows.select(
+        "o_orderkey",
+        logic.negate(F.lit(0), T.IntegerType()).alias("not_truthy"),
+        logic.negate(F.when(status == "P", "x").otherwise(""), _STRING).alias("not_kept"),
+        logic.and_value(some, _STRING, F.col("clerk")).alias("and_text"),
+        logic.or_value(some, _STRING, F.col("clerk")).alias("or_text"),
+        F.size(cast.as_list(F.when(status != "P", status), _STRING)).alias("listed"),
+        text.join(lists.flatten_lists(nested), longs).alias("flat"),
+        text.join(lists.project(pairs, T.MapType(_STRING, _LONG)), longs).alias("inner_firsts"),
+        text.join(text.split_trimmed(F.col("o_orderpriority"), "-"), T.ArrayType(_STRING), "|").alias("parts"),
+        text.slug(F.col("clerk"), lower_case=False).alias("slugged"),
+        piped(F.col("o_orderpriority"), text.upper, lambda c: F.concat(c, F.lit("!"))).alias("piped"),
+    )

@@ -83,6 +83,14 @@ def csv_line_ends_in_cells(t: Tables) -> DataFrame:
     return files.read(t.spark, files.save_csv(rows, _scratch(t, "notes") + "/all.csv"))
 
 
+def _listed(batches):
+    """The JSON texts of a task as the lines of one list, which begins with an empty object."""
+    yield pa.RecordBatch.from_pydict({"value": ["[{}"]})
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(",", batch.column(0).cast(pa.string()), "")], names=["value"])
+    yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
 @query("""
 SELECT o_orderkey AS id, o_orderstatus || '}],[{"' AS note, o_custkey AS customer_key FROM orders
 """)
@@ -91,19 +99,23 @@ def json_list_document(t: Tables) -> DataFrame:
     customer = F.struct(F.col("o_custkey").alias("key"))
     order = F.struct(F.col("o_orderkey").alias("id"), F.concat("o_orderstatus", F.lit('}],[{"')).alias("note"), customer.alias("customer"))
 
-    def listed(batches):
-        """The texts of a task as the lines of one list, which begins with an empty object."""
-        yield pa.RecordBatch.from_pydict({"value": ["[{}"]})
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(",", batch.column(0).cast(pa.string()), "")], names=["value"])
-        yield pa.RecordBatch.from_pydict({"value": ["]"]})
-
     path = _scratch(t, "list") + "/all.json"
-    t.orders.select(F.to_json(order).alias("value")).mapInArrow(listed, "value string").write.text(path)
+    t.orders.select(F.to_json(order).alias("value")).mapInArrow(_listed, "value string").write.text(path)
     read = files.read_json(t.spark, path, split=True).filter("id is not null")
     return read.select("id", "note", F.col("customer.key").alias("customer_key"))
 
 
+@query("SELECT c_custkey AS id, c_name AS who_name, CAST(c_nationkey AS BIGINT) AS who_nation FROM customer")
+def convert_documents(t: Tables) -> DataFrame:
+    """JSON lists of nested customers, converted to Parquet and from there to CSV, and read back."""
+    base = _scratch(t, "converted")
+    who = F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    t.customer.select(F.to_json(F.struct(F.col("c_custkey").alias("id"), who.alias("who")))).mapInArrow(_listed, "value string").write.text(f"{base}/a.json")
+    files.convert(t.spark, f"{base}/a.json", f"{base}/b.parquet")
+    files.convert(t.spark, f"{base}/b.parquet", f"{base}/c.csv")
+    return files.read(t.spark, f"{base}/c.csv").filter("id is not null").select("id", "who_name", "who_nation")
+
+
 @query("""
 SELECT o_orderkey AS id, o_custkey AS customer, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS items
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL

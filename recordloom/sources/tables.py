@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from recordloom.errors import RecordError, require_columns
 from recordloom.functions import text
+from recordloom.operators.publish import Files
 from recordloom.operators.relate import one_per_key
 from recordloom.operators.schema import col
 
@@ -101,10 +102,22 @@ def _widen(spark: SparkSession, table: str, batch: DataFrame) -> None:
 def _overwrite(df: DataFrame, table: str) -> DataFrame:
     """Replace a table by a frame that may read it.
 
-    The new table is written whole under a name of its own, then the names change; the old table
-    is dropped last. A crash in between leaves both under names that tell what they are.
+    The new rows are written whole beside the old ones; then the catalog's entry is pointed to them in one step, so
+    readers meet the old table or the new one and there always is one. New columns widen the table first. Where
+    columns go or change their type, the new table is written under a name of its own and the names change; a crash
+    in between leaves both under names that tell what they are.
     """
     spark, mark = df.sparkSession, uuid.uuid4().hex[:8]
+    if spark.catalog.tableExists(table):
+        have = [(f.name, f.dataType) for f in spark.table(table).schema.fields]
+        home = _location(spark, table)
+        if home and [(f.name, f.dataType) for f in df.schema.fields[: len(have)]] == have:
+            path = f"{home.split('__at_')[0]}__at_{mark}"
+            df.write.mode("errorifexists").parquet(path)
+            _widen(spark, table, df)
+            spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+            Files(spark).remove(home)
+            return spark.table(table)
     fresh, old = f"{table}__new_{mark}", f"{table}__old_{mark}"
     df.write.saveAsTable(fresh)
     replaced = spark.catalog.tableExists(table)
@@ -116,6 +129,13 @@ def _overwrite(df: DataFrame, table: str) -> DataFrame:
     return spark.table(table)
 
 
+def _location(spark: SparkSession, table: str) -> str | None:
+    """Where an unpartitioned Parquet table that the catalog manages lies; None for any other."""
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+    plain = (told.get("Provider", "").lower(), told.get("Type")) == ("parquet", "MANAGED") and "# Partition Information" not in told
+    return told.get("Location", "").rstrip("/") or None if plain else None
+
+
 def _rewritten(df: DataFrame, changed: DataFrame, condition: Column, table: str) -> int:
     """Write ``changed`` over the table; how many of its rows met the condition, counted on the way."""
     if df.filter(condition).isEmpty():

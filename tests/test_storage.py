@@ -358,3 +358,21 @@ def test_shared_folder():
 
     assert folder(spark_checkpoint_dir="hdfs://x/y/") == "hdfs://x/y"
     assert folder(spark_sql_warehouse_dir="hdfs://w/") == "hdfs://w/_shared"
+
+
+def test_there_always_is_a_table(spark, monkeypatch):
+    """An upsert points the catalog to new files in one step; it renames and drops nothing."""
+    name = "always_there"
+    tables.table_write(spark.range(6).selectExpr("id", "'old' s"), name)
+    said = []
+    run = type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, q, *a, **k: said.append(q) or run(self, q, *a, **k))
+    tables.table_write(spark.range(4, 8).selectExpr("id", "'new' s", "id * 2 more"), name, "upsert", "id")
+    assert tables.table_delete_where(spark, name, F.col("id") == 0) == 1
+    assert tables.table_update_where(spark, name, F.col("id") == 1, {"s": F.lit("set")}) == 1
+    assert not [q for q in said if "RENAME" in q or "DROP" in q] and sum("SET LOCATION" in q for q in said) == 3
+    got = sorted(map(tuple, spark.table(name).collect()), key=repr)
+    assert got == sorted([(1, "set", None), (2, "old", None), (3, "old", None)] + [(i, "new", 2 * i) for i in range(4, 8)], key=repr)
+    tables.table_write(spark.range(2).selectExpr("cast(id as string) id"), name)
+    assert spark.table(name).dtypes == [("id", "string")]
+    spark.sql(f"DROP TABLE {name}")
