@@ -13,6 +13,7 @@ import html
 import json
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,10 @@ _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!?/?([a-zA-Z][a-zA-Z0-9]*)\b((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# A name is tried only where it begins and given back to nothing, so a long tag is read once.
+_ATTRIBUTE = re.compile(r"""(?<![-a-zA-Z0-9_:.])([a-zA-Z_:][-a-zA-Z0-9_:.]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: What a page may hold open behind its last tag.
+_OPENED = re.compile(r"<!--|<(?:script|style|template|noscript)\b", re.I)
 _SPACE = re.compile(r"[ \t\r\f\v ]+")
 
 # Elements that begin a line, and those whose addresses count as links.
@@ -38,24 +42,46 @@ BLOCKS = frozenset(
 LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "form": "action", "video": "src", "audio": "src"}
 
 
+def _pieces(source: str) -> Iterator[tuple[int, int, str, str | None]]:
+    """Start, stop, element and attributes of every tag; comments and scripts have no element.
+
+    Behind the last ``>`` no tag can end, so only what opens a comment or script is looked for there.
+    """
+    end, last = source.rfind(">") + 1, None
+    for last in _PIECE.finditer(source, 0, end):
+        closed = last.end() < end or not _swallows(last)
+        yield last.start(), last.end() if closed else len(source), (last[2] or "").lower(), last[3]
+        if not closed:
+            return
+    opened = _OPENED.search(source, end)
+    if opened:
+        yield opened.start(), len(source), "", None
+
+
+def _swallows(piece: re.Match[str]) -> bool:
+    """Whether a comment or script is open at its end, and so holds all that follows."""
+    if piece[0].startswith("<!--"):
+        return len(piece[0]) < 7 or not piece[0].endswith("-->")
+    return bool(piece[1]) and not re.search(rf"</{piece[1]}\s*>\Z", piece[0], re.I)
+
+
 def read_page(source: str) -> tuple[str, str, list[dict[str, str]]]:
     """Title, text by lines, and links (path: element@attribute, url) of a page."""
     lines: list[list[str]] = [[]]
     title: list[str] | None = None
     links, named, at = [], "", 0
-    for m in _PIECE.finditer(source):
-        (title if title is not None else lines[-1]).append(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    for start, stop, tag, attributes in _pieces(source):
+        (title if title is not None else lines[-1]).append(source[at:start])
+        at, closing = stop, source.startswith("</", start)
         if tag == "title":
-            if title is None and not m[0].startswith("</"):
+            if title is None and not closing:
                 title = []
             elif title is not None:
                 named, title = named or _plain("".join(title)), None
         elif title is None and tag in BLOCKS:
             lines.append([])
-        if tag in LINKS and not m[0].startswith("</"):
-            for a in _ATTRIBUTE.finditer(m[3]):
+        if tag in LINKS and not closing:
+            for a in _ATTRIBUTE.finditer(attributes):
                 if a[1].lower() == LINKS[tag]:
                     links.append({"path": f"{tag.upper()}@/{a[1].lower()}", "url": html.unescape(a[2] or a[3] or a[4] or "")})
     (title if title is not None else lines[-1]).append(source[at:])
@@ -172,17 +198,26 @@ def derivatives(source: DataFrame, keep: str = "page_id") -> DataFrame:
 
 
 def serialized(records: DataFrame) -> Column:
-    """A record as it stands in a WARC file: version, headers, empty line, block, two line ends."""
+    """A record as it stands in a WARC file: version, headers, empty line, block, two line ends.
+
+    Line ends in a header's value are percent-encoded, so no value can begin a header of its own.
+    """
     fields = (
         ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
         ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("X-Source-Payload-Digest", "source_digest"),
         ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     )
-    lines = [F.when(records[c].isNotNull(), F.concat(F.lit(f"{name}: "), records[c].cast("string"))) for name, c in fields]
+    value = lambda c: F.replace(F.replace(records[c].cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    lines = [F.when(records[c].isNotNull(), F.concat(F.lit(f"{name}: "), value(c))) for name, c in fields]
     return F.concat(F.concat_ws("\r\n", F.lit("WARC/1.1"), *lines), F.lit("\r\n\r\n"), F.coalesce(records["block"], F.lit("")), F.lit("\r\n\r\n"))
 
 
 def write(records: DataFrame, path: str) -> None:
-    """Gzipped text files of serialized records; every task writes its own."""
-    one = records.select(serialized(records).alias("value"))
-    one.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    """Plain files of serialized records, which a reader can seek in; every task writes its own.
+
+    Spark's text files end every row by themselves, so the last of a record's line ends is left to them. They
+    are not compressed: one gzip stream over a whole file would allow no seeking to a record.
+    """
+    whole = serialized(records)
+    one = records.select(F.left(whole, F.length(whole) - 2).alias("value"))
+    one.write.option("lineSep", "\r\n").text(path)

@@ -1,7 +1,7 @@
 import base64
-import gzip
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,8 +66,58 @@ def test_written_file(pages, spark, tmp_path):
     size = int(next(x for x in head.split("\r\n") if x.startswith("Content-Length")).split(": ")[1])
     assert block.encode()[size:] == b"\r\n\r\n"
     warc.write(records, str(tmp_path / "out"))
-    back = "".join(gzip.decompress(p.read_bytes()).decode() for p in (tmp_path / "out").glob("part-*"))
-    assert back.count("WARC/1.1\r\n") == 2
+    assert len([r for p in (tmp_path / "out").glob("part-*") for r in parsed(p.read_bytes())]) == 2
+
+
+def parsed(raw):
+    """Headers and block of every record, by their lengths alone."""
+    found, at = [], 0
+    while at < len(raw):
+        stop = raw.index(b"\r\n\r\n", at)
+        version, *lines = raw[at:stop].decode().split("\r\n")
+        headers = dict(line.split(": ", 1) for line in lines)
+        end = stop + 4 + int(headers["Content-Length"])
+        assert version == "WARC/1.1" and raw[end : end + 4] == b"\r\n\r\n"
+        found.append((headers, raw[stop + 4 : end].decode()))
+        at = end + 4
+    return found
+
+
+def test_written_files_are_read_back(pages, tmp_path):
+    rows = [(1, "http://a/", PAGE), (2, "http://b/\r\nX-Evil: 1", "é\r\n\r\nWARC/1.1"), (3, None, ""), (4, "http://c/", "a\n\n")]
+    records = warc.derivatives(warc.responses(pages(*rows)))
+    warc.write(records.repartition(3), str(tmp_path / "out"))
+    got = [r for p in (tmp_path / "out").glob("part-*") for r in parsed(p.read_bytes())]
+    want = {(r.record_id, r.block) for r in records.collect()}
+    assert {(h["WARC-Record-ID"], block) for h, block in got} == want and len(got) == 8
+    assert not any("X-Evil" in h for h, _ in got) and {h.get("WARC-Target-URI") for h, _ in got} == {"http://a/", "http://b/%0D%0AX-Evil: 1", "http://c/", None}
+
+
+def test_source_headers_are_kept(spark):
+    schema = (
+        "page_id int, record_id string, target_uri string, date string, status_line string, http_headers array<struct<name:string,value:string>>, "
+        "payload binary, payload_digest string"
+    )
+    headers = [("Set-Cookie", "a=1"), ("Set-Cookie", "b=2"), ("X-Empty", "")]
+    rows = [(1, "<urn:uuid:1>", "http://a/", "2020-01-01T00:00:00Z", "HTTP/1.1 404 Not Found", headers, b"<p>x</p>", "sha1:Q"), (2, "<urn:uuid:2>", None, None, None, None, None, None)]
+    got = {r.page_id: r for r in warc.derivatives(spark.createDataFrame(rows, schema)).collect() if r.warc_type == "metadata"}
+    told = json.loads(got[1].block)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert told["Headers"] == [list(h) for h in headers] and told["Response-Message"] == "HTTP/1.1 404 Not Found"
+    assert (got[1].refers_to, got[1].source_digest) == ("<urn:uuid:1>", "sha1:Q") and got[1].date == "2020-01-01T00:00:00Z"
+    assert json.loads(got[2].block)["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"] == []
+
+
+@pytest.mark.parametrize("page", ["<a " + "b" * 1_000_000 + ">", "<!" * 500_000, "<a " + "b " * 300_000 + ">", "<script>" + "<" * 500_000, "<!--" * 200_000 + ">"])
+def test_hostile_pages_are_read_in_a_moment(page):
+    begun = time.perf_counter()
+    warc.read_page(page)
+    assert time.perf_counter() - begun < 5
+
+
+def test_what_is_open_at_the_end():
+    assert warc.read_page("a<b>b</b><!-- c <i>d</i> e")[1] == "ab"
+    assert warc.read_page("a<script>x</b> y")[1] == "a" and warc.read_page("a<script>x</script >y")[1] == "ay"
+    assert warc.read_page("a<br>b<!-- c")[1] == "a\nb" and warc.read_page("no tag < at all")[1] == "no tag < at all"
 
 
 def test_digest_in_spark(spark):
