@@ -36,7 +36,8 @@ _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 2**64)
 
 _BREAK = re.compile(r"[.!?]+\s+|\s*\n\s*")
-_WORD = re.compile(r"\S+")
+#: Which code points are white space; the last entry stands for all beyond, of which none is.
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
 class _Words(dict):
@@ -86,11 +87,13 @@ def _cuts(codes: np.ndarray, sentence: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 def _cut(text: str, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sentences with a word as rows of start, stop and number of words, and the hashes of all words."""
-    found = [m.span() for m in _WORD.finditer(text)]
-    if not found:
+    said = text.split()
+    if not said:
         return np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64)
-    words = np.array(found)
-    codes = np.fromiter((known[text[a:b]] for a, b in found), dtype=np.int64, count=len(found))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    solid = np.concatenate(([False], ~_SPACES[np.minimum(points, len(_SPACES) - 1)], [False]))
+    words = np.flatnonzero(solid[1:] != solid[:-1]).reshape(-1, 2)  # where words begin and end
+    codes = np.fromiter((known[w] for w in said), dtype=np.int64, count=len(said))
     stops = np.array([*(m.end() for m in _BREAK.finditer(text)), len(text)])
     sentence = np.searchsorted(stops, words[:, 0], side="right")
     sizes = np.bincount(sentence, minlength=len(stops))[sentence]
@@ -117,7 +120,7 @@ def _runs(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def _spans(texts: list[str]):
-    rows, spans, starts, stops, versions, known = [], [], [], [], [], _Words()
+    rows, spans, starts, stops, known = [], [], [], [], _Words()
     for i, text in enumerate(texts):
         places, codes = _cut(text, known)
         if len(places) < RUN:
@@ -129,10 +132,9 @@ def _spans(texts: list[str]):
         spans.append(_runs(codes, before[at], before[ends[at]]))
         starts.append(places[at, 0])
         stops.append(places[ends[at] - 1, 1])
-        versions.append(np.full(len(at), zlib.crc32(text.encode("utf-8", "replace")) - 2**31))
-    joined = {n: np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for n, x in (("row", rows), ("span", spans), ("start", starts), ("stop", stops), ("version", versions))}
+    joined = {n: np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for n, x in (("row", rows), ("span", spans), ("start", starts), ("stop", stops))}
     return joined["row"].tolist(), {
-        "span": pa.array(joined["span"].astype(np.int64)), "version": pa.array(joined["version"].astype(np.int32)),
+        "span": pa.array(joined["span"].astype(np.int64)),
         "start": pa.array(joined["start"].astype(np.int32)), "stop": pa.array(joined["stop"].astype(np.int32)),
     }
 
