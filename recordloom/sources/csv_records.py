@@ -210,27 +210,28 @@ def names_of(header: str, sep: str) -> list[str]:
     return [f"_c{i}" if not c else f"{c}{i}" if low.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
 
 
-def parsed(lines: DataFrame, layout: Layout, sep: str, schema: str | None = None) -> DataFrame:
+def parsed(lines: DataFrame, layout: Layout, sep: str, schema: str | None = None, part: str | None = None) -> DataFrame:
     """The cells of all records as text, by name; with a ``schema`` by place and typed.
 
     Headers may differ: each file's header is joined to its records, and a name is read from
-    its place under that header, null where the header lacks it.
+    its place under that header, null where the header lacks it. ``part`` names a column for the file.
     """
+    of = [F.col("file").alias(part)] if part else []
     options = {"sep": sep, "quote": '"', "escape": '"'}
     found = records(lines, layout, sep)
     if schema is not None:
-        return found.select(F.from_csv("text", schema, options).alias("row")).select("row.*")
+        return found.select("file", F.from_csv("text", schema, options).alias("row")).select("row.*", *of)
     named = [names_of(h, sep) for h in layout.kinds]
     width = max(len(n) for n in named)
     cells = F.from_csv("text", ", ".join(f"_{i} string" for i in range(width)), options)
     if len(named) == 1:
-        return found.select(cells.alias("row")).select(*[F.col(f"row._{i}").alias(n) for i, n in enumerate(named[0])])
+        return found.select("file", cells.alias("row")).select(*[F.col(f"row._{i}").alias(n) for i, n in enumerate(named[0])], *of)
     spark = lines.sparkSession
     kinds = spark.createDataFrame(list(enumerate(layout.kinds)), "kind int, header string")
     by_file = layout.headers.join(kinds, "header").select("file", "kind")
-    rows = found.join(by_file, "file").select("kind", cells.alias("row"))
-    rows = rows.select("kind", F.array(*[F.col(f"row._{i}") for i in range(width)]).alias("cells"))
+    rows = found.join(by_file, "file").select("file", "kind", cells.alias("row"))
+    rows = rows.select("file", "kind", F.array(*[F.col(f"row._{i}") for i in range(width)]).alias("cells"))
     columns = list(dict.fromkeys(n for names in named for n in names))
     places = lambda n: F.array(*[F.lit(names.index(n) if n in names else -1) for names in named])
     cell = lambda n: F.get(F.col("cells"), F.nullif(F.get(places(n), F.col("kind")), F.lit(-1)))
-    return rows.select(*[cell(n).alias(n) for n in columns])
+    return rows.select(*[cell(n).alias(n) for n in columns], *of)

@@ -56,13 +56,13 @@ def _paths(path: str | Sequence[str]) -> list[str]:
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, schema: T.StructType | None = None
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, schema: T.StructType | None = None, part: str | None = None
 ) -> DataFrame:
     """CSV with a header; types inferred, but a column with any ``00123`` stays text.
 
     Cells in quotes may hold line ends; lines end in LF or CR LF. Files are split over tasks all the same, and
     files whose headers differ are matched by name. Building the frame takes one pass over the lines and,
-    without ``schema``, one to infer the types.
+    without ``schema``, one to infer the types. ``part`` names a column for the file of each row.
     """
     paths = _paths(path)
     sep = sep or _delimiter(paths[0])
@@ -73,11 +73,15 @@ def read_csv(
     in_pieces = layout.across or len(layout.kinds) > 1
     # Doubled quotes inside a quoted cell are the common escape.
     reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+    named = lambda df: df.withColumn(part, F.input_file_name()) if part else df
     if schema is not None:
-        return csv_records.parsed(lines, layout, sep, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)) if layout.across else reader.schema(schema).csv(paths)
-    raw = csv_records.parsed(lines, layout, sep) if in_pieces else reader.option("inferSchema", False).csv(paths)
-    present = raw.select(*[F.when(~col(n).isin(*MISSING), col(n)).alias(n) for n in raw.columns])
-    return present.select(*[_typed(n, kind) for n, kind in _csv_types(present).items()])
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        return csv_records.parsed(lines, layout, sep, ddl, part) if layout.across else named(reader.schema(schema).csv(paths))
+    raw = csv_records.parsed(lines, layout, sep, part=part) if in_pieces else named(reader.option("inferSchema", False).csv(paths))
+    of = [col(part)] if part else []
+    cells = [n for n in raw.columns if n != part]
+    present = raw.select(*[F.when(~col(n).isin(*MISSING), col(n)).alias(n) for n in cells], *of)
+    return present.select(*[_typed(n, kind) for n, kind in _csv_types(present.select(*[col(n) for n in cells])).items()], *of)
 
 
 def _csv_types(df: DataFrame) -> dict[str, str]:
@@ -185,9 +189,10 @@ def glob_read(spark: SparkSession, pattern: str, concat: bool = True) -> DataFra
         if format == "parquet":
             frames.append(read_parquet(spark, paths, merge=True))
         else:
-            frames.append(read(spark, paths, format))
+            own = {"part": "__part"} if format == "csv" and not concat else {}
+            frames.append(read(spark, paths, format, **own))
     if not concat:
-        frames = [f.withColumn("part", F.input_file_name()) for f in frames]
+        frames = [f.withColumn("part", col("__part") if "__part" in f.columns else F.input_file_name()).drop("__part") for f in frames]
     return reshape.align(frames, "union")
 
 
