@@ -36,7 +36,10 @@ def op4_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    findings, _ = secret_ledger.scan_documents(_table(spark, folder, "documents"))
+    """The corpus comes in two loads: even ids under earlier rules, then all of it against the ledger of the first."""
+    docs = _table(spark, folder, "documents")
+    _, ledger = secret_ledger.scan_documents(docs.filter("doc_id % 2 = 0"), rules=secret_ledger.EARLIER)
+    findings, _ = secret_ledger.scan_documents(docs, ledger)
     return secret_ledger.summary(findings)
 
 
@@ -121,7 +124,7 @@ def _secret_sql() -> str:
     """Places from the lengths of matches and of what lies between them."""
     parts = []
     for rank, rule in enumerate(secret_ledger.RULES):
-        pattern = _text(rule.pattern.replace("((?i)password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"))
+        pattern = _text(rule.pattern.replace("*+", "*").replace("++", "+").replace("((?i)password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"))
         parts.append(f"""
 SELECT row, {rank} AS rank, {_text(rule.kind)} AS kind, unnest(list_transform(range(1, len(hit) + 1), lambda i: {{
     'start': list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0),
@@ -130,6 +133,7 @@ FROM (SELECT row, regexp_extract_all(text, {pattern}, 0) AS hit, regexp_extract_
   string_split_regex(text, {pattern}) AS gap FROM docs WHERE regexp_matches(text, {pattern}))""")
     counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_ledger.BASE)
     least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in secret_ledger.RULES)
+    every, old = len(secret_ledger.RULES), len({r.key for r in secret_ledger.RULES} & {r.key for r in secret_ledger.EARLIER})
     one = "kind || ':' || place.start::BIGINT || ':' || (place.start + place.size)::BIGINT"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
@@ -139,7 +143,8 @@ per_row AS (
   SELECT row, {counts}, string_agg({one}, ',' ORDER BY place.start, rank) FILTER (rank < {len(secret_ledger.BASE)}) AS base,
     string_agg({one}, ',' ORDER BY place.start, rank) AS spans FROM good GROUP BY row)
 SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secret_ledger.BASE)},
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  CASE WHEN text IN (SELECT text FROM docs WHERE doc_id % 2 = 0) THEN {every - old} ELSE {every} END AS n_scanned
 FROM docs LEFT JOIN per_row USING (row)"""
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.blocks import without
+from recordloom.llm.blocks import let, running, without
 from recordloom.session import stage
 
 
@@ -42,22 +42,27 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 # A private key runs from its first line to its last, or where that is missing over header fields and
-# base64 lines (also indented, quoted or with written-out line ends) to the last of these. Bounds keep
-# the depth of Java's matcher small; the syntax is that of RE2, too.
-_LABEL = r"[A-Z ]{0,40}PRIVATE KEY-----"
+# base64 lines (also indented, quoted or with written-out line ends) to the last of these. Groups that
+# repeat give nothing back (the plus behind their star): each text fits them in one way, and Java's
+# matcher then walks them in a loop of constant depth, over any number of lines. The first word of a
+# header field is shorter than a base64 line, so that neither can be taken for the other.
+_LABEL = r"[A-Z ]*PRIVATE KEY-----"
 _GAP = r"""[ \t\r\n\\"'+>#*|,]*"""
-_TO_END = rf"[^-]*(?:-{{1,4}}[^-]+){{0,40}}-----END {_LABEL}"
-_FIELDS = rf"(?:{_GAP}n?[A-Z][A-Za-z]+-[A-Z][A-Za-z]+:[ \t]*[^ \t\r\n\\]+){{0,8}}"
-_LINES = rf"(?:{_GAP}{'[A-Za-z0-9+/]{4}' * 4}[A-Za-z0-9+/]*={{0,2}}){{1,250}}"
+_TO_END = rf"[^-]*(?:-{{1,4}}[^-]+)*+-----END {_LABEL}"
+_FIELDS = rf"(?:{_GAP}n?[A-Z][A-Za-z]{{1,13}}-[A-Z][A-Za-z]+:[ \t]*[^ \t\r\n\\]+[ \t\r\n\\])*+"
+_LINES = rf"(?:{_GAP}{'[A-Za-z0-9+/]{4}' * 4}[A-Za-z0-9+/]*={{0,2}})++"
 _SHORT = rf"""(?:{_GAP}[A-Za-z0-9+/]+(?:={{1,2}}|[ \t\r"']*(?:\n|$)))?"""
 MORE = (
-    Rule("pem", rf"-----BEGIN {_LABEL}(?:{_TO_END}|{_FIELDS}{_LINES}{_SHORT})?", version=2),
+    Rule("pem", rf"-----BEGIN {_LABEL}(?:{_TO_END}|{_FIELDS}{_LINES}{_SHORT})?", version=3),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + MORE
+#: Rules of an earlier day: the first version of pem marked the first line of a key, and two kinds were not known.
+EARLIER = BASE + (Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),)
 
-LEDGER = "blob binary, rules array<string>, found array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
+FOUND = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
+LEDGER = f"blob binary, rules array<string>, found {FOUND}"
 
 
 def blob_of(text: Column) -> Column:
@@ -65,6 +70,10 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def _none() -> Column:
+    return F.from_json(F.lit("[]"), FOUND)
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Leftmost non-overlapping matches as (start, rank, kind, stop), in code points.
 
@@ -73,31 +82,24 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("hit"), held.alias("held"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")
+    long = lambda x, name: F.coalesce(F.length(x), F.lit(0)).cast("long").alias(name)
+    sizes = F.transform(parts, lambda x: F.struct(long(x["gap"], "gap"), long(x["hit"], "size"), long(x["held"], "held"), x["hit"].isNotNull().alias("hit")))
+
+    def span(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        made = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start + x["size"]).alias("stop"))
+        return F.when(x["hit"] & (x["held"] >= rule.least), made)
 
-    def step(seen: Column, part: Column) -> Column:
-        start = seen["at"] + F.length(part["gap"])
-        stop = start + F.length(part["hit"])
-        span = F.struct(
-            start.cast("long").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), stop.cast("long").alias("stop")
-        )
-        fits = part["hit"].isNotNull() & (F.length(part["held"]) >= rule.least)
-        return F.struct(
-            F.coalesce(stop, start).cast("long").alias("at"), F.when(fits, F.concat(seen["out"], F.array(span))).otherwise(seen["out"]).alias("out")
-        )
+    def placed(of: Column) -> Column:
+        return F.array_compact(F.zip_with(of, running(F.transform(of, lambda x: x["gap"] + x["size"])), span))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    walked = F.aggregate(parts, start, step, lambda seen: seen["out"])
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), walked).otherwise(none)
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), let(sizes, placed)).otherwise(_none())
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Ledger rows of blobs (blob, body, rules to run)."""
     found = [F.when(F.array_contains("todo", rule.key), _spans(F.col("body"), rule, i)) for i, rule in enumerate(rules)]
-    empty = F.from_json(F.lit("[]"), "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")
-    return blobs.select(
-        "blob", F.col("todo").alias("rules"), F.flatten(F.array(*[F.coalesce(x, empty) for x in found])).alias("found")
-    )
+    return blobs.select("blob", F.col("todo").alias("rules"), F.flatten(F.array(*[F.coalesce(x, _none()) for x in found])).alias("found"))
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -120,26 +122,33 @@ def scan_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """Findings of every path, and the ledger rows this run adds.
 
-    The first frame has one row per input row: ``keep`` columns (default ``doc_id``), ``blob`` and
-    ``found``, the spans of the given rules by start, then rule order. Append the second frame to
-    the ledger before the next run; it is written once, so the join back reads short rows and can
-    split a blob that many paths share. A null text is the empty blob; repeated rows are paths to one
-    blob; empty inputs give empty frames; columns not named are not read.
+    The first frame has one row per input row: ``keep`` columns (default ``doc_id``), ``blob``,
+    ``found``, the spans of the given rules by start, then rule order, and ``n_scanned``, how many
+    rules this run applied to the blob. Append the second frame to the ledger before the next run;
+    it is written once, so the join back reads short rows and can split a blob that many paths
+    share. A null text is the empty blob; repeated rows are paths to one blob; rows that the ledger
+    repeats count once; empty inputs give empty frames; columns not named are not read.
     """
     keep = ["doc_id"] if keep is None else keep
     new = stage(scan(unseen(docs, ledger, text, rules), rules), "ledger")
-    seen = new if ledger is None else ledger.select(*new.columns).unionByName(new)
+    seen = new.select("blob", "found", F.size("rules").alias("n_scanned"))
     if ledger is not None:
-        # What an older version of a rule found does not count.
+        # What an older version of a rule found does not count; the ledger may number its rules in another order.
+        rank = F.create_map(*[x for i, rule in enumerate(rules) for x in (F.lit(rule.kind), F.lit(i))])
         current = F.array_compact(F.array(*[F.when(F.array_contains("rules", rule.key), F.lit(rule.kind)) for rule in rules]))
-        seen = seen.select("blob", F.filter("found", lambda x: F.array_contains(current, x["kind"])).alias("found"))
-        hits = F.flatten(F.collect_list("found"))
-        seen = seen.groupBy("blob").agg(F.array_distinct(hits).alias("found"))
-    seen = seen.select("blob", "found").filter(F.size("found") > 0)
+        valid = F.filter("found", lambda x: F.array_contains(F.col("current"), x["kind"]))
+        ranked = F.transform(valid, lambda x: F.struct(x["start"], F.element_at(rank, x["kind"]).alias("rank"), x["kind"], x["stop"]))
+        known = ledger.select("blob", "found", current.alias("current")).select("blob", ranked.alias("found"), F.lit(0).alias("n_scanned"))
+        hits = F.array_sort(F.flatten(F.collect_list("found")))
+        seen = known.unionByName(seen).groupBy("blob").agg(hits.alias("found"), F.sum("n_scanned").cast("int").alias("n_scanned"))
+        seen = seen.withColumn("found", let(F.col("found"), lambda of: F.filter(of, lambda x, i: ~x.eqNullSafe(F.get(of, i - 1)))))
+    seen = seen.filter((F.size("found") > 0) | (F.col("n_scanned") != len(rules)))
     paths = docs.select(*[F.col(f"`{c}`") for c in keep], blob_of(F.col(text)).alias("blob"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")
     joined = paths.join(seen, "blob", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "blob", F.array_sort(F.coalesce("found", none)).alias("found")), new
+    return joined.select(
+        *[F.col(f"`{c}`") for c in keep], "blob", F.array_sort(F.coalesce("found", _none())).alias("found"),
+        F.coalesce("n_scanned", F.lit(len(rules))).alias("n_scanned"),
+    ), new
 
 
 def listed(found: Column) -> Column:
@@ -152,10 +161,10 @@ def _of(kind: str) -> Callable[[Column], Column]:
 
 
 def summary(findings: DataFrame) -> DataFrame:
-    """Counts, digest and list of spans per path."""
+    """Counts, digest and list of spans per path, and how many rules were applied to its blob in this run."""
     base = F.filter("found", lambda x: x["rank"] < len(BASE))
     counts = [F.size(F.filter("found", _of(r.kind))).cast("long").alias(f"n_{r.kind}") for r in BASE]
-    return findings.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    return findings.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "n_scanned")
 
 
 def redact(text: Column, found: Column, mask: str = "[secret]") -> Column:

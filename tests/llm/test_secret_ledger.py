@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,42 @@ def test_odd_rows(odd, empty, clashing):
     assert found.count() == 10 and new.count() == 6
     assert ledger.summary(ledger.scan_documents(empty)[0]).count() == 0
     assert ledger.summary(ledger.scan_documents(clashing)[0]).count() == 10
+
+
+def test_private_keys_of_any_length(documents):
+    lines = "\n".join("Ab3+" * 16 for _ in range(3000))
+    fields = "\n".join(f"Field-Name: v{i}" for i in range(20)) + "\n\n"
+    prose = "some-words and more-words " * 100
+    docs = documents(
+        (1, "-----BEGIN PRIVATE KEY-----\n" + lines + "\nand words.", "en"), (2, "-----BEGIN PRIVATE KEY-----\n" + fields + lines + "\nand words.", "en"),
+        (3, "-----BEGIN PRIVATE KEY-----\n" + prose + "\n-----END PRIVATE KEY----- and words.", "en"), (4, "-----BEGIN PRIVATE KEY-----\nDear-Sir: hello", "en"),
+    )
+    found, _ = ledger.scan_documents(docs, keep=["doc_id", "text"])
+    got = {r.doc_id: r.t for r in found.select("doc_id", ledger.redact(F.col("text"), F.col("found")).alias("t")).collect()}
+    assert {i: got[i].replace("\n", " ") for i in (1, 2, 3)} == {1: "[secret] and words.", 2: "[secret] and words.", 3: "[secret] and words."}
+    assert got[4] == "[secret]\nDear-Sir: hello"
+
+
+def test_a_hundred_thousand_findings_in_one_text(documents):
+    text = "﻿é" + " 0123456789abcdef ü" * 100_000
+    docs = documents((1, text, "en"))
+    begun = time.perf_counter()
+    found, _ = ledger.scan_documents(docs, keep=["doc_id", "text"])
+    row = found.select(F.size("found").alias("n"), F.col("found")[99_999].alias("last"), ledger.redact(F.col("text"), F.col("found")).alias("t")).first()
+    assert (row.n, row.last.start, row.last.stop) == (100_000, len(text) - 18, len(text) - 2)
+    assert row.t == "﻿é" + " [secret] ü" * 100_000
+    assert time.perf_counter() - begun < 30
+
+
+def test_ledger_of_other_rules_and_repeated_rows(documents):
+    docs = documents(*[(i, t, "en") for i, t in enumerate([*TEXTS, *KEYS])])
+    whole = {tuple(r) for r in ledger.summary(ledger.scan_documents(docs)[0]).drop("n_scanned").collect()}
+    _, old = ledger.scan_documents(docs.filter("doc_id % 3 = 0"), rules=tuple(reversed(ledger.EARLIER)))
+    found, new = ledger.scan_documents(docs, old.unionByName(old))
+    rows = ledger.summary(found)
+    assert {tuple(r) for r in rows.drop("n_scanned").collect()} == whole
+    # The empty text and the null text are one blob, which the first load held.
+    late = {i for i in range(len(TEXTS) + len(KEYS)) if i % 3 and TEXTS[i : i + 1] not in ([""], [None])}
+    assert {r.doc_id for r in rows.collect() if r.n_scanned == len(ledger.RULES)} == late
+    assert {r.doc_id for r in rows.collect() if r.n_scanned == 3} == set(range(len(TEXTS) + len(KEYS))) - late
+    assert new.count() == len(TEXTS) + len(KEYS) - 1
