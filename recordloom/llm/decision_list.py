@@ -202,15 +202,20 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     """Learn which statistics mark rows of label 0, from about ``rows`` labelled rows.
 
     The rows are those whose key has the least hash, by the share that leaves so many; rows with a
-    null key or label teach nothing, repeated labels count each, and no labels give no rules.
+    null key or label teach nothing, no labels give no rules. Rows of one key, label and statistics
+    count once; where keys repeat with so many different texts that over twice ``rows`` are left,
+    as many are taken by the hash of their statistics, so the driver reads a bounded table.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("__label"))
     share = min(1.0, rows / max(known.count(), 1))
     unit = F.pmod(F.xxhash64(F.col(key), F.lit("rows")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     held_back = F.pmod(F.xxhash64(F.col(key), F.lit("fold")), F.lit(3)) == 0
-    sample = known.filter(unit < share).join(stats, key).select(
+    met = known.filter(unit < share).join(stats, key).select(
         key, "__label", held_back.alias("__fold"), *[F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()]
-    ).toPandas().sort_values([key, "__label"], kind="stable", ignore_index=True)
+    )
+    met = stage(met.distinct(), "labelled")
+    again = F.pmod(F.xxhash64(key, "__label", *FEATURES), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = met.filter(again < min(1.0, 2 * rows / max(met.count(), 1))).toPandas().sort_values([key, "__label", *FEATURES], kind="stable", ignore_index=True)
     if not len(sample):
         return DecisionList(())
     return learn(sample, (sample["__label"] == 0).to_numpy(), sample["__fold"].to_numpy(dtype=bool))

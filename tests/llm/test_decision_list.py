@@ -98,3 +98,14 @@ def test_odd_rows(odd, empty, clashing, spark, labelled):
     assert len(rows) == 10 and all(r.base_failed and not r.kept for r in rows if r.doc_id in (1, 2, 3, 6, 7))
     assert rules.judged_documents(empty, labels).count() == 0
     assert rules.judged_documents(clashing, labels).count() == 10
+
+
+@pytest.mark.parametrize("texts, most", [(1, 1), (3000, 200)])
+def test_rows_of_a_repeated_key_are_bounded(documents, monkeypatch, texts, most):
+    docs = documents(*[(1, f"word {'x' * (i % texts)} " * 30, "en") for i in range(3000)], (2, "a clean text", "en"))
+    labels = docs.sparkSession.createDataFrame([(1, 0), (1, 0), (2, 1)], "doc_id bigint, quality int")
+    met = []
+    monkeypatch.setattr(rules, "learn", lambda table, target, fold: met.append(len(table)) or rules.DecisionList(()))
+    stats = rules.statistics(docs, ["doc_id"], "text")
+    rules.fit(stats, labels, rows=50)
+    assert 1 <= met[0] <= most + 1
