@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.errors import RecordError
-from recordloom.operators import ordering, ranking
+from recordloom.operators import ordering, ranking, trigrams
 from recordloom.operators.schema import col
 
 # The fields a difference of two runs is made of, in order of importance.
@@ -43,13 +44,18 @@ def find(runs: DataFrame, identifier: str) -> DataFrame:
 
 def search(
     runs: DataFrame, tags: DataFrame, steps: DataFrame, text: str, limit: int | None = 20,
-    time: str = "started_at", tie: str = "id",
+    time: str = "started_at", tie: str = "id", index: str | None = None,
 ) -> DataFrame:
     """Runs whose name, workflow, mode, a tag or a step error mentions the text, newest first.
 
     Each table is filtered on its own; only the ids that matched meet the runs, as a
-    semi-join, so no run is repeated and nothing is deduplicated afterwards.
+    semi-join, so no run is repeated and nothing is deduplicated afterwards. With the path of an
+    ``index`` that ``index_history`` keeps, only rows of the ids that can match are compared; texts
+    of fewer than three characters are in no index and read all rows. The answer is the same.
     """
+    able = trigrams.candidates(runs.sparkSession, index, text) if index is not None else None
+    if able is not None:
+        runs, tags, steps = trigrams.among(runs, "id", able), trigrams.among(tags, "run_id", able), trigrams.among(steps, "run_id", able)
     like = F.lit("%" + text.replace("\\", "\\\\") + "%")
     ids = (
         runs.filter(F.ilike("name", like) | F.ilike("workflow", like) | F.ilike("mode", like)).select(F.col("id").alias("__id"))
@@ -61,6 +67,13 @@ def search(
     return found.limit(limit) if limit is not None else found
 
 
+def index_history(runs: DataFrame, tags: DataFrame, steps: DataFrame, path: str) -> None:
+    """Add the texts ``search`` compares to the trigram index at ``path``; call it with the new rows of each table."""
+    parts = [(runs, "id", c) for c in ("name", "workflow", "mode")] + [(tags, "run_id", "tag"), (steps, "run_id", "error")]
+    texts = [df.select(col(key).alias("key"), col(text).alias("text")) for df, key, text in parts]
+    trigrams.add(reduce(DataFrame.unionByName, texts), path)
+
+
 def retention_by_count(
     runs: DataFrame, keep: int, time: str = "started_at", tie: str = "id", pinned: str | None = "pinned",
     scope: Sequence[str] = (),

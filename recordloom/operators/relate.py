@@ -13,6 +13,9 @@ from recordloom.operators.reshape import align
 from recordloom.operators.schema import col
 
 HOW = ("inner", "left", "right", "outer")
+#: In an outer join a key is hot on a side where it holds more than so many rows; the most common ones are dealt to parts,
+#: so many keys at most, each to so many parts at most.
+HOT_ROWS, HOT_KEYS, HOT_PARTS = 100_000, 1000, 1000
 
 
 def _listed(names: str | Sequence[str]) -> list[str]:
@@ -48,8 +51,9 @@ def join_records(
     ``null_keys='match'`` pairs null with null, ``'sql'`` never does. The physical join is
     Spark's choice by size, with adaptive splitting of hot keys. ``salt`` also splits them
     by hand: rows of the preserved side get one of ``salt`` tags, the other side is repeated
-    once per tag, and no row is lost. An outer join is a left join plus the unmatched right
-    rows, because Spark does not split a hot key of a full outer join.
+    once per tag, and no row is lost. An outer join shuffles each side once and splits its
+    hot keys itself (``_outer``), because Spark does not split a hot key of a full outer join;
+    ``salt`` is not needed there and has no effect.
     """
     keys = _listed(on)
     if how not in HOW:
@@ -57,37 +61,83 @@ def join_records(
     require_columns(left.columns, keys, "left")
     require_columns(right.columns, keys, "right")
     a, b = _prefixed(left, "a"), _prefixed(right, "b")
-    condition = _matching(a, b, keys, null_keys)
-    if how == "right":
-        kept, other = _salted(b, a, salt)
+    if how == "outer":
+        paired = _outer(a, b, keys, null_keys)
     else:
-        kept, other = _salted(a, b, salt)
-    if salt > 1:
-        condition = condition & (kept["__salt"] == other["__salt"])
-    paired = kept.join(other, condition, "inner" if how == "inner" else "left")
+        kept, other = _salted(b, a, salt) if how == "right" else _salted(a, b, salt)
+        condition = _matching(a, b, keys, null_keys)
+        if salt > 1:
+            condition = condition & (kept["__salt"] == other["__salt"])
+        paired = kept.join(other, condition, "inner" if how == "inner" else "left")
 
     side = "b" if how == "right" else "a"
     shared = (set(left.columns) & set(right.columns)) - set(keys)
     layout = [(k, f"{side}.{k}") if k in keys else (f"{k}_x" if k in shared else k, f"a.{k}") for k in left.columns]
     layout += [(f"{n}_y" if n in shared else n, f"b.{n}") for n in right.columns if n not in keys]
-    out = paired.select(*[col(source).alias(name) for name, source in layout])
-    if how == "outer":
-        alone = b.join(a, _matching(a, b, keys, null_keys), "left_anti")
-        extra = [
-            (name, f"b.{name}" if source.startswith("a.") and name in keys else source) for name, source in layout
-        ]
-        out = out.unionByName(
-            alone.select(*[col(source).alias(name) for name, source in extra if source.startswith("b.")]),
-            allowMissingColumns=True,
-        )
-    return out
+    return paired.select(*[col(source).alias(name) for name, source in layout])
+
+
+def _hot(df: DataFrame, prefix: str, keys: Sequence[str], splits_a: bool, null_keys: str) -> DataFrame:
+    """Keys that hold so many rows of a side that one task should not meet them all: at most ``HOT_KEYS``.
+
+    A key with more than one row in ``HOT_KEYS`` is always among them. ``n`` is the number of parts
+    its rows are dealt to. Counts are reduced on the map side and read the key columns alone.
+    """
+    counts = df.groupBy(*[col(f"{prefix}.{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS)
+    if null_keys == "sql":
+        counts = counts.dropna(subset=[f"`{k}`" for k in keys])
+    hot = counts.orderBy(F.col("__n").desc()).limit(HOT_KEYS)
+    parts = F.least(F.ceil(F.col("__n") / HOT_ROWS), F.lit(HOT_PARTS).cast("long"))
+    return hot.select(*[col(k) for k in keys], F.struct(parts.alias("n"), F.lit(splits_a).alias("splits_a")).alias("__deal"))
+
+
+def _dealt(df: DataFrame, prefix: str, keys: Sequence[str], hot: DataFrame, null_keys: str) -> DataFrame:
+    """Rows with the part they go to: hot rows of the split side to one each, those of the other side to all."""
+    mark = f"__{prefix}"
+    named = hot.select(*[col(k).alias(f"{mark}.{k}") for k in keys], F.col("__deal").alias(f"{mark}.deal"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[f"`{prefix}.{k}`"].eqNullSafe(named[f"`{mark}.{k}`"])
+    n, splits_a = col(f"{mark}.deal")["n"], col(f"{mark}.deal")["splits_a"]
+    spread = _content(df)
+    copied = F.coalesce(splits_a != F.lit(prefix == "a"), F.lit(False))
+    to = F.when(copied, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array(F.pmod(spread, F.coalesce(n, F.lit(1).cast("long")))))
+    if null_keys == "sql":  # a null meets nothing, wherever it goes
+        alone = F.lit(False)
+        for k in keys:
+            alone = alone | col(f"{prefix}.{k}").isNull()
+        to = F.when(alone, F.array(F.pmod(spread, F.lit(HOT_PARTS).cast("long")))).otherwise(to)
+    joined = df.join(F.broadcast(named), same, "left")
+    return joined.select(*[col(c) for c in df.columns], copied.alias(f"{mark}.copied"), F.lit(True).alias(f"{mark}.here"), F.explode(to).alias(f"{mark}.part"))
+
+
+def _outer(a: DataFrame, b: DataFrame, keys: Sequence[str], null_keys: str) -> DataFrame:
+    """A full outer join in one shuffle a side, whatever share of the rows a key holds.
+
+    Rows of a hot key are dealt to parts on the side that holds more of them and repeated for each
+    part on the other. A part may hold none of the split side's rows, where a repeated row then meets
+    nothing; as its key is known to be on the split side it meets something in another part, so
+    these are left out. The list of hot keys has a bounded length and is broadcast.
+    """
+    both = _hot(a, "a", keys, True, null_keys).unionByName(_hot(b, "b", keys, False, null_keys))
+    hot = both.groupBy(*[col(k) for k in keys]).agg(F.max("__deal").alias("__deal"))
+    x, y = _dealt(a, "a", keys, hot, null_keys), _dealt(b, "b", keys, hot, null_keys)
+    paired = x.join(y, _matching(x, y, keys, null_keys) & (x["`__a.part`"] == y["`__b.part`"]), "full")
+    only_a, only_b = col("__b.here").isNull(), col("__a.here").isNull()
+    whole = paired.filter(~((only_a & F.coalesce(col("__a.copied"), F.lit(False))) | (only_b & F.coalesce(col("__b.copied"), F.lit(False)))))
+    return whole.withColumns({f"a.{k}": F.when(only_b, col(f"b.{k}")).otherwise(col(f"a.{k}")) for k in keys})
+
+
+def _content(df: DataFrame) -> Column:
+    """A hash of the row, so that a repeated task deals it alike; equal rows stay together. Maps have no hash."""
+    hashed = [f.name for f in df.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.xxhash64(*[col(n) for n in hashed]) if hashed else F.lit(0).cast("long")
 
 
 def _salted(kept: DataFrame, other: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
     if salt <= 1:
         return kept, other
-    # The tag hangs on the row's content, so a repeated task gives the same tag.
-    tag = F.pmod(F.xxhash64(*[col(n) for n in kept.columns]), F.lit(salt)).cast("int")
+    tag = F.pmod(_content(kept), F.lit(salt)).cast("int")
     tags = F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
     return kept.withColumn("__salt", tag), other.withColumn("__salt", tags)
 
