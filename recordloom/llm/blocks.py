@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,11 @@ def rolling(values: np.ndarray, length: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.int64)
     wide = values.astype(np.uint64)
+    wide ^= wide >> np.uint64(31)
     total = np.full(n, np.uint64(length))
     for i in range(length):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + (wide[i : i + n] ^ (wide[i : i + n] >> np.uint64(31)))
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += wide[i : i + n]
     total ^= total >> np.uint64(32)
     return total.astype(np.int64)
 
@@ -54,6 +57,15 @@ def sliced(texts: list[str], chars: int) -> Iterator[list[str]]:
         at = stop
 
 
+def parts(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch; a part ends with the text that reaches so many bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (np.cumsum(sizes) - sizes) // size
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    for start, stop in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(start, stop - start)
+
+
 #: Address bits of a membership filter. Its size depends on nothing else; the fuller it is, the more it lets through.
 FILTER_BITS = 24
 
@@ -81,15 +93,17 @@ def kept_schema(df: DataFrame, columns: list[str]) -> str:
 
 
 def map_texts(
-    df: DataFrame, keep: list[str], text: str, schema: str, make: Callable[[list[str]], tuple[list[int] | None, dict[str, pa.Array]]]
+    df: DataFrame, keep: list[str], text: str, schema: str, make: Callable[[list[str]], tuple[list[int] | None, dict[str, pa.Array]]],
+    size: int | None = None,
 ) -> DataFrame:
     """Columns ``keep`` and what ``make`` returns for the texts of a batch; null texts are empty.
 
     ``make`` returns the row each output row belongs to (None: one for each) and the new columns.
+    It gets the texts of a whole batch, or of parts of about ``size`` bytes, so that a worker's memory goes by these.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in (parts(whole, len(keep), size) if size else [whole])):
             rows, made = make([x or "" for x in batch.column(len(keep)).to_pylist()])
             kept = batch.columns[: len(keep)]
             if rows is not None:

@@ -19,10 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from recordloom.llm.blocks import parts
+
 #: Characters of text whose words are merged together, and words a task remembers.
 BLOCK_CHARS = 24_000_000
 REMEMBERED = 300_000
 LONGEST_REMEMBERED = 64
+#: Bytes of text a task takes at a time; a worker's memory goes by them and by what it remembers.
+PART_BYTES = 8_000_000
 
 _NONE = np.int64(2**62)
 
@@ -202,7 +206,7 @@ def _mapped(docs: DataFrame, keep: list[str], text: str, path: str, pattern: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, len(keep), PART_BYTES)):
             texts = [x or "" for x in batch.column(len(keep)).to_pylist()]
             made = make(codec, texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made.values()], names=[*keep, *made])

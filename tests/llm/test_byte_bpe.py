@@ -83,3 +83,14 @@ def test_odd_rows(odd, empty, clashing):
     assert byte_bpe.digests(empty, PATH, PATTERN).count() == 0 and byte_bpe.encode(empty, PATH, PATTERN).count() == 0
     assert byte_bpe.encode(clashing, PATH, PATTERN).columns == ["doc_id", "n_tokens", "ids"]
     assert byte_bpe.encode(clashing, PATH, PATTERN).count() == 10
+
+
+def test_a_batch_is_encoded_in_parts(spark):
+    import pyarrow as pa
+
+    from recordloom.llm.blocks import parts
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["aaaa", None, "öö", "", "a" * 20])], names=["doc_id", "text"])
+    cut = list(parts(batch, 1, 4))
+    assert [p.column(0).to_pylist() for p in cut] == [[1], [2, 3], [4, 5]]
+    assert [p.num_rows for p in parts(batch.slice(0, 0), 1, 4)] == [0]
