@@ -31,6 +31,9 @@ LONG, WINDOW, GRAM = 12, 6, 3
 #: Address bits of the filter of repeated spans: 4 MB of bits, whatever their number.
 FILTER_BITS = 25
 
+#: Bytes of text that are cut into spans together.
+PART_BYTES = 2_000_000
+
 #: An odd factor and its inverse modulo 2^64.
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 2**64)
@@ -41,7 +44,7 @@ _SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
 class _Words(dict):
-    """Hash of each word a batch meets, whatever its case."""
+    """Hash of each word a task meets, whatever its case."""
 
     def __missing__(self, word: str) -> int:
         found = hash64(word.lower())
@@ -119,8 +122,9 @@ def _runs(codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return (total ^ (total >> np.uint64(32))).astype(np.int64)
 
 
-def _spans(texts: list[str]):
-    rows, spans, starts, stops, known = [], [], [], [], _Words()
+def _spans(texts: list[str], known: dict[str, int] | None = None):
+    rows, spans, starts, stops = [], [], [], []
+    known = _Words() if known is None else known
     for i, text in enumerate(texts):
         places, codes = _cut(text, known)
         if len(places) < RUN:
@@ -139,9 +143,9 @@ def _spans(texts: list[str]):
     }
 
 
-def _listed(texts: list[str]):
+def _listed(texts: list[str], known: dict[str, int]):
     """The spans of each text as lists: one row per text."""
-    rows, made = _spans(texts)
+    rows, made = _spans(texts, known)
     offsets = pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=len(texts)))), pa.int32())
     lists = {f"{n}s": pa.ListArray.from_arrays(offsets, made[n]) for n in ("span", "start", "stop")}
     return None, {"version": pa.array([zlib.crc32(t.encode("utf-8", "replace")) - 2**31 for t in texts], pa.int32()), **lists}
@@ -185,12 +189,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     first; null and empty texts and texts of fewer than ``RUN`` sentences or ``LEAST_WORDS`` words have no spans.
     """
     schema = "version int, spans array<bigint>, starts array<int>, stops array<int>"
-    spans = stage(map_texts(docs, [key], text, schema, _listed), "spans")
+    words = _Words()  # each task gets its own, empty
+    spans = stage(map_texts(docs, [key], text, schema, lambda texts: _listed(texts, words), PART_BYTES), "spans")
     wanted = _counted(spans)
     places = stage(_places(spans, key, wanted).join(wanted, "span", "left_semi"), "places")
     place = F.struct(F.col(key).alias("key"), "version", "start")
     known = places.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    known = known.filter(F.col("first") != F.col("last")).select("span", "first")
+    known = stage(known.filter(F.col("first") != F.col("last")).select("span", "first"), "firsts")  # as a table, so that Spark splits the hot spans of the join
     later = places.join(known, "span").filter(~place.eqNullSafe(F.col("first")))
     per_text = later.groupBy(key, "version").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans"), F.array_sort(F.collect_set("first.key")).alias("first_in")

@@ -127,3 +127,14 @@ def test_odd_rows(odd, empty, clashing):
     assert {r.doc_id for r in spans.repeated(clashing).collect()} == got
     assert spans.removed_from(clashing, spans.repeated(clashing)).columns == clashing.columns
     assert spans.removed_from(clashing, spans.repeated(clashing)).count() == 10
+
+
+def test_parts_of_a_batch_and_a_hot_span(spark, documents, monkeypatch):
+    text = "One two three four five. Six seven eight nine ten. Eleven twelve thirteen fourteen fifteen."
+    docs = documents(*[(i, f"{text} Number {i} has its own end here.", "en") for i in range(40)])
+    whole = {r.doc_id: r for r in spans.repeated(docs).collect()}
+    monkeypatch.setattr(spans, "PART_BYTES", 100)
+    found = spans.repeated(docs)
+    assert {r.doc_id: r for r in found.collect()} == whole and set(whole) == set(range(1, 40))
+    joins = found._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.count("Aggregate") == 1  # the first places are a table, so that Spark can split a hot span
