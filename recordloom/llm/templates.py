@@ -10,22 +10,26 @@ every window is hashed word for word, whatever the case: verbatim windows always
 from __future__ import annotations
 
 import re
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.blocks import Hashes, bit_filter, hash64, map_texts, passing, rolling, sliced
+from recordloom.llm.blocks import bit_filter, hash64, map_texts, passing, rolling, sliced
 from recordloom.session import stage
 
 #: Tokens in a window, literal tokens it needs (all, if it is shorter), share of an item's windows that convicts.
 WINDOW, LITERALS, COVERAGE = 8, 3, 0.5
-BLOCK_CHARS = 4_000_000
+#: Characters whose windows are hashed together, and bytes of text a task takes at a time.
+BLOCK_CHARS, PART_BYTES = 500_000, 2_000_000
 
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 
-_TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[%$€£]")
+_TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[%$€£]")
+#: An odd factor, so that literals are hashed otherwise in templates than word for word.
+_FACTOR = 0x9E3779B97F4A7C15
 
 # Units of measure, and words that are no names although a sentence begins with them.
 UNITS = frozenset(
@@ -41,6 +45,10 @@ NO_NAMES = frozenset(
 )
 
 
+#: Hashes of the placeholders, none negative.
+_SLOTS = {form: hash64(form) & (2**62 - 1) for form in (NUMBER, NAME, UNIT)}
+
+
 def canonical(token: str) -> str:
     """The template token of a token: a placeholder, or the lower-cased word."""
     if token[0].isdigit():
@@ -53,45 +61,48 @@ def canonical(token: str) -> str:
     return low
 
 
-class _Templates(dict):
-    """Hash of the template token of each token; negative for literals, so that one look tells both."""
+class _Tokens(dict):
+    """A number for each token a task meets, under which ``codes`` and ``plain`` hold its hashes.
+
+    ``codes`` has the hash of the template token, negative for literals, so that one look tells both;
+    ``plain`` that of the token as it is, whatever its case.
+    """
+
+    BOUND = 300_000
 
     def __init__(self) -> None:
-        self.hashes = Hashes()
+        self.codes, self.plain = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
 
     def __missing__(self, token: str) -> int:
+        at = len(self)
+        if at == len(self.codes):
+            self.codes, self.plain = np.resize(self.codes, 2 * at), np.resize(self.plain, 2 * at)
         form = canonical(token)
-        slot = form in (NUMBER, NAME, UNIT)
-        found = (self.hashes[form] & (2**62 - 1)) | (0 if slot else -(2**63))
-        if len(self) < Hashes.BOUND:
-            self[token] = found
-        return found
-
+        plain = hash64(token.lower())
+        self.codes[at] = _SLOTS[form] if form in _SLOTS else (plain * _FACTOR & (2**62 - 1)) - 2**63
+        self.plain[at] = plain
+        self[token] = at
+        return at
 
-class _Plain(dict):
-    """Hash of each token as it is, whatever its case."""
-
-    def __missing__(self, token: str) -> int:
-        found = hash64("=" + token.lower())
-        if len(self) < Hashes.BOUND:
-            self[token] = found
-        return found
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        for token in list(islice(self, self.BOUND, None)):  # frequent tokens come early and stay
+            del self[token]
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
 
-def _windows(lengths: tuple[int, ...], bits: np.ndarray | None):
+def _windows(lengths: tuple[int, ...], bits: np.ndarray | None, known: _Tokens):
     """Row, position, hash, size, slot values and kind of all windows of a batch that pass the filter.
 
     A window is hashed as a template, if it has the literal tokens for that, and word for word
     (``plain``, without slot values); ``bound`` tells whether it has both.
     """
-    known, words = _Templates(), _Plain()
 
     def block(texts: list[str], first: int):
         tokens = [_TOKEN.findall(text) for text in texts]
         sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        flat = [token for own in tokens for token in own]
-        codes = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
-        plain = np.fromiter(map(words.__getitem__, flat), dtype=np.int64, count=len(flat))
+        flat = list(chain.from_iterable(tokens))
+        numbers = known.numbers(flat)
+        codes, plain = known.codes[numbers], known.plain[numbers]
         row = np.repeat(np.arange(len(texts)), sizes)
         begin = np.cumsum(sizes) - sizes
         literal = np.append(0, np.cumsum(codes < 0))
@@ -139,12 +150,12 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
 
 
 def _of_items(texts: list[str]):
-    rows, made = [], {k: [] for k in ("at", "window", "size", "slots", "plain", "bound", "length")}
+    rows, made, known = [], {k: [] for k in ("at", "window", "size", "slots", "plain", "bound", "length")}, _Tokens()
     for i, text in enumerate(texts):
         n = min(len(_TOKEN.findall(text)), WINDOW)
         if not n:
             continue
-        own, found = _windows((n,), None)([text])
+        own, found = _windows((n,), None, known)([text])
         rows += [i] * len(own)
         for k in found:
             made[k] += found[k].to_pylist()
@@ -173,7 +184,8 @@ def contaminated(
     wanted = stage(item_windows(benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("__text")), "item_id", "__text"), "items")
     lengths = tuple(sorted(r[0] for r in wanted.select("length").distinct().collect()))
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "window"))
-    hits = map_texts(docs, [key], text, _SCHEMA, lambda texts: _windows(lengths, shared.value)(texts))
+    tokens = _Tokens()  # each task gets its own, empty
+    hits = map_texts(docs, [key], text, _SCHEMA, lambda texts: _windows(lengths, shared.value, tokens)(texts), PART_BYTES)
     pairs = hits.select(F.col(key), "window", "plain", F.col("at").alias("doc_at"), F.col("slots").alias("doc_slots")).join(
         wanted.select("item_id", "window", "plain", "at", "slots", "bound", "n_windows", "n_bound"), ["window", "plain"]
     )

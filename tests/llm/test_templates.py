@@ -111,3 +111,13 @@ def test_planted_passages(spark):
     by = dict(texts)
     bench = {r.item_id: " ".join(r.text.split()) for r in items.collect()}
     assert all(bench[i][20:60].lower() in by[d].lower() for d, i in got)
+
+
+def test_numbers_of_tokens_stay_bounded_and_hashes_are_those_of_an_unbounded_table(monkeypatch):
+    monkeypatch.setattr(templates._Tokens, "BOUND", 3)
+    few, blocks = templates._Tokens(), [["a", "Bob", "12"], ["c", "d", "a"], ["e", "Bob", "c"]]
+    whole = templates._Tokens()
+    for block in blocks:
+        n, m = few.numbers(block), whole.numbers(block)
+        assert len(few) <= 3 + len(block)
+        assert few.codes[n].tolist() == whole.codes[m].tolist() and few.plain[n].tolist() == whole.plain[m].tolist()
