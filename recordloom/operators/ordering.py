@@ -91,21 +91,19 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return condition
 
 
-def _spanning_keys(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that may span chunks: those some chunk begins with, at most one per chunk.
+def spanning_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of keys that may span chunks; all rows when there is no key.
 
-    A key that goes on from an earlier chunk is always the first of the next, so reading the
-    rows at place 0 is enough; Parquet skips everything else.
+    A key that goes on from an earlier chunk is always the first of the next, so reading the rows at
+    place 0 is enough; Parquet skips everything else. Of these keys, at most one per chunk, the hashes
+    are sent to all tasks: the rows are not shuffled by key, whatever share of them a key holds and
+    however wide it is. Another key of the same hash is taken along, which costs its rows and changes nothing.
     """
-    return rows.filter(F.col(PLACE) == 0).select(*[col(k).alias(f"__k_{k}") for k in keys])
-
-
-def spanning_rows(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of keys that may span chunks; all rows when there is no key."""
     if not keys:
         return rows
-    spanning = _spanning_keys(rows, keys)
-    return rows.join(_bounded(spanning), _same(rows, spanning, keys), "left_semi")
+    hashed = F.xxhash64(*[col(k) for k in keys])
+    spanning = rows.filter(F.col(PLACE) == 0).select(hashed.alias("__k_hash")).distinct()
+    return rows.join(F.broadcast(spanning), hashed == F.col("__k_hash"), "left_semi")
 
 
 def carry(

@@ -153,3 +153,16 @@ def test_staged_files_can_be_dropped(spark):
 
     session.stage(spark.range(3))
     assert session.drop_staged(spark) > 0 and session.drop_staged(spark) == 0
+
+
+def test_rows_of_spanning_keys_are_not_shuffled_by_a_wide_key(spark):
+    rows = ordering.sequence_rows(spark.range(2000).selectExpr("if(id % 3 = 0, null, 'k' || id % 2) AS k", "id AS n"), ["k"], ["n"], unique=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ordering.spanning_rows(rows, ["k"])
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        firsts = {r.k for r in rows.filter(f"{ordering.PLACE} = 0").collect()}
+        assert {r.k for r in found.select("k").distinct().collect()} == firsts
+        assert found.count() == sum(1 for r in rows.collect() if r.k in firsts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
