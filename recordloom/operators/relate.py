@@ -51,7 +51,8 @@ def join_records(
     ``null_keys='match'`` pairs null with null, ``'sql'`` never does. The physical join is
     Spark's choice by size, with adaptive splitting of hot keys. ``salt`` also splits them
     by hand: rows of the preserved side get one of ``salt`` tags, the other side is repeated
-    once per tag, and no row is lost. An outer join shuffles each side once and splits its
+    once per tag, and no row is lost. Where Spark will broadcast a side no key is hot in a
+    task, and nothing is repeated. An outer join shuffles each side once and splits its
     hot keys itself (``_outer``), because Spark does not split a hot key of a full outer join;
     ``salt`` is not needed there and has no effect.
     """
@@ -64,7 +65,10 @@ def join_records(
     if how == "outer":
         paired = _outer(a, b, keys, null_keys)
     else:
-        kept, other = _salted(b, a, salt) if how == "right" else _salted(a, b, salt)
+        kept, other = (b, a) if how == "right" else (a, b)
+        if _broadcast(other) or (how == "inner" and _broadcast(kept)):
+            salt = 1  # a broadcast table would be as many times as large
+        kept, other = _salted(kept, other, salt)
         condition = _matching(a, b, keys, null_keys)
         if salt > 1:
             condition = condition & (kept["__salt"] == other["__salt"])
@@ -134,6 +138,12 @@ def _content(df: DataFrame) -> Column:
     return F.xxhash64(*[col(n) for n in hashed]) if hashed else F.lit(0).cast("long")
 
 
+def _broadcast(df: DataFrame) -> bool:
+    """Whether Spark takes the frame for small enough to broadcast it."""
+    most = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
 def _salted(kept: DataFrame, other: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
     if salt <= 1:
         return kept, other

@@ -66,3 +66,16 @@ def test_rows_with_maps(spark):
     left = spark.sql("SELECT 1 AS k, map('a', 1) AS m UNION ALL SELECT 2, map()")
     got = relate.join_records(left, spark.sql("SELECT 2 AS k, 'z' AS w UNION ALL SELECT 3, 'y'"), "k", "outer").collect()
     assert sorted((r.k, r.m, r.w) for r in got) == [(1, {"a": 1}, None), (2, {}, "z"), (3, None, "y")]
+
+
+def test_a_broadcast_table_is_not_repeated_by_salt(spark):
+    left, right = spark.range(100).selectExpr("id % 3 AS k", "id AS x"), spark.range(3).selectExpr("id AS k", "id * 10 AS y")
+    small = relate.join_records(left, right, "k", salt=4)
+    assert "explode" not in small._jdf.queryExecution().optimizedPlan().toString().lower()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = relate.join_records(left, right, "k", salt=4)
+        assert "explode" in large._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert sorted(large.collect()) == sorted(small.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
