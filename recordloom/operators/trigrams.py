@@ -17,6 +17,8 @@ LENGTH = 3
 JOINED = 4
 #: Up to so many candidate keys are named in the filter that the scan of a table receives.
 NAMED = 1000
+#: Postings that a task sorts, and that it reduces to keys in a look-up, whatever the size of the tables.
+SORTED, REDUCED = 2_000_000, 1_000_000
 #: What stands for other characters in a pattern of LIKE.
 WILD = ("%", "_")
 
@@ -41,7 +43,8 @@ def add(texts: DataFrame, path: str, key: str = "key", text: str = "text") -> No
     are found once. Null keys cannot be found and are left out.
     """
     found = texts.filter(col(key).isNotNull()).select(F.explode(trigrams(col(text))).alias("trigram"), col(key).alias("key"))
-    found.repartitionByRange("trigram", "key").sortWithinPartitions("trigram", "key").write.mode("append").parquet(f"{path}/postings")
+    upto = texts.agg(F.sum(F.length(col(text)))).first()[0] or 0  # a text has fewer trigrams than characters
+    found.repartitionByRange(max(1, -(-upto // SORTED)), "trigram", "key").sortWithinPartitions("trigram", "key").write.mode("append").parquet(f"{path}/postings")
     added = found.groupBy("trigram").agg(F.count(F.lit(1)).alias("n"))
     added.repartitionByRange("trigram").sortWithinPartitions("trigram").write.mode("append").parquet(f"{path}/counts")
 
@@ -64,7 +67,9 @@ def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame | None
     order = {r["trigram"]: r["n"] for r in common.collect()}
     rare = sorted(wanted, key=lambda t: (order.get(t, 0), t))[:JOINED]
     held = spark.read.parquet(f"{path}/postings").filter(F.col("trigram").isin(rare))
-    return held.groupBy("key").agg(F.count_distinct("trigram").alias("n")).filter(F.col("n") == len(rare)).select("key")
+    which = sum((F.when(F.col("trigram") == t, 1 << i).otherwise(0) for i, t in enumerate(rare)), F.lit(0))
+    dealt = held.select("key", which.alias("which")).repartition(max(1, -(-sum(order.get(t, 0) for t in rare) // REDUCED)), "key")
+    return dealt.groupBy("key").agg(F.bit_or("which").alias("held")).filter(F.col("held") == (1 << len(rare)) - 1).select("key")
 
 
 def among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:

@@ -56,3 +56,14 @@ def test_empty_index(spark, tables):
     path = scratch(spark, "trigrams")
     history.index_history(runs.limit(0), tags.limit(0), steps.limit(0), path)
     assert history.search(runs.limit(0), tags.limit(0), steps.limit(0), "needle", index=path).count() == 0
+
+
+def test_postings_are_sorted_and_reduced_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(trigrams, "SORTED", 2000)
+    monkeypatch.setattr(trigrams, "REDUCED", 50)
+    path = scratch(spark, "trigrams")
+    trigrams.add(spark.range(1000).selectExpr("id AS key", "concat('needle', id % 10) AS text"), path)
+    found = trigrams.candidates(spark, path, "needle")
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.key for r in found.collect()} == set(range(1000))
+    assert len(spark.read.parquet(f"{path}/postings").inputFiles()) > 2
