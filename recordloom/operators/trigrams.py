@@ -68,7 +68,8 @@ def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame | None
     rare = sorted(wanted, key=lambda t: (order.get(t, 0), t))[:JOINED]
     held = spark.read.parquet(f"{path}/postings").filter(F.col("trigram").isin(rare))
     which = sum((F.when(F.col("trigram") == t, 1 << i).otherwise(0) for i, t in enumerate(rare)), F.lit(0))
-    dealt = held.select("key", which.alias("which")).repartition(max(1, -(-sum(order.get(t, 0) for t in rare) // REDUCED)), "key")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(order.get(t, 0) for t in rare) // REDUCED))
+    dealt = held.select("key", which.alias("which")).repartition(parts, "key")  # a table that is joined to the keys is dealt alike
     return dealt.groupBy("key").agg(F.bit_or("which").alias("held")).filter(F.col("held") == (1 << len(rare)) - 1).select("key")
 
 
